@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import compression, langid, secrets
+from quillon.llm import chat, compression, langid, linededup, mixing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    p = [F.round(f"p{k}", 6).alias(f"p_{d}") for k, d in enumerate(mixing.TARGETS)]
+    return rates.select("doc_id", "tokens", *p, F.round("rate", 6).alias("rate"), mixing.copies(F.col("rate")).alias("copies"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~langid.held_out())
@@ -29,10 +40,23 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = F.lit("</s>[INST] ok [/INST]").alias("text")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), same)
+    return chat.digest(chat.format_chats(turns.unionByName(odd)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_rules": op1_compression_rules,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_soft_mixing": op3_soft_mixing,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": linededup.DIGEST_SQL,
+    "op10_chat_format": chat.DIGEST_SQL,
+}
