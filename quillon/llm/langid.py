@@ -259,6 +259,13 @@ class LangModel:
         decode()
         return out
 
+    def main_language(self, raw: np.ndarray | None) -> str:
+        """The language with the best total over all words, without spans."""
+        if raw is None or not self.langs:
+            return "und"
+        scores = self.word_scores(raw)[2]
+        return self.langs[int(scores.sum(axis=0).argmax())] if len(scores) else "und"
+
     def label(self, raw: np.ndarray | None) -> tuple[str, float, list[tuple[int, int, str]]]:
         return self.label_all(iter([raw]))[0]
 

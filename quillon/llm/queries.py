@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, compression, langid, linededup, mixing, secrets
+from quillon.llm import chat, compression, decontaminate, langid, linededup, mixing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,19 @@ def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "tokens", *p, F.round("rate", 6).alias("rate"), mixing.copies(F.col("rate")).alias("copies"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.transform("leaks", lambda x: x["item_id"])
+    return found.select("doc_id", F.size("leaks").cast("long").alias("n_items"), (F.size("leaks") > 0).alias("contaminated"), F.array_join(items, ",").alias("items"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~langid.held_out())
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= model.settings.cut).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~langid.held_out())
@@ -51,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_rules": op1_compression_rules,
     "op2_line_dedup": op2_line_dedup,
     "op3_soft_mixing": op3_soft_mixing,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
