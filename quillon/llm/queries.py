@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, compression, decontaminate, langid, linededup, mixing, neardup, secrets, toxicity
+from quillon.llm import chat, compression, decontaminate, langid, linededup, mixing, neardup, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= model.settings.cut).cast("int").alias("predicted"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+    digest = [F.sha2("block", 256).alias("block_sha256"), F.sha2("record", 256).alias("record_sha256")]
+    return records.select("record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_digest", *digest)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~langid.held_out())
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
