@@ -64,7 +64,9 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], setting
     # evidence over that of a bucket that no labelled row has
     a = settings.smoothing
     model = counts.select("b", *(F.log((F.col(f"n{k}") + a) / a).alias(f"w{k}") for k in range(len(domains))))
-    words = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), F.explode_outer(_buckets(text_col, settings.buckets)).alias("b"))
+    # keys first: what stands beside explode() is computed for every exploded row
+    hashed = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), _buckets(text_col, settings.buckets).alias("words"))
+    words = hashed.select("doc_id", "k1", "k2", F.explode_outer("words").alias("b"))
     # the model has at most `buckets` rows
     sums = words.join(F.broadcast(model), "b", "left").groupBy("doc_id", "k1", "k2").agg(F.count("b").alias("tokens"), *(F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"w{k}") for k in range(len(domains))))
     evidence = F.when(F.col("tokens") > settings.evidence_words, settings.evidence_words / F.col("tokens")).otherwise(1.0)
