@@ -59,11 +59,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered = covered_lines(docs, id_col, text_col, width).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "covered": "_covered"})
     k1, k2 = row_keys(id_col, text_col)
     joined = docs.join(covered, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
-    lines = _lines(text_col)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_covered"), lambda i: F.get(lines, i))
-    text = F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    more = [F.coalesce(F.size(_lines(text_col)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("n_removed")]
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *(more if counts else []))
+    # lines as a column of their own: inside the lambda the text would be split again for every line
+    split = joined.withColumn("_lines", _lines(text_col))
+    n_lines, n_removed = F.coalesce(F.size("_lines"), F.lit(0)), F.coalesce(F.size("_covered"), F.lit(0))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_covered"), lambda i: F.get(F.col("_lines"), i))
+    text = F.when(n_removed == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    more = [n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")]
+    return split.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *(more if counts else []))
 
 
 #: For row-unique doc_id: id, lines, removed lines and a digest of the text that is left.
