@@ -81,9 +81,13 @@ def overlap(content: DataFrame, reference: DataFrame, n: int, id_col: str, ref_i
 
     The reference is deduplicated first, so that frequent n-grams don't multiply rows.
     """
-    grams = lambda df: F.posexplode(tx.ngrams(tx.tokens(F.col(text_col)), n))
-    known = reference.select(grams(reference).alias("place", "gram")).select(F.sha2("gram", 256).alias("gram_sha")).distinct()
-    own = content.select(F.col(id_col), grams(content).alias("place", "gram")).select(id_col, F.col("place").cast("long").alias("place"), F.sha2("gram", 256).alias("gram_sha"))
+    def grams(df: DataFrame, *keep: str) -> DataFrame:
+        # words as a column of their own: inside the lambda they would be extracted for every n-gram
+        words = df.select(*keep, tx.tokens(F.col(text_col)).alias("words")).where(F.size("words") >= n)
+        return words.select(*keep, F.posexplode(tx.ngrams(F.col("words"), n)).alias("place", "gram"))
+
+    known = grams(reference, ref_id).select(F.sha2("gram", 256).alias("gram_sha")).distinct()
+    own = grams(content, id_col).select(id_col, F.col("place").cast("long").alias("place"), F.sha2("gram", 256).alias("gram_sha"))
     return own.join(known, "gram_sha", "left_semi")
 
 

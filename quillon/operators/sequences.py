@@ -19,13 +19,10 @@ def first_by_priority(rows: DataFrame, keys: list[str], order: list) -> DataFram
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, start, line): lines with their offsets in the text, both from 0."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    # one pass: the running offset comes with each line
-    run = F.aggregate(
-        lines, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
-    )["starts"]
-    return docs.select(id_col, F.posexplode(F.arrays_zip(lines.alias("line"), run.alias("start"))).alias("line_no", "z")).select(id_col, F.col("line_no").cast("long").alias("line_no"), "z.start", "z.line")
+    lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    before = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
+    return lines.select(id_col, "line_no", start.alias("start"), "line")
 
 
 def blocks(markers: DataFrame, group: str, offset: str, length: Column) -> DataFrame:

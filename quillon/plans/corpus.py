@@ -28,10 +28,12 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_keys(keyed, ["digest"])
 
 
-@query(f"""WITH c AS (SELECT doc_id, {_WORDS} AS w FROM documents), r AS (SELECT {_WORDS} AS w FROM benchmark),
-  cg AS (SELECT doc_id, unnest(range(0, greatest(len(w) - 11, 0))) AS place, w FROM c), rg AS (SELECT unnest(range(0, greatest(len(w) - 11, 0))) AS place, w FROM r),
-  known AS (SELECT DISTINCT array_to_string(w[place + 1:place + 12], ' ') AS g FROM rg)
-  SELECT doc_id, place, sha256(array_to_string(w[place + 1:place + 12], ' ')) AS gram_sha FROM cg WHERE array_to_string(w[place + 1:place + 12], ' ') IN (SELECT g FROM known)""")
+_GRAMS = f"""SELECT *, w || ' ' || {" || ' ' || ".join(f"lead(w, {k}) OVER x" for k in range(1, 12))} AS g
+  FROM (SELECT %s AS id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) - 1 AS place FROM %s) WINDOW x AS (PARTITION BY id ORDER BY place)"""
+
+
+@query(f"""WITH own AS ({_GRAMS % ('doc_id', 'documents')}), known AS ({_GRAMS % ('item_id', 'benchmark')})
+  SELECT id AS doc_id, place, sha256(g) AS gram_sha FROM own WHERE g IN (SELECT g FROM known WHERE g IS NOT NULL)""")
 def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 12, "doc_id", "item_id")
 

@@ -138,13 +138,13 @@ def _analytics_sql(groups: str, target: int) -> str:
     g = f", {groups}" if groups else ""
     on = f"USING (user_id, {groups})" if groups else "USING (user_id)"
     return f"""WITH {star.CTE}, avail AS (SELECT count(*) AS available{g} FROM question WHERE is_active {"GROUP BY " + groups if groups else ""}),
-  weighed AS (SELECT *, pow(0.5, greatest(0.0, (epoch_us({_NOW}) - epoch_us(latest_answered_at)) / 86400e6) / 30.0) AS w FROM evidence WHERE is_active),
+  weighed AS (SELECT *, CASE WHEN latest_answered_at IS NOT NULL THEN pow(CAST(0.5 AS DOUBLE), greatest(0.0, (epoch_us({_NOW}) - epoch_us(latest_answered_at)) / 86400e6) / 30.0) END AS w FROM evidence WHERE is_active),
   sums AS (SELECT user_id{g}, CAST(sum(attempt_count) AS BIGINT) AS attempts, count(*) AS attempted, count(latest_status) AS answered, count(*) FILTER (WHERE correct_count > 0) AS solved,
     count(*) FILTER (WHERE latest_status = 'correct') AS correct, count(*) FILTER (WHERE latest_status = 'incorrect') AS incorrect, CAST(sum(unanswered_count) AS BIGINT) AS unanswered,
     sum(w) FILTER (WHERE latest_status = 'correct') AS rw, sum(w) AS tw, max(last_attempted_at) AS last_attempted_at FROM weighed GROUP BY user_id{g}),
   shares AS (SELECT user_id{g}, available, coalesce(attempts, 0) AS attempts, coalesce(attempted, 0) AS attempted, coalesce(answered, 0) AS answered, coalesce(solved, 0) AS solved,
     coalesce(correct, 0) AS correct, coalesce(incorrect, 0) AS incorrect, coalesce(unanswered, 0) AS unanswered, last_attempted_at,
-    CASE WHEN answered > 0 THEN correct / answered ELSE 0.0 END AS acc, CASE WHEN tw > 0 THEN coalesce(rw, 0.0) / tw ELSE 0.0 END AS rec, coalesce(attempted, 0) / available AS att, coalesce(solved, 0) / available AS sol
+    CASE WHEN answered > 0 THEN correct / answered ELSE CAST(0 AS DOUBLE) END AS acc, CASE WHEN tw > 0 THEN coalesce(rw, CAST(0 AS DOUBLE)) / tw ELSE CAST(0 AS DOUBLE) END AS rec, coalesce(attempted, 0) / available AS att, coalesce(solved, 0) / available AS sol
     FROM (SELECT DISTINCT user_id FROM evidence) u CROSS JOIN avail LEFT JOIN sums {on}),
   scored AS (SELECT *, 100 * (0.45 * acc + 0.20 * rec + 0.20 * least(answered / {target}.0, 1.0) + 0.15 * att) AS score FROM shares)
   SELECT user_id{g}, available, attempts, attempted, answered, solved, correct, incorrect, unanswered, round(acc * 100, 2) AS accuracy, round(rec * 100, 2) AS recency,
