@@ -22,7 +22,7 @@ def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page(found, [F.desc("year"), "question_id"], offset=10, limit=20)
 
 
-@query(f"WITH {star.CTE} SELECT question_id, subject, topic, question_type, marks, year, text, CASE WHEN question_type = 'nat' THEN 0.01 END AS tolerance FROM question")
+@query(f"WITH {star.CTE} SELECT question_id, subject, topic, question_type, marks, year, text, CASE WHEN question_type = 'nat' THEN CAST(0.01 AS DOUBLE) END AS tolerance FROM question")
 def public_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.public_view(star.questions(spark, sf_dir))
 
