@@ -10,9 +10,11 @@ with equal sets form a class; classes are nodes, links make components.
    pruned as soon as the posterior probability that its similarity reaches the threshold
    falls under `miss`.  Survivors are verified on their full sets.
 3. Not all pairs of a bucket are compared: pairs within one component can't change the
-   result.  First each class meets one leader, then the leaders of its other buckets;
-   what still stands apart in a bucket meets the rest of it, in blocks, nearest first,
-   until no candidate pair across components is left unverified.
+   result.  First each class meets one leader, then the leaders of its other buckets, then
+   what still stands apart in a bucket its nearest there; at last what is apart even so
+   meets all the rest of its bucket, in blocks that hold the full sets and return links
+   only.  So every candidate pair across components is pruned or verified, and rows stay
+   in proportion to the classes, not to their pairs.
 
 Null and empty texts have no shingles, link with nothing and keep their own id.  A null
 id is never smallest unless a component has no other; repeated rows are one class and
@@ -50,8 +52,8 @@ class NearSettings:
     rows: int = 4
     batch: int = 32
     miss: float = 1e-6
-    block: int = 1024
-    nearest: int = 8
+    block: int = 512
+    nearest: int = 2
     broadcast_rows: int = 100_000
 
     @property
@@ -241,34 +243,50 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _across(rows: DataFrame, members: DataFrame, settings: NearSettings, nearest: int) -> DataFrame:
-    """Candidate pairs across components within buckets: (a, b, more).
+def _across(rows: DataFrame, members: DataFrame, settings: NearSettings, exact: bool) -> DataFrame:
+    """Pairs across components within buckets: (a, b, more).
 
     `rows`: (bucket, cls, root, main, size), main the bucket's largest component.  Each class
-    outside it is compared with the whole bucket, in blocks; of the survivors in a block
-    the `nearest` are returned, `more` tells that there were others.
+    outside it is compared with the whole bucket, in blocks.  Of the survivors in a block
+    the `nearest` are returned as candidates, `more` tells that there were others; with
+    `exact`, all survivors are verified in the block, and of the links one to each other
+    component is returned.
     """
     bounds = least_matches(settings)
-    width = settings.hashes
+    width, nearest = settings.hashes, settings.nearest
     blocks = F.ceil(F.col("size") / settings.block).cast("int")
-    placed = rows.join(members.select("cls", "sig"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("all", F.sequence(F.lit(0), blocks - 1))
-    asks = placed.where("root != main").select("bucket", F.col("own").alias("q"), F.explode("all").alias("o"), F.lit(True).alias("asks"), "cls", "root", "main", "sig")
-    told = placed.select("bucket", F.explode("all").alias("q"), F.col("own").alias("o"), F.lit(False).alias("asks"), "cls", "root", "main", "sig")
+    columns = ["cls", "root", "main", "sig", *(["own"] if exact else [])]
+    placed = rows.join(members.select("cls", "sig", *(["own"] if exact else [])), "cls").withColumn("at", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("all", F.sequence(F.lit(0), blocks - 1))
+    asks = placed.where("root != main").select("bucket", F.col("at").alias("q"), F.explode("all").alias("o"), F.lit(True).alias("asks"), *columns)
+    told = placed.select("bucket", F.explode("all").alias("q"), F.col("at").alias("o"), F.lit(False).alias("asks"), *columns)
 
     def compare(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         cls, root, main = (np.array(group.column(c).to_pylist(), dtype=object) for c in ("cls", "root", "main"))
         sig = _matrix(group.column("sig"), width)
         told = np.flatnonzero(~asks)
+        sets = [np.frombuffer(x, dtype=U64) for x in group.column("own").to_pylist()] if exact and asks.any() and len(told) else []
+        if sets:
+            size = np.array([len(x) for x in sets])
+            grams, gram_of = np.unique(np.concatenate([sets[k] for k in told]), return_inverse=True)
+            first = np.concatenate(([0], np.cumsum(size[told])[:-1]))
         out: list[tuple[bytes, bytes, bool]] = []
         for k in np.flatnonzero(asks):
             # two classes that both stand apart meet once
-            others = told[(root[told] != root[k]) & ((root[told] == main[told]) | (cls[told] < cls[k]))]
-            if not len(others):
+            others = np.flatnonzero((root[told] != root[k]) & ((root[told] == main[told]) | (cls[told] < cls[k])))
+            keep, matches = surviving(np.broadcast_to(sig[k], (len(others), width)), sig[told[others]], bounds)
+            if not len(keep):
                 continue
-            keep, matches = surviving(np.broadcast_to(sig[k], (len(others), width)), sig[others], bounds)
-            order = np.lexsort((cls[others[keep]], -matches))[:nearest] if len(keep) > nearest else np.arange(len(keep))
-            out += [(max(cls[k], cls[j]), min(cls[k], cls[j]), len(keep) > nearest) for j in others[keep[order]]]
+            others = others[keep]
+            if sets:
+                mark = np.isin(grams, sets[k], assume_unique=True)
+                shared = np.add.reduceat(mark.take(gram_of).astype(np.int64), first)[others]
+                hits = told[others[100 * shared >= settings.threshold * (size[k] + size[told[others]] - shared)]]
+                chosen = list({root[j]: j for j in hits}.values())
+            else:
+                order = np.lexsort((cls[told[others]], -matches))[:nearest] if len(others) > nearest else np.arange(len(others))
+                chosen = told[others[order]]
+            out += [(max(cls[k], cls[j]), min(cls[k], cls[j]), len(others) > nearest) for j in chosen]
         a, b, more = zip(*out) if out else ((), (), ())
         return pa.table({"a": pa.array(a, type=pa.binary()), "b": pa.array(b, type=pa.binary()), "more": pa.array(more, type=pa.bool_())})
 
@@ -310,21 +328,16 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(), id
     roots = merge(linked(second, members, settings))
     tested = tested.unionByName(second)
 
-    nearest = settings.nearest
-    while True:
-        rooted = with_roots(shared, "cls").withColumnRenamed("_cls", "root")
+    def apart() -> DataFrame:
+        """The buckets that hold several components; in a bucket of two, both have met."""
+        rooted = with_roots(shared.where("size > 2"), "cls").withColumnRenamed("_cls", "root")
         main = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
-        # in a bucket of two, both have met
-        apart = rooted.where("size > 2").join(main.where("parts > 1"), "bucket").select("bucket", "cls", "root", "main", "size")
-        pairs = saved(_across(apart, members, settings, nearest), "near-across")
-        fresh = saved(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        any_more = pairs.agg(F.max("more")).first()[0]
-        if not fresh.isEmpty():
-            roots = merge(linked(fresh, members, settings))
-            tested = tested.unionByName(fresh)
-        if not any_more:
-            break
-        nearest *= 8
+        return rooted.join(main.where("parts > 1"), "bucket").select("bucket", "cls", "root", "main", "size")
+
+    near = saved(_across(apart(), members, settings, exact=False), "near-across")
+    roots = merge(linked(near.select("a", "b").join(tested, ["a", "b"], "left_anti"), members, settings))
+    if near.agg(F.max("more")).first()[0]:
+        roots = merge(_across(apart(), members, settings, exact=True).select("a", "b"))
 
     by_class = real.groupBy("cls").agg(F.min("doc_id").alias("least"))
     ids = with_roots(by_class, "cls").withColumnRenamed("_cls", "root")
