@@ -176,7 +176,7 @@ def write_records(records: DataFrame, path: str, compression: str = "gzip") -> N
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Response rows of UTF-8 WARC files, plain or gzipped as whole files; one task per file."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     record = whole.select(F.explode(F.split("value", r"(?m)(?=^WARC/1\.[01]\r?$)")).alias("r")).where(F.length(F.trim("r")) > 0)
     parts = record.select(F.split("r", "\r\n\r\n", 3).alias("p"))
     name = lambda h: F.nullif(F.regexp_extract(F.get("p", F.lit(0)), rf"(?mi)^{h}:[ \t]*(.*?)\r?$", 1), F.lit(""))
