@@ -96,4 +96,4 @@ def pointer(spark: SparkSession, root: str) -> tuple[int, str | None]:
     names = sorted(s.getPath().getName() for s in files.listStatus(folder) if s.getPath().getName().isdigit())
     if not names:
         return 0, None
-    return int(names[-1]), spark.read.option("wholetext", True).text(f"{root}/pointer/{names[-1]}").first()[0]
+    return int(names[-1]), spark.read.text(f"{root}/pointer/{names[-1]}", wholetext=True).first()[0]

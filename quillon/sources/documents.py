@@ -22,7 +22,7 @@ def question_documents(spark: SparkSession, path: str) -> DataFrame:
 
     Without a version of its own a document has the first 12 digits of its SHA-256.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^\\ufeff", "").alias("raw"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\ufeff", "").alias("raw"))
     doc, flat = F.from_json("raw", DOCUMENT), F.from_json("raw", T.ArrayType(QUESTION))
     listed = F.when(F.trim("raw").startswith("["), flat).otherwise(F.coalesce(doc["questions"], doc["items"]))
     version = F.coalesce(doc["bank_version"], F.substring(F.sha2("raw", 256), 1, 12))

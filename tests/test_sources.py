@@ -12,7 +12,7 @@ from quillon.streaming import evidence as ev
 def test_question_documents(spark, tmp_path):
     q = {"external_id": "e1", "question": "What?", "type": "numerical", "answer": "3"}
     (tmp_path / "a.json").write_text("﻿" + json.dumps([q]), encoding="utf-8")
-    (tmp_path / "b.json").write_text(json.dumps({"bank_version": "v2", "items": [q | {"question_type": "MCQ"}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"bank_version": "v2", "items": [q | {"question_type": "MCQ"}]}, indent=1))
     rows = {r["bank_version"]: r for r in documents.question_documents(spark, str(tmp_path / "*.json")).collect()}
     assert rows["v2"]["question_type"] == "mcq" and rows["v2"]["text"] == "What?"
     other = next(r for v, r in rows.items() if v != "v2")
