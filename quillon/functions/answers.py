@@ -63,15 +63,19 @@ def penalty(kind: Column, marks: Column) -> Column:
     return F.when(kind == "mcq", F.round(marks.cast("double") / 3, 6)).otherwise(F.lit(0.0))
 
 
-def grade(kind: Column, answer: Column, key: Column, tolerance: Column, marks: Column) -> Column:
-    """struct(status, awarded, negative)."""
-    blank, right = is_unanswered(answer), is_correct(kind, answer, key, tolerance)
+def outcome(kind: Column, marks: Column, blank: Column, right: Column) -> Column:
+    """struct(status, awarded, negative) of a response that is blank, right or wrong."""
     status = F.when(blank, UNANSWERED).when(right, CORRECT).otherwise(INCORRECT)
     lost = F.when(blank | right, F.lit(0.0)).otherwise(penalty(kind, marks))
     awarded = F.when(blank, F.lit(0.0)).when(right, marks.cast("double")).otherwise(0.0 - lost)
     return F.struct(status.alias("status"), awarded.alias("awarded"), lost.alias("negative"))
 
 
+def grade(kind: Column, answer: Column, key: Column, tolerance: Column, marks: Column) -> Column:
+    """struct(status, awarded, negative)."""
+    return outcome(kind, marks, is_unanswered(answer), is_correct(kind, answer, key, tolerance))
+
+
 def before_deadline(answer: Column, now: Column, expires_at: Column) -> Column:
     """After the deadline every answer counts as none."""
     return F.when(expires_at.isNotNull() & (now >= expires_at), F.lit(None).cast("string")).otherwise(answer)

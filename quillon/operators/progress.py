@@ -17,8 +17,11 @@ def grade_responses(responses: DataFrame, attempts: DataFrame, questions: DataFr
     """Responses with status, awarded and negative marks; late answers count as none if `use_deadline`."""
     joined = responses.join(attempts, "attempt_id").join(questions, "question_id")
     answer = answers.before_deadline(F.col("answer"), F.col("submitted_at"), F.col("expires_at")) if use_deadline else F.col("answer")
-    graded = answers.grade(F.col("question_type"), answer, F.col("answer_key"), F.lit(tolerance), F.col("marks"))
-    return joined.withColumn("graded", graded).select(
+    # columns of their own, so that a response is compared once and not for each field of the outcome
+    blank = joined.withColumn("_answer", answer).withColumn("_blank", answers.is_unanswered(F.col("_answer")))
+    right = F.when(F.col("_blank"), F.lit(False)).otherwise(answers.is_correct(F.col("question_type"), F.col("_answer"), F.col("answer_key"), F.lit(tolerance)))
+    graded = answers.outcome(F.col("question_type"), F.col("marks"), F.col("_blank"), F.col("_right"))
+    return blank.withColumn("_right", right).withColumn("graded", graded).select(
         "attempt_id", "user_id", "submitted_at", "question_id", "position", "subject", "topic", "question_type", "marks", "is_active",
         "graded.status", "graded.awarded", "graded.negative", (F.col("expires_at").isNotNull() & (F.col("submitted_at") >= F.col("expires_at"))).alias("timed_out"),
     )
