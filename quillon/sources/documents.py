@@ -43,13 +43,15 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, keys: list[
 
     A torn last line is what an interrupted writer leaves.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    # place of a line: the split it is in, then its row there
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("_at")).where(F.trim("value") != "")
     parsed = lines.withColumn("row", F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt"}))
-    last = parsed.groupBy("file").agg(F.max("at").alias("last_at"))
-    judged = parsed.join(last, "file")
+    judged = parsed.join(parsed.groupBy("file").agg(F.max("_at").alias("_last")), "file")
     broken = F.col("row").isNull() | F.col("row._corrupt").isNotNull()
-    checked = judged.where(~(broken & (F.col("at") == F.col("last_at")))).withColumn("ok", F.when(broken, F.raise_error(F.concat(F.lit("broken line in "), F.col("file")))).otherwise(F.lit(True)))
-    rows = checked.where("ok").select("row.*", F.col("at").alias("_at")).drop("_corrupt")
+    # one expression: whether a line may be broken is known only after the join
+    ok = F.when(~broken, F.lit(True)).when(F.col("_at") == F.col("_last"), F.lit(False)).otherwise(F.raise_error(F.concat(F.lit("broken line in "), F.col("file"))).cast("boolean"))
+    rows = judged.where(ok).select("row.*", "_at").drop("_corrupt")
     order = F.struct(F.col(seq), F.col("_at"))
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in schema.names if c not in keys)), order).alias("r")).select(*keys, "r.*")
 
