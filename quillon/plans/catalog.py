@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import bank, corpus, learner, linking, streams, versions
+from quillon.plans import bank, corpus, decisions, learner, linking, streams, versions
 from quillon.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "bank", "corpus", "learner", "linking", "streams", "versions"]
+__all__ = ["ORACLE_SQL", "QUERIES", "bank", "corpus", "decisions", "learner", "linking", "streams", "versions"]

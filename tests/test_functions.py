@@ -167,3 +167,23 @@ def test_selection(spark):
     picked = selection.quota_form(items, F.array(F.lit("x")), F.col("kind"), {"mcq": 4, "nat": 2}, "id")
     short = selection.shortfalls(picked, {"mcq": 4, "nat": 2}, ["x"]).collect()
     assert [(r["stratum"], r["found"]) for r in short] == [("nat", 0)]
+
+
+def test_decisions(spark):
+    from quillon.functions import parsing
+    from quillon.operators import evidence
+
+    assert parsing.resolve_references('[{"a": 1, "b": 2}, "x", [1, 1]]') == '{"a": "x", "b": ["x", "x"]}'
+    with pytest.raises(ValueError):
+        parsing.resolve_references('[{"a": 1}, [0]]')
+    got = spark.createDataFrame([('[[1], 5]',), ("[[0]]",), ("{",), (None,)], "p string").select(parsing.referenced_json("p").alias("j")).collect()
+    assert [r["j"] for r in got] == ["[5]", None, None, None]
+    row = one(spark, parsing.key_row(F.lit("14 NAT 3.1 to 3.2 2")))
+    assert (row["number"], row["kind"], row["answer"], row["marks"], row["shape"]) == (14, "nat", "3.1 to 3.2", 2, "value")
+    assert one(spark, parsing.key_row(F.lit("page 3"))) ["number"] is None
+    assert one(spark, parsing.heading(F.lit("1.2 Trees: GATE CSE 2014 | Question: 5")))["year"] == 2014
+    decided = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "k string, sha string")
+    now = spark.createDataFrame([("a", "x"), ("b", "other")], "k string, sha string")
+    assert {r["k"]: r["problem"] for r in evidence.drifted(decided, now, "k", "sha").collect()} == {"b": "changed", "c": "gone"}
+    with pytest.raises(ValueError):
+        evidence.require_no_drift(decided, now, "k", "sha")

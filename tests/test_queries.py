@@ -1,5 +1,6 @@
 """Every query of the library against its SQL on the smallest tables."""
 
+import decimal
 import math
 
 import duckdb
@@ -21,6 +22,8 @@ def duck():
 
 
 def plain(value):
+    if isinstance(value, decimal.Decimal):
+        value = float(value)
     if isinstance(value, float):
         return None if math.isnan(value) else float(f"{value:.9g}")
     return str(value) if not isinstance(value, (int, str, bool, type(None))) else value
