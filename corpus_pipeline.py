@@ -7,7 +7,6 @@ written as Parquet to the shared folder and read again as the next one's documen
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, langid, linededup, mixing, neardup
 from quillon.llm.shared import saved
@@ -24,9 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated three-line windows go, and documents that had words and lose all of them."""
-    cleaned = linededup.dedup_lines(docs, counts=True)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(linededup.WORD)
-    return cleaned.where(~emptied).select(*docs.columns)
+    return linededup.dedup_lines(docs, drop_emptied=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,18 +54,25 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return later.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(spread)).alias("covered"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, counts: bool = False) -> DataFrame:
-    """The documents without repeated windows' lines; with `counts`, also n_lines and n_removed."""
-    covered = covered_lines(docs, id_col, text_col, width).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "covered": "_covered"})
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, counts: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """The documents without repeated windows' lines.
+
+    With `counts`, also n_lines and n_removed (columns of these names are replaced); with
+    `drop_emptied`, without the documents that lose all their words.
+    """
+    names = {"k1": "_line_k1", "k2": "_line_k2", "covered": "_line_covered"}
+    covered = covered_lines(docs, id_col, text_col, width).withColumnsRenamed(names)
     k1, k2 = row_keys(id_col, text_col)
-    joined = docs.join(covered, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
+    joined = docs.join(covered, (k1 == F.col("_line_k1")) & (k2 == F.col("_line_k2")), "left")
     # lines as a column of their own: inside the lambda the text would be split again for every line
-    split = joined.withColumn("_lines", _lines(text_col))
-    n_lines, n_removed = F.coalesce(F.size("_lines"), F.lit(0)), F.coalesce(F.size("_covered"), F.lit(0))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_covered"), lambda i: F.get(F.col("_lines"), i))
-    text = F.when(n_removed == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    more = [n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")]
-    return split.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *(more if counts else []))
+    split = joined.withColumn("_line_all", _lines(text_col))
+    n_lines, n_removed = F.coalesce(F.size("_line_all"), F.lit(0)), F.coalesce(F.size("_line_covered"), F.lit(0))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_line_all") - 1), "_line_covered"), lambda i: F.get(F.col("_line_all"), i))
+    left = split.withColumn("_line_left", F.when(n_removed == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    if drop_emptied:
+        left = left.where((n_removed == 0) | F.col("_line_left").rlike(WORD))
+    more = {"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")} if counts else {}
+    return left.select(*(F.col("_line_left").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in more), *(x.alias(c) for c, x in more.items()))
 
 
 #: For row-unique doc_id: id, lines, removed lines and a digest of the text that is left.

@@ -57,6 +57,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], setting
     share = F.create_map(*(F.lit(x) for d in domains for x in (d, min(1.0, settings.rows_per_domain / max(1, size[d])))))
     # about rows_per_domain rows of each domain: their number is bounded, whatever the table's size
     sample = labelled.where(F.col("domain").isin(domains)).where(hash_below("id", share[F.col("domain")])).select(F.col("id").alias("_id"), "domain")
+    docs = docs.select(id_col, text_col)
     learned = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select("domain", F.explode(_buckets(text_col, settings.buckets)).alias("b"))
     counts = learned.groupBy("b").agg(*(F.sum((F.col("domain") == d).cast("double")).alias(f"n{k}") for k, d in enumerate(domains)))
     counts = saved(counts, "mix-counts")
@@ -131,8 +132,9 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, settings: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the mixture holds, with `rate` and `copies` (one or more)."""
-    rate = rates(docs, labels, targets, settings).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("rate").alias("_rate"), copies(F.col("rate")).alias("_copies"))
+    """The documents that the mixture holds, with `rate` and `copies` (one or more); columns of these names are replaced."""
+    rate = rates(docs, labels, targets, settings).select(F.col("k1").alias("_mix_k1"), F.col("k2").alias("_mix_k2"), F.col("rate").alias("_mix_rate"), copies(F.col("rate")).alias("_mix_copies"))
     k1, k2 = row_keys(id_col, text_col)
-    joined = docs.join(rate.where("_copies > 0"), (k1 == F.col("_k1")) & (k2 == F.col("_k2")))
-    return joined.select(*docs.columns, F.round("_rate", 6).alias("rate"), F.col("_copies").alias("copies"))
+    joined = docs.join(rate.where("_mix_copies > 0"), (k1 == F.col("_mix_k1")) & (k2 == F.col("_mix_k2")))
+    kept = [c for c in docs.columns if c not in ("rate", "copies")]
+    return joined.select(*kept, F.round("_mix_rate", 6).alias("rate"), F.col("_mix_copies").alias("copies"))

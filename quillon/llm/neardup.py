@@ -350,6 +350,6 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(), id
 
 def drop_near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the one with the smallest id."""
-    gone = near_duplicates(docs, settings, id_col, text_col).where(~F.col("kept")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    gone = near_duplicates(docs, settings, id_col, text_col).where(~F.col("kept")).select(F.col("k1").alias("_near_k1"), F.col("k2").alias("_near_k2"))
     k1, k2 = row_keys(id_col, text_col)
-    return docs.join(gone, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+    return docs.join(gone, (k1 == F.col("_near_k1")) & (k2 == F.col("_near_k2")), "left_anti")

@@ -261,7 +261,7 @@ def test_mixing(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     assert {r["id"]: r["domain"] for r in mixing.label_domains(labels).collect()} == {1: "high", 2: "low", 3: "toxic"}
     mixed = mixing.mix(docs, labels)
-    assert mixed.columns[:2] == ["doc_id", "text"] and mixed.where("copies < 1").isEmpty()
+    assert mixed.columns == ["doc_id", "text", "rate", "copies"] and mixed.where("copies < 1").isEmpty()
 
 
 def test_queries_cover_all_rows(spark):
