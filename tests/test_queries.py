@@ -64,3 +64,22 @@ def test_entry_imports_without_training_operators(spark):
         "assert e.queries() and not any(n.startswith('op') and n[2].isdigit() for n in e.queries())\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
+
+
+def test_tasks_need_no_path(tmp_path):
+    """The package reaches the executors' Python from wherever the driver runs."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parent.parent
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        f"assert e.queries()['html_text'](spark, {DATA!r}).count() == 50\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env)
