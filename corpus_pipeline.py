@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, langid, linededup, mixing, neardup
 from quillon.llm.shared import saved
+from quillon.shipping import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,26 +19,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a known language go."""
+    ship(spark)
     return langid.keep_identified(docs, langid.fit(docs, ~langid.held_out()))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated three-line windows go, and documents that had words and lose all of them."""
+    ship(spark)
     return linededup.dedup_lines(docs, drop_emptied=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    ship(spark)
     return neardup.drop_near_duplicates(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    ship(spark)
     return decontaminate.drop_leaked(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the rate that meets the target weights, and how many copies to take; none, and it goes."""
+    ship(spark)
     return mixing.mix(docs, _table(spark, sf_dir, "labels"))
 
 
