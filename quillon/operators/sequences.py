@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +66,42 @@ def floor_lookup(starts: Column, offset: Column) -> Column:
 def page_range(pages: DataFrame, group: str, page_col: str, boundary: Column, declared_end: Column) -> DataFrame:
     """Last page of each group: the one before the first boundary page, else the declared end."""
     return pages.groupBy(group).agg(F.coalesce(F.min(F.when(boundary, F.col(page_col))) - 1, F.max(declared_end)).alias("end_page"))
+
+
+def marker_status(places: list[tuple[int, int]], ahead: int = 1) -> list[str]:
+    """forced, ambiguous or impossible for each candidate (offset, number) of one paper.
+
+    Markers count upwards with their offsets; up to `ahead` - 1 numbers may be missing
+    between neighbours.  A candidate lies on a chain if it can be reached from a lowest
+    number and can reach a highest one; it is forced if no other candidate of its number
+    does.
+    """
+    order = sorted(range(len(places)), key=lambda i: places[i])
+    low, high = (f(n for _, n in places) for f in (min, max)) if places else (0, 0)
+
+    def reach(indices: list[int], start: int, sign: int) -> set[int]:
+        # the best offset at which each number was reached so far
+        best: dict[int, int] = {}
+        found = set()
+        for i in indices:
+            offset, number = places[i]
+            if number == start or any(best.get(number - sign * d, offset) * sign < offset * sign for d in range(1, ahead + 1)):
+                found.add(i)
+                best.setdefault(number, offset)
+        return found
+
+    chained = reach(order, low, 1) & reach(order[::-1], high, -1)
+    count: dict[int, int] = {}
+    for i in chained:
+        count[places[i][1]] = count.get(places[i][1], 0) + 1
+    return ["impossible" if i not in chained else "forced" if count[n] == 1 else "ambiguous" for i, (_, n) in enumerate(places)]
+
+
+def forced_markers(markers: DataFrame, group: str, offset: str, number: str, ahead: int = 1) -> DataFrame:
+    """(group, offset, number, status) of every candidate marker; one paper at a time."""
+    schema = markers.select(group, offset, number).schema.simpleString()[7:-1].replace(":", " ") + ", status string"
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(status=marker_status(list(zip(rows[offset], rows[number])), ahead))
+
+    return markers.select(group, offset, number).groupBy(group).applyInPandas(decide, schema)

@@ -115,6 +115,15 @@ def test_sequences(spark):
     assert [(r["line_no"], r["start"], r["line"]) for r in sequences.line_table(docs, "id", "text").orderBy("line_no").collect()] == [(0, 0, "ab"), (1, 3, ""), (2, 4, "c")]
 
 
+def test_forced_markers(spark):
+    places = [(0, 1), (10, 2), (12, 2), (20, 3), (5, 3), (30, 4)]
+    assert sequences.marker_status(places) == ["forced", "ambiguous", "ambiguous", "forced", "impossible", "forced"]
+    assert sequences.marker_status([(0, 1), (10, 3)]) == ["impossible", "impossible"] and sequences.marker_status([(0, 1), (10, 3)], ahead=2) == ["forced", "forced"]
+    rows = spark.createDataFrame([("p", a, n) for a, n in places], "paper string, at long, n long")
+    got = sequences.forced_markers(rows, "paper", "at", "n").where("status = 'forced'").orderBy("n").collect()
+    assert [(r["at"], r["n"]) for r in got] == [(0, 1), (20, 3), (30, 4)]
+
+
 def test_quality(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 2), ("c", 1), ("d", 0), ("d", 0)], "g string, n int")
     assert {r["g"]: r["contiguous"] for r in quality.contiguity(rows, "g", "n").collect()} == {"a": True, "b": False, "c": False, "d": False}
