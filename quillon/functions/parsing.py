@@ -74,7 +74,7 @@ def math_parts(text: Column) -> Column:
 
 
 def heading(text: Column) -> Column:
-    """struct(number, title, year) of headings like `1.2.3 Title: GATE CSE 2014 | Question: 5`."""
+    """struct(number, title, year) of headings like `1.2.3 Title: Paper 2014 | Question: 5`."""
     pattern = r"^\s*(\d+(?:\.\d+)*)\s+(.+?)(?::\s*.*?((?:19|20)\d{2}).*)?$"
     part = lambda k: F.nullif(F.trim(F.regexp_extract(text, pattern, k)), F.lit(""))
     return F.struct(part(1).alias("number"), part(2).alias("title"), part(3).try_cast("long").alias("year"))

@@ -190,7 +190,7 @@ def test_decisions(spark):
     row = one(spark, parsing.key_row(F.lit("14 NAT 3.1 to 3.2 2")))
     assert (row["number"], row["kind"], row["answer"], row["marks"], row["shape"]) == (14, "nat", "3.1 to 3.2", 2, "value")
     assert one(spark, parsing.key_row(F.lit("page 3"))) ["number"] is None
-    assert one(spark, parsing.heading(F.lit("1.2 Trees: GATE CSE 2014 | Question: 5")))["year"] == 2014
+    assert one(spark, parsing.heading(F.lit("1.2 Trees: Paper 2014 | Question: 5")))["year"] == 2014
     decided = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "k string, sha string")
     now = spark.createDataFrame([("a", "x"), ("b", "other")], "k string, sha string")
     assert {r["k"]: r["problem"] for r in evidence.drifted(decided, now, "k", "sha").collect()} == {"b": "changed", "c": "gone"}
