@@ -32,7 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What tells that a value is a credential, where ASSIGN's own words don't.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,20}[_.-]){0,3}(?:pwd|pass|passphrase|password|passwd|pin|cred|credential|credentials|auth|login|secret|token|key|apikey|bearer|authorization)["']?\x20{0,4}(?:[:=]|=>|:=|is)\x20{0,4}["']?(?:Bearer\x20|Basic\x20)?([^\s"'<>,;]{6,128})""",
+    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,20}[_.-]){0,3}(?:pwd|pass|passphrase|password|passwd|pin|cred|credential|credentials|auth|login|secret|token|key|apikey|bearer|authorization)["']?\x20{0,4}(?:[:=]|=>|:=|(?P<is>is))\x20{0,4}["']?(?:Bearer\x20|Basic\x20)?(?P<value>[^\s"'<>,;]{6,})""",
     re.I | re.A,
 )
 #: One of these, lower-cased, is in every text that ASSIGN or CONTEXT matches.
@@ -70,52 +70,77 @@ def _alphabet(c: str) -> float:
     return 33.0 if c < "\x80" else 100.0
 
 
-def log_guesses(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of the value needs.
+def log_guesses(value: str, limit: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of the value needs; `limit` if it needs that or more.
 
     Costs of a span: word - its rank, doubled for capitals and for leet spelling;
     date - days in 120 years, or years if it is one; repeat - alphabet times length;
     keyboard walk or sequence - start keys times directions per step; else brute force,
     each character at its class's size.  Every further span costs a doubling.
+
+    Values may be long.  Costs only add up, so no cut goes on from a place that costs the
+    limit, and the programme ends when no later place is below it.
     """
     n = len(value)
     low = value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    runs: list[tuple[int, int, float]] = []
+    reach = 0  # the last place below the limit
+    same = walk = 0  # where the run of equal characters and the keyboard walk at i end
+    ends = {1: 0, -1: 0}  # where the sequence at i ends
+    tops = {1: math.inf, -1: math.inf}  # what its end costs at most
+
+    def to(k: int, cost: float) -> None:
+        nonlocal reach
+        if cost < best[k]:
+            best[k] = cost
+            if cost < limit and k > reach:
+                reach = k
+
     for i in range(n):
+        if i > reach:
+            return limit
+        if best[i] >= limit:
+            continue
+        # a brute-force character joins the span before it without a further doubling
+        to(i + 1, best[i] + math.log10(_alphabet(value[i])))
+        base = best[i] + (0.301 if i else 0.0)
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
             if rank:
                 part = value[i:j]
-                runs.append((i, j, math.log10(rank) + 0.301 * (part != part.lower()) + 0.301 * (low[i:j] not in RANK)))
+                to(j, base + math.log10(rank) + 0.301 * (part != part.lower()) + 0.301 * (low[i:j] not in RANK))
         if match := DATE.match(value, i):
-            runs.append((i, match.end(), math.log10(120.0 if match.end() - i == 4 else 43_800.0)))
-        j = i + 1
-        while j < n and low[j] == low[i]:
-            j += 1
-        if j - i >= 3:
-            runs += [(i, k, math.log10(_alphabet(value[i]) * (k - i))) for k in (i + 3, j) if k <= j]
-        j = i + 1
-        while j < n and low[j] in NEAR.get(low[j - 1], ()):
-            j += 1
-        if j - i >= 4:
-            runs += [(i, k, math.log10(47.0) + 0.6 * (k - i - 1) / 2) for k in range(i + 4, j + 1)]
+            to(match.end(), base + math.log10(120.0 if match.end() - i == 4 else 43_800.0))
+        if same <= i:
+            same = i + 1
+            while same < n and low[same] == low[i]:
+                same += 1
+        for k in (i + 3, same):
+            if i + 3 <= k <= same:
+                to(k, base + math.log10(_alphabet(value[i]) * (k - i)))
+        if walk <= i:
+            walk = i + 1
+            while walk < n and low[walk] in NEAR.get(low[walk - 1], ()):
+                walk += 1
+        for k in range(i + 4, walk + 1):
+            cost = base + math.log10(47.0) + 0.6 * (k - i - 1) / 2
+            if cost >= limit:
+                break
+            to(k, cost)
         for step in (1, -1):
-            j = i + 1
-            while j < n and low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == step:
-                j += 1
-            if j - i >= 3:
-                runs += [(i, k, math.log10(2 * 26.0 * (k - i))) for k in range(i + 3, j + 1)]
-    by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in runs:
-        by_end.setdefault(j, []).append((i, cost))
-    for j in range(1, n + 1):
-        # a brute-force character joins the span before it without a further doubling
-        best[j] = best[j - 1] + math.log10(_alphabet(value[j - 1]))
-        for i, cost in by_end.get(j, ()):
-            best[j] = min(best[j], best[i] + cost + (0.301 if i else 0.0))
-    return best[n]
+            if ends[step] <= i + 1:
+                j = i + 1
+                while j < n and low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == step:
+                    j += 1
+                ends[step], tops[step] = j, math.inf
+            j = ends[step]
+            # from a place that costs what the whole sequence does at most, a part of it is never cheaper
+            if j - i >= 3 and base + math.log10(2 * 26.0 * 3) < tops[step]:
+                for k in range(i + 3, j + 1):
+                    to(k, base + math.log10(2 * 26.0 * (k - i)))
+                tops[step] = min(tops[step], base + math.log10(2 * 26.0 * (j - i)))
+    return min(best[n], limit)
 
 
 @dataclass(frozen=True)
@@ -136,10 +161,11 @@ def scan(text: str | None, rule: GuessRule = GuessRule()) -> list[tuple[str, int
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if hinted:
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".)]}!?:")
-            # a value in letters of one case only is prose
-            if len(value) >= rule.min_chars and len({c.isdigit() + 2 * c.isupper() + 4 * (not c.isalnum()) for c in value}) > 1 and log_guesses(value) >= rule.min_log_guesses:
-                found.append(("guess", m.start(1), m.start(1) + len(value)))
+            value = m["value"].rstrip(".)]}!?:")
+            # letters of one case after "is" are prose
+            prose = m["is"] and value.isalpha() and (value.islower() or value.isupper())
+            if len(value) >= rule.min_chars and not prose and log_guesses(value, rule.min_log_guesses) >= rule.min_log_guesses:
+                found.append(("guess", m.start("value"), m.start("value") + len(value)))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
