@@ -7,7 +7,7 @@ spans hold the most bytes.
 
 Fitting: per language, about `rows_per_lang` documents chosen by a hash of their id
 (all if there are fewer) are counted in Spark tasks; only the bounded count table
-reaches the driver.  Languages, scripts and counts are learned from text and lang of
+reaches the driver.  All languages of the rows are learned, however rare.  Languages, scripts and counts are learned from text and lang of
 the rows that `train` selects.
 
 Nulls and texts without a letter give `und` with score 0; null-lang rows aren't
@@ -59,11 +59,10 @@ _ODD = U64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class LangSettings:
     """`switch_penalty`: nats for a change of language between words; `narrow_share`: least share
-    of a script's training words that makes a language its candidate; `temper`: how many words'
+    of a language's own training words in a script that makes it a candidate there; `temper`: how many words'
     evidence the score may use."""
 
     rows_per_lang: int = 1500
-    max_langs: int = 256
     switch_penalty: float = 12.0
     narrow_share: float = 0.002
     smoothing: float = 0.3
@@ -130,9 +129,16 @@ class LangModel:
         starts, ends, first, grams, whole = word_features(raw)
         if not len(starts):
             return starts, ends, np.zeros((0, len(self.langs)), dtype=np.float32)
-        values = self.table.take(grams[0], axis=0)
-        values += self.table.take(grams[1], axis=0)
-        scores = np.add.reduceat(values, first, axis=0)
+        # a part of the words at a time, so that many languages and a long text don't meet in one array
+        size, n = max(1, 8_000_000 // len(self.langs)), grams.shape[1]
+        cuts = [*np.unique(np.searchsorted(first, np.arange(0, n, size))).tolist(), len(first)] if n > size else [0, len(first)]
+        scores = np.empty((len(first), len(self.langs)), dtype=np.float32)
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            a, b = int(first[i]) if i < j else 0, int(first[j]) if j < len(first) else n
+            if i < j:
+                values = self.table.take(grams[0, a:b], axis=0)
+                values += self.table.take(grams[1, a:b], axis=0)
+                scores[i:j] = np.add.reduceat(values, first[i:j] - a, axis=0)
         scores += self.table.take(whole, axis=0)
         if raw.max() >= 0xCD or np.isneginf(self.allowed[0]).any():
             scores += self.allowed[word_scripts(raw, starts)]
@@ -228,10 +234,10 @@ class LangModel:
         own = scores[path == at].sum(axis=0) * min(1.0, temper / max(1, np.count_nonzero(path == at)))
         return self.langs[at], float(size[at] / size.sum() / np.exp(own - own[at]).sum()), spans
 
-    def label_all(self, raws: Iterator[np.ndarray | None], words: int = 400_000) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    def label_all(self, raws: Iterator[np.ndarray | None], cells: int = 1_600_000) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Language, score and spans (byte start, end, language) of each text.
 
-        Texts that may be mixed are decoded together, about `words` words at a time."""
+        Texts that may be mixed are decoded together, about `cells` words times languages at a time."""
         out: list = []
         waiting: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
@@ -253,7 +259,7 @@ class LangModel:
             else:
                 waiting.append((len(out) - 1, starts, ends, scores))
                 held += len(starts)
-                if held > words:
+                if held * len(self.langs) > cells:
                     decode()
                     held = 0
         decode()
@@ -282,7 +288,7 @@ def hash_below(id_col: str, share: Column) -> Column:
 def fit(docs: DataFrame, train: Column, settings: LangSettings = LangSettings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learn from the rows that `train` selects."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(settings.max_langs).collect()
+    sizes = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return LangModel([], np.zeros((KINDS * BUCKETS, 0), dtype=np.float32), np.zeros((len(SCRIPT_NAMES), 0)), settings)
@@ -292,29 +298,40 @@ def fit(docs: DataFrame, train: Column, settings: LangSettings = LangSettings(),
     index = {x: k for k, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
+        # the rows come by language: one table of counts at a time, however many languages there are
+        now, own = None, np.zeros(KINDS * BUCKETS + len(SCRIPT_NAMES), dtype=np.int64)
+
+        def counted() -> pa.RecordBatch:
+            at = np.flatnonzero(own)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), index[now])), pa.array(at), pa.array(own[at])], names=["lang", "feature", "n"])
+
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                own = counts.setdefault(index[name], np.zeros(KINDS * BUCKETS + len(SCRIPT_NAMES), dtype=np.int64))
+                if name != now:
+                    if now is not None:
+                        yield counted()
+                    now = name
+                    own[:] = 0
                 starts, _, _, grams, whole = word_features(raw)
                 if len(starts):
                     own += np.bincount(np.concatenate((*grams, whole, KINDS * BUCKETS + word_scripts(raw, starts))), minlength=len(own))
-        for k, own in counts.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(own[at])], names=["lang", "feature", "n"])
+        if now is not None:
+            yield counted()
 
-    # the sample is bounded, so a few tasks count it and send few partial counts
-    counted = sample.repartition(8).mapInArrow(count, "lang long, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    # the sample of a language is bounded, so a few tasks count it and send few partial counts
+    counted = sample.repartition(8).sortWithinPartitions("lang").mapInArrow(count, "lang long, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((KINDS * BUCKETS + len(SCRIPT_NAMES), len(langs)))
     counts[counted["feature"], counted["lang"]] = counted["n"]
     scripts = counts[KINDS * BUCKETS :]
-    allowed = np.where(scripts >= settings.narrow_share * np.maximum(1.0, scripts.sum(axis=1, keepdims=True)), 0.0, -np.inf)
-    allowed[scripts.sum(axis=1) == 0] = 0.0  # nothing is known of the script
-    grams = counts[: KINDS * BUCKETS].reshape(KINDS, BUCKETS, len(langs)) + settings.smoothing
-    table = np.log(grams / grams.sum(axis=1, keepdims=True))
+    # by the language's own words: how much text other languages have in the script doesn't matter
+    allowed = np.where(scripts >= settings.narrow_share * np.maximum(1.0, scripts.sum(axis=0, keepdims=True)), 0.0, -np.inf)
+    allowed[np.isneginf(allowed).all(axis=1)] = 0.0  # nothing, or too little of each language, is known of the script
     # grams overlap and so aren't independent: a word's evidence counts about once
-    table *= np.array([0.35, 0.25, 0.5])[:, None, None]
-    return LangModel(langs, table.reshape(-1, len(langs)).astype(np.float32), allowed, settings)
+    table = np.empty((KINDS, BUCKETS, len(langs)), dtype=np.float32)
+    for kind, weight in enumerate((0.35, 0.25, 0.5)):
+        grams = counts[kind * BUCKETS : (kind + 1) * BUCKETS] + settings.smoothing
+        table[kind] = weight * np.log(grams / grams.sum(axis=0, keepdims=True))
+    return LangModel(langs, table.reshape(-1, len(langs)), allowed, settings)
 
 
 def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,7 +340,7 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
     schema = T.StructType([source.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_spans", T.ArrayType(span))])
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-    # its size is bounded: KINDS * BUCKETS rows by max_langs float32 columns
+    # KINDS * BUCKETS rows by a float32 column for each language: 0.4 MB a language, whatever the corpus's size
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

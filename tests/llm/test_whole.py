@@ -3,9 +3,12 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import secrets
+from quillon.llm import langid, secrets, textbytes
 
 
 def test_secrets_of_any_length(spark):
@@ -33,3 +36,36 @@ def test_guess_cost_up_to_a_limit(value):
     cost = secrets.log_guesses(value)
     for limit in (1.0, cost - 0.01, cost + 0.01, math.inf):
         assert secrets.log_guesses(value, limit) == min(cost, limit)
+
+
+def language_rows(sizes, seed=3):
+    """(lang, words): languages of invented words, each from an alphabet of its own."""
+    rng = random.Random(seed)
+    rows = []
+    for k, (rows_of, words) in enumerate(sizes):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        vocab = ["".join(rng.choice(letters) for _ in range(rng.randrange(4, 9))) for _ in range(40)]
+        rows += [(f"l{k:03}", " ".join(rng.choice(vocab) for _ in range(words))) for _ in range(rows_of)]
+    return [(i, text, lang) for i, (lang, text) in enumerate(rows)]
+
+
+def test_rare_languages_are_found(spark):
+    rows = language_rows([(200, 200), (200, 200), (2, 12), (2, 12)])
+    rows.append((999, "мир труд " * 30, "l000"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs, F.lit(True))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_more_than_256_languages(spark):
+    rows = language_rows([(2, 30)] * 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs, F.lit(True))
+    assert len(model.langs) == 300
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.98 * len(rows)
+    # parts of a long text score like the whole
+    raw = next(iter(textbytes.as_bytes(pa.array([" ".join(r[1] for r in rows)]))))
+    long, short = model.word_scores(raw)[2], [model.word_scores(raw[a : a + 2000])[2] for a in (0,)]
+    assert len(raw) * 300 > 8_000_000 and np.allclose(long[: len(short[0]) - 1], short[0][:-1], atol=1e-4)
