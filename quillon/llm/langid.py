@@ -356,8 +356,8 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
     return source.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: LangModel, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents whose language is known with at least `min_score`, unchanged."""
+def keep_identified(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
+    """The documents that aren't `und`, unchanged: mixed and short texts stay, however their score is spread."""
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -365,6 +365,6 @@ def keep_identified(docs: DataFrame, model: LangModel, min_score: float = 0.3, t
         own = shared.value
         for batch in batches:
             verdicts = own.label_all(as_bytes(batch.column(at)))
-            yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score, _ in verdicts], type=pa.bool_()))
+            yield batch.filter(pa.array([lang != "und" for lang, _, _ in verdicts], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -69,3 +69,14 @@ def test_more_than_256_languages(spark):
     raw = next(iter(textbytes.as_bytes(pa.array([" ".join(r[1] for r in rows)]))))
     long, short = model.word_scores(raw)[2], [model.word_scores(raw[a : a + 2000])[2] for a in (0,)]
     assert len(raw) * 300 > 8_000_000 and np.allclose(long[: len(short[0]) - 1], short[0][:-1], atol=1e-4)
+
+
+def test_mixed_documents_stay(spark):
+    rows = language_rows([(40, 40)] * 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    mixed = "\n".join(" ".join([next(t for _, t, x in rows if x == lang)] * 2) for lang in model.langs)
+    lang, score, spans = model.label(next(iter(textbytes.as_bytes(pa.array([mixed])))))
+    assert score < 0.3 and {s[2] for s in spans} == set(model.langs)
+    odd = spark.createDataFrame([(1, mixed), (2, "x"), (3, "1 2 3"), (4, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in langid.keep_identified(odd, model).collect()) == [1, 2]
