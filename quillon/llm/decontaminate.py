@@ -7,9 +7,9 @@ q-grams, all on diagonals at most k apart.  So shared q-grams are counted in ove
 diagonal bands, regions that meet this bound are kept, and a banded alignment verifies
 them: an item is leaked if one of its probes lies in the text within its edit budget.
 
-The lemma is exact for every probe with a positive bound; probes without one (under
-q / (1 - budget q) characters, 25 by default) and items under `min_chars` are no
-evidence of a leak and are skipped.  Null and empty texts and items have no leaks.
+The lemma is exact for every probe with a positive bound.  From some length on all have
+one (20 characters by default); shorter items are found where they stand in the text
+whole and between word boundaries, by a hash of every such place.  Null and empty texts and items have no leaks.
 Null ids are passed through; repeated rows and items repeat; other columns are ignored.
 A benchmark over `block_chars` characters is handled in blocks, one pass each, so the
 index that a task holds is bounded.
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,6 @@ class LeakSettings:
     q: int = 10
     budget: float = 0.06
     probe_chars: int = 120
-    min_chars: int = 40
     block_chars: int = 4_000_000
 
     def edits(self, m: int) -> int:
@@ -47,6 +48,10 @@ class LeakSettings:
     def least_shared(self, m: int) -> int:
         return m - self.q + 1 - self.edits(m) * self.q
 
+    def from_length(self) -> int:
+        """The least length from which on every probe's bound is positive."""
+        return 1 + max(m for m in range(self.probe_chars + 1) if m == 0 or self.least_shared(m) <= 0)
+
 
 def normal(text: str) -> np.ndarray:
     """Code points of the normalised text."""
@@ -65,6 +70,62 @@ def qgrams(points: np.ndarray, q: int) -> np.ndarray:
     return mix(acc)
 
 
+@cache
+def _word_points() -> np.ndarray:
+    """Whether a code point joins words; letters of scripts that are written without blanks don't."""
+    joins = np.fromiter((category(chr(c))[0] in "LNM" or c == 0x5F for c in range(0x110000)), dtype=bool, count=0x110000)
+    for a, b in ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA4D0), (0xF900, 0xFB00), (0x20000, 0x40000)):
+        joins[a:b] = False
+    return joins
+
+
+_FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+
+
+class ShortIndex:
+    """Items that are found as they are, between word boundaries, by hashes of whole items."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
+        self.by_length: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
+        for item, points in items:
+            code = int(self._hashes(points, np.zeros(1, dtype=np.int64), len(points))[0])
+            self.by_length.setdefault(len(points), {}).setdefault(code, []).append((item, points))
+        self.codes = {n: np.array(sorted(codes), dtype=U64) for n, codes in self.by_length.items()}
+
+    @staticmethod
+    def _sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of code points times powers before each place, and the inverse powers."""
+        n = len(points)
+        one = np.ones(1, dtype=U64)
+        powers, inverse = (np.cumprod(np.concatenate((one, np.full(n, x, dtype=U64)))) for x in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+        return np.concatenate((np.zeros(1, dtype=U64), np.cumsum((points.astype(U64) + U64(1)) * powers[:-1], dtype=U64))), inverse
+
+    def _hashes(self, points: np.ndarray, starts: np.ndarray, size: int, sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        total, inverse = sums or self._sums(points)
+        return mix((total[starts + size] - total[starts]) * inverse[starts])
+
+    def leaks(self, points: np.ndarray) -> dict[int, tuple[int, int]]:
+        """The first place of each item that the text holds."""
+        n = len(points)
+        if not self.by_length or n < min(self.by_length):
+            return {}
+        word = _word_points()[points]
+        edge = np.concatenate(([True], ~(word[1:] & word[:-1]), [True]))  # before each place
+        begins, sums = np.flatnonzero(edge), self._sums(points)
+        found: dict[int, tuple[int, int]] = {}
+        for size, known in self.by_length.items():
+            starts = begins[begins <= n - size]
+            starts = starts[edge[starts + size]]
+            codes = self._hashes(points, starts, size, sums)
+            at = np.searchsorted(self.codes[size], codes)
+            same = self.codes[size][np.minimum(at, len(self.codes[size]) - 1)] == codes
+            for start, code in zip(starts[same].tolist(), codes[same].tolist()):
+                for item, own in known[code]:
+                    if item not in found and np.array_equal(points[start : start + size], own):
+                        found[item] = (start, start + size)
+        return found
+
+
 def aligned(probe: np.ndarray, region: np.ndarray, lo: int, hi: int, k: int) -> bool:
     """Whether the probe is within k edits of a part of the region, on diagonals lo..hi (region - probe)."""
     # row i of the table: cells j = i + lo .. i + hi; a start at any place is free
@@ -95,13 +156,17 @@ class LeakIndex:
     def __init__(self, items: list[tuple[int, str]], settings: LeakSettings) -> None:
         self.settings = settings
         self.probes: list[tuple[int, np.ndarray]] = []
+        short: list[tuple[int, np.ndarray]] = []
+        least = settings.from_length()
         for item, text in items:
             points = normal(text or "")
-            if len(points) < settings.min_chars:
-                continue
             size = settings.probe_chars
+            if len(points) < least or settings.least_shared(min(size, len(points))) <= 0:
+                short += [(item, points)] if len(points) else []
+                continue
             starts = [0] if len(points) <= size else sorted({*range(0, len(points) - size, size // 2), len(points) - size})
             self.probes += [(item, p) for s in starts if settings.least_shared(len(p := points[s : s + size])) > 0]
+        self.short = ShortIndex(short)
         grams = [qgrams(p, settings.q) for _, p in self.probes]
         flat = np.concatenate(grams) if grams else np.zeros(0, dtype=U64)
         order = np.argsort(flat, kind="stable")
@@ -120,9 +185,15 @@ class LeakIndex:
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, start, end) of the regions found in the normalised text, one per item, by item."""
-        if not text or not self.probes or len(text) < self.shortest - self.settings.edits(self.shortest):
+        if not text:
             return []
-        points = normal(text)
+        points = normal(text) if self.short.by_length or self.probes else None
+        found = self.short.leaks(points) if self.short.by_length else {}
+        found |= {item: at for item, *at in self._near(points) if item not in found} if self.probes else {}
+        return [(item, *found[item]) for item in sorted(found)]
+
+    def _near(self, points: np.ndarray) -> list[tuple[int, int, int]]:
+        """The regions that are within the edit budget of a probe."""
         grams = qgrams(points, self.settings.q)
         if not len(grams):
             return []
@@ -157,7 +228,8 @@ class LeakIndex:
         order = np.lexsort((spot, key))
         key, spot, diagonal = key[order], spot[order], diagonal[order]
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        for a, b in zip(cut[:-1], cut[1:]):
+        enough = np.diff(cut) >= self.bounds[key[cut[:-1]] >> 40]
+        for a, b in zip(cut[:-1][enough], cut[1:][enough]):
             p = int(key[a] >> 40)
             item, points_of = self.probes[p]
             if item in found or len(np.unique(spot[a:b])) < self.bounds[p]:
