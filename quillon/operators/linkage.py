@@ -42,12 +42,71 @@ def tiered(sources: DataFrame, targets: DataFrame, source_id: str, target_id: st
     known = exploded(targets, target_id).groupBy("tier_no", "key").agg(F.count("*").alias("n"), F.min(target_id).alias("target"))
     hits = exploded(sources, source_id).join(known, ["tier_no", "key"])
     first = hits.groupBy(source_id).agg(F.min(F.struct("tier_no", "tier", "n", "target")).alias("hit"))
+    return _resolved(sources, first, source_id)
+
+
+def _resolved(sources: DataFrame, first: DataFrame, source_id: str) -> DataFrame:
+    """Outcomes from the first tier that hit each source."""
     linked = first.select(source_id, "hit.tier", F.when(F.col("hit.n") == 1, F.col("hit.target")).alias("target"))
     claims = linked.where("target IS NOT NULL").groupBy("target").agg(F.count("*").alias("claims"))
     outcome = F.when(F.col("tier").isNull(), "unmatched").when(F.col("target").isNull(), "ambiguous").when(F.col("claims") > 1, "collision").otherwise("linked")
     return sources.select(source_id).join(linked, source_id, "left").join(claims, "target", "left").select(source_id, "tier", F.when(outcome == "linked", F.col("target")).alias("target"), outcome.alias("outcome"))
 
 
+def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_id: str, text: str, explicit: str | None = None, within: str | None = None) -> DataFrame:
+    """(source_id, tier, target, outcome) as by `tiered`, with tiers that compare whole texts.
+
+    explicit: equal `explicit` columns; content: equal texts, case- and blank-folded; prefix:
+    the target starts with the whole source of 40 characters or more; anchor: the source's
+    anchor tokens, 6 or more of 32 or more characters together, begin the target's, or the
+    target's 6 or more begin them and are three quarters of them at least.  Texts are compared
+    within equal `within` columns, if given.
+
+    Prefixes are equi-joins on hashes: a target is cut at the lengths that sources of its
+    block (the same 40 characters or 6 tokens) have, a source at those that targets have.
+    """
+
+    def prepared(df: DataFrame, key: str) -> DataFrame:
+        normal = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+        plain = F.regexp_replace(F.lower(text), r"(?s)\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]", " ")
+        anchors = F.filter(F.regexp_extract_all(plain, F.lit(r"[a-z]+(?:'[a-z]+)?|\d+(?:\.\d+)?"), 0), lambda x: (F.length(x) >= 3) | x.rlike(r"^\d+$"))
+        part = F.lit("") if within is None else F.col(within).cast("string")
+        own = F.lit(None).cast("string") if explicit is None else F.col(explicit).cast("string")
+        return df.select(F.col(key).alias("id"), own.alias("own"), part.alias("part"), F.when(normal != "", normal).alias("normal"), anchors.alias("anchors"))
+
+    def keyed(df: DataFrame, tier: int, *parts: Column) -> DataFrame:
+        """Rows with a key of the tier; a null part is no key."""
+        return df.where(F.concat(*parts).isNotNull()).select("id", F.lit(tier).alias("tier_no"), F.sha2(F.concat_ws("\n", *parts), 256).alias("key"))
+
+    def words(n: Column | str) -> Column:
+        return F.concat_ws(" ", F.slice("anchors", 1, F.col(n) if isinstance(n, str) else n))
+
+    def cut_at(df: DataFrame, other: DataFrame, block: Column, size: Column) -> DataFrame:
+        """Each row with every size `n` that the other side has in the row's block."""
+        sizes = other.select("part", block.alias("block"), size.alias("n")).distinct().groupBy("part", "block").agg(F.collect_set("n").alias("sizes"))
+        return df.withColumn("block", block).join(sizes, ["part", "block"]).withColumn("n", F.explode("sizes"))
+
+    a, b = prepared(sources, source_id), prepared(targets, target_id)
+    chars, count = F.length("normal"), F.size("anchors")
+    long = a.where(chars >= 40)
+    solid = a.where((count >= 6) & (F.length(F.concat_ws("", "anchors")) >= 32))
+    worded = b.where(count >= 6)
+    starts = cut_at(b.where(chars >= 40), long, F.left("normal", F.lit(40)), chars).where(F.col("n") <= chars)
+    longer = cut_at(worded, solid, words(F.lit(6)), count).where(F.col("n") <= count)
+    shorter = cut_at(solid, worded, words(F.lit(6)), count).where((F.col("n") < count) & (F.col("n") >= 0.75 * count))
+    whole, forward, backward = F.lit("whole"), F.lit("forward"), F.lit("backward")
+    known = keyed(b, 0, F.col("own")).unionByName(keyed(b, 1, whole, F.col("part"), F.col("normal")))
+    known = known.unionByName(keyed(starts, 2, F.col("part"), F.expr("left(normal, n)"))).unionByName(keyed(longer, 3, forward, F.col("part"), words("n")))
+    known = known.unionByName(keyed(worded, 3, backward, F.col("part"), words(count))).groupBy("tier_no", "key").agg(F.count("*").alias("n"), F.min("id").alias("target"))
+    asked = keyed(a, 0, F.col("own")).unionByName(keyed(a, 1, whole, F.col("part"), F.col("normal"))).unionByName(keyed(long, 2, F.col("part"), F.col("normal")))
+    asked = asked.unionByName(keyed(solid, 3, forward, F.col("part"), words(count))).unionByName(keyed(shorter, 3, backward, F.col("part"), words("n")))
+    # the keys of one tier have no target in common, so their counts add up
+    hits = asked.join(known, ["tier_no", "key"]).groupBy("id", "tier_no").agg(F.sum("n").alias("n"), F.min("target").alias("target"))
+    name = F.element_at(F.array(*map(F.lit, ("explicit", "content", "prefix", "anchor"))), F.col("tier_no") + 1)
+    first = hits.groupBy(F.col("id").alias(source_id)).agg(F.min(F.struct("tier_no", name.alias("tier"), "n", "target")).alias("hit"))
+    return _resolved(sources, first, source_id)
+
+
 def resolve_claims(slots: DataFrame, claims: DataFrame, slot: str) -> DataFrame:
     """Every expected slot with its resolution.
 
