@@ -10,17 +10,20 @@ with equal sets form a class; classes are nodes, links make components.
    pruned as soon as the posterior probability that its similarity reaches the threshold
    falls under `miss`.  Survivors are verified on their full sets.
 3. Not all pairs of a bucket are compared: pairs within one component can't change the
-   result.  First each class meets one leader, then the leaders of its other buckets, then
-   what still stands apart in a bucket its nearest there; at last what is apart even so
-   meets all the rest of its bucket, in blocks that hold the full sets and return links
-   only.  So every candidate pair across components is pruned or verified, and rows stay
-   in proportion to the classes, not to their pairs.
+   result.  First each class meets one leader, then the leaders of its other buckets.  Then
+   the classes outside a bucket's largest component ask the whole bucket, by signatures:
+   each is verified with its nearest, and who has survivors at all is noted.  If a class
+   has more survivors than that one, those noted meet once more in blocks that hold their
+   full sets and return links only.  So every candidate pair across components is pruned
+   or verified.  Rows sent to the blocks: those of a bucket once for every `block` classes
+   that ask, those that ask once for every `block` classes of the bucket.
 
 Null and empty texts have no shingles, link with nothing and keep their own id.  A null
 id is never smallest unless a component has no other; repeated rows are one class and
 share a component.  Rows that share an id but not the text are separate nodes.  Other
 columns are ignored.  Nothing of the corpus is collected to the driver; components are
-found by alternating large and small stars on written tables.
+found by alternating large and small stars on written tables.  Joins on buckets read
+written tables, so that Spark can split a bucket that holds many classes.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import row_keys, saved
+from quillon.llm.shared import Scratch, row_keys, scratch
 from quillon.llm.textbytes import LOWER, U64, as_bytes, hash_spans, mix, seeded, translated, window_hashes, word_spans
 
 _LOWER_TABLE = LOWER.tobytes()
@@ -44,7 +47,8 @@ _LOWER_TABLE = LOWER.tobytes()
 
 @dataclass(frozen=True)
 class NearSettings:
-    """`threshold` in hundredths; `batch` signature values per comparison step; `miss`: posterior bound of a prune."""
+    """`threshold` in hundredths; `batch` signature values per comparison step; `miss`: posterior bound of a prune;
+    `block`, `block_shingles`: about so many classes, and shingles of full sets, meet as many in one task."""
 
     shingle: int = 5
     threshold: int = 75
@@ -53,7 +57,7 @@ class NearSettings:
     batch: int = 32
     miss: float = 1e-6
     block: int = 512
-    nearest: int = 2
+    block_shingles: int = 1_000_000
     broadcast_rows: int = 100_000
 
     @property
@@ -174,21 +178,21 @@ def sign(docs: DataFrame, settings: NearSettings = NearSettings(), id_col: str =
 
 
 def _sets(docs: DataFrame, members: DataFrame, settings: NearSettings, id_col: str, text_col: str) -> DataFrame:
-    """(cls, sig, own): the full sets of the member classes, from one text of each."""
-    wanted = members.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "cls", "sig")
+    """(cls, n, sig, own): the full sets of the member classes, from one text of each."""
+    wanted = members.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "cls", F.col("n_shingles").alias("n"), "sig")
     if wanted.count() <= settings.broadcast_rows:  # else both sides are shuffled
         wanted = F.broadcast(wanted)
     k1, k2 = row_keys(id_col, text_col)
     keyed = docs.select(k1, k2, docs[text_col].cast("string").alias("text"))
-    found = keyed.join(wanted, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("cls", "sig", "text")
+    found = keyed.join(wanted, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("cls", "n", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array([shingles(raw, settings.shingle).tobytes() for raw in as_bytes(batch.column(2))], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], names=["cls", "sig", "own"])
+            own = pa.array([shingles(raw, settings.shingle).tobytes() for raw in as_bytes(batch.column(3))], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own], names=["cls", "n", "sig", "own"])
 
     # a row that is repeated comes more than once
-    return found.mapInArrow(run, "cls binary, sig binary, own binary").dropDuplicates(["cls"])
+    return found.mapInArrow(run, "cls binary, n long, sig binary, own binary").dropDuplicates(["cls"])
 
 
 def linked(pairs: DataFrame, members: DataFrame, settings: NearSettings) -> DataFrame:
@@ -221,12 +225,12 @@ def linked(pairs: DataFrame, members: DataFrame, settings: NearSettings) -> Data
     return both(survivors, "own").mapInArrow(verify, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, own: Scratch) -> DataFrame:
     """(node, root) for every node that has an edge (a, b): the smallest node of its component.
 
     Alternates large and small stars until nothing changes; each round is a written table.
     """
-    now = saved(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    now = own.saved(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = mark(now)
     while last[0]:
@@ -235,7 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = saved(small.select("e.u", "e.v").where("u != v").distinct(), "stars")
+        now = own.saved(small.select("e.u", "e.v").where("u != v").distinct(), "stars")
         this = mark(now)
         if this == last:
             break
@@ -243,72 +247,114 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _across(rows: DataFrame, members: DataFrame, settings: NearSettings, exact: bool) -> DataFrame:
-    """Pairs across components within buckets: (a, b, more).
+def block_rows(rows: DataFrame, own: Scratch, settings: NearSettings, sets: bool = False) -> DataFrame:
+    """The rows (bucket, cls, root, main, n) of buckets, with q, o, asks: as they are sent to blocks.
 
-    `rows`: (bucket, cls, root, main, size), main the bucket's largest component.  Each class
-    outside it is compared with the whole bucket, in blocks.  Of the survivors in a block
-    the `nearest` are returned as candidates, `more` tells that there were others; with
-    `exact`, all survivors are verified in the block, and of the links one to each other
-    component is returned.
+    A class outside the bucket's main component asks, in one of the blocks q, all the blocks
+    o of the bucket; every class is told in its own block o, to all the blocks q.
+    """
+    apart = F.col("root") != F.col("main")
+    weight = (F.lit(1) if not sets else F.greatest(F.lit(1.0), F.col("n") * settings.block / settings.block_shingles)).cast("double")
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / settings.block)).cast("int")
+    size = own.saved(rows.groupBy("bucket").agg(blocks(F.sum(weight)).alias("os"), blocks(F.sum(F.when(apart, weight))).alias("qs")), "near-sizes")
+    placed = rows.join(size, "bucket")
+    block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "cls"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    names = ("bucket", "cls", "root", "main")
+    asks = placed.where(apart).select(*names, block(1, F.col("qs")).alias("q"), every(F.col("os")).alias("o"), F.lit(True).alias("asks"))
+    told = placed.select(*names, every(F.col("qs")).alias("q"), block(2, F.col("os")).alias("o"), F.lit(False).alias("asks"))
+    return asks.unionByName(told)
+
+
+class _Block:
+    """The classes that meet in a block, and which pairs across components survive the signatures."""
+
+    def __init__(self, group: pa.Table, settings: NearSettings, bounds: list[tuple[int, int]]) -> None:
+        asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        self.cls, self.root, self.main = (np.array(group.column(c).to_pylist(), dtype=object) for c in ("cls", "root", "main"))
+        self.sig = _matrix(group.column("sig"), settings.hashes)
+        self.asking, self.told = np.flatnonzero(asks), np.flatnonzero(~asks)
+        self.settings, self.bounds = settings, bounds
+
+    def survivors(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `told` that class k has to be verified with, and their matches."""
+        root, told = self.root, self.told
+        # two classes that both stand apart meet once
+        others = np.flatnonzero((root[told] != root[k]) & ((root[told] == self.main[told]) | (self.cls[told] < self.cls[k])))
+        keep, matches = surviving(np.broadcast_to(self.sig[k], (len(others), self.settings.hashes)), self.sig[told[others]], self.bounds)
+        return others[keep], matches
+
+
+def _nearest(rows: DataFrame, members: DataFrame, own: Scratch, settings: NearSettings) -> DataFrame:
+    """(bucket, cls, nearest, matches, others) of the classes that survive somewhere in a bucket.
+
+    `nearest` is the told class with the most matches and `others` the number of survivors of a
+    class that asks; both are null and 0 where a class was only told.
     """
     bounds = least_matches(settings)
-    width, nearest = settings.hashes, settings.nearest
-    blocks = F.ceil(F.col("size") / settings.block).cast("int")
-    columns = ["cls", "root", "main", "sig", *(["own"] if exact else [])]
-    placed = rows.join(members.select("cls", "sig", *(["own"] if exact else [])), "cls").withColumn("at", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("all", F.sequence(F.lit(0), blocks - 1))
-    asks = placed.where("root != main").select("bucket", F.col("at").alias("q"), F.explode("all").alias("o"), F.lit(True).alias("asks"), *columns)
-    told = placed.select("bucket", F.explode("all").alias("q"), F.col("at").alias("o"), F.lit(False).alias("asks"), *columns)
+    sent = block_rows(rows, own, settings).join(members.select("cls", "sig"), "cls")
+    kinds = [("bucket", pa.int64()), ("cls", pa.binary()), ("nearest", pa.binary()), ("matches", pa.int64()), ("others", pa.int64())]
 
     def compare(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        cls, root, main = (np.array(group.column(c).to_pylist(), dtype=object) for c in ("cls", "root", "main"))
-        sig = _matrix(group.column("sig"), width)
-        told = np.flatnonzero(~asks)
-        sets = [np.frombuffer(x, dtype=U64) for x in group.column("own").to_pylist()] if exact and asks.any() and len(told) else []
-        if sets:
+        block = _Block(group, settings, bounds)
+        bucket = group.column("bucket")[0].as_py()
+        hit = np.zeros(len(block.told), dtype=bool)
+        out: list[tuple] = []
+        for k in block.asking:
+            others, matches = block.survivors(k)
+            if len(others):
+                hit[others] = True
+                best = np.lexsort((block.cls[block.told[others]], -matches))[0]
+                out.append((bucket, block.cls[k], block.cls[block.told[others[best]]], int(matches[best]), len(others)))
+        out += [(bucket, block.cls[j], None, None, 0) for j in block.told[hit]]
+        return pa.table({name: pa.array(c, type=kind) for (name, kind), c in zip(kinds, zip(*out) if out else [()] * len(kinds))})
+
+    met = sent.groupBy("bucket", "q", "o").applyInArrow(compare, "bucket long, cls binary, nearest binary, matches long, others long")
+    best = F.max(F.when(F.col("nearest").isNotNull(), F.struct("matches", "nearest")))
+    return met.groupBy("bucket", "cls").agg(best["nearest"].alias("nearest"), F.sum("others").alias("others"))
+
+
+def _links_in_blocks(rows: DataFrame, members: DataFrame, own: Scratch, settings: NearSettings) -> DataFrame:
+    """(a, b): for each class that asks, one link to each other component of its bucket that it is linked with."""
+    bounds = least_matches(settings)
+    sent = block_rows(rows, own, settings, sets=True).join(members.select("cls", "sig", "own"), "cls")
+
+    def compare(group: pa.Table) -> pa.Table:
+        block = _Block(group, settings, bounds)
+        told = block.told
+        out: list[tuple[bytes, bytes]] = []
+        if len(block.asking) and len(told):
+            sets = [np.frombuffer(x, dtype=U64) for x in group.column("own").to_pylist()]
             size = np.array([len(x) for x in sets])
             grams, gram_of = np.unique(np.concatenate([sets[k] for k in told]), return_inverse=True)
             first = np.concatenate(([0], np.cumsum(size[told])[:-1]))
-        out: list[tuple[bytes, bytes, bool]] = []
-        for k in np.flatnonzero(asks):
-            # two classes that both stand apart meet once
-            others = np.flatnonzero((root[told] != root[k]) & ((root[told] == main[told]) | (cls[told] < cls[k])))
-            keep, matches = surviving(np.broadcast_to(sig[k], (len(others), width)), sig[told[others]], bounds)
-            if not len(keep):
-                continue
-            others = others[keep]
-            if sets:
-                mark = np.isin(grams, sets[k], assume_unique=True)
-                shared = np.add.reduceat(mark.take(gram_of).astype(np.int64), first)[others]
-                hits = told[others[100 * shared >= settings.threshold * (size[k] + size[told[others]] - shared)]]
-                chosen = list({root[j]: j for j in hits}.values())
-            else:
-                order = np.lexsort((cls[told[others]], -matches))[:nearest] if len(others) > nearest else np.arange(len(others))
-                chosen = told[others[order]]
-            out += [(max(cls[k], cls[j]), min(cls[k], cls[j]), len(others) > nearest) for j in chosen]
-        a, b, more = zip(*out) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, type=pa.binary()), "b": pa.array(b, type=pa.binary()), "more": pa.array(more, type=pa.bool_())})
-
-    met = asks.unionByName(told).groupBy("bucket", "q", "o").applyInArrow(compare, "a binary, b binary, more boolean")
-    return met.groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, n_shingles, component_id, kept) per row."""
-    signed = saved(sign(docs, settings, id_col, text_col), "near-signed")
+            for k in block.asking:
+                others, _ = block.survivors(k)
+                if len(others):
+                    mark = np.isin(grams, sets[k], assume_unique=True)
+                    shared = np.add.reduceat(mark.take(gram_of).astype(np.int64), first)[others]
+                    hits = told[others[100 * shared >= settings.threshold * (size[k] + size[told[others]] - shared)]]
+                    out += [(max(block.cls[k], block.cls[j]), min(block.cls[k], block.cls[j])) for j in {block.root[j]: j for j in hits}.values()]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, type=pa.binary()), "b": pa.array(b, type=pa.binary())})
+
+    return sent.groupBy("bucket", "q", "o").applyInArrow(compare, "a binary, b binary").distinct()
+
+
+def _rows(docs: DataFrame, own: Scratch, settings: NearSettings, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, cls, least) per row; `least` is (id is null, id, k1, k2) of the component's first row."""
+    signed = own.saved(sign(docs, settings, id_col, text_col), "near-signed", stays=True)
     real = signed.where("cls IS NOT NULL")
-    classes = saved(real.select("cls", "k1", "k2", "bands", "sig").dropDuplicates(["cls"]), "near-classes")
+    classes = own.saved(real.select("cls", "k1", "k2", "n_shingles", "bands", "sig").dropDuplicates(["cls"]), "near-classes")
     placed = classes.select("cls", F.explode("bands").alias("bucket"))
-    several = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = saved(placed.join(several, "bucket"), "near-buckets")
-    members = saved(_sets(docs, classes.join(shared.select("cls").distinct(), "cls", "left_semi"), settings, id_col, text_col), "near-members")
+    several = own.saved(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("lead")).where("size > 1"), "near-several")
+    shared = own.saved(placed.join(several, "bucket"), "near-buckets")
+    members = own.saved(_sets(docs, classes.join(shared.select("cls").distinct(), "cls", "left_semi"), settings, id_col, text_col), "near-members")
 
-    leads = shared.groupBy("bucket").agg(F.min("cls").alias("lead"))
-    met = saved(shared.join(leads, "bucket").where("cls != lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct(), "near-met")
-    first = saved(met.groupBy("a").agg(F.min("b").alias("b")), "near-pairs")
-    edges = saved(linked(first, members, settings), "near-links")
-    roots = saved(components(edges), "near-roots")
+    met = own.saved(shared.where("cls != lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct(), "near-met")
+    first = own.saved(met.groupBy("a").agg(F.min("b").alias("b")), "near-pairs")
+    edges = own.saved(linked(first, members, settings), "near-links")
+    roots = own.saved(components(edges, own), "near-roots")
 
     def with_roots(df: DataFrame, *names: str) -> DataFrame:
         for name in names:
@@ -318,38 +364,58 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(), id
 
     def merge(found: DataFrame) -> DataFrame:
         """Roots after more links: only the roots that the links join move."""
-        joint = saved(components(with_roots(found, "a", "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))), "near-joint")
+        joint = own.saved(components(with_roots(found, "a", "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), own), "near-joint")
         moved = roots.join(joint.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
         fresh = joint.join(roots.select("node"), "node", "left_anti")
-        return saved(moved.unionByName(fresh), "near-roots")
+        return own.saved(moved.unionByName(fresh), "near-roots")
 
-    tested = first
-    second = saved(with_roots(met.join(first, ["a", "b"], "left_anti"), "a", "b").where("_a != _b").select("a", "b"), "near-pairs")
+    second = own.saved(with_roots(met.join(first, ["a", "b"], "left_anti"), "a", "b").where("_a != _b").select("a", "b"), "near-pairs")
     roots = merge(linked(second, members, settings))
-    tested = tested.unionByName(second)
+    tested = first.unionByName(second)
 
-    def apart() -> DataFrame:
-        """The buckets that hold several components; in a bucket of two, both have met."""
-        rooted = with_roots(shared.where("size > 2"), "cls").withColumnRenamed("_cls", "root")
+    def apart(rows: DataFrame) -> DataFrame:
+        """Of the buckets of rows (bucket, cls) those that hold several components, with each class's and the largest one."""
+        rooted = own.saved(with_roots(rows.select("bucket", "cls"), "cls").withColumnRenamed("_cls", "root"), "near-rooted")
         main = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
-        return rooted.join(main.where("parts > 1"), "bucket").select("bucket", "cls", "root", "main", "size")
+        main = own.saved(main.where("parts > 1").select("bucket", "main"), "near-main")
+        return own.saved(rooted.join(main, "bucket").join(members.select("cls", "n"), "cls").select("bucket", "cls", "root", "main", "n"), "near-apart")
+
+    # in a bucket of two, both have met
+    near = own.saved(_nearest(apart(shared.where("size > 2")), members, own, settings), "near-nearest")
+    pairs = near.where("nearest IS NOT NULL").select(F.greatest("cls", "nearest").alias("a"), F.least("cls", "nearest").alias("b")).distinct()
+    roots = merge(linked(pairs.join(tested, ["a", "b"], "left_anti"), members, settings))
+    if near.agg(F.max("others")).first()[0] not in (None, 0, 1):
+        roots = merge(_links_in_blocks(apart(near), members, own, settings))
+
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    ids = with_roots(real.groupBy("cls").agg(F.min(order).alias("least")), "cls").withColumnRenamed("_cls", "root")
+    # components of one class need no further grouping; the others are few
+    joined = ids.join(roots.select(F.col("node").alias("cls")), "cls", "left_semi").groupBy("root").agg(F.min("least").alias("first"))
+    ids = own.saved(ids.join(joined, "root", "left").select("cls", F.coalesce("first", "least").alias("least")), "near-ids", stays=True)
+    return signed.join(ids, "cls", "left").select("doc_id", "k1", "k2", "n_shingles", "cls", "least")
 
-    near = saved(_across(apart(), members, settings, exact=False), "near-across")
-    roots = merge(linked(near.select("a", "b").join(tested, ["a", "b"], "left_anti"), members, settings))
-    if near.agg(F.max("more")).first()[0]:
-        roots = merge(_across(apart(), members, settings, exact=True).select("a", "b"))
 
-    by_class = real.groupBy("cls").agg(F.min("doc_id").alias("least"))
-    ids = with_roots(by_class, "cls").withColumnRenamed("_cls", "root")
-    # components of one class need no further grouping; the others are few
-    joined = ids.join(roots.select(F.col("node").alias("cls")), "cls", "left_semi").groupBy("root").agg(F.min("least").alias("component"))
-    ids = ids.join(joined, "root", "left").select("cls", F.coalesce("component", "least").alias("component"))
-    out = signed.join(ids, "cls", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")))
+def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, component_id, kept) per row."""
+    with scratch(docs.sparkSession) as own:
+        rows = _rows(docs, own, settings, id_col, text_col)
+    out = rows.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")))
     return out.select("doc_id", "k1", "k2", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id."""
-    gone = near_duplicates(docs, settings, id_col, text_col).where(~F.col("kept")).select(F.col("k1").alias("_near_k1"), F.col("k2").alias("_near_k2"))
+    """One row of each component: the one with the smallest id (a null id last), of several texts under that id the
+    one with the smallest row key, of rows that repeat id and text any one.  Rows without words all stay."""
+    with scratch(docs.sparkSession) as own:
+        rows = own.saved(_rows(docs, own, settings, id_col, text_col).where("cls IS NOT NULL"), "near-rows", stays=True)
+    mine = (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))
     k1, k2 = row_keys(id_col, text_col)
-    return docs.join(gone, (k1 == F.col("_near_k1")) & (k2 == F.col("_near_k2")), "left_anti")
+    match = (k1 == F.col("_near_k1")) & (k2 == F.col("_near_k2"))
+    keys = lambda df: df.select(F.col("k1").alias("_near_k1"), F.col("k2").alias("_near_k2"))
+    single = docs.join(keys(rows.where(~mine)), match, "left_anti")
+    again = rows.where(mine).groupBy("k1", "k2").count().where("count > 1")
+    if again.isEmpty():
+        return single
+    again = own.saved(keys(again), "near-again", stays=True)
+    repeated = single.select("*", F.struct(k1, k2).alias("_near_key")).join(again, match, "left_semi")
+    return single.join(again, match, "left_anti").unionByName(repeated.dropDuplicates(["_near_key"]).drop("_near_key"))

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: The temporary folder of applications without a shared one.
+#: The temporary folder of local applications without a shared one.
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (local runs)."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set and everything runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -26,9 +29,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table written to the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).saved(df, name)
+
+
+class Scratch:
+    """Written tables of one job, of which those that its result doesn't read are removed at its end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def saved(self, df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+        """`stays`: the result reads the table, so it isn't removed."""
+        path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not stays:
+            self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    own = Scratch(spark)
+    try:
+        yield own
+    finally:
+        own.clear()
 
 
 def row_keys(id_col: str, text_col: str) -> list[Column]:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import linededup, neardup, queries
+from quillon.llm.shared import Scratch
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,6 +52,15 @@ def sets_of(rows, width=5):
 
 
 def component_brute(rows):
+    sets, root = sets_of(rows), component_indices(rows)
+    members = collections.defaultdict(list)
+    for i, at in enumerate(root):
+        members[at].append(rows[i][0])
+    least = {at: min((x for x in ids if x is not None), default=None) for at, ids in members.items()}
+    return [len(s) for s in sets], [least[at] for at in root]
+
+
+def component_indices(rows):
     sets = sets_of(rows)
     parent = list(range(len(rows)))
 
@@ -64,11 +74,7 @@ def component_brute(rows):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
-    members = collections.defaultdict(list)
-    for i in range(len(rows)):
-        members[find(i)].append(rows[i][0])
-    least = {root: min((x for x in ids if x is not None), default=None) for root, ids in members.items()}
-    return [len(s) for s in sets], [least[find(i)] for i in range(len(rows))]
+    return [find(i) for i in range(len(rows))]
 
 
 def near_rows(seed, groups=6, most=40):
@@ -88,7 +94,7 @@ def near_rows(seed, groups=6, most=40):
     return out
 
 
-@pytest.mark.parametrize("settings", [neardup.NearSettings(), neardup.NearSettings(block=8, nearest=1, broadcast_rows=0)])
+@pytest.mark.parametrize("settings", [neardup.NearSettings(), neardup.NearSettings(block=8, block_shingles=900, broadcast_rows=0)])
 def test_near_duplicates(spark, settings):
     rows = near_rows(7)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("clash"))
@@ -99,7 +105,28 @@ def test_near_duplicates(spark, settings):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     kept = neardup.drop_near_duplicates(docs, settings)
-    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
+    assert kept.columns == docs.columns
+    # one row of each component, and all rows without words
+    groups = collections.defaultdict(set)
+    for (doc, _), size, root in zip(rows, sizes, component_indices(rows)):
+        groups[root if size else ("empty", doc)].add(doc)
+    want = collections.Counter(min((x is None, x or 0) for x in ids) for ids in groups.values())
+    assert collections.Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == want
+
+
+def test_one_of_repeated_rows_stays(spark):
+    docs = spark.createDataFrame([(1, "t", "x"), (1, "t", "y"), (2, "t  ", "z"), (None, "u v", ""), (None, "u v", ""), (3, "", ""), (3, "", "")], "doc_id long, text string, source string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in neardup.drop_near_duplicates(docs).collect())
+    assert got == [(0, "u v"), (1, "t"), (3, ""), (3, "")]
+
+
+def test_rows_sent_to_blocks(spark):
+    """A bucket's rows are sent once for every `block` classes that ask, not to all blocks."""
+    settings = neardup.NearSettings(block=100)
+    rows = [(7, f"{k:04}".encode(), b"main" if k else b"other", b"main", 10) for k in range(3000)]
+    df = spark.createDataFrame(rows, "bucket long, cls binary, root binary, main binary, n long")
+    sent = neardup.block_rows(df, Scratch(spark), settings).groupBy("asks").count().collect()
+    assert {r["asks"]: r["count"] for r in sent} == {True: 30, False: 3000}
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -134,7 +161,7 @@ def test_components(spark):
         if a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {bytes(r["node"]): bytes(r["root"]) for r in neardup.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    got = {bytes(r["node"]): bytes(r["root"]) for r in neardup.components(spark.createDataFrame(edges, "a binary, b binary"), Scratch(spark)).collect()}
     assert got == {x: find(x) for x in parent}
 
 
