@@ -3,23 +3,29 @@
 From `response` records it derives, as the WARC/1.1 standard describes them, one
 `metadata` record (links, title, source headers) and one `conversion` record (plain
 text) each.  Both name the response in WARC-Refers-To, keep its target URI and date, and
-carry block digests of their own; the metadata record keeps the source's payload digest
-and HTTP headers.  Record ids are derived from the response's id, so a rerun gives the
-same records.
+carry block digests of their own; the metadata record keeps the source's WARC and HTTP
+headers and its payload digest: the one that the source states, and the computed one
+beside it.  Record ids are derived from the response's id, so a rerun gives the same
+records.
 
 A response is a row (record_id, target_uri, date, http_headers, body), e.g. from
-`responses_of_pages` or `read_responses`.  A null body counts as empty and gives records
-with an empty text; null headers give none; a null URI or date leaves its header out; a
-null record id gets one from the URI and body.  Repeated rows give repeated records.
-Other columns are ignored.  Bodies are converted whole, row by row, without a shuffle.
+`responses_of_pages` or `read_responses`, which adds warc_headers (lines) and payload (the
+bytes of the HTTP body as they are stored); both are optional.  A null body counts as empty
+and gives records with an empty text; null headers give none; a null URI or date leaves its
+header out; a null record id gets one from the URI and payload.  Repeated rows give repeated
+records.  Other columns are ignored.  Bodies are converted whole, row by row, without a
+shuffle; what HTML's grammar doesn't know, as `<![foo[`, is a comment up to the next `>`.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -62,6 +68,14 @@ class _Page(HTMLParser):
         self.hidden = 0
         self.in_title = False
 
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i) and not re.match(r"<!\[(?:cdata|temp|ignore|include|rcdata|if|else|endif)\s*[\[\]\s]", self.rawdata[i : i + 16], re.I):
+            return self.parse_bogus_comment(i)
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # the parser's answer to a declaration that it doesn't know
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         values = dict(attrs)
         if tag == "base" and values.get("href"):
@@ -118,14 +132,26 @@ def absolute(base: str, uri: str) -> str:
         return uri
 
 
-def derive_one(record_id: str | None, target_uri: str | None, date: str | None, http_headers: str | None, body: str | None) -> list[tuple]:
+def header(lines: str | None, name: str) -> str | None:
+    """The value of the first header of that name."""
+    found = re.search(rf"^{re.escape(name)}:[ \t]*(.*?)[ \t]*\r?$", lines or "", re.I | re.M)
+    return found[1] if found else None
+
+
+def derive_one(record_id: str | None, target_uri: str | None, date: str | None, http_headers: str | None, body: str | None, warc_headers: str | None = None, payload: bytes | None = None) -> list[tuple]:
     """The metadata and conversion records of one response, as rows of RECORD."""
-    payload = (body or "").encode("utf-8", "surrogatepass")
-    source = record_id or f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{target_uri}\n{digest(payload)}')}>"
+    if payload is None:
+        payload = (body or "").encode("utf-8", "surrogatepass")
+    computed = digest(payload)
+    stated = header(warc_headers, "WARC-Payload-Digest")
+    source = record_id or f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{target_uri}\n{computed}')}>"
     text, title, links, base = convert(body or "")
     own_base = absolute(target_uri or "", base) if base else (target_uri or "")
     fields = [("title", title)] if title else []
-    fields += [("sourcePayloadDigest", digest(payload)), ("sourcePayloadLength", str(len(payload)))]
+    fields += [("sourcePayloadDigest", stated or computed), ("sourcePayloadLength", str(len(payload)))]
+    fields += [("computedPayloadDigest", computed)] if stated else []
+    fields += [("sourceBlockDigest", block)] if (block := header(warc_headers, "WARC-Block-Digest")) else []
+    fields += [("sourceWarcHeader", _line(h)) for h in (warc_headers or "").splitlines() if h.strip()]
     fields += [("sourceHeader", _line(h)) for h in (http_headers or "").splitlines() if h.strip()]
     fields += [("outlink", f"{_line(absolute(own_base, uri))} {where}") for where, uri in links]
     blocks = (
@@ -141,20 +167,21 @@ def derive_one(record_id: str | None, target_uri: str | None, date: str | None,
         headers += [("WARC-Date", _line(date))] if date else []
         headers += [("WARC-Block-Digest", digest(data)), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
         record = f"{VERSION}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"\r\n{block}\r\n\r\n"
-        rows.append((source, kind, own, source, target_uri, date, content_type, len(data), digest(data), digest(payload), block, record))
+        rows.append((source, kind, own, source, target_uri, date, content_type, len(data), digest(data), stated or computed, block, record))
     return rows
 
 
 def derive(responses: DataFrame) -> DataFrame:
     """Two rows per response, with the columns of RECORD; `record` is the whole record as written to a file."""
-    columns = ("record_id", "target_uri", "date", "http_headers", "body")
-    source = responses.select(*(F.col(c).cast("string").alias(c) for c in columns))
+    columns = ("record_id", "target_uri", "date", "http_headers", "body", "warc_headers", "payload")
+    kinds = ("string",) * 6 + ("binary",)
+    source = responses.select(*((F.col(c) if c in responses.columns else F.lit(None)).cast(kind).alias(c) for c, kind in zip(columns, kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for one in zip(*(batch.column(k) for k in range(5))) for row in derive_one(*(x.as_py() for x in one))]
-            columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_ARROW), _ARROW)]
-            yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+            rows = [row for one in zip(*(batch.column(k) for k in range(len(columns)))) for row in derive_one(*(x.as_py() for x in one))]
+            out = [pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_ARROW), _ARROW)]
+            yield pa.RecordBatch.from_arrays(out, schema=_ARROW)
 
     return source.mapInArrow(run, RECORD)
 
@@ -174,13 +201,128 @@ def write_records(records: DataFrame, path: str, compression: str = "gzip") -> N
     records.select("record").write.option("lineSep", "\r\n").option("compression", compression).text(path)
 
 
+def records_of(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, bool]]:
+    """(headers, block, complete) of every record of a WARC file, plain or gzipped by record or whole.
+
+    A block has as many bytes as Content-Length says.  It isn't complete if the file ends within it;
+    a record without a length has its block up to the next record, or the file's end, and isn't complete.
+    """
+    file: io.BufferedIOBase = io.BytesIO(data)
+    if data[:2] == b"\x1f\x8b":
+        file = gzip.GzipFile(fileobj=file)
+
+    def line() -> bytes:
+        try:
+            return file.readline()
+        except (EOFError, zlib.error, gzip.BadGzipFile):  # a torn file ends where its last whole member does
+            return b""
+
+    def read(n: int) -> bytes:
+        parts = []
+        while n > 0:
+            try:
+                part = file.read(min(n, 1 << 20))
+            except (EOFError, zlib.error, gzip.BadGzipFile):
+                break
+            if not part:
+                break
+            parts.append(part)
+            n -= len(part)
+        return b"".join(parts)
+
+    now = line()
+    while now:
+        if not re.match(rb"WARC/\d+\.\d+\s*$", now):
+            now = line()
+            continue
+        headers: list[tuple[str, str]] = []
+        while (now := line()).strip():
+            text = now.decode("utf-8", "replace").rstrip("\r\n")
+            if text[0] in " \t" and headers:
+                headers[-1] = (headers[-1][0], f"{headers[-1][1]} {text.strip()}")
+            else:
+                name, _, value = text.partition(":")
+                headers.append((name.strip(), value.strip()))
+        length = next((v for k, v in headers if k.lower() == "content-length"), "")
+        if length.isascii() and length.isdigit():
+            block = read(int(length))
+            yield headers, block, len(block) == int(length)
+            now = line()
+            continue
+        lines = []
+        while (now := line()) and not re.match(rb"WARC/\d+\.\d+\s*$", now):
+            lines.append(now)
+        yield headers, re.sub(rb"\r?\n\r?\n\Z", b"", b"".join(lines)), False
+
+
+def _unchunked(payload: bytes) -> bytes:
+    """The body of a chunked transfer; as it is if it isn't one."""
+    parts, at = [], 0
+    while match := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n").match(payload, at):
+        size = int(match[1], 16)
+        parts.append(payload[match.end() : match.end() + size])
+        at = match.end() + size
+        at += 2 if payload[at : at + 2] == b"\r\n" else 1 if payload[at : at + 1] == b"\n" else 0
+        if not size:
+            return b"".join(parts)
+    return payload
+
+
+def body_of(http_headers: str, payload: bytes) -> str:
+    """The text of an HTTP body: transfer and content coding undone, decoded by its charset (UTF-8 without a known one)."""
+    if (header(http_headers, "Transfer-Encoding") or "").lower() == "chunked":
+        payload = _unchunked(payload)
+    coding = (header(http_headers, "Content-Encoding") or "").lower()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):  # with a gzip or zlib header, or a raw stream; a torn one gives what is there
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:
+                pass
+    charset = re.search(r"charset=[\"']?([\w.:-]+)", header(http_headers, "Content-Type") or "", re.I)
+    try:
+        return payload.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+RESPONSE = "record_id string, target_uri string, date string, http_headers string, body string, warc_headers string, payload binary, complete boolean"
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response rows of UTF-8 WARC files, plain or gzipped as whole files; one task per file."""
-    whole = spark.read.text(path, wholetext=True)
-    record = whole.select(F.explode(F.split("value", r"(?m)(?=^WARC/1\.[01]\r?$)")).alias("r")).where(F.length(F.trim("r")) > 0)
-    parts = record.select(F.split("r", "\r\n\r\n", 3).alias("p"))
-    name = lambda h: F.nullif(F.regexp_extract(F.get("p", F.lit(0)), rf"(?mi)^{h}:[ \t]*(.*?)\r?$", 1), F.lit(""))
-    return parts.select(
-        name("WARC-Type").alias("type"), name("WARC-Record-ID").alias("record_id"), name("WARC-Target-URI").alias("target_uri"), name("WARC-Date").alias("date"),
-        F.get("p", F.lit(1)).alias("http_headers"), F.regexp_replace(F.coalesce(F.get("p", F.lit(2)), F.lit("")), r"\r\n\r\n\s*$", "").alias("body"),
-    ).where("type = 'response'").drop("type")
+    """Response rows of WARC files, plain or gzipped; one task per file, which it reads whole (up to 2 GB).
+
+    Records are told apart by Content-Length; `complete` is false where a record is shorter than it says or says nothing.
+    A block that isn't HTTP has no HTTP headers and is the payload itself.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+    kinds = [pa.string()] * 6 + [pa.binary(), pa.bool_()]
+    names = ["record_id", "target_uri", "date", "http_headers", "body", "warc_headers", "payload", "complete"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows, size = [], 0
+                for headers, block, complete in records_of(content.as_py() or b""):
+                    named = {k.lower(): v for k, v in reversed(headers)}
+                    if named.get("warc-type") != "response":
+                        continue
+                    http, payload = "", block
+                    if block.startswith(b"HTTP/"):
+                        end = re.search(rb"\r?\n\r?\n", block)
+                        http, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+                        http = http.decode("utf-8", "replace")
+                    lines = "\r\n".join(f"{k}: {v}" for k, v in headers)
+                    rows.append((named.get("warc-record-id"), named.get("warc-target-uri"), named.get("warc-date"), http, body_of(http, payload), lines, payload, complete))
+                    size += 3 * len(block)
+                    if size > 16_000_000:  # batches of bounded size
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    return files.mapInArrow(run, RESPONSE)
