@@ -10,16 +10,17 @@ them: an item is leaked if one of its probes lies in the text within its edit bu
 The lemma is exact for every probe with a positive bound.  From some length on all have
 one (20 characters by default); shorter items are found where they stand in the text
 whole and between word boundaries, by a hash of every such place.  Null and empty texts and items have no leaks.
-Null ids are passed through; repeated rows and items repeat; other columns are ignored.
-A benchmark over `block_chars` characters is handled in blocks, one pass each, so the
-index that a task holds is bounded.
+Ids of any type and null ids are passed through; repeated documents repeat, items that
+repeat id and text count once; other columns are ignored.  A benchmark over `block_chars`
+characters is handled in blocks: one pass over the documents each, so that the driver and
+the tasks hold one block (or one longer item) at a time; leaks are joined by row keys then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 from unicodedata import category
 
 import numpy as np
@@ -27,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from quillon.llm.shared import row_keys, saved
 from quillon.llm.textbytes import U64, mix, seeded
 
 _BITS = 22
@@ -40,7 +43,7 @@ class LeakSettings:
     q: int = 10
     budget: float = 0.06
     probe_chars: int = 120
-    block_chars: int = 4_000_000
+    block_chars: int = 2_000_000
 
     def edits(self, m: int) -> int:
         return int(self.budget * m)
@@ -242,56 +245,66 @@ class LeakIndex:
         return [(item, *found[item]) for item in sorted(found)]
 
 
-def _blocks(benchmark: DataFrame, settings: LeakSettings, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size."""
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-chars // settings.block_chars))
-    if parts == 1:
-        return [[(r["i"], r["t"]) for r in items.collect()]]
-    block = F.pmod(F.xxhash64("i"), F.lit(parts))
-    return [[(r["i"], r["t"]) for r in items.where(block == k).collect()] for k in range(parts)]
+class _Benchmark:
+    """The items (id, text), as blocks of bounded size."""
 
+    def __init__(self, benchmark: DataFrame, settings: LeakSettings, item_col: str, text_col: str) -> None:
+        self.items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
+        chars = self.items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
+        self.parts = max(1, -(-chars // settings.block_chars))
+        self.leaks = T.ArrayType(T.StructType([T.StructField("item_id", self.items.schema["i"].dataType), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+    def block(self, k: int) -> list[tuple]:
+        of = self.items if self.parts == 1 else self.items.where(F.pmod(F.xxhash64("t", F.col("i").cast("string")), F.lit(self.parts)) == k)
+        return sorted(((r["i"], r["t"]) for r in of.collect()), key=lambda x: (x[0] is not None, x[0], x[1]))
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id and `leaks`, an array of (item_id, start, end) in the normalised text."""
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    leak = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([source.schema["doc_id"], T.StructField("leaks", T.ArrayType(leak))])
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(block) for block in _blocks(benchmark, settings, item_col, item_text_col)]
+
+def _scanned(rows: DataFrame, block: list[tuple], settings: LeakSettings, leaks: T.ArrayType) -> DataFrame:
+    """The rows with `leaks` in the place of their last column, the text."""
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("leaks", leaks)])
+    arrow = to_arrow_type(leaks)
+    shared = rows.sparkSession.sparkContext.broadcast(block)  # bounded, see _Benchmark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # several blocks: one index at a time for the texts of a batch
-        only = LeakIndex(shared[0].value, settings) if len(shared) == 1 else None
+        own = shared.value
+        index = LeakIndex([(k, text) for k, (_, text) in enumerate(own)], settings)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows: list[list] = [[] for _ in texts]
-            for block in shared:
-                index = only or LeakIndex(block.value, settings)
-                for row, text in zip(rows, texts):
-                    row += index.leaks(text)
-            leaks = pa.array([[{"item_id": i, "start": a, "end": b} for i, a, b in sorted(row)] for row in rows], type=arrow)
-            yield pa.RecordBatch.from_arrays([batch.column(0), leaks], names=["doc_id", "leaks"])
+            found = [[{"item_id": own[k][0], "start": a, "end": b} for k, a, b in index.leaks(x.as_py())] for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, type=arrow)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
-    return source.mapInArrow(run, schema)
+
+def _by_key(docs: DataFrame, items: _Benchmark, settings: LeakSettings, id_col: str, text_col: str) -> DataFrame:
+    """(_k1, _k2, _leaks) of the rows that leak, from one written pass per block."""
+    keyed = docs.select(*row_keys(id_col, text_col), docs[text_col].cast("string").alias("text"))
+    passes = [saved(_scanned(keyed, items.block(k), settings, items.leaks).where(F.size("leaks") > 0).dropDuplicates(["k1", "k2"]), "leaks") for k in range(items.parts)]
+    every = reduce(DataFrame.unionByName, passes).groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("_leaks"))
+    return saved(every.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "leaks")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id and `leaks`, an array of (item_id, start, end) in the normalised text."""
+    items = _Benchmark(benchmark, settings, item_col, item_text_col)
+    if items.parts == 1:
+        return _scanned(docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")), items.block(0), settings, items.leaks)
+    k1, k2 = row_keys(id_col, text_col)
+    joined = docs.join(_by_key(docs, items, settings, id_col, text_col), (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
+    return joined.select(docs[id_col].alias("doc_id"), F.coalesce("_leaks", F.array().cast(items.leaks)).alias("leaks"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that leak no item, unchanged."""
+    items = _Benchmark(benchmark, settings, item_col, item_text_col)
+    if items.parts > 1:
+        k1, k2 = row_keys(text_col, text_col)
+        return docs.join(_by_key(docs, items, settings, text_col, text_col), (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
     at = docs.columns.index(text_col)
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(block) for block in _blocks(benchmark, settings, item_col, item_text_col)]
+    shared = docs.sparkSession.sparkContext.broadcast(items.block(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = LeakIndex(shared[0].value, settings) if len(shared) == 1 else None
+        index = LeakIndex(list(enumerate(text for _, text in shared.value)), settings)
         for batch in batches:
-            clean = np.ones(batch.num_rows, dtype=bool)
-            for block in shared:
-                index = only or LeakIndex(block.value, settings)
-                for k, text in enumerate(batch.column(at).to_pylist()):
-                    clean[k] = clean[k] and not index.leaks(text)
-            yield batch.filter(pa.array(clean))
+            yield batch.filter(pa.array([not index.leaks(text.as_py()) for text in batch.column(at)], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
