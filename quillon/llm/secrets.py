@@ -4,7 +4,10 @@ Patterns find assigned secrets, access keys and long hex strings.  Beside them,
 values that stand in a credential context (``user_pwd = ...``, ``login: ...``) are
 scored by how many guesses an informed attacker needs: the value is cut into words,
 dates, repeats, keyboard walks, sequences and brute-force spans so that the sum of
-their log-guesses is least.  Values that stay expensive are spans of kind `guess`.
+their log-guesses is least.  Values that stay expensive are spans of kind `guess`.  Words are ranked by how many
+documents hold them: `learn_words` counts those of the whole corpus (what stands after
+``=`` or ``:`` isn't counted, so that leaked values don't become words) and keeps the most
+frequent `WordSettings.words`, which bounds what tasks hold.
 
 Positions count code points, ends are exclusive.  Null text is scanned as empty; empty
 texts have no spans; a null id is passed through; repeated rows repeat; other columns
@@ -16,11 +19,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: In the order in which kinds are listed at equal starts.
@@ -32,7 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What tells that a value is a credential, where ASSIGN's own words don't.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,20}[_.-]){0,3}(?:pwd|pass|passphrase|password|passwd|pin|cred|credential|credentials|auth|login|secret|token|key|apikey|bearer|authorization)["']?\x20{0,4}(?:[:=]|=>|:=|(?P<is>is))\x20{0,4}["']?(?:Bearer\x20|Basic\x20)?(?P<value>[^\s"'<>,;]{6,})""",
+    r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|password|passwd|pin|cred|credential|credentials|auth|login|secret|token|key|apikey|bearer|authorization)(?:["']?\x20*(?:[:=]|=>|:=)\x20*|\x20+(?P<is>is)\x20+)["']?(?:Bearer\x20|Basic\x20)?(?P<value>[^\s"'<>,;]{6,})""",
     re.I | re.A,
 )
 #: One of these, lower-cased, is in every text that ASSIGN or CONTEXT matches.
@@ -44,10 +48,8 @@ COMMON = (
     "summer winter spring autumn secret test user root guest default changeme hello love money star computer internet "
     "server database example sample demo token access public private system office company github google amazon"
 ).split()
-RANK = {w: k + 1 for k, w in enumerate(COMMON)}
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301$57", "aaeoisst")
-LONGEST_WORD = max(map(len, COMMON))
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d", re.A)
 
 
@@ -70,7 +72,35 @@ def _alphabet(c: str) -> float:
     return 33.0 if c < "\x80" else 100.0
 
 
-def log_guesses(value: str, limit: float = math.inf) -> float:
+class Words:
+    """Ranks of words, from 1."""
+
+    def __init__(self, ranked: Iterable[str] = ()) -> None:
+        self.rank = {w: k + 1 for k, w in enumerate(dict.fromkeys([*COMMON, *ranked]))}
+        self.longest = max(map(len, self.rank))
+
+
+_COMMON = Words()
+
+
+@dataclass(frozen=True)
+class WordSettings:
+    """The `words` most frequent words of `least` to `most` letters are learned."""
+
+    words: int = 20_000
+    least: int = 3
+    most: int = 20
+
+
+def learn_words(docs: DataFrame, settings: WordSettings = WordSettings(), text_col: str = "text") -> Words:
+    """The words (runs of a-z) that most documents hold, counted over all whole texts; ties by the word."""
+    text = F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[:=]\x20*[\"']?[^\s\"'<>,;]+", " ")
+    words = F.array_distinct(F.filter(F.split(text, "[^a-z]+"), lambda w: F.length(w).between(settings.least, settings.most)))
+    counts = docs.select(F.explode(words).alias("w")).groupBy("w").count()
+    return Words(r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(settings.words).collect())
+
+
+def log_guesses(value: str, limit: float = math.inf, words: Words = _COMMON) -> float:
     """log10 of the guesses that the cheapest segmentation of the value needs; `limit` if it needs that or more.
 
     Costs of a span: word - its rank, doubled for capitals and for leet spelling;
@@ -105,11 +135,11 @@ def log_guesses(value: str, limit: float = math.inf) -> float:
         # a brute-force character joins the span before it without a further doubling
         to(i + 1, best[i] + math.log10(_alphabet(value[i])))
         base = best[i] + (0.301 if i else 0.0)
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + words.longest) + 1):
+            rank = words.rank.get(low[i:j]) or words.rank.get(plain[i:j])
             if rank:
                 part = value[i:j]
-                to(j, base + math.log10(rank) + 0.301 * (part != part.lower()) + 0.301 * (low[i:j] not in RANK))
+                to(j, base + math.log10(rank) + 0.301 * (part != part.lower()) + 0.301 * (low[i:j] not in words.rank))
         if match := DATE.match(value, i):
             to(match.end(), base + math.log10(120.0 if match.end() - i == 4 else 43_800.0))
         if same <= i:
@@ -151,7 +181,7 @@ class GuessRule:
     min_log_guesses: float = 10.0
 
 
-def scan(text: str | None, rule: GuessRule = GuessRule()) -> list[tuple[str, int, int]]:
+def scan(text: str | None, rule: GuessRule = GuessRule(), words: Words = _COMMON) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind."""
     text = text or ""
     low = text.lower()
@@ -164,7 +194,7 @@ def scan(text: str | None, rule: GuessRule = GuessRule()) -> list[tuple[str, int
             value = m["value"].rstrip(".)]}!?:")
             # letters of one case after "is" are prose
             prose = m["is"] and value.isalpha() and (value.islower() or value.isupper())
-            if len(value) >= rule.min_chars and not prose and log_guesses(value, rule.min_log_guesses) >= rule.min_log_guesses:
+            if len(value) >= rule.min_chars and not prose and log_guesses(value, rule.min_log_guesses, words) >= rule.min_log_guesses:
                 found.append(("guess", m.start("value"), m.start("value") + len(value)))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -173,8 +203,9 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def find_secrets(docs: DataFrame, rule: GuessRule = GuessRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, rule: GuessRule = GuessRule(), id_col: str = "doc_id", text_col: str = "text", words: Words = _COMMON) -> DataFrame:
     """One row per document with its spans as an array of structs."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([source.schema["doc_id"], T.StructField("spans", T.ArrayType(span))])
@@ -182,7 +213,7 @@ def find_secrets(docs: DataFrame, rule: GuessRule = GuessRule(), id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(x.as_py(), rule)] for x in batch.column(1)]
+            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(x.as_py(), rule, shared.value)] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, type=arrow)], names=["doc_id", "spans"])
 
     return source.mapInArrow(run, schema)
@@ -190,8 +221,6 @@ def find_secrets(docs: DataFrame, rule: GuessRule = GuessRule(), id_col: str = "
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts per kind, a digest of the base kinds' spans, and all spans as text."""
-    from pyspark.sql import functions as F
-
     def text(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -203,8 +232,9 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, rule: GuessRule = GuessRule(), id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rule: GuessRule = GuessRule(), id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", words: Words = _COMMON) -> DataFrame:
     """The documents with every span replaced by a mask; overlapping spans become one."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     schema = docs.schema
     at = docs.columns.index(text_col)
 
@@ -213,7 +243,7 @@ def redact(docs: DataFrame, rule: GuessRule = GuessRule(), id_col: str = "doc_id
             texts = []
             for x in batch.column(at):
                 text, done, parts = x.as_py(), 0, []
-                for _, start, end in scan(text, rule):
+                for _, start, end in scan(text, rule, shared.value):
                     if start >= done:
                         parts += [text[done:start], mask]
                     done = max(done, end)
