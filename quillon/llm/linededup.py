@@ -8,7 +8,8 @@ Nulls and texts under three lines have no windows and stay as they are; windows
 a word are never removed.  Null ids sort first.  Rows that repeat id and text are one
 occurrence: they lose the same lines.  A text may lose all its lines and is then empty.
 Other columns pass through.  A window's occurrences are counted with partial sums and
-joined back, so no group meets in one task.
+joined back as a written table, so no group meets in one task and Spark can split the join
+where one window is very common.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import row_keys
+from quillon.llm.shared import row_keys, saved
 
 WIDTH = 3
 WORD = r"[^\x20\x09-\x0D]"
@@ -47,6 +48,7 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     windows = line_windows(docs, id_col, text_col, width)
     place = F.struct("row_id", "k1", "k2", "line")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
+    first = saved(first, "line-first")
     later = windows.join(first, ["h1", "h2"]).where(
         (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")) | (F.col("line") != F.col("first.line"))
     )
