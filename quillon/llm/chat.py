@@ -1,7 +1,7 @@
 """Operator 10 [native]: chat formatting in Spark expressions only.
 
 The turns of a conversation are collected as structs and sorted; adjacent turns of one
-role share one block; the blocks are concatenated.  Control strings inside texts get a
+role are merged into one turn with an array of texts; the merged turns are concatenated.  Control strings inside texts get a
 backslash after their first character (one more for each that is there already), which
 `unescape` takes away again.
 
@@ -53,22 +53,28 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.coalesce(turns[text_col].cast("string"), F.lit("")).alias("text"),
     )
     sorted_turns = turns.groupBy(turns[conv_col].alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    # what precedes a turn: within a block the joint, else the end of the last block and the next opening
-    turn_list = F.col("turns")
+    merged = sorted_turns.select("conv_id", merge_turns(F.col("turns")).alias("merged"))
 
-    def before(t: Column, i: Column) -> Column:
-        last = F.get(turn_list, i - 1)["role"]
-        return F.when(i == 0, F.concat(F.lit(BEGIN), _mark(t["role"], 0))).when(last == t["role"], F.lit(JOIN)).otherwise(F.concat(_mark(last, 1), _mark(t["role"], 0)))
+    def block(t: Column) -> Column:
+        """Opening, texts with joints between them, closing."""
+        plain = lambda text: F.struct(text.alias("text"), F.lit(False).alias("loss"))
+        spoken = F.transform(t["texts"], lambda x, k: F.array(plain(F.when(k == 0, F.lit("")).otherwise(F.lit(JOIN))), F.struct(escape(x).alias("text"), (t["role"] == "assistant").alias("loss"))))
+        return F.concat(F.array(plain(_mark(t["role"], 0))), F.flatten(spoken), F.array(plain(_mark(t["role"], 1))))
 
-    def pair(t: Column, i: Column) -> Column:
-        markup = F.struct(before(t, i).alias("text"), F.lit(False).alias("loss"))
-        return F.array(markup, F.struct(escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
+    begin = F.array(F.struct(F.lit(BEGIN).alias("text"), F.lit(False).alias("loss")))
+    segments = F.filter(F.concat(begin, F.flatten(F.transform("merged", block))), lambda s: s["loss"] | (s["text"] != ""))
+    return merged.select("conv_id", segments.alias("segments")).select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
-    end = F.array(F.struct(_mark(F.element_at(turn_list, -1)["role"], 1).alias("text"), F.lit(False).alias("loss")))
-    segments = F.concat(F.flatten(F.transform(turn_list, pair)), end)
-    return sorted_turns.select("conv_id", segments.alias("segments")).select(
-        "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments"
-    )
+
+def merge_turns(turns: Column) -> Column:
+    """Merged turns (role, texts) of a sorted array of turns (role, text): one for each run of one role.
+
+    Runs begin where the role differs from the one before; the arrays are cut there, in time linear in the turns.
+    """
+    starts = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+    ends = F.concat(F.slice(starts, 2, F.size(turns)), F.array(F.size(turns)))
+    runs = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+    return F.transform(runs, lambda r: F.struct(F.get(turns, r["a"])["role"].alias("role"), F.transform(F.slice(turns, r["a"] + 1, r["b"] - r["a"]), lambda t: t["text"]).alias("texts")))
 
 
 def read_back(formatted: Column) -> Column:
