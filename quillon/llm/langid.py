@@ -2,7 +2,8 @@
 
 The script of a word narrows its candidate languages; hashed byte n-grams and the
 hashed word give each candidate a log-likelihood per word; Viterbi decoding with a
-penalty for every switch labels spans.  The language of a document is the one whose
+penalty for every switch labels spans: no word gets a language that its script excludes,
+and within the candidates one odd word's evidence is bounded.  The language of a document is the one whose
 spans hold the most bytes.
 
 Fitting: per language, about `rows_per_lang` documents chosen by a hash of their id
@@ -31,16 +32,30 @@ from quillon.llm.textbytes import LOWER, U64, as_bytes, hash_spans, translated,
 
 BITS = 15
 BUCKETS = 1 << BITS
+#: The most that a word's best language leads another candidate by, in nats.
+LEAD = np.float32(8.0)
 #: Features: 3-byte and 5-byte grams within a word (edges marked), and the word itself.
 KINDS = 3
 
-#: First code point of a range, its script; a range ends where the next begins.
+#: First code point of a range, its script; a range ends where the next begins.  Fixed values, from Unicode's blocks.
+#: Words that begin with what several scripts share (digits, quotes, signs) aren't narrowed.
 SCRIPTS = (
-    (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
-    (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B80, "Tamil"), (0x0C00, "Telugu"),
-    (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0E00, "Thai"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"),
-    (0x1D00, "Latin"), (0x1F00, "Greek"), (0x2000, "Common"), (0x2C00, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3130, "Hangul"),
-    (0x3190, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"),
+    (0x0000, "Common"), (0x0041, "Latin"), (0x0080, "Common"), (0x00C0, "Latin"), (0x02B0, "Common"), (0x0370, "Greek"), (0x0400, "Cyrillic"),
+    (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Syriac"), (0x0750, "Arabic"), (0x0780, "Thaana"), (0x07C0, "Nko"),
+    (0x0800, "Other"), (0x0860, "Syriac"), (0x0870, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"),
+    (0x0B00, "Oriya"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0D80, "Sinhala"), (0x0E00, "Thai"),
+    (0x0E80, "Lao"), (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Cherokee"),
+    (0x1400, "Syllabics"), (0x1680, "Other"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x18B0, "Syllabics"), (0x1900, "Other"), (0x19E0, "Khmer"),
+    (0x1A00, "Other"), (0x1C80, "Cyrillic"), (0x1C90, "Georgian"), (0x1CC0, "Other"), (0x1D00, "Latin"), (0x1DC0, "Common"), (0x1E00, "Latin"),
+    (0x1F00, "Greek"), (0x2000, "Common"), (0x2C00, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"), (0x2D00, "Georgian"), (0x2D30, "Other"),
+    (0x2D80, "Ethiopic"), (0x2DE0, "Cyrillic"), (0x2E00, "Common"), (0x2E80, "Han"), (0x2FF0, "Common"), (0x3040, "Kana"), (0x3100, "Bopomofo"),
+    (0x3130, "Hangul"), (0x3190, "Common"), (0x31A0, "Bopomofo"), (0x31C0, "Common"), (0x31F0, "Kana"), (0x3200, "Common"), (0x3400, "Han"),
+    (0x4DC0, "Common"), (0x4E00, "Han"), (0xA000, "Yi"), (0xA4D0, "Other"), (0xA640, "Cyrillic"), (0xA6A0, "Other"), (0xA720, "Latin"),
+    (0xA800, "Other"), (0xA8E0, "Devanagari"), (0xA900, "Other"), (0xA960, "Hangul"), (0xA980, "Other"), (0xA9E0, "Myanmar"), (0xAA00, "Other"),
+    (0xAA60, "Myanmar"), (0xAA80, "Other"), (0xAB00, "Ethiopic"), (0xAB30, "Latin"), (0xAB70, "Cherokee"), (0xABC0, "Other"), (0xAC00, "Hangul"),
+    (0xD800, "Common"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB10, "Armenian"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, "Common"),
+    (0xFE70, "Arabic"), (0xFEFF, "Common"), (0xFF21, "Latin"), (0xFF5B, "Common"), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0xFFE0, "Common"),
+    (0x10000, "Other"), (0x1B000, "Kana"), (0x1B170, "Other"), (0x1D000, "Common"), (0x1D800, "Other"), (0x1F000, "Common"), (0x20000, "Han"), (0x40000, "Common"),
 )
 SCRIPT_NAMES = tuple(dict.fromkeys(name for _, name in SCRIPTS))
 _SCRIPT_AT = np.array([at for at, _ in SCRIPTS])
@@ -140,31 +155,33 @@ class LangModel:
                 values += self.table.take(grams[1, a:b], axis=0)
                 scores[i:j] = np.add.reduceat(values, first[i:j] - a, axis=0)
         scores += self.table.take(whole, axis=0)
-        if raw.max() >= 0xCD or np.isneginf(self.allowed[0]).any():
-            scores += self.allowed[word_scripts(raw, starts)]
+        narrow = None
+        if raw.max() >= 0xCA or np.isneginf(self.allowed[SCRIPT_NAMES.index("Latin")]).any():
+            narrow = self.allowed[word_scripts(raw, starts)].astype(np.float32)
+            scores += narrow
         scores -= scores.max(axis=1, keepdims=True)
-        # one odd word can't outweigh a span: its lead is bounded
-        return starts, ends, np.maximum(scores, -8.0, out=scores)
+        # among the script's candidates one odd word can't outweigh a span: its lead is bounded
+        np.maximum(scores, -LEAD, out=scores)
+        if narrow is not None:
+            scores += narrow
+        return starts, ends, scores
 
     def single(self, scores: np.ndarray) -> int:
         """The one language of the text, or -1 if a switch may pay: if no run of words gains more by
         leaving the best language than the switches cost, the best path has no switch."""
-        best, penalty = int(scores.sum(axis=0).argmax()), self.settings.switch_penalty
+        total, penalty = scores.sum(axis=0), self.settings.switch_penalty
+        best = int(total.argmax())
+        if np.isneginf(total[best]):  # no language is a candidate for every word
+            return -1
         gain = np.zeros(len(scores) + 1)
         np.cumsum(-scores[:, best], out=gain[1:])
         return best if gain[-1] < penalty or self._gains(scores, best, penalty) else -1
 
     def _gains(self, scores: np.ndarray, best: int, penalty: float) -> bool:
-        lead = scores - scores[:, best : best + 1]
-        sums = np.cumsum(lead, axis=0)
-        low = np.minimum.accumulate(np.minimum(sums, 0), axis=0)
-        # Leads of the best other language of each word bound those of any mix of them.
-        other = lead.copy()
+        other = scores - scores[:, best : best + 1]
         other[:, best] = -np.inf
-        top = other.max(axis=1) if lead.shape[1] > 1 else np.full(len(lead), -np.inf)
-        if not np.isfinite(top).all():
-            return bool((sums - low).max() < penalty)
-        run = np.cumsum(top)
+        # leads of the best other language of each word bound those of any mix of them
+        run = np.cumsum(np.maximum(other.max(axis=1), -1e6), dtype=np.float64)
         floor = np.minimum.accumulate(np.minimum(np.concatenate(([0.0], run[:-1])), 0))
         return bool((run - floor).max() < penalty)
 
@@ -269,7 +286,7 @@ class LangModel:
         """The language with the best total over all words, without spans."""
         if raw is None or not self.langs:
             return "und"
-        scores = self.word_scores(raw)[2]
+        scores = np.maximum(self.word_scores(raw)[2], -LEAD)  # a word of another script is only evidence here
         return self.langs[int(scores.sum(axis=0).argmax())] if len(scores) else "und"
 
     def label(self, raw: np.ndarray | None) -> tuple[str, float, list[tuple[int, int, str]]]:
@@ -277,7 +294,13 @@ class LangModel:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Never null: a row without an id isn't held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def learnable(id_col: str = "doc_id") -> Column:
+    """Rows to learn from: those that have an id and aren't held out."""
+    return F.col(id_col).isNotNull() & ~held_out(id_col)
 
 
 def hash_below(id_col: str, share: Column) -> Column:
@@ -291,7 +314,7 @@ def fit(docs: DataFrame, train: Column, settings: LangSettings = LangSettings(),
     sizes = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return LangModel([], np.zeros((KINDS * BUCKETS, 0), dtype=np.float32), np.zeros((len(SCRIPT_NAMES), 0)), settings)
+        return LangModel([], np.zeros((KINDS * BUCKETS, 0), dtype=np.float32), np.zeros((len(SCRIPT_NAMES), 0), dtype=np.float32), settings)
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, settings.rows_per_lang / r["count"]))))
     lang = F.col(lang_col).cast("string")
     sample = rows.where(lang.isin(langs) & hash_below(id_col, share[lang])).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -326,6 +349,7 @@ def fit(docs: DataFrame, train: Column, settings: LangSettings = LangSettings(),
     # by the language's own words: how much text other languages have in the script doesn't matter
     allowed = np.where(scripts >= settings.narrow_share * np.maximum(1.0, scripts.sum(axis=0, keepdims=True)), 0.0, -np.inf)
     allowed[np.isneginf(allowed).all(axis=1)] = 0.0  # nothing, or too little of each language, is known of the script
+    allowed[SCRIPT_NAMES.index("Common")] = 0.0
     # grams overlap and so aren't independent: a word's evidence counts about once
     table = np.empty((KINDS, BUCKETS, len(langs)), dtype=np.float32)
     for kind, weight in enumerate((0.35, 0.25, 0.5)):

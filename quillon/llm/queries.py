@@ -26,6 +26,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     p = [F.round(f"p{k}", 6).alias(f"p_{d}") for k, d in enumerate(mixing.TARGETS)]
+    rates = rates.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))  # one row per document
     return rates.select("doc_id", "tokens", *p, F.round("rate", 6).alias("rate"), mixing.copies(F.col("rate")).alias("copies"))
 
 
@@ -41,7 +42,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~langid.held_out())
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), langid.learnable())
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= model.settings.cut).cast("int").alias("predicted"))
 
@@ -54,13 +55,14 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(docs, ~langid.held_out())
+    model = langid.fit(docs, langid.learnable())
     found = langid.identify(docs, model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("lang_spans").cast("long").alias("n_spans"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.find_secrets(docs, words=secrets.learn_words(docs)))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
