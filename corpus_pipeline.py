@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a known language go."""
     ship(spark)
-    return langid.keep_identified(docs, langid.fit(docs, ~langid.held_out()))
+    return langid.keep_identified(docs, langid.fit(docs, langid.learnable()))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
