@@ -10,10 +10,11 @@ import difflib
 import html
 import re
 import unicodedata
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +42,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0)
 
 
+def word_tokens(text: Column) -> Column:
+    """Words with an inner apostrophe and numbers with decimals, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+(?:'[a-z]+)?|\d+(?:\.\d+)?"), 0)
+
+
 def anchors(text: Column, longest: int = 3) -> Column:
-    """Tokens of `longest` characters or more, or digits."""
-    return F.filter(tokens(text), lambda t: (F.length(t) >= longest) | t.rlike(r"^\d+$"))
+    """Words of `longest` characters or more and digits, of the text without formulas."""
+    plain = F.regexp_replace(text, r"(?s)\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]", " ")
+    return F.filter(word_tokens(plain), lambda t: (F.length(t) >= longest) | t.rlike(r"^\d+$"))
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -115,36 +122,64 @@ DEBRIS = {
     "embedded_question_number": r"(?i)\bQuestion\s+Number\s*:",
     "watermark": r"(?i)\bIQP\s*BANK\b|IQPBANK|www\.",
     "website_navigation": r"(?i)HomeHome|Information\s*Brochure|Pre\s*Examination|Important\s*Dates|FAQsFAQs|Contact\s*Us",
+    "paper_header": r"(?i)\bGATE\s*20(?:17|18|19|20|21|22|23|24|25)\s*(?:Computer\s*Sc|General\s+Aptitude|Graduate\s+Aptitude\s+Test)",
     "section_page_footer": r"(?i)\b(?:GA|CS(?:-\d+)?)\s+\d{1,2}\s*/\s*\d{1,2}\b",
+    "copyright_footer": r"(?i)\bCopyright\s*:?\s*GATE\b",
     "embedded_q_label": r"(?i)\bQ\.?\s*(?:No\.?\s*)?\d{1,2}\b",
+    "joined_word_ocr": r"(?i)\b(?:Considerthe|Considera|Whichoneof|Whichof|Thetotal|Whena|thefollowing|followingstatements?|assignpriorities|deviceraises|avectored|toidentify|bethenumber|denotethe|maximumdegreeof|setofall|isthestarting|arenon|semanticrules|operationExtract|bargraph|namedStudent|grammarG|arenonterminals|lexicaltokens)\b",
     "joined_formula_ocr": r"\b(?:If|then)[A-Z]\s*(?:=|[+\-*/])",
     "marks_or_key_boilerplate": r"(?i)answer\s+key|key\s*/\s*range|question\s+type|page\s+\d+\s+of\s+\d+|carry\s*(?:one|two)\s*marks?\s*each",
-    "visual_dependency": r"(?i)\b(?:figure|diagram|shown\s+(?:above|below|in\s+the)|given\s+(?:above|below)\s+is)\b",
-    "private_use_math_glyph": "[-]",
+    "visual_dependency": r"(?i)\b(?:figure|diagram|(?:bar\s+|line\s+)?graph\s+(?:shown|given)|shown\s+(?:above|below|in\s+the)|given\s+(?:above|below)\s+is|following\s+(?:(?:two|three)\s+)?(?:image|figure|diagram|circuit|graph|parse\s+tree|DFA|NFA|state\s+diagram)|(?:circuit|binary\s+tree|parse\s+tree|DFA|NFA|state\s+diagram)\s+(?:given|shown|above|below))\b",
+    "private_use_math_glyph": r"[\x{E000}-\x{F8FF}]",
 }
+# What tells code from prose, for the density rule and for the delimiter rule.
 CODE_MARKS = ("#include", "printf(", "scanf(", "int main", "->")
+CODE_WORDS = ("#include", "printf(", "scanf(", "int main", "return ", "char *", "void ", "for (", "while (")
+# Letters with blanks between them, prompts that end too early, labels inside options.
+SPACED_LETTERS = r"(?<![A-Za-z])(?:[a-z]\s+){3,}[a-z](?![A-Za-z])"
+OPEN_ENDING = r"[(\[{]$"
+ODD_ENDING = r"(?i)(?:\breturn|\bif|[,={])\s*$"
+NESTED_LABEL = r"(?i)\(\s*[A-D]\s*\)"
+
+
+def _any_of(text: Column, marks: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for mark in marks:
+        out = out | text.contains(mark)
+    return out
 
 
 def _dense(text: Column) -> Column:
     """Text in which blanks are missing: few of them, overlong words, or many inner capitals."""
-    share = F.length(F.regexp_replace(text, r"\S", "")) / F.length(text)
-    code = F.lit(False)
-    for mark in CODE_MARKS:
-        code = code | text.contains(mark)
+    share = F.length(F.regexp_replace(text, r"\S+", "")) / F.length(text)
     many_long = F.regexp_count(text, F.lit(r"[A-Za-z]{20,}")) >= 3
     camel = F.regexp_count(text, F.lit(r"[a-z]{2,}[A-Z][A-Za-z]{2,}")) >= 4
-    return (F.length(text) >= 120) & (((share <= 0.12) | many_long | camel) & ~code | text.rlike(r"[A-Za-z]{36,}"))
+    return (F.length(text) >= 120) & (((share <= 0.12) | many_long | camel) & ~_any_of(text, CODE_MARKS) | text.rlike(r"[A-Za-z]{36,}"))
+
+
+def quality_flags(clean: Column, prompt: Column | None = None, options: Column | None = None) -> Column:
+    """Sorted codes of what is wrong with a transcription; empty if nothing is.
+
+    `clean`: the collapsed text, as a column of its own (see `with_quality_flags`), because every flag reads it.
+    `prompt`: the part whose ending counts, by default all of it; `options`: texts that may hold a label of their own.
+    """
+    ending = clean if prompt is None else prompt
+    found = {name: clean.rlike(pattern) for name, pattern in DEBRIS.items()}
+    found |= {"spaced_character_ocr": clean.rlike(SPACED_LETTERS), "dense_missing_space_ocr": _dense(clean), "truncated_prompt": ending.rlike(OPEN_ENDING), "suspicious_prompt_ending": ending.rlike(ODD_ENDING)}
+    if options is not None:
+        found["nested_option_label"] = F.exists(options, lambda x: F.coalesce(x.rlike(NESTED_LABEL), F.lit(False)))
+        found["unbalanced_code_delimiters"] = _any_of(clean, CODE_WORDS) & ~balanced(clean)
+    return F.array_sort(F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in found.items()))))
 
 
-def quality_flags(text: Column) -> Column:
-    """Sorted codes of what is wrong with a transcription; empty if nothing is."""
-    clean = collapse(text)
-    found = [F.when(clean.rlike(pattern), F.lit(name)) for name, pattern in DEBRIS.items()]
-    found.append(F.when(clean.rlike(r"(?<![A-Za-z])(?:[a-z]\s+){3,}[a-z](?![A-Za-z])"), F.lit("spaced_character_ocr")))
-    found.append(F.when(_dense(clean), F.lit("dense_missing_space_ocr")))
-    found.append(F.when(clean.rlike(r"[(\[{]$"), F.lit("truncated_prompt")))
-    found.append(F.when(clean.rlike(r"(?i)(?:\breturn|\bif|[,={])\s*$"), F.lit("suspicious_prompt_ending")))
-    return F.array_sort(F.array_compact(F.array(*found)))
+def with_quality_flags(df: DataFrame, text_col: str, name: str = "flags", options_col: str | None = None) -> DataFrame:
+    """The rows with their flags; with options (an array of texts) those of the whole record."""
+    text = F.col(text_col)
+    if options_col is None:
+        return df.withColumn("_clean", collapse(text)).withColumn(name, quality_flags(F.col("_clean"))).drop("_clean")
+    options = F.coalesce(options_col, F.array().cast("array<string>"))
+    whole = df.withColumns({"_clean": collapse(F.concat_ws(" ", text, options)), "_prompt": collapse(text)})
+    return whole.withColumn(name, quality_flags(F.col("_clean"), F.col("_prompt"), options)).drop("_clean", "_prompt")
 
 
 class _Shown(HTMLParser):
@@ -152,8 +187,16 @@ class _Shown(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.skip = 0
+        self.image = False
+
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # the parser's answer to a declaration that it doesn't know: a comment
+            return self.parse_bogus_comment(i)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.image = self.image or tag == "img"
         self.skip += tag in ("script", "style")
         if tag in ("br", "p", "div", "li", "tr", "h1", "h2", "h3"):
             self.parts.append("\n")
@@ -168,12 +211,15 @@ class _Shown(HTMLParser):
 
 def shown_text(page: str | None) -> str | None:
     """The text of an HTML fragment without zero-width characters; white space is folded."""
-    if page is None:
-        return None
-    shown = _Shown()
-    shown.feed(page)
-    shown.close()
-    return " ".join(re.sub("[​-‍﻿]", "", "".join(shown.parts)).split())
+    return None if page is None else shown(page)[0]
+
+
+def shown(page: str) -> tuple[str, bool]:
+    """The text of an HTML fragment, and whether it has an image."""
+    parser = _Shown()
+    parser.feed(page)
+    parser.close()
+    return " ".join(re.sub("[\u200b-\u200d\ufeff]", "", "".join(parser.parts)).split()), parser.image
 
 
 @F.pandas_udf(T.StringType())
@@ -181,7 +227,13 @@ def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(shown_text, na_action="ignore")
 
 
-_QUOTES = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."})
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("has_image", T.BooleanType())]))
+def html_content(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None) if page is None else shown(page) for page in pages], columns=["text", "has_image"])
+
+
+# Quotes, dashes and the ellipsis in plain form.
+_QUOTES = str.maketrans({"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u2026": "..."})
 
 
 @F.pandas_udf(T.StringType())
@@ -195,38 +247,48 @@ def search_key(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
-def similarity(a: str | None, b: str | None) -> tuple[float, float, float, float]:
-    """(score, ratio, coverage, longest) of two texts by their word sequences.
+def plain_ascii(text: str) -> str:
+    """Letters without their marks; what has no ASCII form goes."""
+    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+
+
+@F.pandas_udf(T.StringType())
+def ascii_slug(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: re.sub(r"[^a-z0-9]+", "-", plain_ascii(x).lower()).strip("-"), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def comparison_key(texts: pd.Series) -> pd.Series:
+    """NFKC and case-folded, runs of other characters than a-z and 0-9 one blank."""
+    return texts.map(lambda x: re.sub(r"[^a-z0-9]+", " ", unicodedata.normalize("NFKC", x).casefold()).strip(), na_action="ignore")
+
+
+def similarity(left: str | None, right: str | None) -> tuple[float, float, float, float]:
+    """(score, ratio, coverage, longest) of a text by another, from their word sequences, rounded to 6 places.
 
-    score = max(ratio, 0.55 coverage + 0.45 longest); 0 if either has under six words.
+    coverage: the share of the left words that the right has too, as multisets; longest: the longest common run, as a
+    share of the left words; score = max(ratio, 0.55 coverage + 0.45 longest); 0 if either has under six words.
     """
-    one, two = re.findall(r"[a-z0-9]+", (a or "").lower()), re.findall(r"[a-z0-9]+", (b or "").lower())
-    if min(len(one), len(two)) < 6:
+    a, b = (re.findall(r"[a-z]+(?:'[a-z]+)?|\d+(?:\.\d+)?", unicodedata.normalize("NFKC", x or "").casefold()) for x in (left, right))
+    if min(len(a), len(b)) < 6:
         return 0.0, 0.0, 0.0, 0.0
-    match = difflib.SequenceMatcher(None, one, two, autojunk=False)
-    counts: dict[str, int] = {}
-    for w in two:
-        counts[w] = counts.get(w, 0) + 1
-    shared = 0
-    for w in one:
-        if counts.get(w, 0) > 0:
-            counts[w] -= 1
-            shared += 1
-    small = min(len(one), len(two))
-    ratio, coverage = match.ratio(), shared / small
-    longest = max((m.size for m in match.get_matching_blocks()), default=0) / small
-    return max(ratio, 0.55 * coverage + 0.45 * longest), ratio, coverage, longest
+    blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    ratio = 2 * sum(m.size for m in blocks) / (len(a) + len(b))
+    coverage = (Counter(a) & Counter(b)).total() / len(a)
+    longest = max(m.size for m in blocks) / len(a)
+    return tuple(round(x, 6) for x in (max(ratio, 0.55 * coverage + 0.45 * longest), ratio, coverage, longest))
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("score", "ratio", "coverage", "longest")]))
-def text_similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+def text_similarity(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """For pairs that a blocking join has chosen: sequence similarity is costly."""
-    return pd.DataFrame([similarity(x, y) for x, y in zip(a, b)], columns=["score", "ratio", "coverage", "longest"])
+    return pd.DataFrame([similarity(x, y) for x, y in zip(left, right)], columns=["score", "ratio", "coverage", "longest"])
 
 
 @F.pandas_udf(T.DoubleType())
-def char_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
+def char_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """For blocked pairs: twice the matching characters over all, 1 for two empty texts."""
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(left, right)], dtype="float64")
 
 
 def ratio_band(ratio: Column) -> Column:

@@ -71,24 +71,34 @@ def slot_grid(papers: DataFrame, paper_col: str, count_col: str) -> DataFrame:
 
 
 def value_conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key the value if all rows agree, else null and how many there are."""
+    """Per key the value if all rows agree, else null and the values that compete; null values are none."""
     n = F.count_distinct(value)
-    return rows.groupBy(key).agg(n.alias("n_values"), F.when(n == 1, F.min(value)).alias("value"))
+    return rows.groupBy(key).agg(n.alias("n_values"), F.when(n == 1, F.min(value)).alias("value"), F.when(n > 1, F.array_sort(F.collect_set(value))).alias("conflict"))
+
+
+def forbidden_keys(text: Column, names: tuple[str, ...]) -> Column:
+    """Which of the names are keys anywhere in a JSON text, however deep: sorted, empty if none is."""
+    return codes({name: text.rlike(rf'"{name}"\s*:') for name in names})
 
 
 def overlap(content: DataFrame, reference: DataFrame, n: int, id_col: str, ref_id: str, text_col: str = "text") -> DataFrame:
     """Word n-grams of the content that occur in the reference set: (id, place, gram_sha).
 
-    The reference is deduplicated first, so that frequent n-grams don't multiply rows.
+    Every window is hashed to 64 bits and looked up among the reference's; only for hits is the n-gram built, and
+    compared by its SHA-256.  The reference is deduplicated first, so that frequent n-grams don't multiply rows.
     """
-    def grams(df: DataFrame, *keep: str) -> DataFrame:
-        # words as a column of their own: inside the lambda they would be extracted for every n-gram
-        words = df.select(*keep, tx.tokens(F.col(text_col)).alias("words")).where(F.size("words") >= n)
-        return words.select(*keep, F.posexplode(tx.ngrams(F.col("words"), n)).alias("place", "gram"))
-
-    known = grams(reference, ref_id).select(F.sha2("gram", 256).alias("gram_sha")).distinct()
-    own = grams(content, id_col).select(id_col, F.col("place").cast("long").alias("place"), F.sha2("gram", 256).alias("gram_sha"))
-    return own.join(known, "gram_sha", "left_semi")
+    words = lambda df, key: df.select(F.col(key).alias("_id"), tx.tokens(F.col(text_col)).alias("words")).where(F.size("words") >= n)
+    windows = lambda f: F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), f)
+    gram = lambda i: F.array_join(F.slice("words", i, n), " ")
+    known = words(reference, ref_id).select(F.explode(windows(lambda i: F.struct(F.xxhash64(F.slice("words", i, n)).alias("h"), F.sha2(gram(i), 256).alias("sha")))).alias("g"))
+    known = known.select("g.h", "g.sha").distinct()
+    hashed = words(content, id_col).select("_id", F.posexplode(windows(lambda i: F.xxhash64(F.slice("words", i, n)))).alias("place", "h"))
+    places = hashed.join(known.select("h").distinct(), "h", "left_semi").groupBy("_id").agg(F.collect_set("place").alias("places")).withColumnRenamed("_id", "_hit")
+    # back to the few texts with hits, to build their n-grams
+    hit = words(content, id_col).join(places, F.col("_id").eqNullSafe(F.col("_hit"))).select("_id", "words", "places")
+    built = hit.select("_id", F.explode(F.transform("places", lambda p: F.struct(p.cast("long").alias("place"), F.sha2(gram(p + 1), 256).alias("gram_sha")))).alias("g"))
+    found = built.select(F.col("_id").alias(id_col), "g.place", "g.gram_sha")
+    return found.join(known.select(F.col("sha").alias("gram_sha")).distinct(), "gram_sha", "left_semi")
 
 
 def precedence(sources: dict[str, Column]) -> Column:

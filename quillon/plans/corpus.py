@@ -38,22 +38,35 @@ def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 12, "doc_id", "item_id")
 
 
-_CLEAN = r"trim(regexp_replace(translate(text, chr(160) || '‐‑‒–—−', ' ------'), '\s+', ' ', 'g'))"
-_CODES = [(name, f"regexp_matches(x, '{pattern}')") for name, pattern in tx.DEBRIS.items()]
-_CODES += [
-    ("spaced_character_ocr", r"regexp_matches(x, '(^|[^A-Za-z])([a-z]\s+){3,}[a-z]([^A-Za-z]|$)')"),
-    ("dense_missing_space_ocr", r"""length(x) >= 120 AND (regexp_matches(x, '[A-Za-z]{36,}') OR (
+_CLEAN = r"trim(regexp_replace(translate(text, chr(160) || chr(8208) || chr(8209) || chr(8210) || chr(8211) || chr(8212) || chr(8722), ' ------'), '\s+', ' ', 'g'))"
+# The same rules written for SQL: on lower-cased text where case doesn't count, `l`, else on the clean one, `x`.
+_CODES = {
+    "answer_metadata": r"regexp_matches(l, '\b(correct|wrong)\s*:')",
+    "embedded_question_number": r"regexp_matches(l, '\bquestion\s+number\s*:')",
+    "watermark": r"regexp_matches(l, '\biqp\s*bank\b') OR contains(l, 'iqpbank') OR contains(l, 'www.')",
+    "website_navigation": r"regexp_matches(l, 'homehome|information\s*brochure|pre\s*examination|important\s*dates|faqsfaqs|contact\s*us')",
+    "paper_header": r"regexp_matches(l, '\bgate\s*20(1[789]|2[0-5])\s*(computer\s*sc|general\s+aptitude|graduate\s+aptitude\s+test)')",
+    "section_page_footer": r"regexp_matches(l, '\b(ga|cs(-\d+)?)\s+\d{1,2}\s*/\s*\d{1,2}\b')",
+    "copyright_footer": r"regexp_matches(l, '\bcopyright\s*:?\s*gate\b')",
+    "embedded_q_label": r"regexp_matches(l, '\bq\.?\s*(no\.?\s*)?\d{1,2}\b')",
+    "joined_word_ocr": "len(list_intersect(regexp_extract_all(l, '[a-z0-9_]+'), ['considerthe', 'considera', 'whichoneof', 'whichof', 'thetotal', 'whena', 'thefollowing', 'followingstatement', 'followingstatements', 'assignpriorities', 'deviceraises', 'avectored', 'toidentify', 'bethenumber', 'denotethe', 'maximumdegreeof', 'setofall', 'isthestarting', 'arenon', 'semanticrules', 'operationextract', 'bargraph', 'namedstudent', 'grammarg', 'arenonterminals', 'lexicaltokens'])) > 0",
+    "joined_formula_ocr": r"regexp_matches(x, '\b(If|then)[A-Z]\s*[=+*/-]')",
+    "marks_or_key_boilerplate": r"regexp_matches(l, 'answer\s+key|key\s*/\s*range|question\s+type|page\s+\d+\s+of\s+\d+|carry\s*(one|two)\s*marks?\s*each')",
+    "visual_dependency": r"regexp_matches(l, '\b(figure|diagram|((bar|line)\s+)?graph\s+(shown|given)|shown\s+(above|below|in\s+the)|given\s+(above|below)\s+is|following\s+((two|three)\s+)?(image|figure|diagram|circuit|graph|parse\s+tree|dfa|nfa|state\s+diagram)|(circuit|binary\s+tree|parse\s+tree|dfa|nfa|state\s+diagram)\s+(given|shown|above|below))\b')",
+    "private_use_math_glyph": "len(list_filter(string_split(x, ''), lambda c: unicode(c) BETWEEN 57344 AND 63743)) > 0",
+    "spaced_character_ocr": r"regexp_matches(x, '(^|[^A-Za-z])([a-z]\s+){3,}[a-z]([^A-Za-z]|$)')",
+    "dense_missing_space_ocr": r"""length(x) >= 120 AND (regexp_matches(x, '[A-Za-z]{36,}') OR (
       NOT (contains(x, '#include') OR contains(x, 'printf(') OR contains(x, 'scanf(') OR contains(x, 'int main') OR contains(x, '->')) AND
-      (length(regexp_replace(x, '\S', '', 'g')) / length(x) <= 0.12 OR len(regexp_extract_all(x, '[A-Za-z]{20,}')) >= 3 OR len(regexp_extract_all(x, '[a-z]{2,}[A-Z][A-Za-z]{2,}')) >= 4)))"""),
-    ("truncated_prompt", r"regexp_matches(x, '[(\[{]$')"),
-    ("suspicious_prompt_ending", r"regexp_matches(x, '(?i)(?:\breturn|\bif|[,={])\s*$')"),
-]
+      (length(regexp_replace(x, '\S', '', 'g')) / length(x) <= 0.12 OR len(regexp_extract_all(x, '[A-Za-z]{20,}')) >= 3 OR len(regexp_extract_all(x, '[a-z]{2,}[A-Z][A-Za-z]{2,}')) >= 4)))""",
+    "truncated_prompt": "x <> '' AND contains('([{', right(x, 1))",
+    "suspicious_prompt_ending": r"regexp_matches(l, '(\breturn|\bif|[,={])\s*$')",
+}
 
 
-@query(f"WITH c AS (SELECT doc_id, {_CLEAN} AS x FROM documents) SELECT doc_id, array_to_string(list_sort(list_filter([{', '.join(f'CASE WHEN {rule} THEN {chr(39)}{name}{chr(39)} END' for name, rule in _CODES)}], lambda v: v IS NOT NULL)), ',') AS flags FROM c")
+@query(f"WITH c AS (SELECT doc_id, {_CLEAN} AS x, lower({_CLEAN}) AS l FROM documents) SELECT doc_id, array_to_string(list_sort(list_filter([{', '.join(f'CASE WHEN {rule} THEN {chr(39)}{name}{chr(39)} END' for name, rule in _CODES.items())}], lambda v: v IS NOT NULL)), ',') AS flags FROM c")
 def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.array_join(tx.quality_flags(F.col("text")), ",").alias("flags"))
+    flagged = tx.with_quality_flags(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return flagged.select("doc_id", F.array_join("flags", ",").alias("flags"))
 
 
 #: Label: keyword -> weight, 3 for a phrase and 1 for a word.
@@ -83,8 +96,8 @@ def html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text by an HTML parser, which SQL has not; tested against its plain function."""
     pages = table(spark, sf_dir, "pages")
-    shown = pages.select("page_id", tx.html_text("html").alias("text"), tx.has_active_html(F.col("html")).alias("active"))
-    return shown.select("page_id", "active", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha"))
+    shown = pages.select("page_id", tx.html_content("html").alias("c"), tx.has_active_html(F.col("html")).alias("active"))
+    return shown.select("page_id", "active", "c.has_image", F.length("c.text").cast("long").alias("n_chars"), F.sha2("c.text", 256).alias("text_sha"))
 
 
 @query(r"""SELECT page_id, regexp_matches(html, '(?i)<\s*(script|iframe|object|embed|form|svg|style|link|meta)\b|\son\w+\s*=|javascript:') AS active,
