@@ -21,6 +21,24 @@ def text_match(columns: list[str], needle: str | None) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(c), low), F.lit(False)) for c in columns))
 
 
+def search_text(columns: list[str]) -> Column:
+    """The columns in lower case, one per line; a missing one is left out.  Compute it once and search it often."""
+    return F.lower(F.concat_ws("\n", *columns))
+
+
+def nested_match(column: str, needle: str) -> Column:
+    """The needle occurs in the joined texts of an array of arrays, whatever the case; a blank one always does."""
+    if not needle.strip():
+        return F.lit(True)
+    whole = F.lower(F.array_join(F.flatten(column), " ", ""))
+    return F.coalesce(F.contains(whole, F.lit(needle.strip().lower())), F.lit(False))
+
+
+def eligible(rows: DataFrame, safe: str, status: str, verified: str = "verified") -> DataFrame:
+    """Rows marked safe and verified; a missing mark counts as both."""
+    return rows.where(F.coalesce(safe, F.lit(True)) & (F.coalesce(status, F.lit(verified)) == verified))
+
+
 def search(items: DataFrame, facets: dict[str, object] | None = None, needle: str | None = None, text_columns: list[str] | None = None, active_only: bool = True) -> DataFrame:
     """Conjunction of the facets that are given: a value, a list of values, or None for no filter."""
     out = items.where("is_active") if active_only else items

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import answers
+
 
 def compiled_policy(groups: DataFrame, name: str = "label") -> DataFrame:
     """(signature, label) from grouped decisions (label, signatures); a signature with two labels has null and `conflict`."""
@@ -57,22 +59,32 @@ def source_verification(rows: DataFrame, key: str) -> DataFrame:
     return found.select(key, decision.alias("decision"), "domains")
 
 
-def corroborated(rows: DataFrame, key: str, value: str, source: str, least_sources: int = 2) -> DataFrame:
-    """Keys with one value that enough distinct sources give."""
-    found = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count_distinct(source).alias("sources"), F.count_distinct(value).alias("values"), F.min(value).alias("value"))
-    return found.where((F.col("values") == 1) & (F.col("sources") >= least_sources)).select(key, "value", "sources")
+def corroborated(rows: DataFrame, key: str, value: str, source: str, least_sources: int = 2, agree: tuple[str, ...] = ()) -> DataFrame:
+    """Keys with one value that enough distinct sources give, and one value of each column that has to agree too."""
+    found = rows.where(F.col(value).isNotNull()).groupBy(key).agg(
+        F.count_distinct(source).alias("sources"), F.count_distinct(value).alias("values"), F.min(value).alias("value"), *(F.count_distinct(c).alias(f"_{k}") for k, c in enumerate(agree))
+    )
+    one = (F.col("values") == 1) & (F.col("sources") >= least_sources)
+    for k in range(len(agree)):
+        one = one & (F.col(f"_{k}") <= 1)
+    return found.where(one).select(key, "value", "sources")
+
 
+def selected_claim(canonical: Column, secondary: Column, kind: Column | None = None) -> Column:
+    """struct(value, status) from the canonical value and an array of secondary ones (nulls ignored).
 
-def selected_claim(canonical: Column, secondary: Column) -> Column:
-    """struct(value, status) from the canonical value and an array of secondary ones (nulls ignored)."""
-    values = F.array_distinct(F.filter(secondary, lambda v: v.isNotNull()))
-    n = F.size(F.filter(secondary, lambda v: v.isNotNull()))
-    others = F.exists(values, lambda v: v != canonical)
+    With the question's kind, answers that mean the same count as equal: see `answers.fingerprint`.
+    """
+    same = (lambda v: v) if kind is None else (lambda v: answers.fingerprint(kind, v))
+    given = F.filter(secondary, lambda v: v.isNotNull())
+    prints = F.array_distinct(F.transform(given, same))
+    others = F.exists(prints, lambda v: v != same(canonical))
+    n = F.size(given)
     status = (
-        F.when(canonical.isNotNull() & others, "conflict").when(canonical.isNotNull(), "canonical").when(F.size(values) > 1, "conflict")
+        F.when(canonical.isNotNull() & others, "conflict").when(canonical.isNotNull(), "canonical").when(F.size(prints) > 1, "conflict")
         .when(n >= 2, "corroborated").when(n == 1, "single").otherwise("missing")
     )
-    value = F.when(status == "canonical", canonical).when(status.isin("corroborated", "single"), F.get(values, F.lit(0)))
+    value = F.when(status == "canonical", canonical).when(status.isin("corroborated", "single"), F.get(given, F.lit(0)))
     return F.struct(value.alias("value"), status.alias("status"))
 
 

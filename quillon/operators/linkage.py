@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as tx
+
 
 def margins(edges: DataFrame, key: str, score: str, tie: str, prefix: str) -> DataFrame:
     """Rank of each edge within its key and the best one's lead over the runner-up (1 if alone)."""
@@ -26,8 +28,28 @@ def mutual_best(edges: DataFrame, source: str, target: str, score: str, least_ma
     return ranked.where("source_rank = 1").select(source, target, score, "source_margin", "target_margin", mutual.alias("mutual"), F.when(mutual & clear, "accepted").otherwise("review").alias("outcome"))
 
 
-def unmatched(sources: DataFrame, matched: DataFrame, key: str) -> DataFrame:
-    return sources.select(key).distinct().join(matched.select(key), key, "left_anti").withColumn("outcome", F.lit("unmatched"))
+def decisions(sources: DataFrame, edges: DataFrame, source: str, target: str, score: str, least_margin: float = 0.08) -> DataFrame:
+    """Every source with its decision: accepted, review or unmatched; for a review its two best candidates.
+
+    Only the two best edges of a source and of a target are ranked against each other, so that a target with very
+    many edges is cut down before its rows meet.
+    """
+    by_source = Window.partitionBy(source).orderBy(F.desc(score), target)
+    by_target = Window.partitionBy(target).orderBy(F.desc(score), source)
+    best = edges.select(source, target, score).withColumn("_k", F.row_number().over(by_source)).where("_k <= 2")
+    top = best.groupBy(source).agg(F.min_by(F.struct(target, score), "_k").alias("_top"), F.array_sort(F.collect_list(F.struct("_k", target, score))).alias("_both"))
+    rivals = edges.select(source, target, score).withColumn("_k", F.row_number().over(by_target)).where("_k <= 2")
+    held = rivals.groupBy(target).agg(F.min_by(source, "_k").alias("_holder"), F.max(F.when(F.col("_k") == 1, F.col(score))).alias("_s1"), F.max(F.when(F.col("_k") == 2, F.col(score))).alias("_s2"))
+    margin = lambda a, b: F.coalesce(F.round(a - b, 6), F.lit(1.0))
+    joined = top.select(source, F.col(f"_top.{target}").alias(target), F.col(f"_top.{score}").alias(score), "_both").join(held, target)
+    mutual = F.col("_holder") == F.col(source)
+    source_margin, target_margin = margin(F.col(score), F.get("_both", F.lit(1))[score]), margin(F.col("_s1"), F.col("_s2"))
+    accepted = mutual & (source_margin >= least_margin) & (target_margin >= least_margin)
+    decided = joined.select(
+        source, target, score, source_margin.alias("source_margin"), target_margin.alias("target_margin"), mutual.alias("mutual"), F.when(accepted, "accepted").otherwise("review").alias("outcome"),
+        F.when(~accepted, F.transform("_both", lambda x: x[target])).alias("candidates"),
+    )
+    return sources.select(source).distinct().join(decided, source, "left").withColumn("outcome", F.coalesce("outcome", F.lit("unmatched")))
 
 
 def tiered(sources: DataFrame, targets: DataFrame, source_id: str, target_id: str, tiers: list[tuple[str, Column]]) -> DataFrame:
@@ -110,11 +132,11 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
 def resolve_claims(slots: DataFrame, claims: DataFrame, slot: str) -> DataFrame:
     """Every expected slot with its resolution.
 
-    `claims`: (slot, value, source, official).  Official values that disagree: official_conflict;
+    `claims`: (slot, value, source, official); a null value is no claim.  Official values that disagree: official_conflict;
     one: official; else a value that two sources give alone: corroborated; several values:
     conflict; one claim: unverified; none: gap.
     """
-    by_value = claims.groupBy(slot, "value").agg(F.count_distinct("source").alias("sources"), F.max(F.col("official").cast("int")).alias("official"))
+    by_value = claims.where("value IS NOT NULL").groupBy(slot, "value").agg(F.count_distinct("source").alias("sources"), F.max(F.col("official").cast("int")).alias("official"))
     found = by_value.groupBy(slot).agg(
         F.count("*").alias("n_values"), F.sum("official").alias("official_values"), F.min(F.when(F.col("official") == 1, F.col("value"))).alias("official_value"),
         F.min("value").alias("one_value"), F.max("sources").alias("most_sources"),
@@ -129,10 +151,40 @@ def resolve_claims(slots: DataFrame, claims: DataFrame, slot: str) -> DataFrame:
     return joined.select(slot, status.alias("status"), value.alias("value"), disagrees.alias("secondary_disagrees"))
 
 
-def blocked_candidates(left: DataFrame, right: DataFrame, block: list[str], checks: dict[str, Column]) -> DataFrame:
-    """Pairs within equal block keys with the first check that fails (null: a candidate)."""
-    reason = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()))
-    return left.join(right, block).withColumn("rejected", reason)
+def judged_pairs(sources: DataFrame, slots: DataFrame, block: list[str], rules: dict[str, Column]) -> DataFrame:
+    """Pairs of a source and a slot of the same block, with the first rule that rejects them (null: none does).
+
+    Blocks are papers: their slots are few, so pairs stay in proportion to the sources.  The columns of sources are
+    prefixed `a_`, those of slots `b_`; rules are over these.
+    """
+    named = lambda df, p: df.select(*block, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in block))
+    reason = F.coalesce(*(F.when(F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items()))
+    return named(sources, "a").join(named(slots, "b"), block).withColumn("rejected", reason)
+
+
+def rejections(pairs: DataFrame) -> DataFrame:
+    """(reason, pairs): how many pairs each rule has rejected, `candidate` for those that stay."""
+    return pairs.groupBy(F.coalesce("rejected", F.lit("candidate")).alias("reason")).agg(F.count("*").alias("pairs"))
+
+
+def text_edges(pairs: DataFrame, topic_score: Column, evidence: dict[str, Column], exact: str, existing: Column | None = None) -> DataFrame:
+    """The candidates among judged pairs whose texts agree, with `score` = 0.9 text + 0.1 topic.
+
+    `evidence`: texts of a slot by kind, with confidence `b_confidence` for those that aren't `exact`.  An exact text
+    needs a score of 0.74 and a coverage of 0.68; a recognised one 0.62, 0.58, a longest run of 0.20 and a confidence of
+    0.70.  A pair whose existing text scores under 0.30 is left out.
+    """
+    found = pairs.where("rejected IS NULL").withColumn("_topic", topic_score)
+    best = []
+    for kind, text in evidence.items():
+        found = found.withColumn(f"_{kind}", tx.text_similarity(F.col("a_text"), text))
+        s, c, longest = (F.col(f"_{kind}.{x}") for x in ("score", "coverage", "longest"))
+        good = (s >= 0.74) & (c >= 0.68) if kind == exact else (s >= 0.62) & (c >= 0.58) & (longest >= 0.20) & (F.coalesce("b_confidence", F.lit(0.0)) >= 0.70)
+        best.append(F.when(text.isNotNull() & good, s))
+    if existing is not None:
+        found = found.withColumn("_old", tx.text_similarity(F.col("a_text"), existing)).where(existing.isNull() | (F.trim(existing) == "") | (F.col("_old.score") >= 0.30))
+    text_score = F.greatest(*best) if len(best) > 1 else best[0]
+    return found.withColumn("text_score", text_score).where("text_score IS NOT NULL").withColumn("score", F.round(0.9 * F.col("text_score") + 0.1 * F.col("_topic"), 6))
 
 
 def any_key(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str]) -> DataFrame:

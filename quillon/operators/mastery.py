@@ -36,16 +36,15 @@ def analytics(evidence: DataFrame, questions: DataFrame, groups: list[str], now:
     available = active.groupBy(*groups).agg(F.count("*").alias("available")) if groups else active.agg(F.count("*").alias("available"))
     right = (F.col("latest_status") == "correct").cast("double")
     weight = F.when(F.col("latest_status").isNotNull(), recency_weight(F.col("latest_answered_at"), now))
-    joined = evidence.drop(*groups).join(active.select("question_id", *groups), "question_id")
-    sums = joined.groupBy("user_id", *groups).agg(
-        F.sum("attempt_count").alias("attempts"), F.count("*").alias("attempted"), F.count("latest_status").alias("answered"), F.count_if(F.col("correct_count") > 0).alias("solved"),
-        F.count_if(F.col("latest_status") == "correct").alias("correct"), F.count_if(F.col("latest_status") == "incorrect").alias("incorrect"), F.sum("unanswered_count").alias("unanswered"),
-        F.sum(weight * right).alias("right_weight"), F.sum(weight).alias("weight"), F.max("last_attempted_at").alias("last_attempted_at"),
-    )
-    learners = evidence.select("user_id").distinct()
-    # one row per learner and group: the groups of a syllabus are few
-    every = learners.join(F.broadcast(available))
-    filled = every.join(sums, ["user_id", *groups], "left").na.fill(0, ["attempts", "attempted", "answered", "solved", "correct", "incorrect", "unanswered"])
+    counts = {
+        "attempts": F.sum("attempt_count"), "attempted": F.count("*"), "answered": F.count("latest_status"), "solved": F.count_if(F.col("correct_count") > 0),
+        "correct": F.count_if(F.col("latest_status") == "correct"), "incorrect": F.count_if(F.col("latest_status") == "incorrect"), "unanswered": F.sum("unanswered_count"),
+    }
+    others = {"right_weight": F.sum(weight * right), "weight": F.sum(weight), "last_attempted_at": F.max("last_attempted_at")}
+    # questions that aren't active keep their learner, in a group of their own that is taken out below
+    joined = evidence.drop(*groups).join(active.select("question_id", *groups, F.lit(True).alias("_active")), "question_id", "left")
+    sums = joined.groupBy("user_id", "_active", *groups).agg(*(c.alias(name) for name, c in (counts | others).items()))
+    filled = zero_filled(sums.where("user_id IS NOT NULL"), available, groups, list(counts), list(others), F.col("_active"))
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     shares = filled.select(
         "*", share(F.col("correct"), F.col("answered")).alias("_accuracy"), share(F.col("right_weight"), F.col("weight")).alias("_recency"),
@@ -58,6 +57,22 @@ def analytics(evidence: DataFrame, questions: DataFrame, groups: list[str], now:
     )
 
 
+def zero_filled(sums: DataFrame, every: DataFrame, groups: list[str], counts: list[str], others: list[str], real: Column, learner: str = "user_id") -> DataFrame:
+    """Each learner of `sums` with all groups of `every`: counts are 0, other columns null, where they have no row.
+
+    A learner's groups are gathered into one row and matched with the array of all groups, so `sums` is computed once.
+    The groups of a syllabus are few: they fit an array.  `real`: which rows of sums count.
+    """
+    columns = [*counts, *others]
+    key = lambda x: F.to_json(F.struct(*(x(g).alias(g) for g in groups))) if groups else F.lit("")
+    entry = F.struct(key(F.col).alias("key"), F.struct(*columns).alias("value"))
+    own = sums.groupBy(learner).agg(F.map_from_entries(F.collect_list(F.when(F.coalesce(real, F.lit(False)), entry))).alias("_own"))
+    listed = every.select(F.struct(*every.columns).alias("g"), key(F.col).alias("key")).agg(F.collect_list(F.struct("g", "key")).alias("_all"))
+    spread = own.crossJoin(F.broadcast(listed)).select(learner, F.explode("_all").alias("_e"), "_own")  # one row on the right
+    matched = spread.select(learner, "_e.g.*", F.try_element_at("_own", F.col("_e.key")).alias("_v"))
+    return matched.select(learner, *every.columns, *(F.coalesce(f"_v.{c}", F.lit(0)).alias(c) for c in counts), *(F.col(f"_v.{c}").alias(c) for c in others))
+
+
 def topic_mastery(evidence: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
     return analytics(evidence, questions, ["subject", "topic"], now, TOPIC_TARGET)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import answers
+from quillon.operators import mastery
 
 
 def grade_responses(responses: DataFrame, attempts: DataFrame, questions: DataFrame, tolerance: float = 0.01, use_deadline: bool = False) -> DataFrame:
@@ -65,17 +66,19 @@ def subject_progress(graded: DataFrame, subjects: DataFrame) -> DataFrame:
     A question counts as unique in the subject under which the learner met it first, so
     that a question that moves between subjects counts once.
     """
-    keys = ["user_id", "question_id"]
-    first = graded.groupBy(*keys).agg(F.min_by("subject", F.struct("submitted_at", "attempt_id", "position")).alias("subject"))
-    unique = first.groupBy("user_id", "subject").agg(F.count("*").alias("unique_questions"))
-    sums = graded.groupBy("user_id", "subject").agg(
-        F.count("*").alias("attempted"), _count("correct").alias("correct"), _count("incorrect").alias("incorrect"), _count("unanswered").alias("unanswered"),
-        F.round(F.sum("awarded"), 4).alias("marks_earned"), F.sum("marks").alias("marks_available"),
-    )
-    every = graded.select("user_id").distinct().join(subjects.select("subject").distinct())
-    filled = every.join(sums, ["user_id", "subject"], "left").join(unique, ["user_id", "subject"], "left")
-    zero = {c: 0 for c in ("attempted", "unique_questions", "correct", "incorrect", "unanswered", "marks_available")} | {"marks_earned": 0.0}
-    return filled.na.fill(zero).withColumn("accuracy", accuracy(F.col("correct"), F.col("incorrect")))
+    sums = {
+        "attempted": F.count("*"), "correct": _count("correct"), "incorrect": _count("incorrect"), "unanswered": _count("unanswered"),
+        "marks_available": F.sum("marks"), "marks_earned": F.sum("awarded"),
+    }
+    # by question first, so that the responses are read once: a question's subjects are few
+    by_question = graded.groupBy("user_id", "question_id", "subject").agg(F.min(F.struct("submitted_at", "attempt_id", "position")).alias("at"), *(c.alias(name) for name, c in sums.items()))
+    listed = by_question.groupBy("user_id", "question_id").agg(F.collect_list(F.struct("subject", "at", *sums)).alias("all"))
+    least = F.array_min(F.transform("all", lambda x: x["at"]))
+    rows = listed.select("user_id", least.alias("least"), F.explode("all").alias("r")).select("user_id", "r.*", (F.col("r.at") == F.col("least")).cast("long").alias("unique_questions"))
+    totals = rows.groupBy("user_id", "subject").agg(*(F.sum(c).alias(c) for c in (*sums, "unique_questions")))
+    counts = ["attempted", "unique_questions", "correct", "incorrect", "unanswered", "marks_available"]
+    filled = mastery.zero_filled(totals, subjects.select("subject").distinct(), ["subject"], counts, ["marks_earned"], F.lit(True))
+    return filled.withColumns({"marks_earned": F.round(F.coalesce("marks_earned", F.lit(0.0)), 4), "accuracy": accuracy(F.col("correct"), F.col("incorrect"))})
 
 
 def evidence(graded: DataFrame) -> DataFrame:
@@ -119,6 +122,34 @@ def merge_evidence(*parts: DataFrame) -> DataFrame:
     )
 
 
+def projection(scores: DataFrame, found: DataFrame, k: int = 5) -> DataFrame:
+    """Per learner what a dashboard keeps: counts of attempts, all attempt ids, the last k attempts, and how many questions
+    of each subject they have met.  `scores`: attempts; `found`: evidence."""
+    return _projected(scores.select("user_id", "attempt_id", "submitted_at", F.lit(1).cast("long").alias("_n")), found, k)
+
+
+def merged_projection(guest: tuple[DataFrame, DataFrame], account: tuple[DataFrame, DataFrame], owners: DataFrame, k: int = 5) -> DataFrame:
+    """The projection of accounts that claim guests: counts add, ids unite, the last k are chosen anew, and the
+    subjects' questions are counted again from the merged evidence (ties go to the guest's)."""
+    moved = [_owned(df, owners) for df in guest]
+    scores = moved[0].unionByName(account[0]).select("user_id", "attempt_id", "submitted_at", F.lit(1).cast("long").alias("_n"))
+    return _projected(scores, merge_evidence(moved[1], account[1]), k)
+
+
+def _owned(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    known = owners.select(F.col("guest").alias("_guest"), F.col("account").alias("_account"))
+    return rows.join(known, F.col("user_id") == F.col("_guest"), "left").withColumn("user_id", F.coalesce("_account", "user_id")).drop("_guest", "_account")
+
+
+def _projected(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    once = rows.groupBy("user_id", "attempt_id").agg(F.max("submitted_at").alias("submitted_at"))
+    newest = Window.partitionBy("user_id").orderBy(F.desc("submitted_at"), F.desc("attempt_id"))
+    recent = once.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= k).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "attempt_id"))), lambda x: x["attempt_id"]).alias("recent"))
+    counts = once.groupBy("user_id").agg(F.count("*").alias("attempts"))
+    subjects = found.groupBy("user_id", "subject").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("subject", "n"))).alias("subjects"))
+    return counts.join(recent, "user_id").join(subjects, "user_id", "left")
+
+
 def resolve_aliases(rows: DataFrame, aliases: DataFrame, id_col: str = "question_id") -> DataFrame:
     """`id_col` becomes the canonical id of `aliases` (alias_id, canonical_id); ids without an alias stay."""
     known = aliases.select(F.col("alias_id").alias("_alias"), F.col("canonical_id").alias("_to"))

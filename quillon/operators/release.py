@@ -6,7 +6,7 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.digests import group_digest
@@ -28,27 +28,36 @@ def verify(rows: DataFrame, manifest: DataFrame, kind: str, shard: str, row_dige
     return manifest.join(found, [kind, shard], "full_outer").select(kind, shard, problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def packed(rows: DataFrame, kind: str, order: str, size: str, limit: int) -> DataFrame:
+def packed(rows: DataFrame, kind: str, order: str, size: str, limit: int, span: int) -> DataFrame:
     """Greedy packing in order: a shard takes rows until the next would exceed `limit` bytes.
 
-    Sequential by nature, so it runs per kind; kinds of a release are catalogues, not
-    corpora.  A row over the limit is an error.
+    A shard also ends where a range of `span` order keys does, so that ranges are packed on their own, as arrays of
+    at most that many rows; shards are numbered through all ranges of a kind.  A row over the limit is an error.
     """
-    schema = rows.select(kind, order, size).schema.simpleString()[7:-1].replace(":", " ") + ", shard long"
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        shard, held, shards = 0, 0, []
-        for n in group[size]:
-            if n > limit:
-                raise ValueError(f"a row of {n} bytes exceeds the shard limit of {limit}")
-            if held and held + n > limit:
-                shard, held = shard + 1, 0
-            held += n
-            shards.append(shard)
-        return group.assign(shard=shards)
-
-    return rows.select(kind, order, size).groupBy(kind).applyInPandas(pack, schema)
+
+    @F.pandas_udf("array<bigint>")
+    def pack(lists: pd.Series) -> pd.Series:
+        def one(sizes) -> list[int]:
+            shard, held, shards = 0, 0, []
+            for n in sizes:
+                if n > limit:
+                    raise ValueError(f"a row of {n} bytes exceeds the shard limit of {limit}")
+                if held and held + n > limit:
+                    shard, held = shard + 1, 0
+                held += n
+                shards.append(shard)
+            return shards
+
+        return lists.map(one)
+
+    ranged = rows.select(kind, F.floor(F.col(order) / span).alias("_range"), F.struct(order, size).alias("_row"))
+    listed = ranged.groupBy(kind, "_range").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    placed = listed.withColumn("_shards", pack(F.transform("_rows", lambda x: x[size])))
+    # a row for each range
+    before = F.sum(F.array_max("_shards") + 1).over(Window.partitionBy(kind).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = placed.withColumn("_before", F.coalesce(before, F.lit(0).cast("long")))
+    spread = numbered.select(kind, "_before", F.explode(F.arrays_zip("_rows", "_shards")).alias("x"))
+    return spread.select(kind, F.col(f"x._rows.{order}").alias(order), F.col(f"x._rows.{size}").alias(size), (F.col("_before") + F.col("x._shards")).alias("shard"))
 
 
 def version_of(inputs: dict[str, str], schema_version: str, counts: dict[str, int]) -> str:

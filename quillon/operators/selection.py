@@ -22,7 +22,8 @@ def quota_form(items: DataFrame, forms: Column, strata: Column, quotas: dict[str
     dealt = items.select(F.explode(forms).alias("form"), strata.alias("stratum"), F.col(id_col).alias("id")).where(F.col("stratum").isin(list(quotas)))
     order = Window.partitionBy("form", "stratum").orderBy(hash_order(F.col("form"), F.col("id")), "id")
     ranked = dealt.withColumn("place", F.row_number().over(order).cast("long"))
-    return ranked.where(F.col("place") <= quota[F.col("stratum")])
+    # the largest quota as a number: with it Spark cuts the ranking down before it shuffles
+    return ranked.where(F.col("place") <= max(quotas.values())).where(F.col("place") <= quota[F.col("stratum")])
 
 
 def shortfalls(picked: DataFrame, quotas: dict[str, int], forms: list[str]) -> DataFrame:
@@ -33,30 +34,72 @@ def shortfalls(picked: DataFrame, quotas: dict[str, int], forms: list[str]) -> D
     return wanted.join(found, ["form", "stratum"], "left").na.fill(0, ["found"]).where("found < wanted")
 
 
+def refusals(items: DataFrame, form_col: str, kind_col: str, kinds: tuple[str, ...], n: int) -> DataFrame:
+    """(form, reason) of the forms that can't be made: too few items, or a required kind that is missing."""
+    found = items.groupBy(form_col).agg(F.count("*").alias("_n"), F.collect_set(F.when(F.col(kind_col).isin(*kinds), F.col(kind_col))).alias("_kinds"))
+    missing = F.array_sort(F.array_except(F.array(*(F.lit(k) for k in kinds)), "_kinds"))
+    few = F.concat(F.lit(f"requires {n}; only "), F.col("_n").cast("string"), F.lit(" are available"))
+    reason = F.when(F.col("_n") < n, few).when(F.size(missing) > 0, F.concat(F.lit("missing types: "), F.array_join(missing, ", ")))
+    return found.select(form_col, reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def _unless_grouped(taken: Column):
+    """A filter of candidates whose group no taken item has."""
+    return lambda x: ~F.exists(taken, lambda c: c["group"] == x["group"])
+
+
 def balanced_form(items: DataFrame, form_col: str, group_col: str, kind_col: str, id_col: str, kinds: tuple[str, ...], n: int) -> DataFrame:
-    """Per form n items: one of each kind, then one of each group, then the groups in turn.
+    """Per form n items in a hash order of their own; forms of `refusals` have none.
 
-    Ranks inside windows say in which round an item comes; no group is visited item by
-    item.  The first item of each kind has round 0, the first of each group round 1.
+    Chosen are one item of each kind, of a group that has none yet if there is one; then one of each group that has none;
+    then the groups in turn.  Everything but the first step, which looks at one candidate of each kind and group, is
+    ranks in windows: no group is visited item by item.
+    """
+    form, group, kind, own = (F.col(c) for c in (form_col, group_col, kind_col, id_col))
+    order = lambda what, identity: hash_order(F.concat_ws(":", form, what if not isinstance(what, str) else F.lit(what)), identity)
+    grouped = lambda what: F.concat_ws(":", F.lit(what), group.cast("string"))
+    bad = refusals(items, form_col, kind_col, kinds, n).select(form_col)
+    items = items.join(bad, form_col, "left_anti")
+
+    best = items.where(kind.isin(*kinds)).groupBy(form_col, kind_col, group_col).agg(F.min(F.struct(order(F.concat(F.lit("required:"), kind), own).alias("h"), own.alias("id"))).alias("best"))
+    pools = best.groupBy(form_col).agg(*(F.sort_array(F.collect_list(F.when(kind == k, F.struct("best.h", "best.id", group.alias("group"))))).alias(f"_{i}") for i, k in enumerate(kinds)))
+    chosen: list[Column] = []
+    for i in range(len(kinds)):  # a few kinds, in their order
+        pool, taken = F.col(f"_{i}"), F.array(*chosen) if chosen else None
+        fresh = pool if taken is None else F.filter(pool, _unless_grouped(taken))
+        pools = pools.withColumn(f"_pick{i}", F.coalesce(F.get(fresh, F.lit(0)), F.get(pool, F.lit(0))))
+        chosen.append(F.col(f"_pick{i}"))
+    required = pools.select(form_col, F.posexplode(F.array(*chosen)).alias("_k", "_p")).select(form_col, F.col("_p.id").alias("_id"), F.col("_p.group").alias("_group"), F.col("_k").cast("long").alias("_k"))
+
+    marked = items.join(required.select(F.col(form_col).alias("_form"), F.col("_id"), "_k"), (form == F.col("_form")) & (own == F.col("_id")), "left").drop("_form", "_id")
+    has = required.select(form_col, F.col("_group").alias(group_col)).distinct().withColumn("_has", F.lit(True))
+    marked = marked.join(has, [form_col, group_col], "left")
+    first = F.row_number().over(Window.partitionBy(form_col, group_col, F.col("_k").isNotNull()).orderBy(order(grouped("topic"), own), id_col)) == 1
+    step = F.when(F.col("_k").isNotNull(), 0).when(F.col("_has").isNull() & first, 1).otherwise(2)
+    stepped = marked.withColumn("_step", step)
+    turn = F.row_number().over(Window.partitionBy(form_col, group_col, "_step").orderBy(order(grouped("group"), own), id_col))
+    ranked = stepped.withColumn("_turn", F.when(F.col("_step") == 0, F.col("_k")).when(F.col("_step") == 1, F.lit(0).cast("long")).otherwise(turn.cast("long")))
+    tie = F.when(F.col("_step") == 1, order("topics", group)).when(F.col("_step") == 2, order("groups", group)).otherwise(F.lit(""))
+    kept = ranked.withColumn("_at", F.row_number().over(Window.partitionBy(form_col).orderBy("_step", "_turn", tie, id_col))).where(F.col("_at") <= n)
+    final = Window.partitionBy(form_col).orderBy(order("final-order", own), id_col)
+    return kept.withColumn("place", F.row_number().over(final).cast("long")).drop("_k", "_has", "_step", "_turn", "_at")
+
+
+def practice_batch(items: DataFrame, solved: DataFrame, seed: str, size: int, group_cols: list[str], id_col: str, learner: str = "user_id") -> DataFrame:
+    """Per learner and group the first batch (of `size`, in hash order) with an item not yet solved, else the first one.
+
+    `solved`: (learner, item).  Only counts per learner, group and batch are compared, so no learner meets all items;
+    learners without a solved item in a group have its first batch and aren't listed.
     """
-    order = [hash_order(F.col(form_col), F.col(id_col)), F.col(id_col)]
-    by_kind = Window.partitionBy(form_col, kind_col).orderBy(*order)
-    first_kind = (F.row_number().over(by_kind) == 1) & F.col(kind_col).isin(*kinds)
-    marked = items.withColumn("_first", first_kind)
-    by_group = Window.partitionBy(form_col, group_col).orderBy(F.desc("_first"), *order)
-    ranked = marked.withColumn("_turn", F.when(F.col("_first"), F.lit(0)).otherwise(F.row_number().over(by_group)))
-    turn = Window.partitionBy(form_col).orderBy("_turn", hash_order(F.col(form_col), F.col(group_col)), *order)
-    chosen = ranked.withColumn("place", F.row_number().over(turn).cast("long")).where(F.col("place") <= n)
-    return chosen.drop("_first", "_turn")
-
-
-def practice_batch(items: DataFrame, solved: DataFrame, seed: str, size: int, group_cols: list[str], id_col: str) -> DataFrame:
-    """Per group the first batch (of `size`, in hash order) with an item not yet solved, else the first one."""
     order = Window.partitionBy(*group_cols).orderBy(hash_order(seed, F.col(id_col)), id_col)
-    batched = items.withColumn("place", F.row_number().over(order)).withColumn("batch", F.floor((F.col("place") - 1) / size))
-    flagged = batched.join(solved.select(id_col).distinct().withColumn("_solved", F.lit(True)), id_col, "left")
-    chosen = flagged.groupBy(*group_cols).agg(F.coalesce(F.min(F.when(F.col("_solved").isNull(), F.col("batch"))), F.lit(0).cast("long")).alias("batch"))
-    return flagged.join(chosen, [*group_cols, "batch"]).select(*group_cols, "batch", F.col("place").cast("long").alias("place"), id_col)
+    batched = items.select(*group_cols, id_col).withColumn("place", F.row_number().over(order)).withColumn("batch", F.floor((F.col("place") - 1) / size))
+    sizes = batched.groupBy(*group_cols, "batch").agg(F.count("*").alias("_size"))
+    counts = solved.select(learner, id_col).distinct().join(batched, id_col).groupBy(learner, *group_cols, "batch").agg(F.count("*").alias("_solved"))
+    # solved batches in order: the first number that isn't among the wholly solved ones
+    whole = counts.join(sizes, [*group_cols, "batch"]).groupBy(learner, *group_cols).agg(F.array_sort(F.collect_set(F.when(F.col("_solved") == F.col("_size"), F.col("batch")))).alias("_whole"))
+    last = sizes.groupBy(*group_cols).agg(F.max("batch").alias("_last"))
+    gap = F.array_min(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("_last")), "_whole"))
+    return whole.join(last, group_cols).select(learner, *group_cols, F.coalesce(gap, F.lit(0).cast("long")).alias("batch"))
 
 
 def examples(items: DataFrame, group_cols: list[str], kind_col: str, id_col: str, n: int = 3) -> DataFrame:
@@ -94,8 +137,33 @@ def day_number(at: Column, offset_minutes: int = 330) -> Column:
     return F.floor((F.unix_millis(at.cast("timestamp")) + offset_minutes * 60_000) / 86_400_000)
 
 
-def daily_item(items: DataFrame, day: Column, id_col: str, n_items: int, seed: str = "daily") -> DataFrame:
-    """The item of a day: a new hash order for every cycle of all items, walked day by day."""
-    cycle, place = F.floor(day / n_items), F.pmod(day, F.lit(n_items))
-    order = Window.orderBy(hash_order(F.concat(F.lit(f"{seed}:"), cycle.cast("string")), F.col(id_col)), id_col)
-    return items.withColumn("_at", F.row_number().over(order) - 1).where(F.col("_at") == place).drop("_at")
+def daily_items(items: DataFrame, days: DataFrame, day: str, item: str, n_items: int, seed: str = "daily") -> DataFrame:
+    """(day, item) of each day: every cycle of all items has a hash order of its own, walked day by day.
+
+    If a cycle would begin with the item that the one before ended with, its first two items change places.
+    Items are ranked within the cycles that the days lie in, and in those before them.
+    """
+    asked = days.select(day).distinct().withColumns({"_cycle": F.floor(F.col(day) / n_items), "_place": F.pmod(F.col(day), F.lit(n_items)).cast("long")})
+    cycles = asked.select(F.explode(F.array(F.col("_cycle"), F.col("_cycle") - 1)).alias("_cycle")).distinct()
+    # both are small beside the days: a cycle has n_items rows
+    order = Window.partitionBy("_cycle").orderBy(hash_order(F.concat(F.lit(f"{seed}:"), F.col("_cycle").cast("string")), F.col(item)), item)
+    ranked = cycles.join(items.select(item).distinct()).withColumn("_place", (F.row_number().over(order) - 1).cast("long"))
+    ends = ranked.groupBy("_cycle").agg(F.max(F.when(F.col("_place") == 0, F.col(item))).alias("_first"), F.max(F.when(F.col("_place") == n_items - 1, F.col(item))).alias("_last"))
+    before = ends.select((F.col("_cycle") + 1).alias("_cycle"), F.col("_last").alias("_before"))
+    seam = ends.join(before, "_cycle", "left").select("_cycle", (F.coalesce(F.col("_first") == F.col("_before"), F.lit(False)) & F.lit(n_items > 1)).alias("_swap"))
+    place = F.when(F.col("_swap") & (F.col("_place") < 2), 1 - F.col("_place")).otherwise(F.col("_place"))
+    walked = ranked.join(seam, "_cycle").select("_cycle", place.alias("_place"), item)
+    return asked.join(walked, ["_cycle", "_place"]).select(day, item)
+
+
+def until_next_day(at: Column, offset_minutes: int = 330) -> Column:
+    """Milliseconds until the next day begins in a zone with this offset."""
+    return 86_400_000 - F.pmod(F.unix_millis(at.cast("timestamp")) + offset_minutes * 60_000, F.lit(86_400_000))
+
+
+def session_items(items: DataFrame, seed: str, id_col: str, n: int) -> DataFrame:
+    """The first n in hash order with their place; fewer than n are an error that names both numbers."""
+    found = items.count()
+    if found < n:
+        raise ValueError(f"{n} questions are wanted, {found} are available")
+    return sample(items, seed, id_col, n)

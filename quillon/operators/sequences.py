@@ -98,10 +98,63 @@ def marker_status(places: list[tuple[int, int]], ahead: int = 1) -> list[str]:
 
 
 def forced_markers(markers: DataFrame, group: str, offset: str, number: str, ahead: int = 1) -> DataFrame:
-    """(group, offset, number, status) of every candidate marker; one paper at a time."""
-    schema = markers.select(group, offset, number).schema.simpleString()[7:-1].replace(":", " ") + ", status string"
+    """(group, offset, number, status) of every candidate marker; a group is a paper, whose markers fit an array."""
 
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(status=marker_status(list(zip(rows[offset], rows[number])), ahead))
+    @F.pandas_udf("array<string>")
+    def decide(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda found: marker_status([(x["o"], x["n"]) for x in found], ahead))
 
-    return markers.select(group, offset, number).groupBy(group).applyInPandas(decide, schema)
+    listed = markers.groupBy(group).agg(F.collect_list(F.struct(F.col(offset).alias("o"), F.col(number).alias("n"))).alias("_m")).withColumn("_s", decide("_m"))
+    rows = listed.select(group, F.explode(F.arrays_zip("_m", "_s")).alias("x"))
+    return rows.select(group, F.col("x._m.o").alias(offset), F.col("x._m.n").alias(number), F.col("x._s").alias("status"))
+
+
+def chosen_markers(wanted: list[str], places: dict[str, list[int]]) -> list[tuple[int | None, str]]:
+    """(place, status) of each wanted label, in order: chosen, missing or ambiguous.
+
+    Labels count upwards; one that isn't higher than the one before begins a new section.  A label's candidates lie
+    behind the last chosen place.  One candidate is chosen; of several, those before the first later candidate of the same
+    section, if it is one; in a section that another one follows, the last labels take their first candidate.  What
+    stays open is ambiguous: it is never guessed by position.
+    """
+    sections = [0]
+    for before, label in zip(wanted, wanted[1:]):
+        restart = before.isdigit() and label.isdigit() and int(label) <= int(before)
+        sections.append(sections[-1] + restart)
+    out: list[tuple[int | None, str]] = []
+    last = -1
+    for k, label in enumerate(wanted):
+        own = [p for p in sorted(places.get(label, [])) if p > last]
+        if len(own) > 1:
+            later = [p for j in range(k + 1, len(wanted)) if sections[j] == sections[k] for p in places.get(wanted[j], []) if p > last]
+            if later:
+                own = [p for p in own if p < min(later)] or own * 2  # none in reach: as open as several
+            elif sections[k] < sections[-1]:
+                own = own[:1]
+        if len(own) == 1:
+            last = own[0]
+        out.append((own[0], "chosen") if len(own) == 1 else (None, "ambiguous" if own else "missing"))
+    return out
+
+
+def segment_markers(markers: DataFrame, group: str, label: str, at: str, wanted: list[str]) -> DataFrame:
+    """(group, number, label, place, status) for every wanted label of each group; `number` counts from 1.
+
+    Markers: (group, label, place).  A group is a paper: its markers are few, and fit an array.
+    """
+    kind = "array<struct<place: bigint, status: string>>"
+
+    @F.pandas_udf(kind)
+    def decide(lists: pd.Series) -> pd.Series:
+        def one(found) -> list[dict]:
+            places: dict[str, list[int]] = {}
+            for x in found:
+                places.setdefault(x["label"], []).append(x["place"])
+            return [{"place": p, "status": s} for p, s in chosen_markers(wanted, places)]
+
+        return lists.map(one)
+
+    found = markers.groupBy(group).agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col(at).cast("long").alias("place"))).alias("_m"))
+    rows = found.select(group, F.posexplode(decide("_m")).alias("_k", "c"))
+    labels = F.array(*(F.lit(w) for w in wanted))
+    return rows.select(group, (F.col("_k") + 1).cast("long").alias("number"), F.get(labels, F.col("_k")).alias(label), F.col("c.place").alias(at), F.col("c.status").alias("status"))

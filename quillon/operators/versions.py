@@ -28,6 +28,70 @@ def merge_plan(old: DataFrame, new: DataFrame, key: str, columns: list[str], act
     return joined.select(F.col("key").alias(key), op.alias("op"), "old", "new")
 
 
+def bank_plan(old: DataFrame, new: DataFrame, key: str, provenance: list[str], columns: list[str], managed: Column, active: str) -> DataFrame:
+    """(old_key, new_key, op, old, new) of a bank against a new version of it.
+
+    A new row is matched by its key, else by its whole provenance.  If both find a row and these differ, or several new
+    rows find the same one, the op is `conflict`.  Others: insert, update (a column differs), reactivate, unchanged,
+    and, for old rows that nothing has found, retire (managed and active) or keep.
+    """
+    whole = F.lit(True)
+    for c in provenance:
+        whole = whole & F.col(c).isNotNull()
+    was = old.select(F.col(key).alias("old_key"), *(F.col(c).alias(f"_{c}") for c in provenance), whole.alias("_whole"), F.struct(*columns).alias("old"), F.coalesce(managed, F.lit(False)).alias("_managed"), F.coalesce(active, F.lit(True)).alias("_active"))
+    places = was.where("_whole").groupBy(*(f"_{c}" for c in provenance)).agg(F.min("old_key").alias("_by_place"))
+    comes = new.select(F.col(key).alias("new_key"), *(F.col(c).alias(f"_{c}") for c in provenance), F.struct(*columns).alias("new"))
+    keyed = was.select(F.col("old_key").alias("_by_key"))
+    found = comes.join(keyed, F.col("new_key") == F.col("_by_key"), "left").join(places, [f"_{c}" for c in provenance], "left")
+    found = found.withColumn("old_key", F.coalesce("_by_key", "_by_place")).withColumn("_two", F.col("_by_key") != F.col("_by_place"))
+    claims = found.where("old_key IS NOT NULL").groupBy("old_key").agg((F.count("*") > 1).alias("_shared"))
+    found = found.join(claims, "old_key", "left").select("old_key", "new_key", "new", (F.coalesce("_two", F.lit(False)) | F.coalesce("_shared", F.lit(False))).alias("_conflict"))
+    joined = was.select("old_key", "old", "_managed", "_active").join(found, "old_key", "full_outer")
+    op = (
+        F.when(F.col("_conflict"), "conflict").when(F.col("new").isNotNull() & F.col("old").isNull(), "insert").when(F.col("new").isNull(), F.when(F.col("_managed") & F.col("_active"), "retire").otherwise("keep"))
+        .when(~F.col("_active"), "reactivate").when(_differs(columns), "update").otherwise("unchanged")
+    )
+    return joined.select("old_key", "new_key", op.alias("op"), "old", "new")
+
+
+def require_no_conflicts(plan: DataFrame) -> DataFrame:
+    """The plan, if it has no conflict: a version is applied as a whole or not at all."""
+    bad = plan.where("op = 'conflict'").select("old_key", "new_key").limit(20).collect()
+    if bad:
+        raise ValueError(f"rows match different questions by key and by provenance: {bad}")
+    return plan
+
+
+def materialised(items: DataFrame, runtime: DataFrame, item: str, link: str, eligible: Column, digest: str, label: str) -> DataFrame:
+    """(item, runtime_id, op): what the runtime table needs for each archive item.
+
+    Eligible items: insert, adopt (an unlinked runtime row has the item's label), update (the linked row's digest
+    differs), reactivate, unchanged.  Others: retire a linked active row, else none.
+    `runtime`: (runtime_id, link, label, digest, is_active).
+    """
+    linked = runtime.where(F.col(link).isNotNull()).select(F.col(link).alias(item), F.col("runtime_id").alias("_linked"), F.col(digest).alias("_digest"), F.col("is_active").alias("_active"))
+    loose = runtime.where(F.col(link).isNull()).groupBy(label).agg(F.when(F.count("*") == 1, F.min("runtime_id")).alias("_loose"))
+    joined = items.withColumn("_eligible", F.coalesce(eligible, F.lit(False))).join(linked, item, "left").join(loose, label, "left")
+    there = F.col("_linked").isNotNull()
+    op = (
+        F.when(F.col("_eligible") & ~there & F.col("_loose").isNotNull(), "adopt").when(F.col("_eligible") & ~there, "insert").when(~F.col("_eligible") & there & F.col("_active"), "retire")
+        .when(~F.col("_eligible"), "none").when(~F.col("_active"), "reactivate").when(F.col("_digest") != F.col(digest), "update").otherwise("unchanged")
+    )
+    return joined.select(item, F.when(there, F.col("_linked")).when(op == "adopt", F.col("_loose")).alias("runtime_id"), op.alias("op"))
+
+
+def cleanup_findings(rows: DataFrame, ledger: DataFrame, key: str, fingerprint: str, keep: DataFrame) -> DataFrame:
+    """(key, problem) of a guarded cleanup: every retired fingerprint must be that of exactly one row, and what stays
+    must be the keep set.  `ledger`: (key, fingerprint) of the rows to retire.
+    """
+    n = rows.groupBy(fingerprint).agg(F.count("*").alias("_n"))
+    retired = ledger.join(n, fingerprint, "left").select(key, F.when(F.col("_n").isNull(), "fingerprint_unknown").when(F.col("_n") > 1, "fingerprint_repeated").alias("problem"))
+    stays = rows.join(ledger.select(key), key, "left_anti").select(key).distinct()
+    wanted = keep.select(key).distinct()
+    left = stays.join(wanted, key, "left_anti").withColumn("problem", F.lit("kept_unexpectedly")).unionByName(wanted.join(stays, key, "left_anti").withColumn("problem", F.lit("keep_missing")))
+    return retired.where("problem IS NOT NULL").unionByName(left)
+
+
 def plan_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("op").agg(F.count("*").alias("rows"))
 
@@ -72,6 +136,16 @@ def upload_decision(audit: list[tuple[str, str]], version: str, checksum: str) -
     return "apply" if version not in known else "skip" if known[version] == checksum else "refuse"
 
 
+def audit_state(audit: DataFrame, version: str, at: str, uploads: DataFrame) -> DataFrame:
+    """Each upload (version, checksum) against the audit log (version, checksum, at): apply, refuse (another checksum
+    under that version), repeat_latest, or repeat_older (it is there, but a later version is in force)."""
+    known = audit.groupBy(version).agg(F.max_by("checksum", at).alias("_sum"), F.max(at).alias("_at"))
+    latest = audit.agg(F.max(at).alias("_latest"))
+    joined = uploads.join(known, version, "left").crossJoin(F.broadcast(latest))
+    state = F.when(F.col("_sum").isNull(), "apply").when(F.col("_sum") != F.col("checksum"), "refuse").when(F.col("_at") == F.col("_latest"), "repeat_latest").otherwise("repeat_older")
+    return joined.select(version, "checksum", state.alias("state"))
+
+
 def import_rows(rows: DataFrame, known: DataFrame, keys: list[str], problems: Column) -> DataFrame:
     """Row importer: op invalid, exists, repeated or insert; the first row of a key by `seq` is inserted."""
     from pyspark.sql import Window

@@ -100,30 +100,70 @@ def full_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.quota_form(star.questions(spark, sf_dir).where("is_active"), forms, section, QUOTAS, "question_id").select("form", "stratum", "place", "id")
 
 
-@query(f"""WITH {star.CTE}, items AS (SELECT subject || '-' || k AS form, topic, question_type, question_id, substr(sha256(subject || '-' || k || ':' || question_id), 1, 16) AS h
-    FROM question, range(1, 11) t(k) WHERE is_active), marked AS (
-  SELECT *, row_number() OVER (PARTITION BY form, question_type ORDER BY h, question_id) = 1 AS first_kind FROM items), turned AS (
-  SELECT *, CASE WHEN first_kind THEN 0 ELSE row_number() OVER (PARTITION BY form, topic ORDER BY first_kind DESC, h, question_id) END AS turn FROM marked)
-  SELECT form, topic, question_type, question_id, row_number() OVER (PARTITION BY form ORDER BY turn, substr(sha256(form || ':' || topic), 1, 16), h, question_id) AS place FROM turned QUALIFY place <= 30""")
+def _hash(what: str, identity: str) -> str:
+    return f"substr(sha256({what} || ':' || {identity}), 1, 16)"
+
+
+_REFUSED = """refused AS (SELECT form, CASE WHEN count(*) < 12 THEN 'requires 12; only ' || count(*) || ' are available' WHEN count(DISTINCT question_type) < 3 THEN
+    'missing types: ' || array_to_string(list_filter(['mcq', 'msq', 'nat'], lambda k: NOT list_contains(list(DISTINCT question_type), k)), ', ') END AS reason FROM items GROUP BY form)"""
+_ITEMS = "items AS (SELECT subject || '-' || k AS form, topic, question_type, question_id FROM question, range(1, 11) t(k) WHERE is_active)"
+
+
+def _pick(number: int, kind: str) -> str:
+    """One kind's item: of a topic that no earlier pick has, if there is one."""
+    known = " UNION ALL ".join(f"SELECT form, topic, question_id FROM pick{k}" for k in range(number)) or "SELECT '' AS form, '' AS topic, -1 AS question_id"
+    order = _hash(f"i.form || ':required:{kind}'", "i.question_id")
+    return f"pick{number} AS (SELECT i.form, i.topic, i.question_id FROM good i LEFT JOIN (SELECT DISTINCT form, topic FROM ({known})) u USING (form, topic) WHERE question_type = '{kind}' QUALIFY row_number() OVER (PARTITION BY i.form ORDER BY u.form IS NOT NULL, {order}, i.question_id) = 1)"
+
+
+@query(f"""WITH {star.CTE}, {_ITEMS}, {_REFUSED}, good AS (SELECT i.* FROM items i JOIN refused r USING (form) WHERE reason IS NULL), {_pick(0, 'mcq')}, {_pick(1, 'msq')}, {_pick(2, 'nat')},
+  required AS (SELECT *, 0 AS k FROM pick0 UNION ALL SELECT *, 1 FROM pick1 UNION ALL SELECT *, 2 FROM pick2),
+  marked AS (SELECT g.*, r.k, h.form IS NOT NULL AS has FROM good g LEFT JOIN required r USING (form, question_id) LEFT JOIN (SELECT DISTINCT form, topic FROM required) h ON h.form = g.form AND h.topic = g.topic),
+  stepped AS (SELECT *, CASE WHEN k IS NOT NULL THEN 0 WHEN NOT has AND row_number() OVER (PARTITION BY form, topic, k IS NOT NULL ORDER BY {_hash("form || ':topic:' || topic", "question_id")}, question_id) = 1 THEN 1 ELSE 2 END AS step FROM marked),
+  ranked AS (SELECT *, CASE step WHEN 0 THEN k WHEN 1 THEN 0 ELSE row_number() OVER (PARTITION BY form, topic, step ORDER BY {_hash("form || ':group:' || topic", "question_id")}, question_id) END AS turn FROM stepped),
+  kept AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY form ORDER BY step, turn, CASE step WHEN 1 THEN {_hash("form || ':topics'", "topic")} WHEN 2 THEN {_hash("form || ':groups'", "topic")} ELSE '' END, question_id) <= 12)
+  SELECT form, topic, question_type, question_id, row_number() OVER (PARTITION BY form ORDER BY {_hash("form || ':final-order'", "question_id")}, question_id) AS place FROM kept""")
 def course_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten balanced forms per subject: every kind, every topic, then the topics in turn."""
-    questions = star.questions(spark, sf_dir).where("is_active")
-    items = questions.withColumn("form", F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat_ws("-", "subject", k.cast("string")))))
-    chosen = selection.balanced_form(items, "form", "topic", "question_type", "question_id", ("mcq", "msq", "nat"), 30)
+    """Ten balanced forms of twelve questions per subject: every kind, every topic, then the topics in turn."""
+    chosen = selection.balanced_form(_form_items(spark, sf_dir), "form", "topic", "question_type", "question_id", ("mcq", "msq", "nat"), 12)
     return chosen.select("form", "topic", "question_type", "question_id", "place")
 
 
-@query(f"""WITH {star.CTE}, batched AS (SELECT subject, question_id, row_number() OVER w AS place, CAST(floor((row_number() OVER w - 1) / 10) AS BIGINT) AS batch
+def _form_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = star.questions(spark, sf_dir).where("is_active")
+    return questions.withColumn("form", F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat_ws("-", "subject", k.cast("string"))))).select("form", "topic", "question_type", "question_id")
+
+
+@query(f"WITH {star.CTE}, {_ITEMS}, {_REFUSED} SELECT form, reason FROM refused WHERE reason IS NOT NULL")
+def form_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.refusals(_form_items(spark, sf_dir), "form", "question_type", ("mcq", "msq", "nat"), 12)
+
+
+@query(f"""WITH {star.CTE}, batched AS (SELECT subject, question_id, CAST(floor((row_number() OVER w - 1) / 10) AS BIGINT) AS batch
     FROM question WHERE is_active WINDOW w AS (PARTITION BY subject ORDER BY substr(sha256('practice:' || question_id), 1, 16), question_id)),
-  solved AS (SELECT DISTINCT question_id FROM graded WHERE status = 'correct' AND user_id = 7),
-  chosen AS (SELECT subject, coalesce(min(batch) FILTER (WHERE s.question_id IS NULL), 0) AS batch FROM batched LEFT JOIN solved s USING (question_id) GROUP BY subject)
-  SELECT subject, batch, place, question_id FROM batched JOIN chosen USING (subject, batch)""")
+  solved AS (SELECT DISTINCT user_id, question_id FROM graded WHERE status = 'correct' AND is_active), mine AS (SELECT DISTINCT user_id, subject FROM solved JOIN batched USING (question_id)),
+  open AS (SELECT m.user_id, m.subject, min(batch) AS batch FROM mine m JOIN batched b USING (subject) LEFT JOIN solved s ON s.user_id = m.user_id AND s.question_id = b.question_id WHERE s.question_id IS NULL GROUP BY ALL)
+  SELECT user_id, subject, coalesce(batch, 0) AS batch FROM mine LEFT JOIN open USING (user_id, subject)""")
 def practice_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next practice batch of one learner in every subject."""
-    mine = progress.solved(learner.graded(spark, sf_dir).where("user_id = 7"), star.questions(spark, sf_dir))
+    """The next practice batch of every learner in every subject that they have begun."""
+    mine = progress.solved(learner.graded(spark, sf_dir), star.questions(spark, sf_dir))
     return selection.practice_batch(star.questions(spark, sf_dir).where("is_active"), mine, "practice", 10, ["subject"], "question_id")
 
 
+_N = 25
+
+
+@query(f"""WITH day AS (SELECT DISTINCT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day FROM orders), cycle AS (SELECT DISTINCT unnest([day // {_N}, day // {_N} - 1]) AS c FROM day), item AS (SELECT n_name AS item FROM nation),
+  r AS (SELECT c, item, row_number() OVER (PARTITION BY c ORDER BY {_hash("'daily:' || c", "item")}, item) - 1 AS p FROM cycle, item),
+  s AS (SELECT a.c, a.item = b.item AS swap FROM r a JOIN r b ON b.c = a.c - 1 AND b.p = {_N - 1} WHERE a.p = 0)
+  SELECT day, item FROM day JOIN r ON r.c = day // {_N} LEFT JOIN s ON s.c = r.c WHERE day % {_N} = CASE WHEN swap AND p < 2 THEN 1 - p ELSE p END""")
+def daily_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of 25 topics for every day that has orders."""
+    days = star.table(spark, sf_dir, "orders").select(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"))
+    topics = star.table(spark, sf_dir, "nation").select(F.col("n_name").alias("item"))
+    return selection.daily_items(topics, days, "day", "item", _N)
+
+
 @query(f"""WITH {star.CTE}, marked AS (SELECT *, row_number() OVER (PARTITION BY subject, topic, question_type ORDER BY question_id) > 1 AS later FROM question)
   SELECT subject, topic, question_type, question_id, row_number() OVER (PARTITION BY subject, topic ORDER BY later, CASE WHEN later THEN '' ELSE question_type END, question_id) AS place
   FROM marked QUALIFY place <= 3""")
@@ -132,9 +172,9 @@ def topic_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("subject", "topic", "question_type", "question_id", "place")
 
 
-@query("""SELECT event_id, CAST(floor((epoch_ms(ts) + 19800000) / 86400000.0) AS BIGINT) AS day FROM events""")
+@query("""SELECT event_id, CAST(floor((epoch_ms(ts) + 19800000) / 86400000.0) AS BIGINT) AS day, 86400000 - (epoch_us(ts) // 1000 + 19800000) % 86400000 AS ms_left FROM events""")
 def local_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.table(spark, sf_dir, "events").select("event_id", selection.day_number(F.col("ts")).alias("day"))
+    return star.table(spark, sf_dir, "events").select("event_id", selection.day_number(F.col("ts")).alias("day"), selection.until_next_day(F.col("ts")).alias("ms_left"))
 
 
 @query(f"WITH {star.CTE} SELECT question_id, CASE WHEN question_type = 'nat' THEN answer_key || ' ± 0.01' ELSE answer_key END AS shown FROM question")

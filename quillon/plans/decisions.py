@@ -34,19 +34,19 @@ def source_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.source_verification(rows, "paper")
 
 
-@query("""SELECT l_orderkey, min(l_returnflag) AS value, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1 AND count(DISTINCT l_suppkey) >= 2""")
+@query("""SELECT l_orderkey, min(l_returnflag) AS value, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1 AND count(DISTINCT l_suppkey) >= 2 AND count(DISTINCT l_linestatus) <= 1""")
 def community_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.corroborated(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_suppkey")
+    return evidence.corroborated(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_suppkey", agree=("l_linestatus",))
 
 
-@query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS canonical, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'F' END AS a, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS b FROM orders),
-  n AS (SELECT *, len(list_distinct(list_filter([a, b], lambda v: v IS NOT NULL))) AS d, len(list_filter([a, b], lambda v: v IS NOT NULL)) AS k, (a IS NOT NULL AND a <> canonical) OR (b IS NOT NULL AND b <> canonical) AS other FROM c),
+@query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS canonical, CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE 'F' END AS a, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS b FROM orders),
+  n AS (SELECT *, len(list_distinct(list_filter([upper(a), upper(b)], lambda v: v IS NOT NULL))) AS d, len(list_filter([a, b], lambda v: v IS NOT NULL)) AS k, (a IS NOT NULL AND upper(a) <> canonical) OR (b IS NOT NULL AND upper(b) <> canonical) AS other FROM c),
   s AS (SELECT *, CASE WHEN canonical IS NOT NULL AND other THEN 'conflict' WHEN canonical IS NOT NULL THEN 'canonical' WHEN d > 1 THEN 'conflict' WHEN k >= 2 THEN 'corroborated' WHEN k = 1 THEN 'single' ELSE 'missing' END AS status FROM n)
   SELECT o_orderkey, status, CASE WHEN status = 'canonical' THEN canonical WHEN status IN ('corroborated', 'single') THEN coalesce(a, b) END AS value FROM s""")
 def answer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    secondary = F.array(F.when(o % 2 == 0, status).otherwise("F"), F.when(o % 5 != 0, status))
-    claim = evidence.selected_claim(F.when(o % 3 == 0, status), secondary)
+    secondary = F.array(F.when(o % 2 == 0, F.lower(status)).otherwise("F"), F.when(o % 5 != 0, status))
+    claim = evidence.selected_claim(F.when(o % 3 == 0, status), secondary, F.lit("mcq"))
     return table(spark, sf_dir, "orders").select("o_orderkey", claim.alias("c")).select("o_orderkey", "c.status", "c.value")
 
 

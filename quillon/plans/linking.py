@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import answers, text as tx
+from quillon.functions import answers
 from quillon.operators import linkage, quality
 from quillon.plans import star
 from quillon.plans.registry import query
@@ -26,33 +26,34 @@ def mutual_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.mutual_best(edges(spark, sf_dir), "source_id", "slot_id", "score")
 
 
-_NORM = r"trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
-_TIERS = [("content", f"sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))"), ("prefix", f"CASE WHEN length({_NORM}) >= 40 THEN left({_NORM}, 40) END")]
+_TOKENS = r"[a-z]+(?:''[a-z]+)?|\d+(?:\.\d+)?"
 
 
-@query(f"""WITH k AS (SELECT doc_id, 0 AS no, 'content' AS tier, {_TIERS[0][1]} AS key FROM documents UNION ALL SELECT doc_id, 1, 'prefix', {_TIERS[1][1]} FROM documents),
-  known AS (SELECT no, key, count(*) AS n, min(doc_id) AS target FROM k WHERE doc_id % 2 = 0 AND key IS NOT NULL GROUP BY no, key),
-  hit AS (SELECT k.doc_id, arg_min(k.tier, k.no) AS tier, arg_min(CASE WHEN n = 1 THEN target END, k.no) AS t0, min(k.no) AS no FROM k JOIN known USING (no, key) WHERE k.doc_id % 2 = 1 GROUP BY k.doc_id),
-  one AS (SELECT h.doc_id, h.tier, CASE WHEN kn.n = 1 THEN kn.target END AS target FROM hit h JOIN k ON k.doc_id = h.doc_id AND k.no = h.no JOIN known kn ON kn.no = k.no AND kn.key = k.key),
-  claims AS (SELECT target, count(*) AS c FROM one WHERE target IS NOT NULL GROUP BY target)
+@query(rf"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS x, list_filter(regexp_extract_all(regexp_replace(lower(text), '(?s)\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]', ' ', 'g'), '{_TOKENS}'), lambda t: length(t) >= 3 OR regexp_full_match(t, '\d+')) AS a FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT * FROM n WHERE doc_id % 2 = 1), t AS (SELECT * FROM n WHERE doc_id % 2 = 0),
+  h AS (SELECT s.doc_id, 1 AS no, 'content' AS tier, t.doc_id AS target FROM s JOIN t ON s.x = t.x AND s.x <> ''
+    UNION ALL SELECT s.doc_id, 2, 'prefix', t.doc_id FROM s JOIN t ON left(s.x, 40) = left(t.x, 40) AND length(s.x) >= 40 AND starts_with(t.x, s.x)
+    UNION ALL SELECT s.doc_id, 3, 'anchor', t.doc_id FROM s JOIN t ON s.a[1:6] = t.a[1:6] AND len(s.a) >= 6 AND len(t.a) >= 6 AND length(array_to_string(s.a, '')) >= 32
+      AND CASE WHEN len(t.a) >= len(s.a) THEN t.a[1:len(s.a)] = s.a ELSE len(t.a) >= 0.75 * len(s.a) AND s.a[1:len(t.a)] = t.a END),
+  g AS (SELECT doc_id, no, any_value(tier) AS tier, count(*) AS n, min(target) AS target FROM h GROUP BY doc_id, no), f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY no) = 1),
+  one AS (SELECT doc_id, tier, CASE WHEN n = 1 THEN target END AS target FROM f), claims AS (SELECT target, count(*) AS c FROM one WHERE target IS NOT NULL GROUP BY target)
   SELECT d.doc_id, tier, CAST(CASE WHEN c = 1 THEN o.target END AS VARCHAR) AS target, CASE WHEN tier IS NULL THEN 'unmatched' WHEN o.target IS NULL THEN 'ambiguous' WHEN c > 1 THEN 'collision' ELSE 'linked' END AS outcome
   FROM documents d LEFT JOIN one o USING (doc_id) LEFT JOIN claims ON claims.target = o.target WHERE d.doc_id % 2 = 1""")
 def tiered_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd documents linked to even ones: equal content first, then an equal start."""
+    """Odd documents linked to even ones: by equal texts, whole prefixes, or anchor words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    folded = tx.fold(F.col("text"))
-    tiers = [("content", tx.content_digest(F.col("text"))), ("prefix", F.when(F.length(folded) >= 40, F.left(folded, F.lit(40))))]
     targets = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("target_id"), "text")
-    linked = linkage.tiered(docs.where("doc_id % 2 = 1"), targets, "doc_id", "target_id", tiers)
+    linked = linkage.text_linked(docs.where("doc_id % 2 = 1"), targets, "doc_id", "target_id", "text")
     return linked.withColumn("target", F.col("target").cast("string"))
 
 
-_CLAIMS = "claim AS (SELECT l_partkey AS slot, CAST(l_linenumber % 4 AS VARCHAR) AS value, l_suppkey AS source, l_returnflag = 'A' AND l_discount < 0.02 AS official FROM lineitem WHERE l_discount < 0.04)"
+_CLAIMS = "claim0 AS (SELECT l_partkey AS slot, CASE WHEN l_discount < 0.04 THEN CAST(l_linenumber % 4 AS VARCHAR) END AS value, l_suppkey AS source, l_returnflag = 'A' AND l_discount < 0.02 AS official FROM lineitem), claim AS (SELECT * FROM claim0 WHERE value IS NOT NULL)"
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_discount < 0.04")
-    return line.select(F.col("l_partkey").alias("slot"), F.pmod("l_linenumber", F.lit(4)).cast("string").alias("value"), F.col("l_suppkey").alias("source"), ((F.col("l_returnflag") == "A") & (F.col("l_discount") < 0.02)).alias("official"))
+    """Claims of all lines; some lines make none: their value is null."""
+    line = table(spark, sf_dir, "lineitem")
+    return line.select(F.col("l_partkey").alias("slot"), F.when(F.col("l_discount") < 0.04, F.pmod("l_linenumber", F.lit(4)).cast("string")).alias("value"), F.col("l_suppkey").alias("source"), ((F.col("l_returnflag") == "A") & (F.col("l_discount") < 0.02)).alias("official"))
 
 
 @query(f"""WITH {_CLAIMS}, v AS (SELECT slot, value, count(DISTINCT source) AS sources, max(CAST(official AS INT)) AS official FROM claim GROUP BY slot, value),
@@ -65,9 +66,10 @@ def claim_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.resolve_claims(slots, claims(spark, sf_dir), "slot")
 
 
-@query(f"WITH {_CLAIMS} SELECT slot, count(DISTINCT value) AS n_values, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value FROM claim GROUP BY slot")
+@query(f"WITH {_CLAIMS} SELECT slot, count(DISTINCT value) AS n_values, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value, CASE WHEN count(DISTINCT value) > 1 THEN array_to_string(list_sort(list(DISTINCT value)), ',') END AS conflict FROM claim0 GROUP BY slot")
 def value_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.value_conflicts(claims(spark, sf_dir), "slot", "value")
+    found = quality.value_conflicts(claims(spark, sf_dir), "slot", "value")
+    return found.withColumn("conflict", F.array_join("conflict", ","))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_discount BETWEEN 0.02 AND 0.04 OR l_discount BETWEEN 0.07 AND 0.09 AS agrees FROM lineitem""")

@@ -90,6 +90,6 @@ def release_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy byte-bounded shards per segment; sequential, so tested against a plain loop."""
+    """Greedy byte-bounded shards per segment and range of ids; sequential, so tested against a plain loop."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("kind"), F.col("c_custkey").alias("id"), (F.octet_length("c_name") + 40 + F.pmod("c_custkey", F.lit(97))).cast("long").alias("bytes"))
-    return release.packed(rows, "kind", "id", "bytes", 4096)
+    return release.packed(rows, "kind", "id", "bytes", 4096, 10_000)
