@@ -20,8 +20,11 @@ _STATE = """SELECT user_id, question_id, count(*) AS attempt_count, count(*) FIL
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder in the cluster's shared one; a temporary one only where none is set and everything runs in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="spark-stream-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -30,7 +33,7 @@ def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, folded into state and read back."""
     folder = _folder(spark)
     events = spark.readStream.schema(ev.EVENTS).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream of one file needs one
-    ev.start(events, f"{folder}/log", f"{folder}/checkpoint", delay="3650 days").awaitTermination()
+    ev.start(events, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
     return ev.current(spark, f"{folder}/log")
 
 

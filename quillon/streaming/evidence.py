@@ -1,10 +1,12 @@
 """Incremental learner evidence with Structured Streaming.
 
-Responses arrive as events.  Spark keeps the aggregates of each (learner, question) as
-state; every micro-batch appends the rows that changed to a change log, from which the
-current state is the last row of each key.  A batch that is run again writes the same
-folder again, so the log has each change once.  The batch operators are the ground truth
-that the stream must reach.
+Responses arrive as events.  Every micro-batch folds its new events into partial evidence
+of each (learner, question) and appends that to a log; partial evidence merges, so the
+state is the sum of the log, in whatever order events came.  Each event counts once, and
+none is dropped as late, however old it is: the ids of folded events are kept in a log of
+their own, partitioned by day, of which a micro-batch reads the days that it has events of.
+A batch that is run again replaces its own folders.  The batch operators are the ground
+truth that the stream must reach.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ def late_as_unanswered(rows: DataFrame, deadline: Column) -> DataFrame:
     return rows.withColumn("status", F.when(late, F.lit("unanswered")).otherwise(F.col("status")))
 
 
-def once(rows: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Each event once, however often it is delivered within the delay."""
-    return rows.withWatermark("submitted_at", delay).dropDuplicatesWithinWatermark(["event_id"]) if rows.isStreaming else rows.dropDuplicates(["event_id"])
+def once(rows: DataFrame) -> DataFrame:
+    """Each event of a batch once, however often it was delivered."""
+    return rows.dropDuplicates(["event_id"])
 
 
 def without_closed(rows: DataFrame, closed: DataFrame) -> DataFrame:
@@ -61,22 +63,46 @@ def flat(state: DataFrame) -> DataFrame:
     )
 
 
-def start(events: DataFrame, log: str, checkpoint: str, delay: str = "30 days") -> StreamingQuery:
-    """Folds a stream of events into the change log at `log`; stops when what is there has been read."""
+def fold(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """The partial evidence of a micro-batch's new events: each once, without those that were seen before."""
+    fresh = once(rows)
+    if seen is not None:
+        days = fresh.select(F.to_date("submitted_at").alias("day")).distinct()
+        # a few days, and only these are read: the log is partitioned by them
+        fresh = fresh.join(seen.join(F.broadcast(days), "day").select("event_id"), "event_id", "left_anti")
+    return fresh
 
-    def append(changed: DataFrame, batch: int) -> None:
-        changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{log}/batch={batch:09d}")
 
-    folded = evidence(once(responses(events), delay))
-    return folded.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(events: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+    """Folds a stream of events into the change log at `log`; stops when what is there has been read.
+
+    A micro-batch takes its events' ids out of those of earlier batches, folds what is new, and appends partial
+    evidence; partial evidence merges, so the state is the sum of the log.  A batch that is run again replaces its own
+    folders and looks at earlier batches only.
+    """
+
+    def append(batch_rows: DataFrame, batch: int) -> None:
+        spark = batch_rows.sparkSession
+        seen = _ids(spark, log).where(F.col("batch") < batch) if batch else None
+        fresh = fold(batch_rows, seen).withColumn("day", F.to_date("submitted_at"))
+        fresh.select("event_id", "day").write.mode("overwrite").partitionBy("day").parquet(f"{log}/ids/batch={batch}")
+        written = spark.read.schema("event_id long, day date").option("basePath", f"{log}/ids/batch={batch}").parquet(f"{log}/ids/batch={batch}")
+        new = once(batch_rows).join(written.select("event_id"), "event_id", "left_semi")
+        evidence(new).write.mode("overwrite").parquet(f"{log}/state/batch={batch}")
+
+    return responses(events).writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _ids(spark: SparkSession, log: str) -> DataFrame:
+    return spark.read.schema("event_id long, day date, batch int").parquet(f"{log}/ids")
 
 
 def current(spark: SparkSession, log: str) -> DataFrame:
-    """The last state of each key."""
-    rows = spark.read.parquet(f"{log}/batch=*")
-    columns = [c for c in rows.columns if c not in ("user_id", "question_id", "batch")]
-    last = rows.groupBy("user_id", "question_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
-    return flat(last.select("user_id", "question_id", "s.*"))
+    """The state of each key: the partial evidence of all batches, merged."""
+    rows = spark.read.parquet(f"{log}/state")
+    counts = ("attempt_count", "correct_count", "incorrect_count", "unanswered_count")
+    merged = rows.groupBy("user_id", "question_id").agg(*(F.sum(c).alias(c) for c in counts), F.max("latest").alias("latest"), F.max("last_attempted_at").alias("last_attempted_at"))
+    return flat(merged)
 
 
 def solved_sets(rows: DataFrame) -> DataFrame:

@@ -76,7 +76,21 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
         events.where(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(folder))
     events.where("event_id % 3 = 1").coalesce(1).write.mode("append").parquet(str(folder))
     stream = spark.readStream.schema(ev.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
-    ev.start(stream, str(tmp_path / "log"), str(tmp_path / "cp"), delay="3650 days").awaitTermination()
+    ev.start(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     got, want = ev.current(spark, str(tmp_path / "log")), ev.flat(ev.evidence(ev.once(ev.responses(events))))
     assert got.count() == want.count() and set(got.collect()) == set(want.collect())
     assert ev.without_closed(ev.responses(events), events.select("user_id")).isEmpty()
+
+
+def test_stream_drops_nothing_as_late(spark, tmp_path):
+    """An event from months before, and one that comes a second time, in later batches."""
+    folder = tmp_path / "in"
+    batches = [[(1, "2024-06-01"), (2, "2024-06-02")], [(3, "2024-01-01"), (1, "2024-06-01")], [(4, "2023-05-05"), (4, "2023-05-05")], [(3, "2024-01-01")]]
+    for rows in batches:
+        df = spark.createDataFrame([(i, day, 7, "error", 1.0, "{}") for i, day in rows], "event_id long, day string, user_id long, event_type string, value double, props string")
+        df.selectExpr("event_id", "cast(day as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(folder))
+    for _ in range(2):  # the second run finds nothing new
+        stream = spark.readStream.schema(ev.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        ev.start(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+        state = ev.current(spark, str(tmp_path / "log"))
+        assert state.groupBy().sum("attempt_count", "incorrect_count").first() == (4, 4)
