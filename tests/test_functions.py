@@ -155,16 +155,19 @@ def test_packing(spark):
 
     rng = random.Random(3)
     rows = [(k, i, rng.randrange(1, 50)) for k in "ab" for i in range(60)]
-    got = release.packed(spark.createDataFrame(rows, "kind string, i long, n long"), "kind", "i", "n", 100).collect()
-    want = {}
-    for kind in "ab":
-        shard = held = 0
-        for _, i, n in (r for r in rows if r[0] == kind):
-            if held and held + n > 100:
-                shard, held = shard + 1, 0
-            held += n
-            want[kind, i] = shard
-    assert {(r["kind"], r["i"]): r["shard"] for r in got} == want
+    df = spark.createDataFrame(rows, "kind string, i long, n long")
+    for span in (60, 25):  # one range, and three of them
+        want = {}
+        for kind in "ab":
+            shard, held, begun = -1, 0, None
+            for _, i, n in (r for r in rows if r[0] == kind):
+                if begun != i // span or held + n > 100:
+                    shard, held, begun = shard + 1, 0, i // span
+                held += n
+                want[kind, i] = shard
+        assert {(r["kind"], r["i"]): r["shard"] for r in release.packed(df, "kind", "i", "n", 100, span).collect()} == want
+    with pytest.raises(Exception, match="exceeds the shard limit"):
+        release.packed(df, "kind", "i", "n", 10, 60).collect()
 
 
 def test_selection(spark):
