@@ -235,9 +235,10 @@ def components(edges: DataFrame, own: Scratch) -> DataFrame:
     last = mark(now)
     while last[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that the joins can be split where one node has very many neighbours
+        low = own.saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
+        large = own.saved(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "stars")
+        low = own.saved(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = own.saved(small.select("e.u", "e.v").where("u != v").distinct(), "stars")
         this = mark(now)
