@@ -38,7 +38,7 @@ LEAD = np.float32(8.0)
 KINDS = 3
 
 #: First code point of a range, its script; a range ends where the next begins.  Fixed values, from Unicode's blocks.
-#: Words that begin with what several scripts share (digits, quotes, signs) aren't narrowed.
+#: Digits, quotes and signs belong to no script: a word has that of the first code point after them.
 SCRIPTS = (
     (0x0000, "Common"), (0x0041, "Latin"), (0x0080, "Common"), (0x00C0, "Latin"), (0x02B0, "Common"), (0x0370, "Greek"), (0x0400, "Cyrillic"),
     (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Syriac"), (0x0750, "Arabic"), (0x0780, "Thaana"), (0x07C0, "Nko"),
@@ -58,6 +58,7 @@ SCRIPTS = (
     (0x10000, "Other"), (0x1B000, "Kana"), (0x1B170, "Other"), (0x1D000, "Common"), (0x1D800, "Other"), (0x1F000, "Common"), (0x20000, "Han"), (0x40000, "Common"),
 )
 SCRIPT_NAMES = tuple(dict.fromkeys(name for _, name in SCRIPTS))
+_COMMON = SCRIPT_NAMES.index("Common")
 _SCRIPT_AT = np.array([at for at, _ in SCRIPTS])
 _SCRIPT_ID = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
 _ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -113,19 +114,33 @@ def word_features(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return starts, ends, first, grams, whole
 
 
-def word_scripts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The script of each word, by its first code point."""
-    first = raw[starts].astype(np.int64)
+def _scripts_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The script of the code point that begins at each byte."""
+    first = raw[at].astype(np.int64)
     point = first.copy()
     if len(first) and first.max() >= 0xC0:
         wide = np.concatenate((raw, np.zeros(4, dtype=np.uint8))).astype(np.int64)
-        b, c, d = (wide[starts + k] & 0x3F for k in (1, 2, 3))
+        b, c, d = (wide[at + k] & 0x3F for k in (1, 2, 3))
         point = np.where(first >= 0xC0, (first & 0x1F) << 6 | b, point)
         point = np.where(first >= 0xE0, (first & 0x0F) << 12 | b << 6 | c, point)
         point = np.where(first >= 0xF0, (first & 0x07) << 18 | b << 12 | c << 6 | d, point)
     return _SCRIPT_ID[np.searchsorted(_SCRIPT_AT, point, side="right") - 1]
 
 
+def word_scripts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The script of each word: that of its first code point that isn't shared by several scripts, if it has one."""
+    out = _scripts_at(raw, starts)
+    shared = out == _COMMON
+    if shared.any():
+        at = np.flatnonzero((raw & 0xC0) != 0x80)
+        scripts = _scripts_at(raw, at)
+        own = scripts != _COMMON
+        at, scripts = np.append(at[own], len(raw)), np.append(scripts[own], _COMMON)
+        first = np.searchsorted(at, starts[shared])
+        out[shared] = np.where(at[first] < ends[shared], scripts[first], _COMMON)
+    return out
+
+
 def has_letter(raw: np.ndarray) -> bool:
     if translated(raw, _LETTER_TABLE).any():
         return True
@@ -157,7 +172,7 @@ class LangModel:
         scores += self.table.take(whole, axis=0)
         narrow = None
         if raw.max() >= 0xCA or np.isneginf(self.allowed[SCRIPT_NAMES.index("Latin")]).any():
-            narrow = self.allowed[word_scripts(raw, starts)].astype(np.float32)
+            narrow = self.allowed[word_scripts(raw, starts, ends)].astype(np.float32)
             scores += narrow
         scores -= scores.max(axis=1, keepdims=True)
         # among the script's candidates one odd word can't outweigh a span: its lead is bounded
@@ -335,9 +350,9 @@ def fit(docs: DataFrame, train: Column, settings: LangSettings = LangSettings(),
                         yield counted()
                     now = name
                     own[:] = 0
-                starts, _, _, grams, whole = word_features(raw)
+                starts, ends, _, grams, whole = word_features(raw)
                 if len(starts):
-                    own += np.bincount(np.concatenate((*grams, whole, KINDS * BUCKETS + word_scripts(raw, starts))), minlength=len(own))
+                    own += np.bincount(np.concatenate((*grams, whole, KINDS * BUCKETS + word_scripts(raw, starts, ends))), minlength=len(own))
         if now is not None:
             yield counted()
 
@@ -349,7 +364,7 @@ def fit(docs: DataFrame, train: Column, settings: LangSettings = LangSettings(),
     # by the language's own words: how much text other languages have in the script doesn't matter
     allowed = np.where(scripts >= settings.narrow_share * np.maximum(1.0, scripts.sum(axis=0, keepdims=True)), 0.0, -np.inf)
     allowed[np.isneginf(allowed).all(axis=1)] = 0.0  # nothing, or too little of each language, is known of the script
-    allowed[SCRIPT_NAMES.index("Common")] = 0.0
+    allowed[_COMMON] = 0.0
     # grams overlap and so aren't independent: a word's evidence counts about once
     table = np.empty((KINDS, BUCKETS, len(langs)), dtype=np.float32)
     for kind, weight in enumerate((0.35, 0.25, 0.5)):
