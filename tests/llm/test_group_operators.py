@@ -176,11 +176,31 @@ def test_sql_twins(spark):
         assert sorted(tuple(r) for r in queries.QUERIES[name](spark, DATA).select(*columns).collect()) == want, name
 
 
+def leaked_brute(texts, items):
+    """Which texts hold an item within the edit budget of one of its probes, by alignment with the whole text."""
+    from quillon.llm import decontaminate
+    from tests.llm.test_text_operators import semi_global
+
+    settings = decontaminate.LeakSettings()
+    probes = decontaminate.LeakIndex(items, settings).probes
+    out = set()
+    for doc, text in texts:
+        points = decontaminate.normal(text or "")
+        if len(points) and any(semi_global(p, points) <= settings.edits(len(p)) for _, p in probes):
+            out.add(doc)
+    return out
+
+
 def test_pipeline(spark):
-    """The stages by hand, on what each one gets."""
+    """The stages against brute force, on what each one gets."""
     import corpus_pipeline as cp
 
+    from quillon.llm import mixing
+    from tests.llm.test_proofs import bayes
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
     assert [name for name, _ in cp.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "mixing"]
     seen = docs
     for k, (name, stage) in enumerate(cp.STAGES):
@@ -188,11 +208,30 @@ def test_pipeline(spark):
         assert out.columns[:5] == docs.columns and (k == 4 or out.columns == docs.columns)
         rows = [(r["doc_id"], r["text"]) for r in seen.collect()]
         got = {r["doc_id"]: r["text"] for r in out.collect()}
-        if name == "line_dedup":
+        if name == "language_id":  # all languages are known here: only texts without a letter have none
+            assert set(got) == {d for d, t in rows if any(c.isalpha() for c in t or "")}
+        elif name == "line_dedup":
             brute = line_brute(rows)
             assert got == {r[0]: t for r, t in ((r, brute[r]) for r in rows) if t == r[1] or WORD.search(t or "")}
         elif name == "near_dedup":
             assert set(got) == {r[0] for r, c in zip(rows, component_brute(rows)[1]) if r[0] == c}
+        elif name == "decontamination":
+            gone = leaked_brute(rows, items)
+            assert set(got) == {d for d, _ in rows} - gone and gone
+        else:
+            rates = mixing.rates(seen, labels).withColumn("copies", mixing.copies(F.col("rate"))).toPandas().set_index("doc_id")
+            assert {r["doc_id"]: r["copies"] for r in out.collect()} == rates.loc[rates["copies"] > 0, "copies"].to_dict()
+            settings = mixing.MixSettings()
+            hashed = {r["doc_id"]: r["b"] for r in seen.select("doc_id", mixing._buckets("text", settings.buckets).alias("b")).collect()}
+            known = {r["id"]: r["domain"] for r in mixing.label_domains(labels).collect()}
+            # the prior counts all labelled rows, the words only those that are still there
+            sizes = collections.Counter(known.values())
+            ids, domains = rates.index.tolist(), list(mixing.TARGETS)
+            p = bayes([hashed[d] for d in ids], [(hashed.get(d, []), x) for d, x in known.items()], domains, settings)
+            r, tokens = rates["rate"].to_numpy(), rates["tokens"].to_numpy()
+            assert sum(sizes.values()) == len(known) and np.allclose(rates[["p0", "p1", "p2"]].to_numpy(), p, atol=1e-9)
+            goal = tokens.sum() * np.array(list(mixing.TARGETS.values()))
+            assert np.abs((tokens * r) @ p - goal).max() < 1e-3 * tokens.sum() and (r >= 0).all()
         seen = out
     final = {r["doc_id"] for r in cp.run(spark, DATA).collect()}
     assert final == set(got)
