@@ -30,3 +30,8 @@ def group_digest(row_digest: Column) -> Column:
 def line_end_free(text: Column) -> Column:
     """SHA-256 that doesn't depend on the kind of line ends."""
     return F.sha2(F.regexp_replace(text, "\r\n?", "\n"), 256)
+
+
+def portable_time(at: Column) -> Column:
+    """A time as ISO text with microseconds, so that digests of it agree between stores."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

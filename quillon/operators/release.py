@@ -72,6 +72,13 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def lineage_findings(bound: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, problem) where files aren't what a manifest (path, bytes, sha256) binds: missing, unbound, size_differs or content_differs."""
+    has = files.select("path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"))
+    problem = F.when(F.col("_sha").isNull(), "missing").when(F.col("sha256").isNull(), "unbound").when(F.col("_bytes") != F.col("bytes"), "size_differs").when(F.col("_sha") != F.col("sha256"), "content_differs")
+    return bound.join(has, "path", "full_outer").select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def publish(spark: SparkSession, root: str, release: str, expected: str | None) -> bool:
     """Moves the pointer to `release` if it still is at `expected` (None: no pointer yet).
 

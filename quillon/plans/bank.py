@@ -104,8 +104,11 @@ def _hash(what: str, identity: str) -> str:
     return f"substr(sha256({what} || ':' || {identity}), 1, 16)"
 
 
-_REFUSED = """refused AS (SELECT form, CASE WHEN count(*) < 12 THEN 'requires 12; only ' || count(*) || ' are available' WHEN count(DISTINCT question_type) < 3 THEN
+def _refused(n: int) -> str:
+    return f"""refused AS (SELECT form, CASE WHEN count(*) < {n} THEN 'requires {n}; only ' || count(*) || ' are available' WHEN count(DISTINCT question_type) < 3 THEN
     'missing types: ' || array_to_string(list_filter(['mcq', 'msq', 'nat'], lambda k: NOT list_contains(list(DISTINCT question_type), k)), ', ') END AS reason FROM items GROUP BY form)"""
+
+
 _ITEMS = "items AS (SELECT subject || '-' || k AS form, topic, question_type, question_id FROM question, range(1, 11) t(k) WHERE is_active)"
 
 
@@ -116,7 +119,7 @@ def _pick(number: int, kind: str) -> str:
     return f"pick{number} AS (SELECT i.form, i.topic, i.question_id FROM good i LEFT JOIN (SELECT DISTINCT form, topic FROM ({known})) u USING (form, topic) WHERE question_type = '{kind}' QUALIFY row_number() OVER (PARTITION BY i.form ORDER BY u.form IS NOT NULL, {order}, i.question_id) = 1)"
 
 
-@query(f"""WITH {star.CTE}, {_ITEMS}, {_REFUSED}, good AS (SELECT i.* FROM items i JOIN refused r USING (form) WHERE reason IS NULL), {_pick(0, 'mcq')}, {_pick(1, 'msq')}, {_pick(2, 'nat')},
+@query(f"""WITH {star.CTE}, {_ITEMS}, {_refused(12)}, good AS (SELECT i.* FROM items i JOIN refused r USING (form) WHERE reason IS NULL), {_pick(0, 'mcq')}, {_pick(1, 'msq')}, {_pick(2, 'nat')},
   required AS (SELECT *, 0 AS k FROM pick0 UNION ALL SELECT *, 1 FROM pick1 UNION ALL SELECT *, 2 FROM pick2),
   marked AS (SELECT g.*, r.k, h.form IS NOT NULL AS has FROM good g LEFT JOIN required r USING (form, question_id) LEFT JOIN (SELECT DISTINCT form, topic FROM required) h ON h.form = g.form AND h.topic = g.topic),
   stepped AS (SELECT *, CASE WHEN k IS NOT NULL THEN 0 WHEN NOT has AND row_number() OVER (PARTITION BY form, topic, k IS NOT NULL ORDER BY {_hash("form || ':topic:' || topic", "question_id")}, question_id) = 1 THEN 1 ELSE 2 END AS step FROM marked),
@@ -134,9 +137,9 @@ def _form_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.withColumn("form", F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat_ws("-", "subject", k.cast("string"))))).select("form", "topic", "question_type", "question_id")
 
 
-@query(f"WITH {star.CTE}, {_ITEMS}, {_REFUSED} SELECT form, reason FROM refused WHERE reason IS NOT NULL")
+@query(f"WITH {star.CTE}, {_ITEMS}, {_refused(65)} SELECT form, reason FROM refused WHERE reason IS NOT NULL")
 def form_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.refusals(_form_items(spark, sf_dir), "form", "question_type", ("mcq", "msq", "nat"), 12)
+    return selection.refusals(_form_items(spark, sf_dir), "form", "question_type", ("mcq", "msq", "nat"), 65)
 
 
 @query(f"""WITH {star.CTE}, batched AS (SELECT subject, question_id, CAST(floor((row_number() OVER w - 1) / 10) AS BIGINT) AS batch

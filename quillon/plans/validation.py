@@ -65,7 +65,7 @@ def bank_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.row_findings(bank_rows(spark, sf_dir), validation.question_rules(), "question_id")
 
 
-_MINIMA = {"questions": ("TRUE", 10), "mcq": ("question_type = 'mcq'", 3), "msq": ("question_type = 'msq'", 3), "nat": ("question_type = 'nat'", 3), "one_mark": ("marks = 1", 5), "two_marks": ("marks = 2", 5)}
+_MINIMA = {"questions": ("TRUE", 80), "mcq": ("question_type = 'mcq'", 25), "msq": ("question_type = 'msq'", 25), "nat": ("question_type = 'nat'", 25), "one_mark": ("marks = 1", 40), "two_marks": ("marks = 2", 40)}
 
 
 @query(f"""WITH {star.CTE}, c AS ({' UNION ALL '.join(f"SELECT subject, '{code}' AS code, count(*) FILTER (WHERE {rule}) AS found, {n} AS required FROM question GROUP BY subject" for code, (rule, n) in _MINIMA.items())}) SELECT subject, code, found, CAST(required AS BIGINT) AS required FROM c WHERE found < required""")

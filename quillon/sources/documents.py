@@ -38,6 +38,30 @@ def strict_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def strict_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(path, checksum, the schema's columns) of JSON files, one object each; the checksum is that of the raw bytes.
+
+    A file that isn't such an object, lacks a field that can't be null, or has a field that the schema doesn't name, is an error.
+    """
+    raw = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("checksum"), F.decode("content", "UTF-8").alias("_text"))
+    known = F.array(*(F.lit(f.name) for f in schema.fields))
+    doc = F.from_json("_text", schema)
+    extra = F.array_except(F.json_object_keys("_text"), known)
+    lacks = F.lit(False)
+    for f in schema.fields:
+        if not f.nullable:
+            lacks = lacks | F.get_json_object("_text", f"$.{f.name}").isNull()
+    problem = F.when(F.json_object_keys("_text").isNull() | doc.isNull(), "not an object").when(F.size(extra) > 0, F.concat(F.lit("unknown fields "), F.array_join(extra, ", "))).when(lacks, "a required field is missing")
+    checked = raw.withColumn("_doc", F.when(problem.isNull(), doc).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(": "), problem)).cast(schema)))
+    return checked.select("path", "checksum", "_doc.*")
+
+
+def write_canonical_json(df: DataFrame, path: str) -> None:
+    """Replaces the folder's JSON lines: keys sorted, nulls written, one line a row; the commit is atomic."""
+    line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], seq: str) -> DataFrame:
     """JSON lines, the last row of each key by `seq`; a broken line is an error unless it is the file's last.
 

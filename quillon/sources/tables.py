@@ -67,6 +67,20 @@ def read_release(spark: SparkSession, root: str, kind: str, shard: str, digest:
     raise ValueError("the release changed during every read")
 
 
+def upsert(spark: SparkSession, root: str, rows: DataFrame, keys: list[str], release_id: str) -> bool:
+    """Rows by key over the current release (all of them, if there is none), as a new release that becomes the current one.
+
+    Readers see the old or the new one, never a part.  False if another writer was faster: nothing has changed then.
+    """
+    _, current = release.pointer(spark, root)
+    new = rows
+    if current is not None:
+        old = spark.read.parquet(f"{root}/{current}/rows")
+        new = old.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
+    new.write.mode("errorifexists").parquet(f"{root}/{release_id}/rows")
+    return release.publish(spark, root, release_id, current)
+
+
 class SnapshotCache:
     """A release's rows in memory until it is replaced; looked at again after `ttl` seconds."""
 

@@ -94,3 +94,40 @@ def test_stream_drops_nothing_as_late(spark, tmp_path):
         ev.start(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
         state = ev.current(spark, str(tmp_path / "log"))
         assert state.groupBy().sum("attempt_count", "incorrect_count").first() == (4, 4)
+
+
+def test_strict_documents(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import types as T
+
+    from quillon.sources import documents
+
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("name", T.StringType())])
+    good = '{"id": 1,\n "name": "x"}'
+    (tmp_path / "good.json").write_text(good)
+    row = documents.strict_documents(spark, str(tmp_path / "good.json"), schema).first()
+    assert (row["id"], row["name"], row["checksum"]) == (1, "x", hashlib.sha256(good.encode()).hexdigest())
+    for name, text in (("extra", '{"id": 1, "more": 2}'), ("lacks", '{"name": "x"}'), ("list", "[1]")):
+        (tmp_path / f"{name}.json").write_text(text)
+        with pytest.raises(Exception, match="unknown fields more|required field|not an object"):
+            documents.strict_documents(spark, str(tmp_path / f"{name}.json"), schema).collect()
+
+
+def test_canonical_json_upsert_and_lineage(spark, tmp_path):
+    from quillon.operators import release
+    from quillon.sources import documents, tables
+
+    rows = spark.createDataFrame([(2, "b", None), (1, "a", 1.5)], "z long, a string, m double")
+    documents.write_canonical_json(rows.coalesce(1), str(tmp_path / "json"))
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "json")).collect())
+    assert lines == ['{"a":"a","m":1.5,"z":1}', '{"a":"b","m":null,"z":2}']
+    root = str(tmp_path / "bank")
+    assert tables.upsert(spark, root, rows, ["z"], "r1")
+    assert tables.upsert(spark, root, spark.createDataFrame([(2, "c", 9.0), (3, "d", None)], rows.schema), ["z"], "r2")
+    assert {(r["z"], r["a"]) for r in spark.read.parquet(f"{root}/r2/rows").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert not release.publish(spark, root, "r9", "r1")
+    files = release.file_digests(spark, f"{root}/r2/rows/*.parquet").cache()
+    assert release.lineage_findings(files, files).isEmpty()
+    broken = files.limit(1).selectExpr("path", "bytes", "'x' AS sha256").union(spark.createDataFrame([("gone", 1, "y")], files.schema))
+    assert {r["problem"] for r in release.lineage_findings(broken, files).collect()} >= {"missing", "content_differs"}
