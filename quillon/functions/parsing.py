@@ -26,12 +26,6 @@ def key_row(text: Column) -> Column:
     return F.struct(part(1).try_cast("long").alias("number"), kind.alias("kind"), raw.alias("answer"), part(4).try_cast("long").alias("marks"), shape.alias("shape"))
 
 
-def remapped(year: Column, section: Column, local: Column, general_first: Column, general_count: Column) -> Column:
-    """The paper-wide ordinal of a section's local number; general questions come first or last."""
-    before = F.when(general_first & (section != "GA"), general_count).when(~general_first & (section == "GA"), F.lit(55))
-    return F.when(year >= 2010, local + F.coalesce(before, F.lit(0))).otherwise(local)
-
-
 def resolve_references(payload: str) -> str:
     """A flattened array with back references as nested JSON: element 0 is the root, numbers inside
     objects and arrays are places.  Cycles, excess depth or size are errors."""

@@ -125,13 +125,6 @@ def rotated(options: Column, by: Column) -> Column:
     return F.when(n > 0, F.concat(F.slice(options, k + 1, n), F.slice(options, F.lit(1), k))).otherwise(options)
 
 
-def round_robin(rows: DataFrame, groups: int, order: list, name: str = "group") -> DataFrame:
-    """Deals hash-keyed rows to groups evenly: row's place within its bucket modulo the groups."""
-    bucket = F.pmod(F.xxhash64(*order), F.lit(64))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return rows.withColumn("_bucket", bucket).withColumn(name, F.pmod(place + F.col("_bucket"), F.lit(groups)).cast("long")).drop("_bucket")
-
-
 def day_number(at: Column, offset_minutes: int = 330) -> Column:
     """Days since the epoch in a zone with this offset."""
     return F.floor((F.unix_millis(at.cast("timestamp")) + offset_minutes * 60_000) / 86_400_000)

@@ -106,7 +106,7 @@ def shared_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT year(o_orderdate) AS year, o_orderpriority AS session, min(o_orderkey) AS paper FROM orders GROUP BY ALL""")
 def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderpriority").alias("session"), F.col("o_orderkey").alias("paper"))
-    return transcripts.first_sample(orders, ["year", "session"], ["paper"])
+    return sequences.first_by_priority(orders, ["year", "session"], ["paper"])
 
 
 _LABELS = "WITH l AS (SELECT l_orderkey, list(chr(CAST(64 + CASE WHEN l_linenumber > 4 THEN 1 ELSE l_linenumber END AS INT)) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS ls FROM lineitem GROUP BY l_orderkey)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.operators import quality, validation
-from quillon.plans import bank, papers, star
+from quillon.plans import papers, star
 from quillon.plans.registry import query
 from quillon.plans.star import table
 
