@@ -11,13 +11,14 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions import markup
+
 
 def slug(text: Column) -> Column:
     """Lower case, runs of other characters than a-z and 0-9 become one hyphen."""
@@ -182,33 +183,6 @@ def with_quality_flags(df: DataFrame, text_col: str, name: str = "flags", option
     return whole.withColumn(name, quality_flags(F.col("_clean"), F.col("_prompt"), options)).drop("_clean", "_prompt")
 
 
-class _Shown(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.skip = 0
-        self.image = False
-
-    def parse_html_declaration(self, i: int) -> int:
-        try:
-            return super().parse_html_declaration(i)
-        except AssertionError:  # the parser's answer to a declaration that it doesn't know: a comment
-            return self.parse_bogus_comment(i)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.image = self.image or tag == "img"
-        self.skip += tag in ("script", "style")
-        if tag in ("br", "p", "div", "li", "tr", "h1", "h2", "h3"):
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        self.skip -= tag in ("script", "style") and self.skip > 0
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.parts.append(data)
-
-
 def shown_text(page: str | None) -> str | None:
     """The text of an HTML fragment without zero-width characters; white space is folded."""
     return None if page is None else shown(page)[0]
@@ -216,10 +190,15 @@ def shown_text(page: str | None) -> str | None:
 
 def shown(page: str) -> tuple[str, bool]:
     """The text of an HTML fragment, and whether it has an image."""
-    parser = _Shown()
-    parser.feed(page)
-    parser.close()
-    return " ".join(re.sub("[\u200b-\u200d\ufeff]", "", "".join(parser.parts)).split()), parser.image
+    parts, image = [], False
+    for kind, value, _ in markup.tokens(page):
+        if kind == "text":
+            parts.append(value)
+        elif kind == "open":
+            image = image or value == "img"
+            if value in ("br", "p", "div", "li", "tr", "h1", "h2", "h3"):
+                parts.append("\n")
+    return " ".join(re.sub("[\u200b-\u200d\ufeff]", "", "".join(parts)).split()), image
 
 
 @F.pandas_udf(T.StringType())

@@ -60,3 +60,17 @@ def test_guards(spark):
     assert {r["key"]: r["id"] for r in aliases.collect()} == {"datastructures": 1, "databases": 2, "ds": None}
     merged = projections.keyed_merge(spark.createDataFrame([(1, "r")], "k long, v string"), spark.createDataFrame([(1, "l"), (2, "l")], "k long, v string"), "k")
     assert {(r["k"], r["v"], r["origin"]) for r in merged.collect()} == {(1, "r", "remote"), (2, "l", "local")}
+
+
+def test_markup_is_read_in_linear_time():
+    import time
+
+    from quillon.functions import markup
+
+    for piece in ("<!--x", "<![x", "<a b", "</", "&a", "<", "<?x", "<!x", "<a '\">", "<script></x"):
+        start = time.perf_counter()
+        sum(1 for _ in markup.tokens(piece * 100_000))
+        assert time.perf_counter() - start < 5, piece
+    assert list(markup.tokens("a<b c='>'>d</b ><1 &lt;<i")) == [("text", "a", ""), ("open", "b", " c='>'"), ("text", "d", ""), ("close", "b", " "), ("text", "<", ""), ("text", "1 <", "")]
+    assert markup.attributes(""" HREF='x&amp;y' alt="" a=b/c href=z it's""") == {"href": "x&y", "alt": "", "a": "b/c", "it's": ""}
+    assert [x[:2] for x in markup.tokens("<title>a<b></title><script>if (a < b) '</p>'</script>x<style>y")] == [("open", "title"), ("text", "a<b>"), ("close", "title"), ("open", "script"), ("close", "script"), ("text", "x"), ("open", "style")]
