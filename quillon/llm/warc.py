@@ -14,7 +14,8 @@ bytes of the HTTP body as they are stored); both are optional.  A null body coun
 and gives records with an empty text; null headers give none; a null URI or date leaves its
 header out; a null record id gets one from the URI and payload.  Repeated rows give repeated
 records.  Other columns are ignored.  Bodies are converted whole, row by row, without a
-shuffle; what HTML's grammar doesn't know, as `<![foo[`, is a comment up to the next `>`.
+shuffle, in time linear in the page; what HTML's grammar doesn't know, as `<![foo[`, is a
+comment up to the next `>`.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions import markup
+
 VERSION = "WARC/1.1"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivative")
 #: Elements whose text isn't shown, and those that break a line.
@@ -56,69 +58,43 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-class _Page(HTMLParser):
-    """Text, title and links of a page."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.title: list[str] = []
-        self.links: list[tuple[str, str]] = []
-        self.base: str | None = None
-        self.hidden = 0
-        self.in_title = False
-
-    def parse_html_declaration(self, i: int) -> int:
-        if self.rawdata.startswith("<![", i) and not re.match(r"<!\[(?:cdata|temp|ignore|include|rcdata|if|else|endif)\s*[\[\]\s]", self.rawdata[i : i + 16], re.I):
-            return self.parse_bogus_comment(i)
-        try:
-            return super().parse_html_declaration(i)
-        except AssertionError:  # the parser's answer to a declaration that it doesn't know
-            return self.parse_bogus_comment(i)
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        values = dict(attrs)
-        if tag == "base" and values.get("href"):
-            self.base = values["href"]
-        elif tag in LINKS and values.get(LINKS[tag]):
-            self.links.append((f"{tag}@{LINKS[tag]}", values[LINKS[tag]].strip()))
-        if tag == "title":
-            self.in_title = True
-        elif tag == "body":
-            self.hidden = 0  # an unclosed head ends where the body begins
-        elif tag in HIDDEN:
-            self.hidden += 1
-        elif tag in BREAKS:
-            self.parts.append("\n")
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        before = self.hidden
-        self.handle_starttag(tag, attrs)
-        self.hidden = min(before, self.hidden)
-        self.in_title = self.in_title and tag != "title"
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self.in_title = False
-        elif tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in BREAKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-        elif not self.hidden:
-            self.parts.append(data)
-
-
 def convert(html: str) -> tuple[str, str, list[tuple[str, str]], str | None]:
     """(text, title, links as (source, raw URI), base URI) of a page; blank runs and empty lines are folded."""
-    page = _Page()
-    page.feed(html)
-    page.close()
-    lines = (" ".join(line.split()) for line in "".join(page.parts).split("\n"))
-    return "\n".join(line for line in lines if line), " ".join("".join(page.title).split()), page.links, page.base
+    parts: list[str] = []
+    title: list[str] = []
+    links: list[tuple[str, str]] = []
+    base, hidden, in_title = None, 0, False
+    for kind, value, inside in markup.tokens(html):
+        if kind == "text":
+            if in_title:
+                title.append(value)
+            elif not hidden:
+                parts.append(value)
+            continue
+        if kind == "open":
+            if value in LINKS or value == "base":
+                found = markup.attributes(inside)
+                if value == "base":
+                    base = found.get("href") or base
+                elif found.get(LINKS[value]):
+                    links.append((f"{value}@{LINKS[value]}", found[LINKS[value]].strip()))
+            single = inside.endswith("/")
+            if value == "title":
+                in_title = not single
+            elif value == "body":
+                hidden = 0  # an unclosed head ends where the body begins
+            elif value in HIDDEN:
+                hidden += not single
+            elif value in BREAKS:
+                parts.append("\n")
+        elif value == "title":
+            in_title = False
+        elif value in HIDDEN:
+            hidden = max(0, hidden - 1)
+        elif value in BREAKS:
+            parts.append("\n")
+    lines = (" ".join(line.split()) for line in "".join(parts).split("\n"))
+    return "\n".join(line for line in lines if line), " ".join("".join(title).split()), links, base
 
 
 def _line(value: str) -> str:
