@@ -16,7 +16,6 @@ are ignored.  Whole texts are scanned.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -27,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.shared import scratch
+
 #: In the order in which kinds are listed at equal starts.
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -85,7 +86,7 @@ _COMMON = Words()
 
 @dataclass(frozen=True)
 class WordSettings:
-    """The `words` most frequent words of `least` to `most` letters are learned."""
+    """At most `words` words of `least` to `most` letters are learned."""
 
     words: int = 20_000
     least: int = 3
@@ -93,11 +94,25 @@ class WordSettings:
 
 
 def learn_words(docs: DataFrame, settings: WordSettings = WordSettings(), text_col: str = "text") -> Words:
-    """The words (runs of a-z) that most documents hold, counted over all whole texts; ties by the word."""
+    """The words (runs of a-z) that most documents hold, counted over all whole texts; ranks' ties by the word.
+
+    Words count from a number of documents on that at most `settings.words` words reach; only these, and a histogram of a
+    few thousand rows, come to the driver.
+    """
     text = F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[:=]\x20*[\"']?[^\s\"'<>,;]+", " ")
     words = F.array_distinct(F.filter(F.split(text, "[^a-z]+"), lambda w: F.length(w).between(settings.least, settings.most)))
-    counts = docs.select(F.explode(words).alias("w")).groupBy("w").count()
-    return Words(r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(settings.words).collect())
+    with scratch(docs.sparkSession) as own:
+        # 64 steps for every doubling of the number of documents
+        step = F.floor(F.log2("count") * 64).cast("long")
+        counts = own.saved(docs.select(F.explode(words).alias("w")).groupBy("w").count().withColumn("step", step), "words")
+        total, least = 0, None
+        for row in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+            total += row["n"]
+            if total > settings.words:
+                break
+            least = row["step"]
+        found = [] if least is None else counts.where(F.col("step") >= least).select("w", "count").collect()
+    return Words(r["w"] for r in sorted(found, key=lambda r: (-r["count"], r["w"])))
 
 
 def log_guesses(value: str, limit: float = math.inf, words: Words = _COMMON) -> float:
