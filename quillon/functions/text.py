@@ -133,6 +133,12 @@ DEBRIS = {
     "visual_dependency": r"(?i)\b(?:figure|diagram|(?:bar\s+|line\s+)?graph\s+(?:shown|given)|shown\s+(?:above|below|in\s+the)|given\s+(?:above|below)\s+is|following\s+(?:(?:two|three)\s+)?(?:image|figure|diagram|circuit|graph|parse\s+tree|DFA|NFA|state\s+diagram)|(?:circuit|binary\s+tree|parse\s+tree|DFA|NFA|state\s+diagram)\s+(?:given|shown|above|below))\b",
     "private_use_math_glyph": r"[\x{E000}-\x{F8FF}]",
 }
+# What a text has to hold, in lower case, for a pattern to be tried; patterns without an entry are always tried.
+NEEDS = {
+    "answer_metadata": ("correct", "wrong"), "embedded_question_number": ("question",), "watermark": ("iqp", "www."), "paper_header": ("gate",), "section_page_footer": ("/",), "copyright_footer": ("copyright",),
+    "website_navigation": ("homehome", "information", "examination", "important", "faqsfaqs", "contact"), "marks_or_key_boilerplate": ("answer", "range", "question", "page", "carry"),
+    "visual_dependency": ("figure", "diagram", "graph", "shown", "given", "image", "circuit", "tree", "dfa", "nfa"),
+}
 # What tells code from prose, for the density rule and for the delimiter rule.
 CODE_MARKS = ("#include", "printf(", "scanf(", "int main", "->")
 CODE_WORDS = ("#include", "printf(", "scanf(", "int main", "return ", "char *", "void ", "for (", "while (")
@@ -158,15 +164,23 @@ def _dense(text: Column) -> Column:
     return (F.length(text) >= 120) & (((share <= 0.12) | many_long | camel) & ~_any_of(text, CODE_MARKS) | text.rlike(r"[A-Za-z]{36,}"))
 
 
-def quality_flags(clean: Column, prompt: Column | None = None, options: Column | None = None) -> Column:
+def _debris(clean: Column, low: Column, name: str) -> Column:
+    """Patterns without case are tried on the lower-cased text, if it holds what they need."""
+    pattern = DEBRIS[name]
+    found = low.rlike(pattern[4:].lower()) if pattern.startswith("(?i)") else clean.rlike(pattern)
+    return _any_of(low, NEEDS[name]) & found if name in NEEDS else found
+
+
+def quality_flags(clean: Column, prompt: Column | None = None, options: Column | None = None, low: Column | None = None) -> Column:
     """Sorted codes of what is wrong with a transcription; empty if nothing is.
 
-    `clean`: the collapsed text, as a column of its own (see `with_quality_flags`), because every flag reads it.
-    `prompt`: the part whose ending counts, by default all of it; `options`: texts that may hold a label of their own.
+    `clean`, `low`: the collapsed text and its lower case, as columns of their own (see `with_quality_flags`), because
+    every flag reads them.  `prompt`: the part whose ending counts, by default all of it; `options`: texts that may hold a
+    label of their own.
     """
     ending = clean if prompt is None else prompt
-    found = {name: clean.rlike(pattern) for name, pattern in DEBRIS.items()}
-    found |= {"spaced_character_ocr": clean.rlike(SPACED_LETTERS), "dense_missing_space_ocr": _dense(clean), "truncated_prompt": ending.rlike(OPEN_ENDING), "suspicious_prompt_ending": ending.rlike(ODD_ENDING)}
+    found = {name: _debris(clean, F.lower(clean) if low is None else low, name) for name in DEBRIS}
+    found |= {"spaced_character_ocr": clean.rlike(SPACED_LETTERS), "dense_missing_space_ocr": _dense(clean), "truncated_prompt": ending.rlike(OPEN_ENDING), "suspicious_prompt_ending": F.right(ending, F.lit(20)).rlike(ODD_ENDING)}
     if options is not None:
         found["nested_option_label"] = F.exists(options, lambda x: F.coalesce(x.rlike(NESTED_LABEL), F.lit(False)))
         found["unbalanced_code_delimiters"] = _any_of(clean, CODE_WORDS) & ~balanced(clean)
@@ -177,10 +191,11 @@ def with_quality_flags(df: DataFrame, text_col: str, name: str = "flags", option
     """The rows with their flags; with options (an array of texts) those of the whole record."""
     text = F.col(text_col)
     if options_col is None:
-        return df.withColumn("_clean", collapse(text)).withColumn(name, quality_flags(F.col("_clean"))).drop("_clean")
+        clean = df.withColumn("_clean", collapse(text)).withColumn("_low", F.lower("_clean"))
+        return clean.withColumn(name, quality_flags(F.col("_clean"), low=F.col("_low"))).drop("_clean", "_low")
     options = F.coalesce(options_col, F.array().cast("array<string>"))
-    whole = df.withColumns({"_clean": collapse(F.concat_ws(" ", text, options)), "_prompt": collapse(text)})
-    return whole.withColumn(name, quality_flags(F.col("_clean"), F.col("_prompt"), options)).drop("_clean", "_prompt")
+    whole = df.withColumns({"_clean": collapse(F.concat_ws(" ", text, options)), "_prompt": collapse(text)}).withColumn("_low", F.lower("_clean"))
+    return whole.withColumn(name, quality_flags(F.col("_clean"), F.col("_prompt"), options, F.col("_low"))).drop("_clean", "_prompt", "_low")
 
 
 def shown_text(page: str | None) -> str | None:
