@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, compression, decontaminate, langid, linededup, mixing, neardup, secrets, toxicity, warc
+from quillon.llm import chat, compression, decontaminate, exactdup, fim, langid, linededup, merkle, mixing, neardup, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(odd)))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's proofs; every third document by its id's CRC is folded from a leaf with a lower-cased text."""
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(docs["doc_id"].cast("string")) % 3 == 0
+    lower = F.translate(docs["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.digest(merkle.build(docs, carried={"other": merkle.tampered(docs, third, lower)}).proofs())
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.digest(exactdup.exact_duplicates(table(spark, sf_dir, "documents")))
+
+
 #: op4 in SQL is quadratic in what shares a shingle; fine for small tables only.
 NEAR_SQL = r"""
 WITH RECURSIVE words AS (
@@ -104,10 +120,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": linededup.DIGEST_SQL,
     "op4_near_dedup": NEAR_SQL,
     "op10_chat_format": chat.DIGEST_SQL,
+    "op11_fill_in_middle": fim.DIGEST_SQL,
+    "op12_merkle_manifest": merkle.DIGEST_SQL,
+    "op13_exact_dedup": exactdup.DIGEST_SQL,
 }
