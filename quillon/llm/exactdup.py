@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import saved, scratch
+from quillon.llm.shared import fresh, saved, scratch
 
 COUNTERS = 1024
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,7 +102,7 @@ def drop_exact_duplicates(docs: DataFrame, counters: int = COUNTERS, id_col: str
     and text are first reduced by partial aggregation, on the keys of the join that follows.
     """
     _, heavy, rest = _settled(docs, counters, id_col, text_col)
-    names = _fresh(docs.columns, "digest", "id", "best")
+    names = fresh(docs.columns, "digest", "id", "best")
     digest, own_id, best = names
     key = F.coalesce(F.concat(F.lit("="), docs[id_col].cast("string")), F.lit(""))
     best_key = F.coalesce(F.concat(F.lit("="), F.col("best.row_id").cast("string")), F.lit(""))
@@ -114,17 +114,6 @@ def drop_exact_duplicates(docs: DataFrame, counters: int = COUNTERS, id_col: str
     return left.dropDuplicates([digest, own_id]).join(stay, [digest, own_id], "left_semi").select(*docs.columns)
 
 
-def _fresh(taken: list[str], *names: str) -> list[str]:
-    """Column names that the table doesn't have, in any case."""
-    have, out = {c.lower() for c in taken}, []
-    for name in names:
-        while name.lower() in have:
-            name = f"_{name}"
-        have.add(name.lower())
-        out.append(name)
-    return out
-
-
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.shared import fresh
 from quillon.llm.textbytes import as_bytes, word_spans
 
 
@@ -117,9 +118,10 @@ def draws(row_id: Column, seed: int) -> Column:
 def fill_in_middle(docs: DataFrame, settings: FimSettings = FimSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the columns of ADDED, of which `fim_text` is the output; columns of these names are replaced."""
     added = [name for name, _, _ in ADDED]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c.lower() not in added]
+    of_name, draws_name = fresh(docs.columns, "fim_of", "fim_draws")
     texts, hashes = docs[text_col].cast("string"), draws(docs[id_col], settings.seed)
-    rows = docs.select(*(docs[c] for c in kept), texts.alias("fim_of"), hashes.alias("fim_draws"))
+    rows = docs.select(*(docs[c] for c in kept), texts.alias(of_name), hashes.alias(draws_name))
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(name, kind) for name, kind, _ in ADDED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

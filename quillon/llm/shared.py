@@ -71,3 +71,14 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
         F.xxhash64(F.lit(1), F.coalesce(row_id, F.lit("\0")), text).alias("k1"),
         F.xxhash64(F.lit(2), text, F.coalesce(row_id, F.lit("\0"))).alias("k2"),
     ]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it one that the table doesn't have, in any case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
