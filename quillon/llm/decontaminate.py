@@ -8,8 +8,10 @@ diagonal bands, regions that meet this bound are kept, and a banded alignment ve
 them: an item is leaked if one of its probes lies in the text within its edit budget.
 
 The lemma is exact for every probe with a positive bound.  From some length on all have
-one (20 characters by default); shorter items are found where they stand in the text
-whole and between word boundaries, by a hash of every such place.  Null and empty texts and items have no leaks.
+one (20 characters by default); shorter items with an edit to spend (17 to 19 characters)
+have one for shorter q-grams.  Items without edits are found where they stand in the text
+whole and between word boundaries, by a hash of every such place: within a word a few
+characters would be no copy.  Invalid UTF-8 counts as U+FFFD.  Null and empty texts and items have no leaks.
 Ids of any type and null ids are passed through; repeated documents repeat, items that
 repeat id and text count once; other columns are ignored.  A benchmark over `block_chars`
 characters is handled in blocks: one pass over the documents each, so that the driver and
@@ -19,7 +21,7 @@ the tasks hold one block (or one longer item) at a time; leaks are joined by row
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache, reduce
 from unicodedata import category
 
@@ -31,16 +33,20 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.llm.shared import row_keys, saved
-from quillon.llm.textbytes import U64, mix, seeded
+from quillon.llm.textbytes import U64, as_texts, mix, seeded
 
 _BITS = 22
 
 
 @dataclass(frozen=True)
 class LeakSettings:
-    """`budget`: edits per character of a probe, below 1 / q; `block_chars`: benchmark characters per pass."""
+    """`budget`: edits per character of a probe, below 1 / q; `block_chars`: benchmark characters per pass.
+
+    `short_q`: size of the q-grams for items that have an edit to spend but no bound with `q`.
+    """
 
     q: int = 10
+    short_q: int = 5
     budget: float = 0.06
     probe_chars: int = 120
     block_chars: int = 2_000_000
@@ -160,16 +166,21 @@ class LeakIndex:
         self.settings = settings
         self.probes: list[tuple[int, np.ndarray]] = []
         short: list[tuple[int, np.ndarray]] = []
+        middle: list[tuple[int, str]] = []
         least = settings.from_length()
         for item, text in items:
             points = normal(text or "")
             size = settings.probe_chars
             if len(points) < least or settings.least_shared(min(size, len(points))) <= 0:
-                short += [(item, points)] if len(points) else []
+                if settings.edits(len(points)) and settings.q > settings.short_q:
+                    middle.append((item, text))
+                else:
+                    short += [(item, points)] if len(points) else []
                 continue
             starts = [0] if len(points) <= size else sorted({*range(0, len(points) - size, size // 2), len(points) - size})
             self.probes += [(item, p) for s in starts if settings.least_shared(len(p := points[s : s + size])) > 0]
         self.short = ShortIndex(short)
+        self.middle = LeakIndex(middle, replace(settings, q=settings.short_q)) if middle else None
         grams = [qgrams(p, settings.q) for _, p in self.probes]
         flat = np.concatenate(grams) if grams else np.zeros(0, dtype=U64)
         order = np.argsort(flat, kind="stable")
@@ -190,9 +201,10 @@ class LeakIndex:
         """(item, start, end) of the regions found in the normalised text, one per item, by item."""
         if not text:
             return []
-        points = normal(text) if self.short.by_length or self.probes else None
+        points = normal(text)
         found = self.short.leaks(points) if self.short.by_length else {}
-        found |= {item: at for item, *at in self._near(points) if item not in found} if self.probes else {}
+        for near in (self, self.middle):
+            found |= {item: at for item, *at in near._near(points) if item not in found} if near is not None and near.probes else {}
         return [(item, *found[item]) for item in sorted(found)]
 
     def _near(self, points: np.ndarray) -> list[tuple[int, int, int]]:
@@ -240,7 +252,8 @@ class LeakIndex:
             k = int(self.edits[p])
             d_lo, d_hi = int(diagonal[a:b].min()), int(diagonal[a:b].max())
             # the alignment's own diagonals are within k of a shared q-gram's
-            if aligned(points_of, points, d_lo - k, d_hi + k, k):
+            at, to = max(0, d_lo - k), d_hi + k + len(points_of)
+            if aligned(points_of, points[at:to], d_lo - k - at, d_hi + k - at, k):
                 found[item] = (max(0, d_lo), min(len(points), d_hi + int(self.lengths[p]) + k))
         return [(item, *found[item]) for item in sorted(found)]
 
@@ -269,7 +282,7 @@ def _scanned(rows: DataFrame, block: list[tuple], settings: LeakSettings, leaks:
         own = shared.value
         index = LeakIndex([(k, text) for k, (_, text) in enumerate(own)], settings)
         for batch in batches:
-            found = [[{"item_id": own[k][0], "start": a, "end": b} for k, a, b in index.leaks(x.as_py())] for x in batch.column(batch.num_columns - 1)]
+            found = [[{"item_id": own[k][0], "start": a, "end": b} for k, a, b in index.leaks(x)] for x in as_texts(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, type=arrow)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -305,6 +318,6 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LeakIndex(list(enumerate(text for _, text in shared.value)), settings)
         for batch in batches:
-            yield batch.filter(pa.array([not index.leaks(text.as_py()) for text in batch.column(at)], type=pa.bool_()))
+            yield batch.filter(pa.array([not index.leaks(text) for text in as_texts(batch.column(at))], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ documents hold them: `learn_words` counts those of the whole corpus (what stands
 frequent `WordSettings.words`, which bounds what tasks hold.
 
 Positions count code points, ends are exclusive.  Null text is scanned as empty; empty
-texts have no spans; a null id is passed through; repeated rows repeat; other columns
+texts have no spans; invalid UTF-8 is scanned as U+FFFD, one code point each; a null id is passed through; repeated rows repeat; other columns
 are ignored.  Whole texts are scanned.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.shared import scratch
+from quillon.llm.textbytes import as_bytes, as_texts
 
 #: In the order in which kinds are listed at equal starts.
 KINDS = ("assign", "access", "hex", "guess")
@@ -228,7 +229,7 @@ def find_secrets(docs: DataFrame, rule: GuessRule = GuessRule(), id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(x.as_py(), rule, shared.value)] for x in batch.column(1)]
+            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(x, rule, shared.value)] for x in as_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, type=arrow)], names=["doc_id", "spans"])
 
     return source.mapInArrow(run, schema)
@@ -256,14 +257,14 @@ def redact(docs: DataFrame, rule: GuessRule = GuessRule(), id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for x in batch.column(at):
-                text, done, parts = x.as_py(), 0, []
+            for raw, text in zip(as_bytes(batch.column(at)), as_texts(batch.column(at))):
+                done, parts = 0, []
                 for _, start, end in scan(text, rule, shared.value):
                     if start >= done:
                         parts += [text[done:start], mask]
                     done = max(done, end)
-                texts.append(text if not parts else "".join([*parts, text[done:]]))
-            columns = [pa.array(texts, type=batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns)]
+                texts.append("".join([*parts, text[done:]]).encode() if parts else None if raw is None else raw.tobytes())
+            columns = [pa.array(texts, type=pa.binary()).view(pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, schema)

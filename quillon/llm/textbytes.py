@@ -76,6 +76,16 @@ def as_bytes(column: pa.Array) -> Iterator[np.ndarray | None]:
         yield None if nulls is not None and nulls[i] else raw[at[i] : at[i + 1]]
 
 
+def as_texts(column: pa.Array) -> Iterator[str | None]:
+    """The values as Python strings.
+
+    What isn't valid UTF-8 becomes U+FFFD, one for each maximal part of a character, so that no text stops a
+    task; places in such a text count these as one code point each.
+    """
+    for raw in as_bytes(column):
+        yield None if raw is None else raw.tobytes().decode("utf-8", "replace")
+
+
 def translated(raw: np.ndarray, table: bytes) -> np.ndarray:
     """Each byte through a table of 256."""
     return np.frombuffer(raw.tobytes().translate(table), dtype=np.uint8)

@@ -13,7 +13,7 @@ A response is a row (record_id, target_uri, date, http_headers, body), e.g. from
 bytes of the HTTP body as they are stored); both are optional.  A null body counts as empty
 and gives records with an empty text; null headers give none; a null URI or date leaves its
 header out; a null record id gets one from the URI and payload.  Repeated rows give repeated
-records.  Other columns are ignored.  Bodies are converted whole, row by row, without a
+records.  Invalid UTF-8 in a text becomes U+FFFD.  Other columns are ignored.  Bodies are converted whole, row by row, without a
 shuffle, in time linear in the page; what HTML's grammar doesn't know, as `<![foo[`, is a
 comment up to the next `>`.
 """
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import markup
+from quillon.llm.textbytes import as_texts
 
 VERSION = "WARC/1.1"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivative")
@@ -155,7 +156,7 @@ def derive(responses: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for one in zip(*(batch.column(k) for k in range(len(columns)))) for row in derive_one(*(x.as_py() for x in one))]
+            rows = [row for one in zip(*map(as_texts, batch.columns[:-1]), batch.columns[-1].to_pylist()) for row in derive_one(*one)]
             out = [pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_ARROW), _ARROW)]
             yield pa.RecordBatch.from_arrays(out, schema=_ARROW)
 
@@ -173,8 +174,9 @@ def responses_of_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_
 
 
 def write_records(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """The records as WARC files, one per partition."""
-    records.select("record").write.option("lineSep", "\r\n").option("compression", compression).text(path)
+    """The records as WARC files, one per partition; gzip makes one member of a file, `none` leaves them plain."""
+    # a record ends with two line ends, of which the writer adds the second
+    records.select(F.expr("left(record, length(record) - 2)").alias("record")).write.option("lineSep", "\r\n").option("compression", compression).text(path)
 
 
 def records_of(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, bool]]:

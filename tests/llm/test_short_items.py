@@ -17,7 +17,7 @@ def test_items_of_any_length(n, item):
     found = [[x[0] for x in index.leaks(t)] for t in texts]
     assert found[:3] == [[7]] * 3 and found[4:] == [[], [], []]
     # within a word: no copy of an item that has no edits
-    assert found[3] == ([] if n < 20 else [7])
+    assert found[3] == ([] if n < 17 else [7])
     at = index.leaks(texts[0])[0]
     assert at[1] <= len(FILL) + 1 and at[2] >= len(FILL) + 1 + n
 
