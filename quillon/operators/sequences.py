@@ -109,52 +109,66 @@ def forced_markers(markers: DataFrame, group: str, offset: str, number: str, ahe
     return rows.select(group, F.col("x._m.o").alias(offset), F.col("x._m.n").alias(number), F.col("x._s").alias("status"))
 
 
-def chosen_markers(wanted: list[str], places: dict[str, list[int]]) -> list[tuple[int | None, str]]:
-    """(place, status) of each wanted label, in order: chosen, missing or ambiguous.
-
-    Labels count upwards; one that isn't higher than the one before begins a new section.  A label's candidates lie
-    behind the last chosen place.  One candidate is chosen; of several, those before the first later candidate of the same
-    section, if it is one; in a section that another one follows, the last labels take their first candidate.  What
-    stays open is ambiguous: it is never guessed by position.
-    """
-    sections = [0]
-    for before, label in zip(wanted, wanted[1:]):
-        restart = before.isdigit() and label.isdigit() and int(label) <= int(before)
-        sections.append(sections[-1] + restart)
-    out: list[tuple[int | None, str]] = []
-    last = -1
-    for k, label in enumerate(wanted):
-        own = [p for p in sorted(places.get(label, [])) if p > last]
-        if len(own) > 1:
-            later = [p for j in range(k + 1, len(wanted)) if sections[j] == sections[k] for p in places.get(wanted[j], []) if p > last]
-            if later:
-                own = [p for p in own if p < min(later)] or own * 2  # none in reach: as open as several
-            elif sections[k] < sections[-1]:
-                own = own[:1]
-        if len(own) == 1:
-            last = own[0]
-        out.append((own[0], "chosen") if len(own) == 1 else (None, "ambiguous" if own else "missing"))
-    return out
-
-
 def segment_markers(markers: DataFrame, group: str, label: str, at: str, wanted: list[str]) -> DataFrame:
     """(group, number, label, place, status) for every wanted label of each group; `number` counts from 1.
 
-    Markers: (group, label, place).  A group is a paper: its markers are few, and fit an array.
+    Markers (group, label, place) are candidates; of every wanted label one is to be chosen, so that places rise.  A pass from
+    the front gives each label its earliest place behind those before it, one from the back its latest place before those
+    behind it.  A label with one candidate between the two is `chosen`, as every rising choice takes it; with several it is
+    `ambiguous`.  A label without a candidate that the front pass can reach is `missing` and binds no other.
+    A group is a paper: its markers are few, and fit an array.
     """
-    kind = "array<struct<place: bigint, status: string>>"
+    places = markers.groupBy(group, F.col(label).alias("_label")).agg(F.array_sort(F.collect_set(F.col(at).cast("long"))).alias("_at"))
+    by_label = places.where(F.col("_label").isin(wanted)).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("_label", "_at"))).alias("_by"))
+    every = markers.select(group).distinct().join(by_label, group, "left")
+    none = F.array().cast("array<bigint>")
+    lists = F.array(*(F.coalesce(F.col("_by")[F.lit(w)], none) for w in wanted))
+
+    def passed(found: Column, limit: int, best, beyond) -> Column:
+        start = F.struct(F.lit(limit).cast("long").alias("last"), none.alias("places"))
+
+        def step(acc: Column, own: Column) -> Column:
+            place = best(F.filter(own, lambda p: beyond(p, acc["last"])))
+            return F.struct(F.coalesce(place, acc["last"]).alias("last"), F.concat(acc["places"], F.array(place)).alias("places"))
+
+        return F.aggregate(found, start, step)["places"]
+
+    first = every.withColumn("_lists", lists).withColumn("_first", passed(F.col("_lists"), -(1 << 62), F.array_min, lambda p, last: p > last))
+    # what the front pass can't reach has no place in the pass from the back
+    reached = F.zip_with("_lists", "_first", lambda own, e: F.when(e.isNotNull(), F.filter(own, lambda p: p >= e)).otherwise(none))
+    last = first.withColumn("_reached", reached).withColumn("_last", F.reverse(passed(F.reverse("_reached"), 1 << 62, F.array_max, lambda p, edge: p < edge)))
+    between = F.zip_with("_reached", "_last", lambda own, e: F.filter(own, lambda p: p <= e))
+    rows = last.select(group, F.posexplode(between).alias("_k", "_own"))
+    status = F.when(F.size("_own") == 0, "missing").when(F.size("_own") == 1, "chosen").otherwise("ambiguous")
+    labels = F.array(*(F.lit(w) for w in wanted))
+    place = F.when(F.size("_own") == 1, F.get("_own", F.lit(0)))
+    return rows.select(group, (F.col("_k") + 1).cast("long").alias("number"), F.get(labels, F.col("_k")).alias(label), place.alias(at), status.alias("status"))
 
-    @F.pandas_udf(kind)
-    def decide(lists: pd.Series) -> pd.Series:
-        def one(found) -> list[dict]:
-            places: dict[str, list[int]] = {}
-            for x in found:
-                places.setdefault(x["label"], []).append(x["place"])
-            return [{"place": p, "status": s} for p, s in chosen_markers(wanted, places)]
 
-        return lists.map(one)
+def page_blocks(markers: DataFrame, pages: DataFrame, doc: str, page: str, start: str, text: str) -> DataFrame:
+    """The text from each marker (doc, page, start) to the next one of its document, over page borders, the last to the document's end.
 
-    found = markers.groupBy(group).agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col(at).cast("long").alias("place"))).alias("_m"))
-    rows = found.select(group, F.posexplode(decide("_m")).alias("_k", "c"))
-    labels = F.array(*(F.lit(w) for w in wanted))
-    return rows.select(group, (F.col("_k") + 1).cast("long").alias("number"), F.get(labels, F.col("_k")).alias(label), F.col("c.place").alias(at), F.col("c.status").alias("status"))
+    Pages (doc, page, text) count up; a page that isn't there is one without text.  `block` is the pieces, one a line, with
+    blank runs as one blank; `pages` are those on which the block has a word, or the marker's own.  Ends are exclusive.
+    Markers whose place isn't after the one before by page and offset, or behind their page's text, are `reversed` or
+    `outside` and have no block.  A block is joined to its pages by their numbers, so no task holds a document.
+    """
+    sizes = pages.select(F.col(doc), F.col(page).alias("_page"), F.length(text).cast("long").alias("_size"))
+    end = pages.groupBy(doc).agg(F.max(F.struct(F.col(page), F.length(text).cast("long").alias("size"))).alias("_end"))
+    order = Window.partitionBy(doc).orderBy(page, start)
+    placed = markers.withColumn("_next", F.lead(F.struct(F.col(page), F.col(start).alias("size"))).over(order)).join(end, doc).join(sizes.withColumnRenamed("_page", page), [doc, page], "left")
+    to = F.coalesce("_next", "_end")
+    status = F.when(F.col(start).isNull() | (F.col(start) < 0) | (F.col(start) > F.coalesce("_size", F.lit(0))), "outside").when((F.col("_next") == F.struct(F.col(page), F.col(start))), "reversed").otherwise("found")
+    placed = placed.select(doc, page, start, status.alias("status"), to[page].alias("end_page"), to["size"].alias("end"))
+    spread = placed.withColumn("_page", F.explode(F.when(F.col("status") == "found", F.sequence(page, "end_page")).otherwise(F.array(page))))
+    joined = spread.join(pages.select(doc, F.col(page).alias("_page"), F.col(text).alias("_text")), [doc, "_page"], "left")
+    begin = F.when(F.col("_page") == F.col(page), F.col(start)).otherwise(0)
+    stop = F.when(F.col("_page") == F.col("end_page"), F.col("end")).otherwise(F.length("_text"))
+    squashed = F.trim(F.regexp_replace(F.substring("_text", (begin + 1).cast("int"), F.greatest(stop - begin, F.lit(0)).cast("int")), r"\s+", " "))
+    piece = F.when((F.col("status") == "found") & (squashed != ""), F.struct("_page", squashed.alias("text")))
+    blocks = joined.groupBy(doc, page, start, "status", "end_page", "end").agg(F.array_sort(F.collect_list(piece)).alias("_p"))
+    touched = F.transform("_p", lambda x: x["_page"])
+    return blocks.select(
+        doc, page, start, "status", "end_page", "end", F.when(F.col("status") == "found", F.array_join(F.transform("_p", lambda x: x["text"]), " ")).alias("block"),
+        F.when(F.size("_p") > 0, touched).otherwise(F.array(page)).alias("pages"),
+    )

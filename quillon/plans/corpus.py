@@ -118,6 +118,25 @@ def block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.blocks(markers, "doc_id", "start", F.col("n")).select("doc_id", "line_no", "start", "end")
 
 
+@query(r"""WITH page AS (SELECT doc_id // 8 AS paper, doc_id % 8 AS page, coalesce(text, '') AS text FROM documents),
+  l AS (SELECT paper, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM page),
+  o AS (SELECT paper, page, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY paper, page ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM l),
+  m AS (SELECT paper, page, start, lead({p: page, s: start}) OVER (PARTITION BY paper ORDER BY page, start) AS nxt FROM o WHERE length(line) > 80 AND length(line) % 4 = 0),
+  e AS (SELECT paper, max({p: page, s: length(text)}) AS last FROM page GROUP BY paper),
+  b AS (SELECT m.paper, m.page, m.start, coalesce(nxt, last).p AS end_page, CAST(coalesce(nxt, last).s AS BIGINT) AS "end" FROM m JOIN e USING (paper)),
+  x AS (SELECT b.*, g.page AS nr, trim(regexp_replace(substring(g.text, CASE WHEN g.page = b.page THEN b.start ELSE 0 END + 1, CASE WHEN g.page = end_page THEN "end" ELSE length(g.text) END - CASE WHEN g.page = b.page THEN b.start ELSE 0 END), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS piece
+    FROM b JOIN page g ON g.paper = b.paper AND g.page BETWEEN b.page AND b.end_page)
+  SELECT paper, page, start, end_page, "end", sha256(coalesce(string_agg(piece, ' ' ORDER BY nr) FILTER (WHERE piece <> ''), '')) AS block_sha256,
+    coalesce(string_agg(CAST(nr AS VARCHAR), ',' ORDER BY nr) FILTER (WHERE piece <> ''), CAST(page AS VARCHAR)) AS pages FROM x GROUP BY paper, page, start, end_page, "end" """)
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that run over pages: eight documents are a paper, long lines of some lengths its markers."""
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select(F.expr("doc_id div 8").alias("paper"), F.pmod("doc_id", F.lit(8)).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = sequences.line_table(pages.withColumn("_at", F.struct("paper", "page")), "_at", "text").where((F.length("line") > 80) & (F.length("line") % 4 == 0))
+    found = sequences.page_blocks(lines.select("_at.paper", "_at.page", "start"), pages, "paper", "page", "start", "text")
+    return found.select("paper", "page", "start", "end_page", "end", F.sha2("block", 256).alias("block_sha256"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber AS n, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) AS k FROM lineitem),
   a AS (SELECT l_orderkey, list(n ORDER BY k) AS ns FROM p GROUP BY l_orderkey)
   SELECT l_orderkey, CAST(list_reduce(list_prepend(0, ns), lambda want, x: CASE WHEN x = want + 1 THEN want + 1 ELSE want END) AS BIGINT) AS accepted FROM a""")

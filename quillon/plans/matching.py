@@ -161,8 +161,17 @@ def assembled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*keys, text.alias("t"), decision.alias("decision")).select(*keys, F.col("t.value").alias("text"), F.col("t.source").alias("origin"), "decision")
 
 
-@query()
+@query("""WITH RECURSIVE wanted AS (SELECT * FROM (VALUES (1, '1'), (2, '2'), (3, '3'), (4, '1'), (5, '2'), (6, '3')) AS t(k, label)),
+  r AS (SELECT DISTINCT l_orderkey AS paper, CAST(1 + l_linenumber % 3 AS VARCHAR) AS label, CAST(l_quantity AS BIGINT) * 1000 + l_suppkey AS "at" FROM lineitem),
+  c AS (SELECT p.paper, k, label, coalesce(own, []) AS own FROM (SELECT DISTINCT paper FROM r) p CROSS JOIN wanted LEFT JOIN (SELECT paper, label, list_sort(list("at")) AS own FROM r GROUP BY paper, label) USING (paper, label)),
+  f AS (SELECT paper, 0 AS k, CAST(NULL AS BIGINT) AS e, CAST(-1 AS BIGINT) AS last FROM (SELECT DISTINCT paper FROM r)
+    UNION ALL SELECT paper, c.k, list_min(list_filter(own, lambda p: p > last)), coalesce(list_min(list_filter(own, lambda p: p > last)), last) FROM f JOIN c USING (paper) WHERE c.k = f.k + 1),
+  g AS (SELECT paper, c.k, c.label, CASE WHEN e IS NULL THEN [] ELSE list_filter(own, lambda p: p >= e) END AS own FROM c JOIN f USING (paper, k)),
+  b AS (SELECT paper, 7 AS k, CAST(NULL AS BIGINT) AS l, CAST(1000000000 AS BIGINT) AS edge FROM (SELECT DISTINCT paper FROM r)
+    UNION ALL SELECT paper, g.k, list_max(list_filter(own, lambda p: p < edge)), coalesce(list_max(list_filter(own, lambda p: p < edge)), edge) FROM b JOIN g USING (paper) WHERE g.k = b.k - 1),
+  s AS (SELECT paper, k, label, list_filter(own, lambda p: p <= l) AS own FROM g JOIN b USING (paper, k))
+  SELECT paper, CAST(k AS BIGINT) AS number, label, CASE WHEN len(own) = 1 THEN own[1] END AS "at", CASE len(own) WHEN 0 THEN 'missing' WHEN 1 THEN 'chosen' ELSE 'ambiguous' END AS status FROM s""")
 def segment_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question numbers 1 to 3, then 1 to 3 of a second section, found among an order's lines; sequential, so tested against all choices on small papers."""
+    """Question numbers 1 to 3, then 1 to 3 of a second section, found among an order's lines."""
     rows = papers.rows(spark, sf_dir).select("paper", (1 + F.col("ordinal") % 3).cast("string").alias("label"), (F.col("quantity") * 1000 + F.col("source")).alias("at"))
     return sequences.segment_markers(rows, "paper", "label", "at", ["1", "2", "3", "1", "2", "3"])

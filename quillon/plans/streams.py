@@ -33,8 +33,8 @@ def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, folded into state and read back."""
     folder = _folder(spark)
     events = spark.readStream.schema(ev.EVENTS).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream of one file needs one
-    ev.start(events, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
-    return ev.current(spark, f"{folder}/log")
+    ev.start(events, folder).awaitTermination()
+    return ev.current(spark, folder)
 
 
 @query(f"WITH {_RESPONSE} {_STATE}")

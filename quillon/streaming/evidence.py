@@ -1,26 +1,37 @@
 """Incremental learner evidence with Structured Streaming.
 
-Responses arrive as events.  Every micro-batch folds its new events into partial evidence
-of each (learner, question) and appends that to a log; partial evidence merges, so the
-state is the sum of the log, in whatever order events came.  Each event counts once, and
-none is dropped as late, however old it is: the ids of folded events are kept in a log of
-their own, partitioned by day, of which a micro-batch reads the days that it has events of.
-A batch that is run again replaces its own folders.  The batch operators are the ground
-truth that the stream must reach.
+Responses arrive as events.  The evidence of each (learner, question) is keyed state in
+Spark's state store (RocksDB, so it need not fit in memory): every micro-batch folds its events
+into the keys that it touches, and a failed one starts from the state before it.  An event
+counts once, at its first delivery, whatever timestamp later ones bear, and none is dropped as
+late, however old it is.
+
+What bounds the state: a key keeps one row of evidence and the ids that it has seen, in
+containers of 65,536 ids: two bytes an id, 8,192 bytes a container at most.  Ids are never
+forgotten, so this is exact; a batch reads the containers that its ids fall in.  An event's
+learner and question must be the same at each delivery; of deliveries within one batch the
+earliest counts.  Events without an id count as one event.  The batch operators are the
+ground truth that the stream must reach.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from itertools import batched
+from typing import Any
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
 QUESTIONS = 97
+STATUSES = ("correct", "incorrect", "unanswered")
 
 
 def responses(events: DataFrame) -> DataFrame:
@@ -63,46 +74,90 @@ def flat(state: DataFrame) -> DataFrame:
     )
 
 
-def fold(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """The partial evidence of a micro-batch's new events: each once, without those that were seen before."""
-    fresh = once(rows)
-    if seen is not None:
-        days = fresh.select(F.to_date("submitted_at").alias("day")).distinct()
-        # a few days, and only these are read: the log is partitioned by them
-        fresh = fresh.join(seen.join(F.broadcast(days), "day").select("event_id"), "event_id", "left_anti")
-    return fresh
+#: A learner's evidence on one question as it is kept in the state store; times are microseconds, `latest_at` and `latest_id` those of the latest answer.
+STATE = "attempt_count long, correct_count long, incorrect_count long, unanswered_count long, latest_at long, latest_id long, latest_status string, last_at long"
+_CONTAINER, _DENSE = 1 << 16, 4096
 
 
-def start(events: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
-    """Folds a stream of events into the change log at `log`; stops when what is there has been read.
+def add_ids(held: bytes | None, offsets: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Which of the distinct, sorted offsets (below 65,536) a container doesn't hold yet, and the container with all of them.
 
-    A micro-batch takes its events' ids out of those of earlier batches, folds what is new, and appends partial
-    evidence; partial evidence merges, so the state is the sum of the log.  A batch that is run again replaces its own
-    folders and looks at earlier batches only.
+    A container of under 4,096 offsets is their list, two bytes each, a fuller one a bitmap of 8,192 bytes.
     """
-
-    def append(batch_rows: DataFrame, batch: int) -> None:
-        spark = batch_rows.sparkSession
-        seen = _ids(spark, log).where(F.col("batch") < batch) if batch else None
-        fresh = fold(batch_rows, seen).withColumn("day", F.to_date("submitted_at"))
-        fresh.select("event_id", "day").write.mode("overwrite").partitionBy("day").parquet(f"{log}/ids/batch={batch}")
-        written = spark.read.schema("event_id long, day date").option("basePath", f"{log}/ids/batch={batch}").parquet(f"{log}/ids/batch={batch}")
-        new = once(batch_rows).join(written.select("event_id"), "event_id", "left_semi")
-        evidence(new).write.mode("overwrite").parquet(f"{log}/state/batch={batch}")
-
-    return responses(events).writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _ids(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.schema("event_id long, day date, batch int").parquet(f"{log}/ids")
-
-
-def current(spark: SparkSession, log: str) -> DataFrame:
-    """The state of each key: the partial evidence of all batches, merged."""
-    rows = spark.read.parquet(f"{log}/state")
-    counts = ("attempt_count", "correct_count", "incorrect_count", "unanswered_count")
-    merged = rows.groupBy("user_id", "question_id").agg(*(F.sum(c).alias(c) for c in counts), F.max("latest").alias("latest"), F.max("last_attempted_at").alias("last_attempted_at"))
-    return flat(merged)
+    held = held or b""
+    if len(held) < _CONTAINER // 8:
+        there = np.frombuffer(held, dtype=np.uint16)
+        new = ~np.isin(offsets, there)
+        both = np.sort(np.concatenate((there, offsets[new].astype(np.uint16))))
+        if len(both) < _DENSE:
+            return new, both.tobytes()
+        bits = np.zeros(_CONTAINER, dtype=np.uint8)
+        bits[both] = 1
+    else:
+        bits = np.unpackbits(np.frombuffer(held, dtype=np.uint8))
+        new = bits[offsets] == 0
+        bits[offsets] = 1
+    return new, np.packbits(bits).tobytes()
+
+
+class EvidenceState(StatefulProcessor):
+    """Folds a key's new events into its evidence; what was seen is kept by containers of 65,536 ids, of which a batch reads those that it has ids of."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("evidence", STATE)
+        self.seen = handle.getMapState("seen", "container long", "ids binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        found = self.totals.get() if self.totals.exists() else None
+        counts, latest, last = ([*found[:4]], (found[4], found[5], found[6]), found[7]) if found else ([0, 0, 0, 0], (None, None, None), None)
+        for part in batched(rows, 10_000):  # of any number of rows
+            first: dict[int, tuple[int, str]] = {}
+            for r in part:
+                first[r["event_id"]] = min(first.get(r["event_id"], (r["at"], r["status"])), (r["at"], r["status"]))
+            by_container: dict[int, list[int]] = {}
+            for event in sorted(first):
+                by_container.setdefault(event // _CONTAINER, []).append(event)
+            for container, own in by_container.items():
+                held = self.seen.getValue((container,))[0] if self.seen.containsKey((container,)) else None
+                new, ids = add_ids(held, np.array([event % _CONTAINER for event in own]))
+                if not new.any():
+                    continue
+                self.seen.updateValue((container,), (ids,))
+                for event in (e for e, fresh in zip(own, new) if fresh):
+                    moment, status = first[event]
+                    counts[0] += 1
+                    counts[1 + STATUSES.index(status)] += 1
+                    last = moment if last is None else max(last, moment)
+                    if status != "unanswered" and (latest[0] is None or (moment, event) > latest[:2]):
+                        latest = (moment, event, status)
+        self.totals.update((*counts, *latest, last))
+        yield Row(user_id=key[0], question_id=key[1], attempt_count=counts[0])
+
+    def close(self) -> None:
+        pass
+
+
+def start(events: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Folds a stream of events into keyed state at `checkpoint`; stops when what is there has been read.
+
+    The state is the result: `current` reads it, there is no log beside it and no batch reads what it has no events of.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = responses(events).select(
+        "user_id", "question_id", F.coalesce("event_id", F.lit(-(1 << 63))).alias("event_id"), F.coalesce(F.unix_micros("submitted_at"), F.lit(0)).alias("at"), "status"
+    )
+    folded = rows.groupBy("user_id", "question_id").transformWithState(EvidenceState(), "user_id long, question_id long, attempt_count long", outputMode="update", timeMode="none")
+    return folded.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state of each key after the last batch."""
+    rows = spark.read.format("statestore").option("stateVarName", "evidence").load(checkpoint)
+    time = lambda c: F.timestamp_micros(F.col(f"value.{c}"))
+    return rows.select(
+        "key.user_id", "key.question_id", "value.attempt_count", "value.correct_count", "value.incorrect_count", "value.unanswered_count",
+        F.col("value.latest_status").alias("latest_status"), time("latest_at").alias("latest_answered_at"), time("last_at").alias("last_attempted_at"),
+    )
 
 
 def solved_sets(rows: DataFrame) -> DataFrame:

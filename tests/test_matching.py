@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,28 +74,49 @@ def test_similarity_is_measured_on_the_left():
     assert tx.similarity("a b c d e", "a b c d e") == (0.0, 0.0, 0.0, 0.0)
 
 
-def test_chosen_markers():
-    wanted = ["1", "2", "3", "1", "2"]
-    assert sequences.chosen_markers(wanted, {"1": [10, 40], "2": [20, 50], "3": [30]}) == [(10, "chosen"), (20, "chosen"), (30, "chosen"), (40, "chosen"), (50, "chosen")]
-    assert sequences.chosen_markers(["1", "2"], {"1": [1, 2], "2": [5]}) == [(None, "ambiguous"), (5, "chosen")]
-    assert sequences.chosen_markers(["1", "2"], {"2": [5]}) == [(None, "missing"), (5, "chosen")]
-    assert sequences.chosen_markers([], {}) == [] and sequences.chosen_markers(["1"], {}) == [(None, "missing")]
-    # what is chosen always counts upwards, and every chosen place is one of its label's
-    for places in itertools.product([(), (1,), (1, 4), (2, 6)], [(), (3,), (3, 5)], [(), (4,), (7, 8)]):
-        found = sequences.chosen_markers(["1", "2", "3"], dict(zip("123", map(list, places))))
-        at = [p for p, s in found if s == "chosen"]
-        assert at == sorted(set(at)) and all(p is None or p in places[k] for k, (p, _) in enumerate(found))
-
-
-def test_segment_markers_query(spark):
-    got = collections.defaultdict(list)
-    for r in matching.segment_markers(spark, DATA).orderBy("paper", "number").collect():
-        got[r["paper"]].append((r["at"], r["status"]))
-    rows = matching.papers.rows(spark, DATA).select("paper", "ordinal", "quantity", "source").collect()
-    places = collections.defaultdict(lambda: collections.defaultdict(list))
-    for r in rows:
-        places[r["paper"]][str(1 + r["ordinal"] % 3)].append(r["quantity"] * 1000 + r["source"])
-    assert got == {p: sequences.chosen_markers(["1", "2", "3", "1", "2", "3"], found) for p, found in places.items()}
+def rising_choices(wanted, places):
+    """Every choice of places that rises, for the labels that the first of them reach."""
+    last, own = float("-inf"), []
+    for label in wanted:
+        places_of = [p for p in sorted(set(places.get(label, []))) if p > last]
+        own.append(sorted(set(places.get(label, []))) if places_of else [])
+        last = places_of[0] if places_of else last
+    kept = [k for k, x in enumerate(own) if x]
+    return kept, [c for c in itertools.product(*(own[k] for k in kept)) if all(a < b for a, b in zip(c, c[1:]))]
+
+
+def test_segment_markers(spark):
+    """A label is chosen where all rising choices agree, whatever the candidates."""
+    rng = random.Random(6)
+    cases = [(["1", "2", "3", "1", "2"], {"1": [10, 40], "2": [20, 50], "3": [30]}), (["1", "2"], {"1": [1, 2], "2": [5]}), (["1", "2"], {"2": [5]}), (["1"], {"x": [1]})]
+    cases += [(["1", "2", "3", "1", "2"], {label: [rng.randrange(12) for _ in range(rng.randrange(4))] for label in "123x"}) for _ in range(60)]
+    for wanted in {tuple(w) for w, _ in cases}:
+        own = [(k, places) for k, (w, places) in enumerate(cases) if tuple(w) == wanted]
+        rows = [(k, label, p) for k, places in own for label, found in places.items() for p in found]
+        got = collections.defaultdict(dict)
+        for r in sequences.segment_markers(spark.createDataFrame(rows, "paper long, label string, at long"), "paper", "label", "at", list(wanted)).collect():
+            got[r["paper"]][r["number"]] = (r["at"], r["status"])
+        for k, places in own:
+            if not any(places.values()):
+                continue
+            kept, choices = rising_choices(wanted, places)
+            for j in range(len(wanted)):
+                of = {c[kept.index(j)] for c in choices} if j in kept else set()
+                want = (None, "missing") if not of else (of.pop(), "chosen") if len(of) == 1 else (None, "ambiguous")
+                assert got[k][j + 1] == want, (wanted, places, j)
+
+
+def test_page_blocks(spark):
+    pages = {("a", 1): "Q.1 one\n", ("a", 2): "  \n", ("a", 3): "more\tof it Q.2 two", ("a", 4): "", ("b", 7): "x Q.1 é"}
+    markers = [("a", 1, 0), ("a", 3, 11), ("b", 7, 2), ("b", 7, 99)]
+    df = sequences.page_blocks(
+        spark.createDataFrame(markers, "doc string, page long, start long"), spark.createDataFrame([(d, p, t) for (d, p), t in pages.items()], "doc string, page long, text string"), "doc", "page", "start", "text"
+    )
+    got = {(r["doc"], r["page"], r["start"]): (r["status"], r["block"], r["pages"], r["end_page"], r["end"]) for r in df.collect()}
+    assert got == {
+        ("a", 1, 0): ("found", "Q.1 one more of it", [1, 3], 3, 11), ("a", 3, 11): ("found", "Q.2 two", [3], 4, 0),
+        ("b", 7, 2): ("found", "Q.1 é", [7], 7, 99), ("b", 7, 99): ("outside", None, [7], 7, 7),
+    }
 
 
 def test_bank_plan(spark):

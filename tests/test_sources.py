@@ -76,8 +76,8 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
         events.where(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(folder))
     events.where("event_id % 3 = 1").coalesce(1).write.mode("append").parquet(str(folder))
     stream = spark.readStream.schema(ev.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
-    ev.start(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
-    got, want = ev.current(spark, str(tmp_path / "log")), ev.flat(ev.evidence(ev.once(ev.responses(events))))
+    ev.start(stream, str(tmp_path / "cp")).awaitTermination()
+    got, want = ev.current(spark, str(tmp_path / "cp")), ev.flat(ev.evidence(ev.once(ev.responses(events))))
     assert got.count() == want.count() and set(got.collect()) == set(want.collect())
     assert ev.without_closed(ev.responses(events), events.select("user_id")).isEmpty()
 
@@ -91,11 +91,42 @@ def test_stream_drops_nothing_as_late(spark, tmp_path):
         df.selectExpr("event_id", "cast(day as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(folder))
     for _ in range(2):  # the second run finds nothing new
         stream = spark.readStream.schema(ev.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
-        ev.start(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
-        state = ev.current(spark, str(tmp_path / "log"))
+        ev.start(stream, str(tmp_path / "cp")).awaitTermination()
+        state = ev.current(spark, str(tmp_path / "cp"))
         assert state.groupBy().sum("attempt_count", "incorrect_count").first() == (4, 4)
 
 
+def test_an_event_counts_once_whatever_its_timestamp(spark, tmp_path):
+    """Redelivered on another day, in the same batch and in later ones, also after a restart."""
+    folder = tmp_path / "in"
+    runs = [[[(1, "2024-06-01", "error"), (1, "2024-06-03", "purchase"), (98, "2024-06-02", "purchase")]], [[(1, "2025-01-01", "purchase")], [(195, "2024-06-05", "view"), (98, "2020-01-01", "error")]]]
+    for batches in runs:
+        for rows in batches:
+            df = spark.createDataFrame([(i, day, 7, kind, 1.0, "{}") for i, day, kind in rows], "event_id long, day string, user_id long, event_type string, value double, props string")
+            df.selectExpr("event_id", "cast(day as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(ev.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        ev.start(stream, str(tmp_path / "cp")).awaitTermination()
+    (row,) = ev.current(spark, str(tmp_path / "cp")).collect()
+    assert (row["question_id"], row["attempt_count"], row["correct_count"], row["incorrect_count"], row["unanswered_count"]) == (1, 3, 1, 1, 1)
+    assert row["latest_status"] == "correct" and str(row["latest_answered_at"])[:10] == "2024-06-02" and str(row["last_attempted_at"])[:10] == "2024-06-05"
+
+
+def test_containers_hold_every_id():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    held, true = None, set()
+    for step in range(60):
+        ids = sorted({rng.randrange(65_536) for _ in range(rng.choice([1, 5, 200]))} | ({0, 65_535} if step == 30 else set()))
+        new, held = ev.add_ids(held, np.array(ids))
+        assert new.tolist() == [i not in true for i in ids]
+        true |= set(ids)
+        assert len(held) == (2 * len(true) if len(true) < 4096 else 8192)
+    assert len(true) > 4096
+
+
 def test_strict_documents(spark, tmp_path):
     import hashlib
 
