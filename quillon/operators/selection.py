@@ -130,23 +130,63 @@ def day_number(at: Column, offset_minutes: int = 330) -> Column:
     return F.floor((F.unix_millis(at.cast("timestamp")) + offset_minutes * 60_000) / 86_400_000)
 
 
-def daily_items(items: DataFrame, days: DataFrame, day: str, item: str, n_items: int, seed: str = "daily") -> DataFrame:
-    """(day, item) of each day: every cycle of all items has a hash order of its own, walked day by day.
+_WORD = (1 << 32) - 1
 
-    If a cycle would begin with the item that the one before ended with, its first two items change places.
-    Items are ranked within the cycles that the days lie in, and in those before them.
+
+def _times(a: Column, b: Column) -> Column:
+    """The product of two unsigned 32-bit numbers, modulo 2 ** 32, without leaving 64 bits."""
+    high = F.shiftright(a, 16) * b
+    return (a.bitwiseAND(F.lit(0xFFFF)) * b + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_WORD))
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of an ASCII text, as a long."""
+    codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.ascii(F.substring(text, k, F.lit(1))).cast("long"))
+    # fixed values: offset basis and prime of the hash
+    return F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, c: _times(h.bitwiseXOR(c), F.lit(0x01000193).cast("long")))
+
+
+def mulberry32(seed: Column, draw: Column) -> Column:
+    """Number `draw` (from 1) of the mulberry32 generator, as an unsigned 32-bit number: its state only counts up."""
+    # fixed values: the generator's increment and masks
+    x = (seed + draw * F.lit(0x6D2B79F5).cast("long")).bitwiseAND(F.lit(_WORD))
+    one = F.array(x)  # a lambda's variable stands for a value that is used several times
+    y = F.transform(one, lambda v: _times(v.bitwiseXOR(F.shiftright(v, 15)), v.bitwiseOR(F.lit(1).cast("long"))))
+    z = F.transform(y, lambda v: v.bitwiseXOR((v + _times(v.bitwiseXOR(F.shiftright(v, 7)), v.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(F.lit(_WORD))))
+    return F.get(F.transform(z, lambda v: v.bitwiseXOR(F.shiftright(v, 14))), F.lit(0))
+
+
+def shuffled(items: Column, seed: Column) -> Column:
+    """Fisher-Yates over an array, from its end; the swaps' places are drawn from mulberry32."""
+    n = F.size(items)
+    last = F.sequence(n - 1, F.lit(1), F.lit(-1))
+    # (place, place to swap with)
+    swaps = F.transform(last, lambda i: F.struct(i.alias("i"), F.shiftright(mulberry32(seed, (n - i).cast("long")) * (i + 1), 32).cast("int").alias("j")))
+
+    def swap(held: Column, s: Column) -> Column:
+        return F.transform(held, lambda x, k: F.when(k == s["i"], F.get(held, s["j"])).when(k == s["j"], F.get(held, s["i"])).otherwise(x))
+
+    return F.when(n > 1, F.aggregate(swaps, items, swap)).otherwise(items)
+
+
+def daily_items(items: DataFrame, days: DataFrame, day: str, item: str, seed: str = "daily-focus:") -> DataFrame:
+    """(day, item) of each day: every cycle of all items is a seeded permutation of its own, walked day by day.
+
+    If a cycle would begin with the item that the one before ended with, its first two items change places; so two items
+    keep the order of cycle 0.  Days before day 0 walk the items in order.  The items are few: they fit an array.
+    No items, no rows.
     """
-    asked = days.select(day).distinct().withColumns({"_cycle": F.floor(F.col(day) / n_items), "_place": F.pmod(F.col(day), F.lit(n_items)).cast("long")})
-    cycles = asked.select(F.explode(F.array(F.col("_cycle"), F.col("_cycle") - 1)).alias("_cycle")).distinct()
-    # both are small beside the days: a cycle has n_items rows
-    order = Window.partitionBy("_cycle").orderBy(hash_order(F.concat(F.lit(f"{seed}:"), F.col("_cycle").cast("string")), F.col(item)), item)
-    ranked = cycles.join(items.select(item).distinct()).withColumn("_place", (F.row_number().over(order) - 1).cast("long"))
-    ends = ranked.groupBy("_cycle").agg(F.max(F.when(F.col("_place") == 0, F.col(item))).alias("_first"), F.max(F.when(F.col("_place") == n_items - 1, F.col(item))).alias("_last"))
-    before = ends.select((F.col("_cycle") + 1).alias("_cycle"), F.col("_last").alias("_before"))
-    seam = ends.join(before, "_cycle", "left").select("_cycle", (F.coalesce(F.col("_first") == F.col("_before"), F.lit(False)) & F.lit(n_items > 1)).alias("_swap"))
-    place = F.when(F.col("_swap") & (F.col("_place") < 2), 1 - F.col("_place")).otherwise(F.col("_place"))
-    walked = ranked.join(seam, "_cycle").select("_cycle", place.alias("_place"), item)
-    return asked.join(walked, ["_cycle", "_place"]).select(day, item)
+    ordered = items.agg(F.array_sort(F.collect_set(item)).alias("_items")).where(F.size("_items") > 0).withColumn("_one", F.lit(1))
+    n = F.size("_items")
+    asked = days.select(day).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(ordered), "_one")
+    asked = asked.select(day, "_items", F.floor(F.col(day) / n).alias("_cycle"), F.pmod(F.col(day), n).cast("int").alias("_place"))
+    # a cycle's last item is not touched by its own seam, if there are more than two
+    of = lambda cycle: shuffled(F.col("_items"), fnv1a(F.concat(F.lit(seed), cycle.cast("string"))))
+    cycles = asked.select("_cycle", "_items").distinct().withColumns({"_own": of(F.when(n == 2, 0).otherwise(F.col("_cycle"))), "_before": of(F.col("_cycle") - 1)})
+    meets = (n > 2) & (F.col("_cycle") > 0) & (F.get("_own", F.lit(0)) == F.element_at("_before", -1))
+    seamed = F.when(meets, F.concat(F.array(F.get("_own", F.lit(1)), F.get("_own", F.lit(0))), F.slice("_own", F.lit(3), n))).otherwise(F.col("_own"))
+    walked = cycles.select("_cycle", F.when(F.col("_cycle") < 0, F.col("_items")).otherwise(seamed).alias("_walk"))
+    return asked.select(day, "_cycle", "_place").join(walked, "_cycle").select(day, F.get("_walk", "_place").alias(item))
 
 
 def until_next_day(at: Column, offset_minutes: int = 330) -> Column:

@@ -153,18 +153,26 @@ def practice_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.practice_batch(star.questions(spark, sf_dir).where("is_active"), mine, "practice", 10, ["subject"], "question_id")
 
 
-_N = 25
-
-
-@query(f"""WITH day AS (SELECT DISTINCT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day FROM orders), cycle AS (SELECT DISTINCT unnest([day // {_N}, day // {_N} - 1]) AS c FROM day), item AS (SELECT n_name AS item FROM nation),
-  r AS (SELECT c, item, row_number() OVER (PARTITION BY c ORDER BY {_hash("'daily:' || c", "item")}, item) - 1 AS p FROM cycle, item),
-  s AS (SELECT a.c, a.item = b.item AS swap FROM r a JOIN r b ON b.c = a.c - 1 AND b.p = {_N - 1} WHERE a.p = 0)
-  SELECT day, item FROM day JOIN r ON r.c = day // {_N} LEFT JOIN s ON s.c = r.c WHERE day % {_N} = CASE WHEN swap AND p < 2 THEN 1 - p ELSE p END""")
+_TIMES = "((({0}) & 65535) * ({1}) + ((((({0}) >> 16) * ({1})) & 65535) << 16)) & 4294967295"
+_DRAW = "list_reduce([x, 15, 7, 14], lambda v, k: CASE k WHEN 15 THEN {a} WHEN 7 THEN xor(v, (v + ({b})) & 4294967295) ELSE xor(v, v >> 14) END)".format(
+    a=_TIMES.format("xor(v, v >> 15)", "(v | 1)"), b=_TIMES.format("xor(v, v >> 7)", "(v | 61)")
+)
+
+
+@query(f"""WITH RECURSIVE day AS (SELECT DISTINCT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day FROM orders), item AS (SELECT list(n_name ORDER BY n_name) AS items, count(*) AS n FROM nation),
+  cycle AS (SELECT DISTINCT unnest([day // n, day // n - 1]) AS c FROM day, item),
+  seed AS (SELECT c, items, n, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split('daily-focus:' || c, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, x: {_TIMES.format("xor(h, x)", "16777619")}) AS seed FROM cycle, item),
+  drawn AS (SELECT *, unnest(range(1, n)) AS i FROM seed), swap AS (SELECT c, i, (seed + (n - i) * 1831565813) & 4294967295 AS x FROM drawn),
+  place AS (SELECT c, i, CAST(({_DRAW} * (i + 1)) >> 32 AS BIGINT) AS j FROM swap),
+  walk AS (SELECT c, n - 1 AS i, items AS own FROM seed
+    UNION ALL SELECT w.c, w.i - 1, list_transform(own, lambda x, k: CASE k - 1 WHEN w.i THEN own[p.j + 1] WHEN p.j THEN own[w.i + 1] ELSE x END) FROM walk w JOIN place p ON p.c = w.c AND p.i = w.i),
+  whole AS (SELECT c, own FROM walk WHERE i = 0),
+  seam AS (SELECT a.c, CASE WHEN a.own[1] = b.own[-1] THEN list_concat([a.own[2], a.own[1]], a.own[3:]) ELSE a.own END AS own FROM whole a JOIN whole b ON b.c = a.c - 1)
+  SELECT day, own[day % n + 1] AS item FROM day, item JOIN seam ON seam.c = day // n""")
 def daily_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One of 25 topics for every day that has orders."""
     days = star.table(spark, sf_dir, "orders").select(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"))
-    topics = star.table(spark, sf_dir, "nation").select(F.col("n_name").alias("item"))
-    return selection.daily_items(topics, days, "day", "item", _N)
+    return selection.daily_items(star.table(spark, sf_dir, "nation").select(F.col("n_name").alias("item")), days, "day", "item")
 
 
 @query(f"""WITH {star.CTE}, marked AS (SELECT *, row_number() OVER (PARTITION BY subject, topic, question_type ORDER BY question_id) > 1 AS later FROM question)

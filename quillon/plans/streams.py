@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
 from quillon.plans.star import table
+from quillon.sources import shared
 from quillon.streaming import evidence as ev
 
 _RESPONSE = """response AS (SELECT event_id, ts AS submitted_at, user_id, event_id % 97 AS question_id,
@@ -19,19 +17,10 @@ _STATE = """SELECT user_id, question_id, count(*) AS attempt_count, count(*) FIL
   max(submitted_at) FILTER (WHERE status <> 'unanswered') AS latest_answered_at, max(submitted_at) AS last_attempted_at FROM response GROUP BY user_id, question_id"""
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; a temporary one only where none is set and everything runs in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    shared = shared or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {_RESPONSE} {_STATE}")
 def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, folded into state and read back."""
-    folder = _folder(spark)
+    folder = shared.folder(spark, "stream")
     events = spark.readStream.schema(ev.EVENTS).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream of one file needs one
     ev.start(events, folder).awaitTermination()
     return ev.current(spark, folder)

@@ -154,20 +154,23 @@ def test_packing(spark):
     import random
 
     rng = random.Random(3)
-    rows = [(k, i, rng.randrange(1, 50)) for k in "ab" for i in range(60)]
-    df = spark.createDataFrame(rows, "kind string, i long, n long")
-    for span in (60, 25):  # one range, and three of them
-        want = {}
-        for kind in "ab":
-            shard, held, begun = -1, 0, None
-            for _, i, n in (r for r in rows if r[0] == kind):
-                if begun != i // span or held + n > 100:
-                    shard, held, begun = shard + 1, 0, i // span
-                held += n
-                want[kind, i] = shard
-        assert {(r["kind"], r["i"]): r["shard"] for r in release.packed(df, "kind", "i", "n", 100, span).collect()} == want
+    # many blocks, one row, rows of the limit itself, a last block in which no shard begins
+    sizes = {"a": [rng.randrange(1, 50) for _ in range(700)], "b": [7], "c": [100] * 40, "d": [rng.choice([1, 99, 100]) for _ in range(300)], "e": [1] * 900, "f": [60] * 13 + [19] + [1] * 3}
+    rows = [(k, 3 * i, n) for k, own in sizes.items() for i, n in enumerate(own)]
+    want = {}
+    for kind, own in sizes.items():
+        shard, held = 0, 0
+        for i, n in enumerate(own):
+            if held + n > 100:
+                shard, held = shard + 1, 0
+            held += n
+            want[kind, 3 * i] = (n, shard)
+    df = spark.createDataFrame(rows, "kind string, i long, n long").repartition(6)
+    got = {(r["kind"], r["i"]): (r["n"], r["shard"]) for r in release.packed(df, "kind", "i", "n", 100).collect()}
+    assert got == want
+    assert release.packed(df.limit(0), "kind", "i", "n", 100).count() == 0
     with pytest.raises(Exception, match="exceeds the shard limit"):
-        release.packed(df, "kind", "i", "n", 10, 60).collect()
+        release.packed(df, "kind", "i", "n", 10)
 
 
 def test_selection(spark):

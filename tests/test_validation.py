@@ -69,12 +69,51 @@ def test_labels_and_slots(spark):
     assert got == {(1, "Q 2.25"): (25, "linked"), (1, "3"): (None, "ambiguous"), (1, "9"): (None, "missing"), (1, "x"): (None, "unreadable"), (2, "2.25"): (None, "missing"), (1, None): (None, "unreadable")}
 
 
-def test_daily_items_never_repeat_at_a_seam(spark):
-    items = spark.createDataFrame([(c,) for c in "abc"], "item string")
-    days = spark.createDataFrame([(d,) for d in range(0, 300)], "day long")
-    got = [r["item"] for r in selection.daily_items(items, days, "day", "item", 3).orderBy("day").collect()]
-    assert len(got) == 300 and all(sorted(got[k : k + 3]) == ["a", "b", "c"] for k in range(0, 300, 3))
-    assert all(a != b for a, b in zip(got, got[1:]))
+def daily_walk(keys, cycles, seed="daily-focus:"):
+    """The order of each cycle from 0 on, one after the other, with 32-bit arithmetic."""
+    mask = 0xFFFFFFFF
+
+    def numbers(text):
+        state = 0x811C9DC5
+        for c in text:
+            state = (state ^ ord(c)) * 0x01000193 & mask
+        while True:
+            state = (state + 0x6D2B79F5) & mask
+            v = (state ^ state >> 15) * (state | 1) & mask
+            v ^= (v + ((v ^ v >> 7) * (v | 61) & mask)) & mask
+            yield v ^ v >> 14
+
+    before, out = None, []
+    for cycle in range(cycles):
+        own, drawn = sorted(keys), numbers(f"{seed}{cycle}")
+        for i in range(len(own) - 1, 0, -1):
+            j = int(next(drawn) / 2**32 * (i + 1))
+            own[i], own[j] = own[j], own[i]
+        if len(own) > 1 and own[0] == before:
+            own[0], own[1] = own[1], own[0]
+        before = own[-1] if own else None
+        out.append(own)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 25, 64])
+def test_daily_items(spark, n):
+    """The cycles walked one by one; each has every item once, and no seam repeats an item."""
+    keys = [f"topic-{k:02}" for k in range(n)]
+    items = spark.createDataFrame([(k,) for k in keys[::-1] + keys[:1]], "item string")
+    days = spark.createDataFrame([(d,) for d in range(-3, 30 * n)], "day long")
+    got = {r["day"]: r["item"] for r in selection.daily_items(items, days, "day", "item").collect()}
+    walked = [x for own in daily_walk(keys, 30) for x in own]
+    assert [got[d] for d in range(30 * n)] == walked
+    assert [got[d] for d in range(-3, 0)] == [keys[d % n] for d in range(-3, 0)]
+    assert n == 1 or all(a != b for a, b in zip(walked[n - 1 :: n], walked[n::n]))
+    assert selection.daily_items(items.limit(0), days, "day", "item").count() == 0
+
+
+def test_day_changes_at_local_midnight(spark):
+    rows = spark.createDataFrame([("2026-08-11T18:29:59.999Z",), ("2026-08-11T18:30:00.000Z",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    (d1, left1), (d2, left2) = sorted(tuple(r) for r in rows.select(selection.day_number(F.col("t")), selection.until_next_day(F.col("t"))).collect())
+    assert (d2, left1, left2) == (d1 + 1, 1, 86_400_000)
 
 
 def test_markers_and_options(spark):
