@@ -6,7 +6,7 @@ outcome; what can't be decided is named, never guessed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
@@ -103,3 +103,63 @@ def claim_summary(resolved: DataFrame, paper: str, authority: Column) -> DataFra
     return rows.groupingSets([[F.col(paper), F.col("status"), F.col("authority")], [F.col("status"), F.col("authority")], [F.col("status")]], paper, "status", "authority").agg(
         F.count("*").alias("slots"), F.grouping_id().cast("long").alias("level")
     )
+
+
+# An entry of a table of contents (chapter, title, count), and the number that a book gives a question.
+CONTENTS_ENTRY = r"(?m)^(\d{1,2})\s+([A-Z][^\r\n]{2,140}?)\s+\((\d+)\)\s*$"
+BOOK_NUMBER = r"(?m)^(\d+\.\d+\.\d+)\s*$"
+#: A question's heading: a topic, a paper with its year, and the question's label.
+HEADING = r"(?m)^[^\r\n]{1,180}?\b(?:19|20)\d{2}\b[^\r\n|]*\|[ \t]*Question:[^\r\n]*$"
+
+
+def contents(pages: DataFrame, book: str, page: str, text: str, least: int = 10_000, share: int = 8) -> DataFrame:
+    """(book, chapter, title, declared) of a book's table of contents.
+
+    It is looked for in the book's front only, its first eighth or 10,000 characters; of several entries of a chapter the
+    first counts.  Pages count one more character each than they have.
+    """
+    size = pages.select(book, page, F.coalesce(F.length(text), F.lit(0)).alias("_size"))
+    places = Window.partitionBy(book).orderBy(page)
+    # a row of numbers for each page
+    fronts = size.select(
+        book, page, (F.sum(F.col("_size") + 1).over(places.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size") - 1).alias("_start"), F.sum(F.col("_size") + 1).over(Window.partitionBy(book)).alias("_all")
+    )
+    limit = F.greatest(F.lit(least), F.floor(F.col("_all") / share))
+    front = pages.join(fronts.where(F.col("_start") < limit).withColumn("_take", (limit - F.col("_start")).cast("int")), [book, page])
+    lines = front.select(book, page, F.posexplode(F.regexp_extract_all(F.substring(F.col(text), F.lit(1), F.col("_take")), F.lit(CONTENTS_ENTRY), 0)).alias("_k", "_line"))
+    part = lambda k: F.regexp_extract("_line", CONTENTS_ENTRY, k)
+    entries = lines.select(book, part(1).alias("chapter"), F.struct(page, "_k", F.trim(part(2)).alias("title"), part(3).cast("long").alias("declared")).alias("_e"))
+    return entries.groupBy(book, "chapter").agg(F.min("_e").alias("_e")).select(book, "chapter", "_e.title", "_e.declared")
+
+
+def outline(pages: DataFrame, book: str, page: str, text: str, pattern: str = HEADING) -> DataFrame:
+    """(book, page, k, heading, number, chapter, title, declared, status) of every heading.
+
+    A page shows its questions' numbers above its first heading, in the order of the headings.  They are paired only where there
+    are as many of both (`aligned`); a page with other counts is `withheld`: its headings get no number, and the
+    chapter of the last aligned heading before them in the book.  `title` and `declared` come from the table of contents.
+    """
+    above = F.get(F.split(F.col(text), pattern, 2), F.lit(0))
+    found = pages.select(book, page, F.regexp_extract_all(F.col(text), F.lit(pattern), 0).alias("_h"), F.regexp_extract_all(above, F.lit(BOOK_NUMBER), 1).alias("_n")).where(F.size("_h") > 0)
+    same = F.size("_h") == F.size("_n")
+    rows = found.select(book, page, same.alias("_same"), F.posexplode(F.arrays_zip("_h", "_n")).alias("k", "_x")).where("_x._h IS NOT NULL")
+    rows = rows.select(book, page, (F.col("k") + 1).cast("long").alias("k"), F.trim("_x._h").alias("heading"), F.when(F.col("_same"), F.col("_x._n")).alias("number"), F.when(F.col("_same"), "aligned").otherwise("withheld").alias("status"))
+    # the last chapter up to each page, from one row a page
+    chapter = F.substring_index("number", ".", 1)
+    last = rows.groupBy(book, page).agg(F.max(F.struct("k", chapter.alias("c"))).alias("_m")).select(book, page, F.col("_m.c").alias("_c"))
+    carried = last.select(book, page, F.last("_c", ignorenulls=True).over(Window.partitionBy(book).orderBy(page)).alias("_carried"))
+    joined = rows.join(carried, [book, page]).withColumn("chapter", F.coalesce(chapter, "_carried")).drop("_carried")
+    return joined.join(contents(pages, book, page, text), [book, "chapter"], "left").select(book, page, "k", "heading", "number", "chapter", "title", "declared", "status")
+
+
+def outline_findings(headings: DataFrame, pages: DataFrame, book: str, page: str, text: str) -> DataFrame:
+    """(book, chapter, page, problem, expected, found): chapters whose headings aren't as many as declared (`count`), that no table of
+    contents has (`unlisted`), and pages whose numbers don't pair with their headings (`page`)."""
+    counted = headings.where("chapter IS NOT NULL").groupBy(book, "chapter").agg(F.count("*").alias("_found"))
+    chapters = contents(pages, book, page, text).join(counted, [book, "chapter"], "full_outer").withColumn("_found", F.coalesce("_found", F.lit(0).cast("long")))
+    problem = F.when(F.col("declared").isNull(), "unlisted").when(F.col("declared") != F.col("_found"), "count")
+    none = F.lit(None).cast("long")
+    by_chapter = chapters.select(book, "chapter", none.alias(page), problem.alias("problem"), F.col("declared").alias("expected"), F.col("_found").alias("found")).where("problem IS NOT NULL")
+    withheld = headings.where("status = 'withheld'").groupBy(book, page).agg(F.count("*").alias("found"))
+    by_page = withheld.select(book, F.lit(None).cast("string").alias("chapter"), F.col(page).cast("long").alias(page), F.lit("page").alias("problem"), none.alias("expected"), "found")
+    return by_chapter.unionByName(by_page)

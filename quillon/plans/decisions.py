@@ -61,3 +61,21 @@ def key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(" ", (F.pmod(key, F.lit(65)) + 1).cast("string"), answer, (1 + F.pmod(size, F.lit(3))).cast("string"))
     rows = table(spark, sf_dir, "part").select("p_partkey", parsing.key_row(line).alias("r")).where("r.number IS NOT NULL")
     return rows.select("p_partkey", "r.number", "r.kind", "r.answer", F.col("r.marks").cast("string").alias("marks"), "r.shape")
+
+
+_TAIL = """CASE l_partkey % 8 WHEN 0 THEN 'MCQ CS-1 B 1' WHEN 1 THEN 'MSQ GA A;C 2 0' WHEN 2 THEN 'N A T CS 3 to 31' WHEN 3 THEN 'NAT GA -1.5 to 2 OR 7 : 8.25 2' WHEN 4 THEN 'M C Q CS MTA 1' WHEN 5 THEN 'MCQ GA A OR D 2' WHEN 6 THEN 'MCQ CS A, B 1' ELSE 'NAT CS none 1' END"""
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS paper, l_linenumber AS number, l_partkey % 8 AS k FROM lineitem)
+  SELECT paper, CAST(number AS BIGINT) AS number, CASE WHEN k IN (1, 3, 5) THEN 'GA' ELSE 'CS' END AS section, CASE WHEN k = 1 THEN 'MSQ' WHEN k IN (2, 3, 7) THEN 'NAT' ELSE 'MCQ' END AS kind,
+    ['B', 'A;C', '3 to 3', '-1.5 to 2 OR 7 : 8.25', 'MTA', 'A OR D', 'A, B', 'none 1'][k + 1] AS raw, [1, 2, 1, 2, 1, 2, 1, NULL][k + 1]::BIGINT AS marks,
+    ['options', 'options', 'ranges', 'ranges', 'marks_to_all', 'any_of', 'options', NULL][k + 1] AS shape, ['B', 'AC', '', '', '', 'A|D', 'AB', ''][k + 1] AS choices,
+    ['', '', '3..3', '-1.5..2|7..8.25', '', '', '', ''][k + 1] AS ranges, CASE k WHEN 6 THEN 'several' WHEN 7 THEN 'tail' END AS problem FROM r""")
+def key_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of key tables that are pages of text: typed rows, glued ends, alternatives, and what doesn't fit."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), "l_linenumber", F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.expr(_TAIL)).alias("line"))
+    pages = line.groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "  \n").alias("text"))
+    rows = pages.select("paper", F.explode(parsing.key_table(F.col("text"), "typed")).alias("r")).select("paper", "r.*")
+    choices = F.array_join(F.transform("choices", lambda c: F.array_join(c, "")), "|")
+    ranges = F.array_join(F.transform("ranges", lambda b: F.concat_ws("..", b["least"], b["most"])), "|")
+    return rows.withColumns({"choices": F.coalesce(choices, F.lit("")), "ranges": F.coalesce(ranges, F.lit(""))})

@@ -146,3 +146,33 @@ def claim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = linkage.resolve_claims(part, linking.claims(spark, sf_dir), "slot").join(part, "slot")
     authority = F.when(F.col("status").startswith("official"), "official").when(F.col("status") == "gap", "none").otherwise("secondary")
     return papers.claim_summary(resolved, "paper", authority)
+
+
+def _book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five books of a page for each part, with a page of contents before them."""
+    part = table(spark, sf_dir, "part").selectExpr("p_size % 5 AS book", "p_partkey AS page", "1 + p_partkey % 700 DIV 100 AS chapter", "p_partkey % 3 AS n", "p_partkey % 3 + IF(p_partkey % 7 = 0, 1, 0) AS h", "p_name")
+    number = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.when(i <= F.col("n"), F.concat(F.col("chapter").cast("string"), F.lit(".2."), i.cast("string"), F.lit("\n"))).otherwise(""))
+    heading = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.when(i <= F.col("h"), F.concat(F.lit("Trees: PAPER CSE 2014 | Question: "), i.cast("string"), F.lit("\nWhat holds of "), "p_name", F.lit("?\n"))).otherwise(""))
+    body = part.select("book", F.col("page").cast("long").alias("page"), F.concat(F.array_join(number, ""), F.array_join(heading, "")).alias("text"))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda c: F.concat(c.cast("string"), F.lit(" Chapter of topics ("), (c * 20).cast("string"), F.lit(")"))), "\n")
+    front = part.select("book").distinct().select("book", F.lit(0).cast("long").alias("page"), F.concat(F.lit("Contents\n"), lines, F.lit("\n1 Again the first (3)\n")).alias("text"))
+    return body.unionByName(front)
+
+
+_BOOK = """h AS (SELECT p_size % 5 AS book, p_partkey AS page, unnest(range(1, 1 + p_partkey % 3 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END)) AS k, p_partkey % 7 <> 0 AS same, CAST(1 + p_partkey % 700 // 100 AS VARCHAR) AS own FROM part),
+  o AS (SELECT book, page, k, CASE WHEN same THEN own || '.2.' || k END AS number, last_value(CASE WHEN same THEN own END IGNORE NULLS) OVER (PARTITION BY book ORDER BY page, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter, CASE WHEN same THEN 'aligned' ELSE 'withheld' END AS status FROM h)"""
+
+
+@query(f"""WITH {_BOOK} SELECT book, page, k, 'Trees: PAPER CSE 2014 | Question: ' || k AS heading, number, chapter, CASE WHEN chapter <= '6' THEN 'Chapter of topics' END AS title, CASE WHEN chapter <= '6' THEN 20 * CAST(chapter AS BIGINT) END AS declared, status FROM o""")
+def book_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of books with the numbers and chapters that their pages and contents give."""
+    return papers.outline(_book_pages(spark, sf_dir), "book", "page", "text")
+
+
+@query(f"""WITH {_BOOK}, c AS (SELECT book, chapter, count(*) AS found FROM o WHERE chapter IS NOT NULL GROUP BY book, chapter), t AS (SELECT book, CAST(c AS VARCHAR) AS chapter, CAST(20 * c AS BIGINT) AS declared FROM (SELECT DISTINCT p_size % 5 AS book FROM part), range(1, 7) AS r(c))
+  SELECT book, chapter, NULL::BIGINT AS page, CASE WHEN declared IS NULL THEN 'unlisted' ELSE 'count' END AS problem, declared AS expected, coalesce(found, 0) AS found FROM t FULL JOIN c USING (book, chapter) WHERE declared IS DISTINCT FROM coalesce(found, 0)
+  UNION ALL SELECT book, NULL, page, 'page', NULL, count(*) FROM o WHERE status = 'withheld' GROUP BY book, page""")
+def outline_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters that don't have the questions that they declare, and pages whose numbers don't pair."""
+    pages = _book_pages(spark, sf_dir)
+    return papers.outline_findings(papers.outline(pages, "book", "page", "text"), pages, "book", "page", "text")

@@ -208,3 +208,33 @@ def open_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     kept = versions.without_owners(orders, closed).join(lines, "o_orderkey", "left_semi")
     return kept.groupBy(F.col("o_orderpriority").alias("id")).agg(F.count("*").alias("n"))
+
+
+# pieces of a text: as it is written, and what it is: text, or a formula with its value and whether it is displayed
+_PIECES = [
+    (r"cost \$5 and \$7 ", "text", r"cost \$5 and \$7 ", False), ("$x_1$", "math", "x_1", False), (" is $5 or 6 euros ", "text", " is $5 or 6 euros ", False), (r"\(a + b\)", "math", "a + b", False),
+    (" so ", "text", " so ", False), ("$$y^2 = 4$$", "math", "y^2 = 4", True), (r"\[\frac{1}{2}\]", "math", r"\frac{1}{2}", True), (r" and $a\$b + 1$", "math", None, False),
+]
+_ROWS = ", ".join("({}, '{}', '{}', '{}', {})".format(k, raw, kind if value is not None else "both", value if value is not None else "", str(display).lower()) for k, (raw, kind, value, display) in enumerate(_PIECES))
+_COUNT = len(_PIECES)
+
+
+@query(rf"""WITH piece AS (SELECT * FROM (VALUES {_ROWS}) AS t(k, raw, kind, value, display)), d AS (SELECT doc_id, translate(coalesce(text, ''), '$\', '') || '. ' AS base FROM documents),
+  p AS (SELECT doc_id, 0 AS i, base AS raw, 'text' AS kind, base AS value, FALSE AS display FROM d
+    UNION ALL SELECT doc_id, i, raw, kind, value, display FROM (SELECT doc_id, unnest(range(1, 5)) AS i FROM d) JOIN piece ON k = (doc_id * i) % {_COUNT} WHERE kind <> 'both'
+    UNION ALL SELECT doc_id, i, raw, unnest(['text', 'math']), unnest([' and ', 'a\$b + 1']), FALSE FROM (SELECT doc_id, unnest(range(1, 5)) AS i FROM d) JOIN piece ON k = (doc_id * i) % {_COUNT} WHERE kind = 'both'),
+  o AS (SELECT *, CASE WHEN kind = 'text' AND lag(kind) OVER w = 'text' THEN 0 ELSE 1 END AS starts FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i, kind DESC)),
+  g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i, kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM o),
+  m AS (SELECT doc_id, s, any_value(kind) AS kind, string_agg(value, '' ORDER BY i, kind DESC) AS value, any_value(display) AS display FROM g GROUP BY doc_id, s)
+  SELECT doc_id, count(*) AS segments, count(*) FILTER (WHERE kind = 'math') AS formulas, count(*) FILTER (WHERE display) AS displayed, sha256(string_agg(kind || ':' || value, chr(10) ORDER BY s)) AS digest FROM m GROUP BY doc_id""")
+def formula_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with formulas, prices and escaped dollars behind them, as segments in order."""
+    raw = F.array(*(F.lit(x[0]) for x in _PIECES))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.translate(F.coalesce("text", F.lit("")), "$\\", ""), F.lit(". ")).alias("base"))
+    added = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.get(raw, ((F.col("doc_id") * i) % _COUNT).cast("int"))), "")
+    rows = docs.select("doc_id", parsing.math_segments(F.concat("base", added)).alias("s"))
+    count = lambda test: F.size(F.filter("s", test)).cast("long")
+    return rows.select(
+        "doc_id", F.size("s").cast("long").alias("segments"), count(lambda x: x["kind"] == "math").alias("formulas"), count(lambda x: x["display"]).alias("displayed"),
+        F.sha2(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["value"])), "\n"), 256).alias("digest"),
+    )
