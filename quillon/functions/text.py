@@ -279,6 +279,33 @@ def text_similarity(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([similarity(x, y) for x, y in zip(left, right)], columns=["score", "ratio", "coverage", "longest"])
 
 
+# costly, so the optimiser must neither repeat it nor move it before a filter
+text_similarity = text_similarity.asNondeterministic()
+
+
+def similarity_bounds(left: Column, right: Column) -> Column:
+    """struct(coverage, score): the coverage of `text_similarity`, and what its score can't exceed; 1 for texts with other than ASCII characters.
+
+    Matching blocks are common words in order, so they hold no more than the texts have in common as multisets.
+    """
+    words = lambda x: F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[a-z]+(?:'[a-z]+)?|\d+(?:\.\d+)?"), 0)
+    ascii_only = F.coalesce(F.octet_length(left) == F.length(left), F.lit(True)) & F.coalesce(F.octet_length(right) == F.length(right), F.lit(True))
+    sides = F.array(F.struct(words(left).alias("a"), words(right).alias("b")))  # as a lambda's variable, so that each is split once
+
+    def bound(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        times = lambda xs, w: F.size(F.filter(xs, lambda y: y == w))
+        common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
+        few = (F.size(a) < 6) | (F.size(b) < 6)
+        # score = max(ratio, 0.55 coverage + 0.45 longest), and longest is no more than coverage
+        both = F.struct(F.round(common / F.size(a), 6).alias("coverage"), F.round(F.greatest(2 * common / (F.size(a) + F.size(b)), common / F.size(a)), 6).alias("score"))
+        none = F.struct(F.lit(0.0).alias("coverage"), F.lit(0.0).alias("score"))
+        return F.when(few, none).otherwise(both)
+
+    one = F.struct(F.lit(1.0).alias("coverage"), F.lit(1.0).alias("score"))
+    return F.when(ascii_only, F.get(F.transform(sides, bound), F.lit(0))).otherwise(one)
+
+
 @F.pandas_udf(T.DoubleType())
 def char_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """For blocked pairs: twice the matching characters over all, 1 for two empty texts."""

@@ -167,6 +167,14 @@ def rejections(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.coalesce("rejected", F.lit("candidate")).alias("reason")).agg(F.count("*").alias("pairs"))
 
 
+def _compared(pairs: DataFrame, name: str, text: Column, needed: Column, coverage: float, score: float) -> DataFrame:
+    """The pairs with their similarity; only those that can reach the limits are compared, the others get zeros."""
+    bounds = tx.similarity_bounds(F.col("a_text"), text)
+    able = F.when(needed, (bounds["coverage"] >= coverage) & (bounds["score"] >= score)).otherwise(False)
+    marked = pairs.withColumn("_able", able)
+    return marked.withColumn(name, tx.text_similarity(F.when(F.col("_able"), F.col("a_text")), F.when(F.col("_able"), text))).drop("_able")
+
+
 def text_edges(pairs: DataFrame, topic_score: Column, evidence: dict[str, Column], exact: str, existing: Column | None = None) -> DataFrame:
     """The candidates among judged pairs whose texts agree, with `score` = 0.9 text + 0.1 topic.
 
@@ -175,14 +183,20 @@ def text_edges(pairs: DataFrame, topic_score: Column, evidence: dict[str, Column
     0.70.  A pair whose existing text scores under 0.30 is left out.
     """
     found = pairs.where("rejected IS NULL").withColumn("_topic", topic_score)
+    sure = F.coalesce("b_confidence", F.lit(0.0)) >= 0.70
+    if existing is not None:  # it can leave a pair out, so it comes first
+        blank = existing.isNull() | (F.trim(existing) == "")
+        found = _compared(found, "_old", existing, ~blank, 0.0, 0.30).where(blank | (F.col("_old.score") >= 0.30))
     best = []
     for kind, text in evidence.items():
-        found = found.withColumn(f"_{kind}", tx.text_similarity(F.col("a_text"), text))
+        least, coverage = (0.74, 0.68) if kind == exact else (0.62, 0.58)
+        if existing is not None and str(text) == str(existing):  # its score is there, and what can't reach 0.30 reaches no limit
+            found = found.withColumn(f"_{kind}", F.col("_old"))
+        else:
+            found = _compared(found, f"_{kind}", text, text.isNotNull() & (F.lit(kind == exact) | sure), coverage, least)
         s, c, longest = (F.col(f"_{kind}.{x}") for x in ("score", "coverage", "longest"))
-        good = (s >= 0.74) & (c >= 0.68) if kind == exact else (s >= 0.62) & (c >= 0.58) & (longest >= 0.20) & (F.coalesce("b_confidence", F.lit(0.0)) >= 0.70)
+        good = (s >= 0.74) & (c >= 0.68) if kind == exact else (s >= 0.62) & (c >= 0.58) & (longest >= 0.20) & sure
         best.append(F.when(text.isNotNull() & good, s))
-    if existing is not None:
-        found = found.withColumn("_old", tx.text_similarity(F.col("a_text"), existing)).where(existing.isNull() | (F.trim(existing) == "") | (F.col("_old.score") >= 0.30))
     text_score = F.greatest(*best) if len(best) > 1 else best[0]
     return found.withColumn("text_score", text_score).where("text_score IS NOT NULL").withColumn("score", F.round(0.9 * F.col("text_score") + 0.1 * F.col("_topic"), 6))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import answers
@@ -107,11 +107,20 @@ def same_key_sets(frames: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return every.select(*keys, absent.alias("absent_from")).where(F.size("absent_from") > 0)
 
 
-def mirrored(source: DataFrame, published: DataFrame, keys: list[str], neutral: list[str]) -> DataFrame:
-    """Rows that differ between a source and its published copy, apart from the neutral columns; the place within a key
-    counts, so that the order of a list does too."""
+def mirrored(source: DataFrame, published: DataFrame, keys: list[str], neutral: list[str], place: str | None = None) -> DataFrame:
+    """Rows that differ between a source and its published copy, apart from the neutral columns.
+
+    With `place`, a column by which the rows of a key are a list, the number of a row in its key's list counts instead of the
+    column's value: a reordered list differs, one that only starts elsewhere doesn't.
+    """
     columns = [c for c in source.columns if c not in neutral]
-    ranked = lambda df: df.select(*columns)
+
+    def ranked(df: DataFrame) -> DataFrame:
+        if place is None:
+            return df.select(*columns)
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(place, *(c for c in columns if c not in (*keys, place))))
+        return df.select(*columns).withColumn(place, number.cast("long"))
+
     left, right = ranked(source), ranked(published)
     return left.exceptAll(right).withColumn("side", F.lit("source")).unionByName(right.exceptAll(left).withColumn("side", F.lit("published")))
 

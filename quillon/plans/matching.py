@@ -25,8 +25,8 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.withColumn("candidates", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ","))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of an order as transcriptions against its slots, judged by type, marks, answer, course and topic."""
+def _transcriptions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of an order as transcriptions, and its slots."""
     q = star.questions(spark, sf_dir).select("question_id", "question_type", "marks", "answer_key", "subject", "topic", F.col("text").alias("stem"))
     rows = papers.rows(spark, sf_dir).join(q, F.col("question") == F.col("question_id"))
     stem = F.concat_ws(" ", "stem", "topic", "question_type", F.lit("of course"), "subject", F.lit("with"), F.col("marks").cast("string"), F.lit("marks and key"), "answer_key")
@@ -37,6 +37,12 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     one = rows.groupBy("paper", "ordinal").agg(F.min(F.struct("question", "question_type", "marks", "answer_key", "subject", "topic", stem.alias("text"))).alias("s"))
     slots = one.select("paper", "ordinal", F.col("s.question_type").alias("kind"), "s.marks", F.col("s.answer_key").alias("answer"), F.col("s.subject").alias("course"), "s.topic", "s.text", F.lit(0.8).alias("confidence"))
+    return sources, slots
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcriptions against the slots of their papers, judged by type, marks, answer, course and topic."""
+    sources, slots = _transcriptions(spark, sf_dir)
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     agrees = answers.fingerprint(b("kind"), a("answer")) == answers.fingerprint(b("kind"), b("answer"))
     similar = tx.set_similarity(tx.tokens(F.concat_ws(" ", a("topic"), a("course"))), tx.tokens(F.concat_ws(" ", b("topic"), b("course"))))
@@ -62,7 +68,7 @@ def blocked_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     similar = tx.set_similarity(tx.tokens(F.col("a_topic")), tx.tokens(F.col("b_topic")))
     edges = linkage.text_edges(pairs, similar, {"original": F.col("b_text"), "recognised": F.reverse(F.col("b_text"))}, "original", F.col("b_text"))
     keyed = edges.select(F.concat_ws("/", "paper", "a_id").alias("source"), F.concat_ws("/", "paper", "b_ordinal").alias("slot"), "score")
-    sources = pairs.select(F.concat_ws("/", "paper", "a_id").alias("source"))
+    sources = _transcriptions(spark, sf_dir)[0].select(F.concat_ws("/", "paper", "id").alias("source"))
     decided = linkage.decisions(sources, keyed, "source", "slot", "score")
     return decided.withColumn("candidates", F.array_join("candidates", ","))
 

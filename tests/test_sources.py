@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.operators import release
-from quillon.sources import documents, tables
+from quillon.sources import batches, documents, tables
 from quillon.streaming import evidence as ev
 
 
@@ -162,3 +162,83 @@ def test_canonical_json_upsert_and_lineage(spark, tmp_path):
     assert release.lineage_findings(files, files).isEmpty()
     broken = files.limit(1).selectExpr("path", "bytes", "'x' AS sha256").union(spark.createDataFrame([("gone", 1, "y")], files.schema))
     assert {r["problem"] for r in release.lineage_findings(broken, files).collect()} >= {"missing", "content_differs"}
+
+
+def batch_rows(spark, first, last, text="x"):
+    return spark.createDataFrame([(k, f"{text}{k}") for k in range(first, last)], "k long, v string").withColumn("d", F.sha2("v", 256))
+
+
+def test_a_batch_is_taken_up_where_it_ended(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path / "t"), batch_rows(spark, 0, 100)
+    create, calls = batches._create, []
+
+    def dies(spark, path, text):
+        calls.append(path)
+        if len(calls) == 4:
+            raise KeyboardInterrupt
+        return create(spark, path, text)
+
+    monkeypatch.setattr(batches, "_create", dies)
+    with pytest.raises(KeyboardInterrupt):
+        batches.append_batch(rows, root, "b1", ["k"], "d", chunk_rows=10)
+    half = batches.read_batches(spark, root).count()
+    assert 0 < half < 100 and len(batches.BatchLog(spark, root).refresh()) == 3
+    # the second run writes the chunks from the fourth on, also if it is asked for other ones
+    assert batches.append_batch(rows, root, "b1", ["k"], "d", chunk_rows=50) == 100 - half
+    log = batches.BatchLog(spark, root)
+    assert [(c["chunk"], c["chunks"]) for c in log.refresh()] == [(k, 10) for k in range(10)]
+    assert sorted(r["k"] for r in batches.read_batches(spark, root).collect()) == list(range(100))
+    assert batches.append_batch(rows, root, "b1", ["k"], "d") == 0
+
+
+def test_two_writers_never_append_a_key_twice(spark, tmp_path, monkeypatch):
+    root, create, turns = str(tmp_path / "t"), batches._create, []
+
+    def interrupted(spark, path, text):
+        """Before the first commit of the one writer, the other one commits its whole batch."""
+        if not turns:
+            turns.append(1)
+            assert batches.append_batch(batch_rows(spark, 50, 150), root, "other", ["k"], "d", chunk_rows=40) == 100
+        return create(spark, path, text)
+
+    monkeypatch.setattr(batches, "_create", interrupted)
+    assert batches.append_batch(batch_rows(spark, 0, 100), root, "own", ["k"], "d", chunk_rows=30) == 50
+    assert sorted(r["k"] for r in batches.read_batches(spark, root).collect()) == list(range(150))
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="other content"):
+        batches.append_batch(batch_rows(spark, 149, 151, "y"), root, "wrong", ["k"], "d")
+    with pytest.raises(ValueError, match="two contents"):
+        batches.append_batch(batch_rows(spark, 300, 301).union(batch_rows(spark, 300, 301, "y")), root, "torn", ["k"], "d")
+    # the same batch by two runs at once: a chunk is committed by one of them
+    turns.clear()
+
+    def same(spark, path, text):
+        if not turns:
+            turns.append(1)
+            batches.append_batch(batch_rows(spark, 200, 240), root, "both", ["k"], "d", chunk_rows=10)
+        return create(spark, path, text)
+
+    monkeypatch.setattr(batches, "_create", same)
+    assert batches.append_batch(batch_rows(spark, 200, 240), root, "both", ["k"], "d", chunk_rows=10) == 0
+    assert batches.read_batches(spark, root).where("k >= 200").count() == 40
+    (tmp_path / "t" / "log" / f"{len(batches.BatchLog(spark, root).refresh()):012d}").write_text("")
+    with pytest.raises(RuntimeError, match="torn"):
+        batches._read(spark, f"{root}/log/{len(list((tmp_path / 't' / 'log').glob('[0-9]*'))) - 1:012d}", 0.1)
+
+
+def test_tables_over_jdbc(spark):
+    """Against a database in memory: a frozen projection, ranges of the key, flags, JSON, nulls and a missing column."""
+    url = "jdbc:derby:memory:bank;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(k, k % 2, f"t{k}" if k % 5 else None, f'{{"a": {k}}}', "internal") for k in range(1, 201)]
+    df = spark.createDataFrame(rows, "id int, is_active int, topic string, doc string, secret string")
+    df.write.jdbc(url, "QUESTIONS", mode="overwrite", properties=driver)
+    columns = ["id", "is_active", "topic", "doc"]
+    found = tables.jdbc_table(spark, url, "QUESTIONS", columns, "id", (1, 200), parts=4, **driver)
+    assert found.rdd.getNumPartitions() == 4 and [c.lower() for c in found.columns] == columns
+    got = tables.decoded(found, ["is_active"], {"doc": "a long"}, {"topic": "none"}).orderBy("id").collect()
+    assert [(r["id"], r["is_active"], r["topic"], r["doc"]["a"]) for r in got] == [(k, k % 2 == 1, f"t{k}" if k % 5 else "none", k) for k in range(1, 201)]
+    # the filter reaches the database
+    assert "PushedFilters: [*IsNotNull(id), *EqualTo(id,7)]" in tables.point(found, "id", 7)._jdf.queryExecution().toString().replace("ID", "id")
+    with pytest.raises(ValueError, match="missing columns"):
+        tables.jdbc_table(spark, url, "QUESTIONS", [*columns, "gone"], "id", (1, 200), **driver)
