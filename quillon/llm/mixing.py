@@ -6,14 +6,16 @@ nonnegative rates r (expected copies of a document) so that the expected tokens
 domain, sum of tokens * p * r, meet the targets in least squares.  The gradients add up and
 their sum is projected, so that a row which once falls to zero can come back:
 
-    y <- y - p . S (expected - target),  r = max(0, y), from y = 1
+    y <- y - length * p . D (expected - target),  r = max(0, y), from y = 1
 
-S is the inverse of sum tokens * p * p' over the rows with y > 0, which the same pass over
-the table computes: steps of this metric don't slow down where posteriors overlap.  A step
-is halved while it doesn't lower the convex objective.  As y = 1 - p . m with K numbers m,
+D divides by the sum of tokens * p * p of each domain over the rows with y > 0, which the same pass over
+the table computes, and the length is spectral: the inverse of the curvature along the step before (Barzilai and
+Borwein), which settles in some ten passes where a fixed length takes hundreds.  Such steps may raise the convex
+objective now and then; one that raises it above its last six values is shortened.  As y = 1 - p . m with K numbers m,
 no rates are stored between passes; of all rates that meet the targets these are the
 nearest to 1 in token-weighted least squares.  A step needs K * (K + 5) / 2 + 1 sums on the
-driver, however large the table.
+driver, however large the table.  Only where no nonnegative rates meet the targets do such steps stall, as m has no end
+there; steps of the whole metric of K * K sums then lead on to the least-squares rates.
 
 Only the labelled rows are bounded: the classifier learns from about
 `rows_per_domain` rows of each domain, chosen by a hash of their id.  Null and empty
@@ -27,6 +29,7 @@ return half a fit.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from math import log
 
@@ -38,16 +41,22 @@ from quillon.llm.langid import hash_below
 from quillon.llm.shared import row_keys, saved
 
 
+_LOG = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class MixSettings:
-    """`evidence_words`: a text counts as at most so many words of evidence, which keeps membership soft;
-    `tolerance`: largest misfit, as a share of all tokens; `ridge`: the weight of m itself, which keeps it finite where targets can't be met."""
+    """`evidence_words`: a text counts as at most so many words of evidence, which keeps membership soft: with few of them most documents
+    have about a tenth of every domain, and a small target could only be met by many copies of few documents;
+    `tolerance`: largest misfit, as a share of all tokens; `ridge`: the weight of m itself, which keeps it finite where targets can't be met;
+    `patience`: steps in which the misfit must halve, else steps of the whole metric follow."""
 
     buckets: int = 4096
     rows_per_domain: int = 2000
     smoothing: float = 0.5
-    evidence_words: float = 24.0
+    evidence_words: float = 384.0
     most_passes: int = 100
+    patience: int = 16
     tolerance: float = 1e-4
     ridge: float = 1e-7
 
@@ -107,8 +116,8 @@ def fit_rates(members: DataFrame, targets: list[float], total_tokens: float | No
     def rate(m: list[float]) -> Column:
         return F.greatest(F.lit(0.0), 1.0 - sum((F.col(f"p{k}") * float(m[k]) for k in domains), F.lit(0.0)))
 
-    def passed(m: list[float]) -> tuple[np.ndarray, np.ndarray, float]:
-        """Expected totals, metric and the sum of tokens * rate**2, in one pass."""
+    def passed(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected totals, sums of tokens * p * p' over the open rows, and that of tokens * rate**2, in one pass."""
         rated = members.select("*", rate(m).alias("rate"))
         total = lambda x: F.coalesce(F.sum(tokens * x), F.lit(0.0))
         pairs = [(j, k) for j in domains for k in domains if j <= k]
@@ -129,22 +138,30 @@ def fit_rates(members: DataFrame, targets: list[float], total_tokens: float | No
     goal = np.where(known, want * np.array(targets, dtype=float) / sum(targets), 0.0)
     ridge = settings.ridge * np.where(known, size, 1.0)
     objective = lambda m, squares: squares / 2 + goal @ m + ridge @ (m * m) / 2
-    value, passes = objective(m, squares), 1
-    while np.abs(expected - goal).max() >= settings.tolerance * want:
-        slope = goal - expected + ridge * m
-        if np.abs(slope).max() < 0.01 * settings.tolerance * want:
-            break  # the least-squares rates; the targets can't be met
-        step, share = -np.linalg.solve(metric + np.diag(ridge), slope), 1.0
+    misfit = lambda: np.abs(expected - goal).max() / want
+    slope, values, misfits, passes, length = goal - expected, [objective(m, squares)], [misfit()], 1, 1.0
+    while misfit() >= settings.tolerance and np.abs(slope).max() >= 0.01 * settings.tolerance * want:
+        stalled = len(misfits) > settings.patience and misfits[-1] > misfits[-1 - settings.patience] / 2
+        scale = 1.0 / np.maximum(metric.diagonal() + ridge, 1e-12 * want)  # by domain, so that rare ones move as fast as common ones
+        step = -np.linalg.solve(metric + np.diag(ridge), slope) if stalled else -length * scale * slope
+        limit, share = values[-1] if stalled else max(values[-6:]), 1.0
         while True:
             if passes >= settings.most_passes:
-                raise RuntimeError(f"the rates don't settle in {passes} passes: misfit {np.abs(expected - goal).max() / want:.2g} of all tokens")
-            ahead = m + share * step
-            expected, metric, squares = passed(ahead)
+                raise RuntimeError(f"the rates don't settle in {passes} passes: misfit {misfit():.2g} of all tokens")
+            expected, metric, squares = passed(m + share * step)
             passes += 1
-            if objective(ahead, squares) <= value + 1e-4 * share * (slope @ step) or share < 1e-6:
+            if objective(m + share * step, squares) <= limit + 1e-4 * share * (slope @ step) or share < 1e-6:
                 break
             share /= 2
-        m, value = ahead, objective(ahead, squares)
+        step, before = share * step, slope
+        m = m + step
+        slope = goal - expected + ridge * m
+        bent = step @ (slope - before)
+        # the inverse of the curvature along this step, in the metric of the scales
+        length = min(1e3, max(1e-3, (step / scale) @ step / bent)) if bent > 0 else 1.0
+        values.append(objective(m, squares))
+        misfits.append(misfit())
+    _LOG.info("rates fitted in %d passes, misfit %.2g of all tokens", passes, misfit())
     return members.withColumn("rate", rate(m))
 
 
@@ -160,9 +177,8 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), domain.alias("domain")).where(F.col("domain").isNotNull())
 
 
-#: Weights of the domains in the registered query and the pipeline.  Soft membership gives most documents about a tenth
-#: of toxicity, so a weight under 0.05 could only be met by many copies of few documents.
-TARGETS = {"high": 0.80, "low": 0.14, "toxic": 0.06}
+#: Weights of the domains in the registered query and the pipeline.
+TARGETS = {"high": 0.80, "low": 0.18, "toxic": 0.02}
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, settings: MixSettings = MixSettings()) -> DataFrame:
