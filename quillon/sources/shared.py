@@ -25,14 +25,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a written table that nothing reads any more."""
-    conf = spark._jsc.hadoopConfiguration()
-    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
 def running(rows: DataFrame, group: str, order: list[str], size: str) -> DataFrame:
     """The rows with `before`, the sum of `size` over the rows of their group that stand before them.
 

@@ -74,6 +74,17 @@ def test_similarity_is_measured_on_the_left():
     assert tx.similarity("a b c d e", "a b c d e") == (0.0, 0.0, 0.0, 0.0)
 
 
+def test_no_similarity_exceeds_its_bounds(spark):
+    rng = random.Random(8)
+    words = ["a", "b", "it's", "7.5", "tree", "Tree", "x-y", "12"]
+    pairs = [(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 14))), " ".join(rng.choice(words) for _ in range(rng.randrange(0, 14)))) for _ in range(300)]
+    rows = spark.createDataFrame([*pairs, ("é " * 8, "a " * 8), (None, "a"), ("a", None)], "a string, b string")
+    for r in rows.select("a", "b", tx.similarity_bounds(F.col("a"), F.col("b")).alias("x")).collect():
+        score, _, coverage, _ = tx.similarity(r["a"], r["b"])
+        assert r["x"]["score"] >= score and r["x"]["coverage"] >= coverage, r
+        assert "é" in (r["a"] or "") or r["x"]["coverage"] == coverage
+
+
 def rising_choices(wanted, places):
     """Every choice of places that rises, for the labels that the first of them reach."""
     last, own = float("-inf"), []
