@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import bank, corpus, decisions, learner, linking, matching, papers, projections, streams, transcripts, validation, versions
+from quillon.plans import audits, bank, corpus, decisions, learner, linking, matching, papers, projections, streams, transcripts, validation, versions
 from quillon.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "bank", "corpus", "decisions", "learner", "linking", "matching", "papers", "projections", "streams", "transcripts", "validation", "versions"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "bank", "corpus", "decisions", "learner", "linking", "matching", "papers", "projections", "streams", "transcripts", "validation", "versions"]
