@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillon.llm.shared import row_keys, saved
+from quillon.llm.shared import fresh, row_keys, saved
 from quillon.llm.textbytes import U64, as_texts, mix, seeded
 
 _BITS = 22
@@ -288,12 +288,12 @@ def _scanned(rows: DataFrame, block: list[tuple], settings: LeakSettings, leaks:
     return rows.mapInArrow(run, schema)
 
 
-def _by_key(docs: DataFrame, items: _Benchmark, settings: LeakSettings, id_col: str, text_col: str) -> DataFrame:
-    """(_k1, _k2, _leaks) of the rows that leak, from one written pass per block."""
+def _by_key(docs: DataFrame, items: _Benchmark, settings: LeakSettings, id_col: str, text_col: str, names: list[str]) -> DataFrame:
+    """Row keys and leaks, under the three names, of the rows that leak, from one written pass per block."""
     keyed = docs.select(*row_keys(id_col, text_col), docs[text_col].cast("string").alias("text"))
     passes = [saved(_scanned(keyed, items.block(k), settings, items.leaks).where(F.size("leaks") > 0).dropDuplicates(["k1", "k2"]), "leaks") for k in range(items.parts)]
-    every = reduce(DataFrame.unionByName, passes).groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("_leaks"))
-    return saved(every.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "leaks")
+    every = reduce(DataFrame.unionByName, passes).groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    return saved(every.toDF(*names), "leaks")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -302,8 +302,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = L
     if items.parts == 1:
         return _scanned(docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")), items.block(0), settings, items.leaks)
     k1, k2 = row_keys(id_col, text_col)
-    joined = docs.join(_by_key(docs, items, settings, id_col, text_col), (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
-    return joined.select(docs[id_col].alias("doc_id"), F.coalesce("_leaks", F.array().cast(items.leaks)).alias("leaks"))
+    own1, own2, leaks = fresh(docs.columns, "leak_k1", "leak_k2", "leaks_of")
+    joined = docs.join(_by_key(docs, items, settings, id_col, text_col, [own1, own2, leaks]), (k1 == F.col(own1)) & (k2 == F.col(own2)), "left")
+    return joined.select(docs[id_col].alias("doc_id"), F.coalesce(leaks, F.array().cast(items.leaks)).alias("leaks"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -311,7 +312,8 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings =
     items = _Benchmark(benchmark, settings, item_col, item_text_col)
     if items.parts > 1:
         k1, k2 = row_keys(text_col, text_col)
-        return docs.join(_by_key(docs, items, settings, text_col, text_col), (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+        own1, own2, leaks = fresh(docs.columns, "leak_k1", "leak_k2", "leaks_of")
+        return docs.join(_by_key(docs, items, settings, text_col, text_col, [own1, own2, leaks]), (k1 == F.col(own1)) & (k2 == F.col(own2)), "left_anti")
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(items.block(0))
 
@@ -320,4 +322,6 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings =
         for batch in batches:
             yield batch.filter(pa.array([not index.leaks(text) for text in as_texts(batch.column(at))], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # names that hold dots can't pass to tasks
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import row_keys, saved
+from quillon.llm.shared import fresh, quoted, row_keys, saved
 
 WIDTH = 3
 WORD = r"[^\x20\x09-\x0D]"
@@ -62,19 +62,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     With `counts`, also n_lines and n_removed (columns of these names are replaced); with
     `drop_emptied`, without the documents that lose all their words.
     """
-    names = {"k1": "_line_k1", "k2": "_line_k2", "covered": "_line_covered"}
-    covered = covered_lines(docs, id_col, text_col, width).withColumnsRenamed(names)
+    own1, own2, gone, lines, rest = fresh(docs.columns, "line_k1", "line_k2", "line_covered", "line_all", "line_left")
+    covered = covered_lines(docs, id_col, text_col, width).withColumnsRenamed({"k1": own1, "k2": own2, "covered": gone})
     k1, k2 = row_keys(id_col, text_col)
-    joined = docs.join(covered, (k1 == F.col("_line_k1")) & (k2 == F.col("_line_k2")), "left")
+    joined = docs.join(covered, (k1 == F.col(own1)) & (k2 == F.col(own2)), "left")
     # lines as a column of their own: inside the lambda the text would be split again for every line
-    split = joined.withColumn("_line_all", _lines(text_col))
-    n_lines, n_removed = F.coalesce(F.size("_line_all"), F.lit(0)), F.coalesce(F.size("_line_covered"), F.lit(0))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_line_all") - 1), "_line_covered"), lambda i: F.get(F.col("_line_all"), i))
-    left = split.withColumn("_line_left", F.when(n_removed == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    split = joined.withColumn(lines, _lines(text_col))
+    n_lines, n_removed = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(gone), F.lit(0))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(F.col(lines), i))
+    left = split.withColumn(rest, F.when(n_removed == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     if drop_emptied:
-        left = left.where((n_removed == 0) | F.col("_line_left").rlike(WORD))
+        left = left.where((n_removed == 0) | F.col(rest).rlike(WORD))
     more = {"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")} if counts else {}
-    return left.select(*(F.col("_line_left").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in more), *(x.alias(c) for c, x in more.items()))
+    return left.select(*(F.col(rest).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns if c not in more), *(x.alias(c) for c, x in more.items()))
 
 
 #: For row-unique doc_id: id, lines, removed lines and a digest of the text that is left.

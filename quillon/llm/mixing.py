@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.langid import hash_below
-from quillon.llm.shared import row_keys, saved
+from quillon.llm.shared import fresh, quoted, row_keys, saved
 
 
 _LOG = logging.getLogger(__name__)
@@ -188,8 +188,9 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, settings: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the mixture holds, with `rate` and `copies` (one or more); columns of these names are replaced."""
-    rate = rates(docs, labels, targets, settings).select(F.col("k1").alias("_mix_k1"), F.col("k2").alias("_mix_k2"), F.col("rate").alias("_mix_rate"), copies(F.col("rate")).alias("_mix_copies"))
+    own1, own2, own_rate, n = fresh(docs.columns, "mix_k1", "mix_k2", "mix_rate", "mix_copies")
+    rate = rates(docs, labels, targets, settings).select(F.col("k1").alias(own1), F.col("k2").alias(own2), F.col("rate").alias(own_rate), copies(F.col("rate")).alias(n))
     k1, k2 = row_keys(id_col, text_col)
-    joined = docs.join(rate.where("_mix_copies > 0"), (k1 == F.col("_mix_k1")) & (k2 == F.col("_mix_k2")))
-    kept = [c for c in docs.columns if c not in ("rate", "copies")]
-    return joined.select(*kept, F.round("_mix_rate", 6).alias("rate"), F.col("_mix_copies").alias("copies"))
+    joined = docs.join(rate.where(F.col(n) > 0), (k1 == F.col(own1)) & (k2 == F.col(own2)))
+    left = [quoted(c) for c in docs.columns if c not in ("rate", "copies")]
+    return joined.select(*left, F.round(own_rate, 6).alias("rate"), F.col(n).alias("copies"))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import Scratch, row_keys, scratch
+from quillon.llm.shared import Scratch, fresh, row_keys, scratch
 from quillon.llm.textbytes import LOWER, U64, as_bytes, hash_spans, mix, seeded, translated, window_hashes, word_spans
 
 _LOWER_TABLE = LOWER.tobytes()
@@ -411,12 +411,13 @@ def drop_near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(
         rows = own.saved(_rows(docs, own, settings, id_col, text_col).where("cls IS NOT NULL"), "near-rows", stays=True)
     mine = (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))
     k1, k2 = row_keys(id_col, text_col)
-    match = (k1 == F.col("_near_k1")) & (k2 == F.col("_near_k2"))
-    keys = lambda df: df.select(F.col("k1").alias("_near_k1"), F.col("k2").alias("_near_k2"))
+    own1, own2, both = fresh(docs.columns, "near_k1", "near_k2", "near_key")
+    match = (k1 == F.col(own1)) & (k2 == F.col(own2))
+    keys = lambda df: df.select(F.col("k1").alias(own1), F.col("k2").alias(own2))
     single = docs.join(keys(rows.where(~mine)), match, "left_anti")
     again = rows.where(mine).groupBy("k1", "k2").count().where("count > 1")
     if again.isEmpty():
         return single
     again = own.saved(keys(again), "near-again", stays=True)
-    repeated = single.select("*", F.struct(k1, k2).alias("_near_key")).join(again, match, "left_semi")
-    return single.join(again, match, "left_anti").unionByName(repeated.dropDuplicates(["_near_key"]).drop("_near_key"))
+    repeated = single.select("*", F.struct(k1, k2).alias(both)).join(again, match, "left_semi")
+    return single.join(again, match, "left_anti").unionByName(repeated.dropDuplicates([both]).drop(both))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The temporary folder of local applications without a shared one.
 _OWN: dict[str, str] = {}
+#: Of each stage that runs, the tables that its result reads.
+_STAGES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table written to the shared folder: cuts lineage and survives lost executors."""
-    return Scratch(df.sparkSession).saved(df, name)
+    """The rows as a table written to the shared folder: cuts lineage and survives lost executors.  It stays, as results read it."""
+    return Scratch(df.sparkSession).saved(df, name, stays=True)
 
 
 class Scratch:
@@ -44,6 +46,8 @@ class Scratch:
         path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         if not stays:
             self.paths.append(path)
+        elif _STAGES:
+            _STAGES[-1].append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -64,6 +68,29 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         own.clear()
 
 
+@contextmanager
+def stage(spark: SparkSession) -> Iterator[None]:
+    """Tables written within, those that results read too, are removed at its end; what is wanted of these must be written by then, by `kept`."""
+    own = Scratch(spark)
+    _STAGES.append(own.paths)
+    try:
+        yield
+    finally:
+        _STAGES.pop()
+        own.clear()
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, Scratch]:
+    """The rows as a table that outlives the stage, and what removes it."""
+    own = Scratch(df.sparkSession)
+    return own.saved(df, name), own
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever signs it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def row_keys(id_col: str, text_col: str) -> list[Column]:
     """128 bits that tell rows apart by id and text; never null, so that equal rows join."""
     row_id, text = F.col(id_col).cast("string"), F.col(text_col)
