@@ -1,7 +1,8 @@
 """The corpus pipeline: stages that each read all that the one before kept.
 
 run(spark, sf_dir) applies STAGES to the documents table; what a stage returns is
-written as Parquet to the shared folder and read again as the next one's documents.
+written as Parquet to the shared folder and read again as the next one's documents.  Tables that
+no later stage reads are removed; the result reads the last ones.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, langid, linededup, mixing, neardup
-from quillon.llm.shared import saved
+from quillon.llm.shared import kept, stage
 from quillon.shipping import ship
 
 
@@ -61,9 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns."""
-    docs = _table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs, name)
-    return docs
+    docs, before = _table(spark, sf_dir, "documents"), None
+    for name, apply in STAGES[:-1]:
+        with stage(spark):
+            docs, own = kept(apply(spark, docs, sf_dir), name)
+        if before is not None:
+            before.clear()
+        before = own
+    return STAGES[-1][1](spark, docs, sf_dir)
