@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.digests import hash_order
+from quillon.sources.shared import tasks
 
 
 def sample(items: DataFrame, key: str, id_col: str, n: int) -> DataFrame:
@@ -19,7 +20,9 @@ def quota_form(items: DataFrame, forms: Column, strata: Column, quotas: dict[str
     `forms`: an array of form keys; items are dealt anew, independently, for every form.
     """
     quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))
-    dealt = items.select(F.explode(forms).alias("form"), strata.alias("stratum"), F.col(id_col).alias("id")).where(F.col("stratum").isin(list(quotas)))
+    # every task sorts its items once a form
+    spread = items.repartition(tasks(items, 20_000), id_col)
+    dealt = spread.select(F.explode(forms).alias("form"), strata.alias("stratum"), F.col(id_col).alias("id")).where(F.col("stratum").isin(list(quotas)))
     order = Window.partitionBy("form", "stratum").orderBy(hash_order(F.col("form"), F.col("id")), "id")
     ranked = dealt.withColumn("place", F.row_number().over(order).cast("long"))
     # the largest quota as a number: with it Spark cuts the ranking down before it shuffles

@@ -25,6 +25,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(rows: DataFrame, rows_per_task: int) -> int:
+    """How many tasks work on the rows, so that none gets more than about `rows_per_task`, and no core is idle.
+
+    For `repartition`: a small file is one task otherwise, and shuffles are joined again by their bytes, whatever memory or
+    time a row takes.  The rows are counted, so give a frame whose count is cheap.
+    """
+    return max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // rows_per_task))
+
+
 def running(rows: DataFrame, group: str, order: list[str], size: str) -> DataFrame:
     """The rows with `before`, the sum of `size` over the rows of their group that stand before them.
 
