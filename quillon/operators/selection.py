@@ -61,6 +61,7 @@ def balanced_form(items: DataFrame, form_col: str, group_col: str, kind_col: str
     form, group, kind, own = (F.col(c) for c in (form_col, group_col, kind_col, id_col))
     order = lambda what, identity: hash_order(F.concat_ws(":", form, what if not isinstance(what, str) else F.lit(what)), identity)
     grouped = lambda what: F.concat_ws(":", F.lit(what), group.cast("string"))
+    parts = tasks(items, 500_000)
     bad = refusals(items, form_col, kind_col, kinds, n).select(form_col)
     items = items.join(bad, form_col, "left_anti")
 
@@ -76,7 +77,8 @@ def balanced_form(items: DataFrame, form_col: str, group_col: str, kind_col: str
 
     marked = items.join(required.select(F.col(form_col).alias("_form"), F.col("_id"), "_k"), (form == F.col("_form")) & (own == F.col("_id")), "left").drop("_form", "_id")
     has = required.select(form_col, F.col("_group").alias(group_col)).distinct().withColumn("_has", F.lit(True))
-    marked = marked.join(has, [form_col, group_col], "left")
+    # both ranks of a group are taken where its items lie
+    marked = marked.join(has, [form_col, group_col], "left").repartition(parts, form_col, group_col)
     first = F.row_number().over(Window.partitionBy(form_col, group_col, F.col("_k").isNotNull()).orderBy(order(grouped("topic"), own), id_col)) == 1
     step = F.when(F.col("_k").isNotNull(), 0).when(F.col("_has").isNull() & first, 1).otherwise(2)
     stepped = marked.withColumn("_step", step)

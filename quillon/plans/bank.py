@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import catalog, progress, selection
 from quillon.plans import learner, star
 from quillon.plans.registry import query
+from quillon.sources.shared import tasks
 
 
 @query(f"WITH {star.CTE} SELECT question_id, subject, topic, question_type, year, text FROM question WHERE is_active AND question_type IN ('mcq', 'nat') AND (contains(lower(text), 'ring') OR contains(lower(topic), 'ring'))")
@@ -134,6 +135,7 @@ def course_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _form_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = star.questions(spark, sf_dir).where("is_active")
+    questions = questions.repartition(tasks(questions, 50_000), "question_id")
     return questions.withColumn("form", F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.concat_ws("-", "subject", k.cast("string"))))).select("form", "topic", "question_type", "question_id")
 
 

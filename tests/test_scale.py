@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillon.operators import selection
+from quillon.plans import bank
 from quillon.sources import shared
 
 
@@ -18,3 +19,8 @@ def test_quota_form_deals_items(spark, capsys):
     form.explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
     assert form.count() == 6
+
+
+def test_course_forms_deal_items(spark, capsys):
+    bank._form_items(spark, "/root/testdata/sf0.001").explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
