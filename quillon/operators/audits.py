@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.operators import projections, quality
-from quillon.sources.shared import written
+from quillon.sources.shared import tasks, written
 
 # What belongs to the paper and not to a question, the label a text may not begin with, and labels of options.
 BOILERPLATE = (
@@ -100,6 +100,8 @@ def typed_records(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     answer that is a text; `answers`: one that is a list; `numeric_answer`: a number, or an object of just min <= max.
     """
     v, answer = F.col("_v"), F.col("_answer")
+    # parsing takes most of the time: a small file's records are dealt to all cores first
+    rows = rows.repartition(tasks(rows, 20_000), "bank", "position")
     parsed = rows.select(F.col("bank").cast("string").alias("bank"), "position", "record", F.try_parse_json("record").alias("_v"))
     parsed = parsed.withColumns({"_options": F.filter(_at(v, "options", "array<variant>"), lambda o: _type(o) == "OBJECT"), "_answer": _at(v, "correct_answer", "variant")})
     number = lambda value, path: F.when(_type(F.try_variant_get(value, path, "variant")).isin(*_NUMBERS), F.try_variant_get(value, path, "double"))

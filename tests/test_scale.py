@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillon.operators import selection
+from quillon.operators import audits, selection
 from quillon.plans import bank
 from quillon.sources import shared
 
@@ -24,3 +24,16 @@ def test_quota_form_deals_items(spark, capsys):
 def test_course_forms_deal_items(spark, capsys):
     bank._form_items(spark, "/root/testdata/sf0.001").explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def _parsed_in(spark, fields):
+    rows = spark.range(2000).coalesce(1).select(F.lit("b").alias("bank"), F.col("id").alias("position"), F.lit('{"question": "x"}').alias("record"))
+    return audits.typed_records(rows, fields).select(F.spark_partition_id()).distinct().count()
+
+
+def test_paper_records_are_dealt(spark):
+    assert _parsed_in(spark, audits.PAPER_FIELDS) > 1
+
+
+def test_bank_records_are_dealt(spark):
+    assert _parsed_in(spark, audits.BANK_FIELDS) > 1
