@@ -194,7 +194,9 @@ def coverage(practised: DataFrame, questions: DataFrame) -> DataFrame:
 def attempt_by_subject(graded: DataFrame) -> DataFrame:
     """Per attempt and subject, only for attempts in which every response has a known status."""
     known = F.col("status").isin(answers.CORRECT, answers.INCORRECT, answers.UNANSWERED)
-    whole = graded.groupBy("attempt_id").agg(F.count("*").alias("n"), F.count_if(known).alias("k")).where("n = k").select("attempt_id")
-    return graded.join(whole, "attempt_id", "left_semi").groupBy("attempt_id", "subject").agg(
-        F.count("*").alias("questions"), _count("correct").alias("correct"), F.round(F.sum(F.when(F.col("awarded") < 0, -F.col("awarded")).otherwise(0.0)), 6).alias("negative_marks")
-    )
+    summed = graded.where("attempt_id IS NOT NULL").groupBy("attempt_id", "subject").agg(
+        F.count("*").alias("questions"), _count("correct").alias("correct"), F.round(F.sum(F.when(F.col("awarded") < 0, -F.col("awarded")).otherwise(0.0)), 6).alias("negative_marks"),
+        (F.count("*") - F.count_if(known)).alias("_unknown"),
+    )
+    # an attempt's subjects are few: the responses are read once
+    return summed.withColumn("_unknown", F.sum("_unknown").over(Window.partitionBy("attempt_id"))).where("_unknown = 0").drop("_unknown")

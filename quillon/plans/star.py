@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import tasks
+
 LEARNERS = 40
 #: The day on which analytics are taken.
 NOW = "2001-09-01 00:00:00"
@@ -39,9 +41,16 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks work on rows that are as many as the responses: a task has about 250,000."""
+    return tasks(table(spark, sf_dir, "lineitem"), 250_000)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(attempt_id, question_id, position, answer): flag A answers rightly, R wrongly, N not at all."""
     line = table(spark, sf_dir, "lineitem")
+    # by attempt: the choice of lines, the join with attempts and sums by attempt need no other shuffle
+    line = line.repartition(parts(spark, sf_dir), "l_orderkey")
     first = Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_extendedprice", "l_suppkey", "l_linenumber", "l_quantity")
     one = line.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     q = F.col("l_partkey")

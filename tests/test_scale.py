@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillon.operators import audits, selection
+from quillon.operators import audits, progress, selection
 from quillon.plans import bank
 from quillon.sources import shared
 
@@ -37,3 +37,15 @@ def test_paper_records_are_dealt(spark):
 
 def test_bank_records_are_dealt(spark):
     assert _parsed_in(spark, audits.BANK_FIELDS) > 1
+
+
+def test_attempts_of_unknown_states_are_left_out(spark):
+    rows = [(1, "a", "correct", 1.0), (1, "b", "odd", 0.0), (2, "a", "incorrect", -0.5), (2, "b", "correct", 1.0), (3, "a", None, 0.0), (None, "a", "correct", 1.0)]
+    found = progress.attempt_by_subject(spark.createDataFrame(rows, "attempt_id long, subject string, status string, awarded double"))
+    assert sorted(map(tuple, found.collect())) == [(2, "a", 1, 0, 0.5), (2, "b", 1, 1, 0.0)]
+
+
+def test_attempts_are_read_once(spark, capsys):
+    rows = spark.createDataFrame([(1, "a", "correct", 1.0)], "attempt_id long, subject string, status string, awarded double")
+    progress.attempt_by_subject(rows).explain()
+    assert "Join" not in capsys.readouterr().out
