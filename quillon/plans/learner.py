@@ -19,12 +19,17 @@ def graded(spark: SparkSession, sf_dir: str, use_deadline: bool = False) -> Data
     return progress.grade_responses(star.responses(spark, sf_dir), star.attempts(spark, sf_dir), star.questions(spark, sf_dir), use_deadline=use_deadline)
 
 
+def met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded responses, those of a learner and question in one task: what is summed by both needs no other shuffle."""
+    return graded(spark, sf_dir).repartition(star.parts(spark, sf_dir), "user_id", "question_id")
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.attempt_scores(graded(spark, sf_dir))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.evidence(graded(spark, sf_dir))
+    return progress.evidence(met(spark, sf_dir))
 
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +80,7 @@ def user_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN coalesce(correct + incorrect, 0) > 0 THEN round(correct / (correct + incorrect) * 100, 2) ELSE 0.0 END AS accuracy
   FROM (SELECT DISTINCT user_id FROM graded) u CROSS JOIN (SELECT DISTINCT subject FROM question) s LEFT JOIN sums USING (user_id, subject) LEFT JOIN uniq USING (user_id, subject)""")
 def subject_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.subject_progress(graded(spark, sf_dir), star.questions(spark, sf_dir))
+    return progress.subject_progress(met(spark, sf_dir), star.questions(spark, sf_dir))
 
 
 _EVIDENCE = "user_id, question_id, attempt_count, correct_count, incorrect_count, unanswered_count, latest_status, latest_answered_at, last_attempted_at"
@@ -89,7 +94,7 @@ def question_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {star.CTE} SELECT {_EVIDENCE} FROM evidence")
 def evidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves of the log, folded apart and merged, equal the whole."""
-    rows = graded(spark, sf_dir)
+    rows = met(spark, sf_dir)
     halves = [progress.evidence(rows.where(F.col("attempt_id") % 2 == k)) for k in (0, 1)]
     return progress.merge_evidence(*halves).select(*_EVIDENCE.split(", "))
 

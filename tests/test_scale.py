@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from quillon.operators import audits, progress, selection
-from quillon.plans import bank
+from quillon.plans import bank, learner
 from quillon.sources import shared
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_tasks_grow_with_rows(spark):
     cores = spark.sparkContext.defaultParallelism
@@ -39,6 +41,16 @@ def test_bank_records_are_dealt(spark):
     assert _parsed_in(spark, audits.BANK_FIELDS) > 1
 
 
+def test_responses_meet_in_tasks_of_bounded_rows(spark, capsys):
+    """By attempt, then by learner and question; what is summed by these keys takes no further shuffle."""
+    learner.graded(spark, SF).explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    learner.evidence(spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("REPARTITION_BY_NUM") == 2 and plan.index("SortAggregate") < plan.index("hashpartitioning(user_id")
+    assert "ENSURE_REQUIREMENTS" not in plan.split("hashpartitioning(user_id")[0]
+
+
 def test_attempts_of_unknown_states_are_left_out(spark):
     rows = [(1, "a", "correct", 1.0), (1, "b", "odd", 0.0), (2, "a", "incorrect", -0.5), (2, "b", "correct", 1.0), (3, "a", None, 0.0), (None, "a", "correct", 1.0)]
     found = progress.attempt_by_subject(spark.createDataFrame(rows, "attempt_id long, subject string, status string, awarded double"))
