@@ -199,7 +199,7 @@ def weakest_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five weakest subjects of each learner among those tried three times or more."""
     from pyspark.sql import Window
 
-    sums = learner.graded(spark, sf_dir).groupBy("user_id", "subject").agg(F.count("*").alias("attempted"), F.count_distinct("question_id").alias("unique"), F.count_if(F.col("status") == "correct").alias("correct"))
+    sums = learner.met(spark, sf_dir).groupBy("user_id", "subject").agg(F.count("*").alias("attempted"), F.count_distinct("question_id").alias("unique"), F.count_if(F.col("status") == "correct").alias("correct"))
     order = Window.partitionBy("user_id").orderBy(F.col("correct") / F.col("attempted"), F.desc("unique"), "subject")
     return sums.where("attempted >= 3").withColumn("place", F.row_number().over(order).cast("long")).where("place <= 5").select("user_id", "subject", "attempted", "place")
 
