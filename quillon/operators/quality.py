@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.sources.shared import tasks
 
 
 def codes(rules: dict[str, Column]) -> Column:
@@ -39,7 +40,9 @@ def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def key_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only one side has: (keys, side) with side missing (of b) or unexpected (in b)."""
-    left, right = a.select(*keys).distinct(), b.select(*keys).distinct()
+    # the same tasks for both sides and for distinct keys and differences, and so many that each holds few keys
+    n = max(tasks(a, 500_000), tasks(b, 500_000))
+    left, right = (df.select(*keys).repartition(n, *keys).distinct() for df in (a, b))
     missing = left.join(right, keys, "left_anti").withColumn("side", F.lit("missing"))
     return missing.unionByName(right.join(left, keys, "left_anti").withColumn("side", F.lit("unexpected")))
 

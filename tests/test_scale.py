@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillon.operators import audits, progress, selection
+from quillon.operators import audits, progress, quality, selection
 from quillon.plans import bank, learner
 from quillon.sources import shared
 
@@ -61,3 +61,11 @@ def test_attempts_are_read_once(spark, capsys):
     rows = spark.createDataFrame([(1, "a", "correct", 1.0)], "attempt_id long, subject string, status string, awarded double")
     progress.attempt_by_subject(rows).explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_key_differences_deal_keys(spark, capsys):
+    keys = lambda *ns: spark.createDataFrame([(n,) for n in ns], "k long")
+    found = quality.key_differences(keys(1, 1, 2), keys(2, 3, 3), ["k"])
+    found.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    assert sorted(map(tuple, found.collect())) == [(1, "missing"), (3, "unexpected")]
