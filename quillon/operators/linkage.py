@@ -7,10 +7,13 @@ guess.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.sources.shared import written
 
 
 def margins(edges: DataFrame, key: str, score: str, tie: str, prefix: str) -> DataFrame:
@@ -85,7 +88,7 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
     within equal `within` columns, if given.
 
     Prefixes are equi-joins on hashes: a target is cut at the lengths that sources of its
-    block (the same 40 characters or 6 tokens) have, a source at those that targets have.
+    block (the same 40 characters or 6 tokens, doubled up to half of the shorter text) have, a source at those that targets have.
     """
 
     def prepared(df: DataFrame, key: str) -> DataFrame:
@@ -103,19 +106,28 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
     def words(n: Column | str) -> Column:
         return F.concat_ws(" ", F.slice("anchors", 1, F.col(n) if isinstance(n, str) else n))
 
-    def cut_at(df: DataFrame, other: DataFrame, block: Column, size: Column) -> DataFrame:
-        """Each row with every size `n` that the other side has in the row's block."""
-        sizes = other.select("part", block.alias("block"), size.alias("n")).distinct().groupBy("part", "block").agg(F.collect_set("n").alias("sizes"))
-        return df.withColumn("block", block).join(sizes, ["part", "block"]).withColumn("n", F.explode("sizes"))
-
-    a, b = prepared(sources, source_id), prepared(targets, target_id)
+    def cut_at(df: DataFrame, other: DataFrame, left: Callable[[Column], Column], size: Column, least: int) -> DataFrame:
+        """Each row with every size `n` that the other side has among rows that begin as it does.
+
+        A row of the other side is blocked by its first least * 2 ** level units, half of it at least; a row meets it by as
+        many units of its own, so texts that only begin alike don't multiply.
+        """
+        top = (F.length(F.bin(F.expr("_size DIV %d" % least))) - 1).cast("int")
+        start = F.sha2(left(F.expr(f"shiftleft({least}, level)")), 256)
+        sizes = other.withColumn("_size", size.cast("long")).withColumn("level", top).select("part", "level", start.alias("block"), F.col("_size").cast("int").alias("n"))
+        sizes = sizes.distinct().groupBy("part", "level", "block").agg(F.collect_set("n").alias("sizes"))
+        own = df.withColumn("_size", size.cast("long")).withColumn("level", F.explode(F.sequence(F.lit(0), top))).withColumn("block", start)
+        return own.join(sizes, ["part", "level", "block"]).withColumn("n", F.explode("sizes"))
+
+    # each side is read a dozen times below, and folding texts takes most of the time
+    a, b = written(prepared(sources, source_id), "linked-sources"), written(prepared(targets, target_id), "linked-targets")
     chars, count = F.length("normal"), F.size("anchors")
     long = a.where(chars >= 40)
     solid = a.where((count >= 6) & (F.length(F.concat_ws("", "anchors")) >= 32))
     worded = b.where(count >= 6)
-    starts = cut_at(b.where(chars >= 40), long, F.left("normal", F.lit(40)), chars).where(F.col("n") <= chars)
-    longer = cut_at(worded, solid, words(F.lit(6)), count).where(F.col("n") <= count)
-    shorter = cut_at(solid, worded, words(F.lit(6)), count).where((F.col("n") < count) & (F.col("n") >= 0.75 * count))
+    starts = cut_at(b.where(chars >= 40), long, lambda n: F.left("normal", n), chars, 40).where(F.col("n") <= chars)
+    longer = cut_at(worded, solid, words, count, 6).where(F.col("n") <= count)
+    shorter = cut_at(solid, worded, words, count, 6).where((F.col("n") < count) & (F.col("n") >= 0.75 * count))
     whole, forward, backward = F.lit("whole"), F.lit("forward"), F.lit("backward")
     known = keyed(b, 0, F.col("own")).unionByName(keyed(b, 1, whole, F.col("part"), F.col("normal")))
     known = known.unionByName(keyed(starts, 2, F.col("part"), F.expr("left(normal, n)"))).unionByName(keyed(longer, 3, forward, F.col("part"), words("n")))

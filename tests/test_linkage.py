@@ -61,3 +61,19 @@ def test_a_shared_opening_is_no_link(spark):
     sources = spark.createDataFrame([(10, opening + "how many pages"), (11, opening + "what else is there")], "id long, text string")
     got = {r["id"]: (r["tier"], r["target"], r["outcome"]) for r in linkage.text_linked(sources, targets, "id", "target_id", "text").collect()}
     assert got == {10: ("prefix", 1, "linked"), 11: (None, None, "unmatched")}
+
+
+def test_texts_that_only_begin_alike_dont_multiply(spark, capsys):
+    """Sizes are looked up by half of a text at least: 200 texts of one beginning meet none of the others."""
+    head = "the same forty characters begin this text and all others "
+    rows = [(k, head + " ".join(f"word{k}" for _ in range(20 + k))) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    sources, targets = df.where("id % 2 = 1"), df.where("id % 2 = 0").withColumnRenamed("id", "target_id")
+    extra = spark.createDataFrame([(1000, rows[1][1] + " more words here"), (1002, rows[3][1].rsplit(" ", 5)[0])], "target_id long, text string")
+    found = linkage.text_linked(sources, targets.unionByName(extra), "id", "target_id", "text")
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "regexp_extract_all" not in plan and "shiftleft" in plan  # folded once, blocked by half of the shorter text
+    got = {r["id"]: (r["tier"], r["target"], r["outcome"]) for r in found.collect()}
+    assert got[1] == ("prefix", 1000, "linked") and got[3][2] == "linked" and got[3][0] == "anchor"
+    assert sum(v[2] == "unmatched" for v in got.values()) == 98
