@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import linkage, papers
-from quillon.plans import linking
+from quillon.plans import linking, star
 from quillon.plans.registry import query
 from quillon.plans.star import table
 
@@ -22,8 +22,12 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def digested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir).withColumn("sha", F.sha2(F.concat_ws("|", "question", "source", "quantity", "flag"), 256))
+def digested(spark: SparkSession, sf_dir: str, by_paper: bool = False) -> DataFrame:
+    """Lines with their digests; `by_paper`: those of a paper in one task, where they are digested, as digests are longer than what they are made of."""
+    every = rows(spark, sf_dir)
+    if by_paper:
+        every = every.drop("shipped").repartition(star.parts(spark, sf_dir), "paper")
+    return every.withColumn("sha", F.sha2(F.concat_ws("|", "question", "source", "quantity", "flag"), 256))
 
 
 _ROWS = "r AS (SELECT l_orderkey AS paper, CAST(l_linenumber AS BIGINT) AS ordinal, l_partkey AS question, l_suppkey AS source, l_returnflag AS flag, CAST(l_quantity AS BIGINT) AS quantity, l_shipdate AS shipped FROM lineitem)"

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillon.operators import audits, progress, quality, selection
-from quillon.plans import bank, learner
+from quillon.operators import audits, progress, quality, selection, validation
+from quillon.plans import bank, learner, papers
 from quillon.sources import shared
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +69,20 @@ def test_key_differences_deal_keys(spark, capsys):
     found.explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
     assert sorted(map(tuple, found.collect())) == [(1, "missing"), (3, "unexpected")]
+
+
+def test_paper_findings_send_rows_once(spark, capsys):
+    rows = spark.createDataFrame([(1, 1, "x", "a"), (1, 2, "y", "b"), (2, 1, "x", "c"), (2, 1, None, "d"), (3, None, "x", "e")], "paper long, ordinal long, label string, sha string")
+    declared = spark.createDataFrame([(1, 2, "?"), (2, 1, "?"), (3, 1, "?"), (4, 0, "?")], "paper long, count long, checksum string")
+    found = validation.paper_findings(rows, declared, "paper", "ordinal", "label", "sha")
+    found.explain()
+    assert "Expand" not in capsys.readouterr().out
+    assert {r["paper"]: set(r["codes"]) for r in found.collect()} == {
+        1: {"checksum_differs"}, 2: {"count_differs", "duplicate_ordinal", "duplicate_label", "checksum_differs"}, 3: {"duplicate_ordinal", "checksum_differs"}, 4: {"absent"},
+    }
+
+
+def test_papers_are_digested_where_they_meet(spark, capsys):
+    papers.digested(spark, SF, by_paper=True).explain()
+    plan = capsys.readouterr().out
+    assert plan.index("sha2") < plan.index("REPARTITION_BY_NUM")
