@@ -125,29 +125,34 @@ def merge_evidence(*parts: DataFrame) -> DataFrame:
 def projection(scores: DataFrame, found: DataFrame, k: int = 5) -> DataFrame:
     """Per learner what a dashboard keeps: counts of attempts, all attempt ids, the last k attempts, and how many questions
     of each subject they have met.  `scores`: attempts; `found`: evidence."""
-    return _projected(scores.select("user_id", "attempt_id", "submitted_at", F.lit(1).cast("long").alias("_n")), found, k)
+    return _projected(scores, found, k)
 
 
-def merged_projection(guest: tuple[DataFrame, DataFrame], account: tuple[DataFrame, DataFrame], owners: DataFrame, k: int = 5) -> DataFrame:
-    """The projection of accounts that claim guests: counts add, ids unite, the last k are chosen anew, and the
-    subjects' questions are counted again from the merged evidence (ties go to the guest's)."""
-    moved = [_owned(df, owners) for df in guest]
-    scores = moved[0].unionByName(account[0]).select("user_id", "attempt_id", "submitted_at", F.lit(1).cast("long").alias("_n"))
-    return _projected(scores, merge_evidence(moved[1], account[1]), k)
+def merged_projection(graded: DataFrame, owners: DataFrame, k: int = 5) -> DataFrame:
+    """The projection of accounts of which some claim guests (`owners`: guest, account): counts add, ids unite, the last k are
+    chosen anew, and the subjects' questions are counted from the merged evidence (ties of time go to the guest's).
 
-
-def _owned(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    Responses get their owner first, so that guests and accounts are folded together and not each for itself.
+    """
     known = owners.select(F.col("guest").alias("_guest"), F.col("account").alias("_account"))
-    return rows.join(known, F.col("user_id") == F.col("_guest"), "left").withColumn("user_id", F.coalesce("_account", "user_id")).drop("_guest", "_account")
-
-
-def _projected(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    once = rows.groupBy("user_id", "attempt_id").agg(F.max("submitted_at").alias("submitted_at"))
-    newest = Window.partitionBy("user_id").orderBy(F.desc("submitted_at"), F.desc("attempt_id"))
-    recent = once.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= k).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "attempt_id"))), lambda x: x["attempt_id"]).alias("recent"))
-    counts = once.groupBy("user_id").agg(F.count("*").alias("attempts"))
+    owned = graded.join(F.broadcast(known), F.col("user_id") == F.col("_guest"), "left")
+    owned = owned.withColumns({"user_id": F.coalesce("_account", "user_id"), "_claimed": F.col("_guest").isNotNull()})
+    newest = F.max(F.struct("submitted_at", "_claimed", "attempt_id", "position", "subject", "topic"))
+    found = owned.groupBy("user_id", "question_id").agg(newest.alias("_newest")).select("user_id", "question_id", F.col("_newest.subject").alias("subject"))
+    return _projected(owned, found, k)
+
+
+def _projected(rows: DataFrame, found: DataFrame, k: int, parts: int = 64) -> DataFrame:
+    """`rows`: of attempts, or of their responses."""
+    once = rows.where("user_id IS NOT NULL").groupBy("user_id", "attempt_id").agg(F.max("submitted_at").alias("submitted_at")).withColumn("_part", F.pmod(F.xxhash64("attempt_id"), F.lit(parts)))
+    # by parts of a learner's attempts, so that these are read once, and no task holds a learner's
+    newest = Window.partitionBy("user_id", "_part").orderBy(F.desc("submitted_at"), F.desc("attempt_id"))
+    top = F.collect_list(F.when(F.col("_k") <= k, F.struct("submitted_at", "attempt_id")))
+    by_part = once.withColumn("_k", F.row_number().over(newest)).groupBy("user_id", "_part").agg(F.count("*").alias("_n"), top.alias("_top"))
+    last = F.slice(F.sort_array(F.flatten(F.collect_list("_top")), asc=False), 1, k)
+    attempts = by_part.groupBy("user_id").agg(F.sum("_n").alias("attempts"), F.transform(last, lambda x: x["attempt_id"]).alias("recent"))
     subjects = found.groupBy("user_id", "subject").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("subject", "n"))).alias("subjects"))
-    return counts.join(recent, "user_id").join(subjects, "user_id", "left")
+    return attempts.join(subjects, "user_id", "left")
 
 
 def resolve_aliases(rows: DataFrame, aliases: DataFrame, id_col: str = "question_id") -> DataFrame:

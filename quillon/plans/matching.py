@@ -141,11 +141,8 @@ def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, attempts, recent, subjects FROM c JOIN r USING (user_id) LEFT JOIN s USING (user_id)""")
 def merged_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dashboards of accounts, ten of which have claimed a guest."""
-    graded = learner.graded(spark, sf_dir)
-    scores, found = progress.attempt_scores(graded), progress.evidence(graded)
-    guest = F.col("user_id") < 10
     owners = spark.range(10).select(F.col("id").alias("guest"), (F.col("id") + 10).alias("account"))
-    merged = progress.merged_projection((scores.where(guest), found.where(guest)), (scores.where(~guest), found.where(~guest)), owners)
+    merged = progress.merged_projection(learner.graded(spark, sf_dir), owners)
     subjects = F.array_join(F.transform("subjects", lambda x: F.concat(x["subject"], F.lit("="), x["n"].cast("string"))), ",")
     return merged.select("user_id", "attempts", F.array_join(F.transform("recent", lambda x: x.cast("string")), ",").alias("recent"), subjects.alias("subjects"))
 

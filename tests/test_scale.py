@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillon.operators import audits, progress, quality, selection, validation
-from quillon.plans import bank, learner, papers
+from quillon.plans import bank, learner, matching, papers
 from quillon.sources import shared
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,18 @@ def test_papers_are_digested_where_they_meet(spark, capsys):
     papers.digested(spark, SF, by_paper=True).explain()
     plan = capsys.readouterr().out
     assert plan.index("sha2") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_guests_and_accounts_are_folded_together(spark):
+    rows = [(u, a, t, q, 1, s, "t") for u, a, t, q, s in [(1, 1, 5, 7, "guest"), (11, 2, 5, 7, "account"), (11, 3, 4, 8, "x"), (11, 3, 4, 9, "x"), (12, 4, 1, 7, "y"), (2, 5, 9, 7, "z"), (None, 6, 1, 1, "n")]]
+    rows += [(11, 10 + k, 6 + k % 2, 9, 1, "x", "t") for k in range(5)]
+    graded = spark.createDataFrame(rows, "user_id long, attempt_id long, submitted_at long, question_id long, position long, subject string, topic string")
+    owners = spark.createDataFrame([(1, 11)], "guest long, account long")
+    found = progress.merged_projection(graded, owners)
+    got = {r["user_id"]: (r["attempts"], list(r["recent"]), {x["subject"]: x["n"] for x in r["subjects"]}) for r in found.collect()}
+    assert got == {11: (8, [13, 11, 14, 12, 10], {"guest": 1, "x": 2}), 12: (1, [4], {"y": 1}), 2: (1, [5], {"z": 1})}
+
+
+def test_merged_projection_scans_lines_twice(spark, capsys):
+    matching.merged_projection(spark, SF).explain()
+    assert capsys.readouterr().out.count("lineitem.parquet") == 2
