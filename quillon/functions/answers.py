@@ -88,6 +88,12 @@ def fingerprint(kind: Column, answer: Column) -> Column:
     return F.when(is_unanswered(answer), F.lit(None).cast("string")).when(kind.isin("mcq", "msq"), several).otherwise(F.coalesce(value, F.concat(F.lit("text:"), F.regexp_replace(F.upper(answer), r"\s+", ""))))
 
 
+def same_answer(kind: Column, left: Column, right: Column) -> Column:
+    """Whether the fingerprints of two answers are equal, null if one is unanswered; texts that differ in case only need no fingerprint."""
+    equal = F.when(~is_unanswered(left), F.lit(True))
+    return F.when(F.upper(left) == F.upper(right), equal).otherwise(fingerprint(kind, left) == fingerprint(kind, right))
+
+
 def normalized(kind: Column, answer: Column, choices: Column) -> Column:
     """struct(value, problem): the answer in its canonical form, or why it has none."""
     several = options(answer)

@@ -67,6 +67,12 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when(small > 0, F.greatest(0.9 * both / small, both / either)).otherwise(F.lit(0.0))
 
 
+def token_similarity(left: Column, right: Column) -> Column:
+    """`set_similarity` of the tokens of two texts; equal texts aren't split."""
+    same = F.when(F.lower(left).rlike("[a-z0-9]"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(left == right, same).otherwise(set_similarity(tokens(left), tokens(right)))
+
+
 def content_digest(stem: Column, options: Column | None = None) -> Column:
     """SHA-256 of the case- and blank-folded stem and options."""
     parts = [stem] if options is None else [stem, F.array_join(options, "\n")]
@@ -263,6 +269,8 @@ def similarity(left: str | None, right: str | None) -> tuple[float, float, float
     coverage: the share of the left words that the right has too, as multisets; longest: the longest common run, as a
     share of the left words; score = max(ratio, 0.55 coverage + 0.45 longest); 0 if either has under six words.
     """
+    if not left or not right:
+        return 0.0, 0.0, 0.0, 0.0
     a, b = (re.findall(r"[a-z]+(?:'[a-z]+)?|\d+(?:\.\d+)?", unicodedata.normalize("NFKC", x or "").casefold()) for x in (left, right))
     if min(len(a), len(b)) < 6:
         return 0.0, 0.0, 0.0, 0.0
@@ -283,14 +291,38 @@ def text_similarity(left: pd.Series, right: pd.Series) -> pd.DataFrame:
 text_similarity = text_similarity.asNondeterministic()
 
 
+def similarity_words(text: Column) -> Column:
+    """The words that `text_similarity` compares; null for texts with other than ASCII characters, whose normal form takes Python."""
+    return F.when(F.octet_length(text) == F.length(text), word_tokens(text))
+
+
+def contained_similarity(a: Column, b: Column) -> Column:
+    """What `text_similarity` gives for texts (their words) of which one is a run within the other, null for other texts.
+
+    The shorter one is the longest matching block then, and nothing is left to match.  Sizes are bounded so that a share is a tie of
+    the sixth place only where it is exact: it is rounded as in Python.
+    """
+    n, m = F.size(a), F.size(b)
+    padded = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    least = F.least(n, m)
+    ratio, share = 2 * least / (n + m), least / n
+    score = F.greatest(ratio, 0.55 * share + 0.45 * share)
+    fields = {"score": score, "ratio": ratio, "coverage": share, "longest": share}
+    run = F.when(n < m, padded(b).contains(padded(a))).otherwise(padded(a).contains(padded(b)))
+    return F.when((least >= 6) & (n + m < 640) & run, F.struct(*(F.bround(x, 6).alias(name) for name, x in fields.items())))
+
+
 def similarity_bounds(left: Column, right: Column) -> Column:
-    """struct(coverage, score): the coverage of `text_similarity`, and what its score can't exceed; 1 for texts with other than ASCII characters.
+    """`word_bounds` of two texts; null texts have no words."""
+    return word_bounds(similarity_words(F.coalesce(left, F.lit(""))), similarity_words(F.coalesce(right, F.lit(""))))
+
+
+def word_bounds(left: Column, right: Column) -> Column:
+    """struct(coverage, score): the coverage of `text_similarity`, and what its score can't exceed, from the words; 1 where these are null.
 
     Matching blocks are common words in order, so they hold no more than the texts have in common as multisets.
     """
-    words = lambda x: F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[a-z]+(?:'[a-z]+)?|\d+(?:\.\d+)?"), 0)
-    ascii_only = F.coalesce(F.octet_length(left) == F.length(left), F.lit(True)) & F.coalesce(F.octet_length(right) == F.length(right), F.lit(True))
-    sides = F.array(F.struct(words(left).alias("a"), words(right).alias("b")))  # as a lambda's variable, so that each is split once
+    sides = F.array(F.struct(left.alias("a"), right.alias("b")))  # as a lambda's variable, so that each is split once
 
     def bound(x: Column) -> Column:
         a, b = x["a"], x["b"]
@@ -300,10 +332,10 @@ def similarity_bounds(left: Column, right: Column) -> Column:
         # score = max(ratio, 0.55 coverage + 0.45 longest), and longest is no more than coverage
         both = F.struct(F.round(common / F.size(a), 6).alias("coverage"), F.round(F.greatest(2 * common / (F.size(a) + F.size(b)), common / F.size(a)), 6).alias("score"))
         none = F.struct(F.lit(0.0).alias("coverage"), F.lit(0.0).alias("score"))
-        return F.when(few, none).otherwise(both)
+        one = F.struct(F.lit(1.0).alias("coverage"), F.lit(1.0).alias("score"))
+        return F.when(a.isNull() | b.isNull(), one).when(few, none).otherwise(both)
 
-    one = F.struct(F.lit(1.0).alias("coverage"), F.lit(1.0).alias("score"))
-    return F.when(ascii_only, F.get(F.transform(sides, bound), F.lit(0))).otherwise(one)
+    return F.get(F.transform(sides, bound), F.lit(0))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -179,12 +179,21 @@ def rejections(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.coalesce("rejected", F.lit("candidate")).alias("reason")).agg(F.count("*").alias("pairs"))
 
 
-def _compared(pairs: DataFrame, name: str, text: Column, needed: Column, coverage: float, score: float) -> DataFrame:
-    """The pairs with their similarity; only those that can reach the limits are compared, the others get zeros."""
-    bounds = tx.similarity_bounds(F.col("a_text"), text)
-    able = F.when(needed, (bounds["coverage"] >= coverage) & (bounds["score"] >= score)).otherwise(False)
-    marked = pairs.withColumn("_able", able)
-    return marked.withColumn(name, tx.text_similarity(F.when(F.col("_able"), F.col("a_text")), F.when(F.col("_able"), text))).drop("_able")
+def _compared(pairs: DataFrame, name: str, text: Column, needed: Column, coverage: float, score: float, above: Column | None = None) -> DataFrame:
+    """The pairs (with the left text's `_words`) with their similarity; only those that can reach the limits, and exceed `above`, are compared, the others get zeros.
+
+    A text whose words are a run of the other's has its similarity from their numbers; what is left is compared in sequence.
+    """
+    worth = needed if above is None else needed & (F.coalesce(above, F.lit(0.0)) < 1.0)
+    split = pairs.withColumn("_b", F.when(worth, tx.similarity_words(text)))
+    run = split.withColumn("_run", tx.contained_similarity(F.col("_words"), F.col("_b")))
+    bounds = run.withColumn("_most", F.when(worth & F.col("_run").isNull(), tx.word_bounds(F.col("_words"), F.col("_b"))))
+    able = (F.col("_most.coverage") >= coverage) & (F.col("_most.score") >= score)
+    if above is not None:
+        able = able & (F.col("_most.score") > F.coalesce(above, F.lit(0.0)))
+    marked = bounds.withColumn("_able", F.coalesce(able, F.lit(False))).drop("_b", "_most")
+    similar = tx.text_similarity(F.when(F.col("_able"), F.col("a_text")), F.when(F.col("_able"), text))
+    return marked.withColumn("_seq", similar).withColumn(name, F.coalesce("_run", "_seq")).drop("_able", "_run", "_seq")
 
 
 def text_edges(pairs: DataFrame, topic_score: Column, evidence: dict[str, Column], exact: str, existing: Column | None = None) -> DataFrame:
@@ -194,18 +203,19 @@ def text_edges(pairs: DataFrame, topic_score: Column, evidence: dict[str, Column
     needs a score of 0.74 and a coverage of 0.68; a recognised one 0.62, 0.58, a longest run of 0.20 and a confidence of
     0.70.  A pair whose existing text scores under 0.30 is left out.
     """
-    found = pairs.where("rejected IS NULL").withColumn("_topic", topic_score)
+    found = pairs.where("rejected IS NULL").withColumns({"_topic": topic_score, "_words": tx.similarity_words(F.col("a_text"))})
     sure = F.coalesce("b_confidence", F.lit(0.0)) >= 0.70
     if existing is not None:  # it can leave a pair out, so it comes first
         blank = existing.isNull() | (F.trim(existing) == "")
         found = _compared(found, "_old", existing, ~blank, 0.0, 0.30).where(blank | (F.col("_old.score") >= 0.30))
     best = []
     for kind, text in evidence.items():
+        so_far = F.greatest(*best) if len(best) > 1 else best[0] if best else None
         least, coverage = (0.74, 0.68) if kind == exact else (0.62, 0.58)
         if existing is not None and str(text) == str(existing):  # its score is there, and what can't reach 0.30 reaches no limit
             found = found.withColumn(f"_{kind}", F.col("_old"))
         else:
-            found = _compared(found, f"_{kind}", text, text.isNotNull() & (F.lit(kind == exact) | sure), coverage, least)
+            found = _compared(found, f"_{kind}", text, text.isNotNull() & (F.lit(kind == exact) | sure), coverage, least, so_far)
         s, c, longest = (F.col(f"_{kind}.{x}") for x in ("score", "coverage", "longest"))
         good = (s >= 0.74) & (c >= 0.68) if kind == exact else (s >= 0.62) & (c >= 0.58) & (longest >= 0.20) & sure
         best.append(F.when(text.isNotNull() & good, s))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import answers, text as tx
@@ -10,6 +10,7 @@ from quillon.operators import linkage, papers as paper_ops, progress, quality, s
 from quillon.plans import learner, linking, papers, star
 from quillon.plans.registry import query
 from quillon.plans.star import table
+from quillon.sources.shared import written
 
 
 @query(f"""WITH {linking._EDGES}, s AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, slot_id) AS k FROM edge), t AS (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY score DESC, source_id) AS k FROM edge),
@@ -26,28 +27,36 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _transcriptions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lines of an order as transcriptions, and its slots."""
+    """Lines of an order as transcriptions, and its slots; `said` is what their texts are made of."""
     q = star.questions(spark, sf_dir).select("question_id", "question_type", "marks", "answer_key", "subject", "topic", F.col("text").alias("stem"))
-    rows = papers.rows(spark, sf_dir).join(q, F.col("question") == F.col("question_id"))
-    stem = F.concat_ws(" ", "stem", "topic", "question_type", F.lit("of course"), "subject", F.lit("with"), F.col("marks").cast("string"), F.lit("marks and key"), "answer_key")
+    rows = papers.rows(spark, sf_dir).drop("shipped").join(q, F.col("question") == F.col("question_id"))
+    # sources and slots read the same columns, so that one shuffle by paper serves both and what they are joined and grouped by
+    rows = rows.repartition(star.parts(spark, sf_dir), "paper")
+    said = F.struct("stem", "topic", "question_type", "subject", "marks", "answer_key")
     source = F.col("source")
     sources = rows.select(
         "paper", F.concat_ws("-", "ordinal", "question", "source", "quantity", "flag").alias("id"), F.when(source % 7 == 3, "essay").otherwise(F.col("question_type")).alias("kind"), F.when(source % 7 == 4, 9).otherwise(F.col("marks")).alias("marks"),
-        F.when(source % 7 == 5, F.lit("Z")).otherwise(F.lower("answer_key")).alias("answer"), F.col("subject").alias("course"), F.col("topic"), F.when(source % 3 == 0, F.concat(F.lit("please say "), stem)).otherwise(stem).alias("text"),
+        F.when(source % 7 == 5, F.lit("Z")).otherwise(F.lower("answer_key")).alias("answer"), F.col("subject").alias("course"), F.col("topic"), said.alias("said"), (source % 3 == 0).alias("polite"),
     )
-    one = rows.groupBy("paper", "ordinal").agg(F.min(F.struct("question", "question_type", "marks", "answer_key", "subject", "topic", stem.alias("text"))).alias("s"))
-    slots = one.select("paper", "ordinal", F.col("s.question_type").alias("kind"), "s.marks", F.col("s.answer_key").alias("answer"), F.col("s.subject").alias("course"), "s.topic", "s.text", F.lit(0.8).alias("confidence"))
+    one = rows.groupBy("paper", "ordinal").agg(F.min(F.struct("question", "question_type", "marks", "answer_key", "subject", "topic", said.alias("said"), "source", "quantity", "flag")).alias("s"))
+    slots = one.select("paper", "ordinal", F.col("s.question_type").alias("kind"), "s.marks", F.col("s.answer_key").alias("answer"), F.col("s.subject").alias("course"), "s.topic", "s.said", F.lit(0.8).alias("confidence"))
     return sources, slots
 
 
+def _text(said: Column) -> Column:
+    return F.concat_ws(" ", said["stem"], said["topic"], said["question_type"], F.lit("of course"), said["subject"], F.lit("with"), said["marks"].cast("string"), F.lit("marks and key"), said["answer_key"])
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcriptions against the slots of their papers, judged by type, marks, answer, course and topic."""
     sources, slots = _transcriptions(spark, sf_dir)
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    agrees = answers.fingerprint(b("kind"), a("answer")) == answers.fingerprint(b("kind"), b("answer"))
-    similar = tx.set_similarity(tx.tokens(F.concat_ws(" ", a("topic"), a("course"))), tx.tokens(F.concat_ws(" ", b("topic"), b("course"))))
+    agrees = answers.same_answer(b("kind"), a("answer"), b("answer"))
+    similar = tx.token_similarity(F.concat_ws(" ", a("topic"), a("course")), F.concat_ws(" ", b("topic"), b("course")))
     rules = {"question_type_mismatch": a("kind") != b("kind"), "marks_mismatch": a("marks") != b("marks"), "official_answer_mismatch": ~agrees, "topic_evidence_weak": similar < 0.35, "course_mismatch": a("course") != b("course")}
-    return linkage.judged_pairs(sources, slots, ["paper"], rules)
+    # pairs meet without their texts, and only those that are looked at get them
+    text = F.when(F.col("a_polite"), F.concat(F.lit("please say "), _text(F.col("a_said")))).otherwise(_text(F.col("a_said")))
+    return linkage.judged_pairs(sources, slots, ["paper"], rules).withColumns({"a_text": text, "b_text": _text(F.col("b_said"))})
 
 
 @query(f"""WITH {star.CTE}, {papers._ROWS}, q AS (SELECT r.*, question_type, marks, answer_key, subject, topic FROM r JOIN question ON question_id = r.question),
@@ -65,9 +74,10 @@ def match_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocked_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcriptions matched to slots by type, marks, answer, course, topic and text; SQL has no sequence similarity, so it is tested against plain Python."""
     pairs = _pairs(spark, sf_dir)
-    similar = tx.set_similarity(tx.tokens(F.col("a_topic")), tx.tokens(F.col("b_topic")))
+    similar = tx.token_similarity(F.col("a_topic"), F.col("b_topic"))
     edges = linkage.text_edges(pairs, similar, {"original": F.col("b_text"), "recognised": F.reverse(F.col("b_text"))}, "original", F.col("b_text"))
-    keyed = edges.select(F.concat_ws("/", "paper", "a_id").alias("source"), F.concat_ws("/", "paper", "b_ordinal").alias("slot"), "score")
+    # edges are ranked by source and by slot: comparing once
+    keyed = written(edges.select(F.concat_ws("/", "paper", "a_id").alias("source"), F.concat_ws("/", "paper", "b_ordinal").alias("slot"), "score"), "edges")
     sources = _transcriptions(spark, sf_dir)[0].select(F.concat_ws("/", "paper", "id").alias("source"))
     decided = linkage.decisions(sources, keyed, "source", "slot", "score")
     return decided.withColumn("candidates", F.array_join("candidates", ","))

@@ -85,6 +85,39 @@ def test_no_similarity_exceeds_its_bounds(spark):
         assert "é" in (r["a"] or "") or r["x"]["coverage"] == coverage
 
 
+def test_runs_have_their_similarity_from_sizes(spark):
+    """Pairs of which one is a run of the other aren't compared in sequence, and get the same figures."""
+    rng = random.Random(9)
+    words = ["a", "b", "it's", "7.5", "Tree", "12"]
+    pairs = []
+    for _ in range(400):
+        long = [rng.choice(words) for _ in range(rng.randrange(4, 140))]
+        at = rng.randrange(len(long))
+        pairs.append((" ".join(long), " ".join(long[at : at + rng.randrange(1, 140)]) + rng.choice(["", "", " x", "!"])))
+    pairs += [(b, a) for a, b in pairs] + [("one two three four five six", "éone two three four five six"), ("1 2 3 4 5 6", "11 2 3 4 5 66"), (None, "a"), (" ".join(words * 60), " ".join(words * 60))]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    runs = 0
+    for r in rows.select("a", "b", tx.contained_similarity(tx.similarity_words(F.col("a")), tx.similarity_words(F.col("b"))).alias("x")).collect():
+        if r["x"] is not None:
+            runs += 1
+            assert tuple(r["x"]) == tx.similarity(r["a"], r["b"]), r
+    assert runs > 300
+
+
+def test_token_and_answer_shortcuts(spark):
+    from quillon.functions import answers
+
+    texts = ["a b", "A b", "b a c", "", "?!", None, "x"]
+    rows = spark.createDataFrame([(x, y) for x in texts for y in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for r in rows.select("a", "b", tx.token_similarity(a, b).alias("got"), tx.set_similarity(tx.tokens(a), tx.tokens(b)).alias("want")).collect():
+        assert r["got"] == r["want"], r
+    keys = ["A", "a", "A,B", "b ; a", "1.0", "1", "1e2", "1E2", "100", " ,", None, "x y", "XY"]
+    rows = spark.createDataFrame([(k, x, y) for k in ("mcq", "msq", "nat") for x in keys for y in keys], "k string, a string, b string")
+    for r in rows.select("k", "a", "b", answers.same_answer(F.col("k"), a, b).alias("got"), (answers.fingerprint(F.col("k"), a) == answers.fingerprint(F.col("k"), b)).alias("want")).collect():
+        assert r["got"] == r["want"], r
+
+
 def rising_choices(wanted, places):
     """Every choice of places that rises, for the labels that the first of them reach."""
     last, own = float("-inf"), []

@@ -101,3 +101,9 @@ def test_guests_and_accounts_are_folded_together(spark):
 def test_merged_projection_scans_lines_twice(spark, capsys):
     matching.merged_projection(spark, SF).explain()
     assert capsys.readouterr().out.count("lineitem.parquet") == 2
+
+
+def test_transcriptions_meet_in_one_shuffle(spark, capsys):
+    matching._pairs(spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("REPARTITION_BY_NUM") == 2 and not [x for x in plan.splitlines() if "ENSURE_REQUIREMENTS" in x and "Broadcast" not in x]
