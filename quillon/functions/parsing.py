@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -58,11 +59,32 @@ KEY_PROFILES = {
 }
 
 
+# acronyms that may be set letter by letter, and where one stands otherwise than in joined capitals
+_ACRONYMS = ("MCQ", "MSQ", "NAT", "GA", "CS")
+_SPACED = r"(?=[MNGC])(?<![A-Za-z])(?:(M)\s*([CS])\s*(Q)|(N)\s*(A)\s*(T)|(G)\s*(A)|(C)\s*(S))\b"
+_UNUSUAL = rf"(?=[mngcMNGC])(?<![A-Za-z])(?!(?:{'|'.join(_ACRONYMS)})\b)(?i:M\s*[CS]\s*Q|N\s*A\s*T|G\s*A|C\s*S)\b"
+
+
 def clean_key_text(text: Column) -> Column:
-    """Dashes as hyphens, acronyms that were set letter by letter as words, blank runs as one blank."""
-    for pattern, word in ((r"[\x{2010}-\x{2014}\x{2212}]", "-"), (r"\x{F0B7}", " "), (r"(?i)(?<![A-Za-z])M\s*C\s*Q\b", "MCQ"), (r"(?i)(?<![A-Za-z])M\s*S\s*Q\b", "MSQ"), (r"(?i)(?<![A-Za-z])N\s*A\s*T\b", "NAT"), (r"(?i)(?<![A-Za-z])G\s*A\b", "GA"), (r"(?i)(?<![A-Za-z])C\s*S\b", "CS"), (r"\s+", " ")):
-        text = F.regexp_replace(text, pattern, word)
-    return F.trim(text)
+    """Dashes as hyphens, acronyms that were set letter by letter as words, blank runs as one blank.
+
+    Patterns that only few texts need are tried after a test that tells these.
+    """
+    plain = F.regexp_replace(F.regexp_replace(text, r"[\x{2010}-\x{2014}\x{2212}]", "-"), r"\x{F0B7}", " ")
+    text = F.when(F.octet_length(text) == F.length(text), text).otherwise(plain)
+
+    def any_case(joined: Column) -> Column:
+        words = joined
+        for word in _ACRONYMS:
+            words = F.regexp_replace(words, rf"(?i)(?<![A-Za-z]){r'\s*'.join(word)}\b", word)
+        return F.when(joined.rlike(_UNUSUAL), words).otherwise(joined)
+
+    return F.trim(F.regexp_replace(_once(F.regexp_replace(text, _SPACED, "$1$2$3$4$5$6$7$8$9$10"), any_case), r"\s\s+|[^\S ]", " "))
+
+
+def _once(value: Column, read: Callable[[Column], Column]) -> Column:
+    """`read` of a value that it names several times, as a lambda's variable: it is computed once."""
+    return F.get(F.transform(F.array(value), read), F.lit(0))
 
 
 def key_table(text: Column, profile: str) -> Column:
@@ -72,8 +94,11 @@ def key_table(text: Column, profile: str) -> Column:
     alternative), ranges (least, most as they are written) and problem: null, `tail` if no shape fits the row's tail, which
     is `raw` then, or `several` if a single choice names more options.
     """
-    grammar = KEY_PROFILES[profile]
-    starts, clean = f"(?i){grammar.start}", clean_key_text(text)
+    return _once(clean_key_text(text), lambda clean: _key_rows(clean, KEY_PROFILES[profile]))
+
+
+def _key_rows(clean: Column, grammar: KeyProfile) -> Column:
+    starts = f"(?i){grammar.start}"
     heads = F.regexp_extract_all(clean, F.lit(starts), 0)
     rest = F.slice(F.split(clean, starts, -1), 2, 1 << 30)
     part = lambda head, k: F.upper(F.regexp_extract(head, starts, k))
@@ -96,9 +121,12 @@ def key_table(text: Column, profile: str) -> Column:
 
     read = lambda x: F.struct(*(x[c].alias(c) for c in ("number", "section", "kind", "tail")), matched(x, 1).alias("raw"), matched(x, 2).alias("marks"))
 
+    def keyed(x: Column) -> Column:
+        all_get = F.regexp_replace(F.upper(x["raw"]), r"\s+", " ").isin("MTA", "MARKS TO ALL")
+        return F.struct(*(x[c].alias(c) for c in ("number", "section", "kind", "tail", "raw", "marks")), all_get.alias("all_get"), F.split(F.upper(x["raw"]), r"\s+OR\s+", -1).alias("alternatives"))
+
     def told(x: Column) -> Column:
-        value, all_get = x["kind"] == "NAT", F.regexp_replace(F.upper(x["raw"]), r"\s+", " ").isin("MTA", "MARKS TO ALL")
-        alternatives = F.split(F.upper(x["raw"]), r"\s+OR\s+", -1)
+        value, all_get, alternatives = x["kind"] == "NAT", x["all_get"], x["alternatives"]
         choices = F.when(~value & ~all_get, F.transform(alternatives, lambda a: F.regexp_extract_all(a, F.lit("[A-D]"), 0)))
         bounds = F.regexp_extract_all(x["raw"], F.lit(rf"(?i){_RANGE}"), 0)
         ends = lambda b, k: F.regexp_extract(b, rf"(?i)^({_NUMBER})\s*(?:to|:)\s*({_NUMBER})$", k)
@@ -110,7 +138,7 @@ def key_table(text: Column, profile: str) -> Column:
             F.when(x["raw"].isNull(), "tail").when(several, "several").alias("problem"),
         )
 
-    return F.transform(F.transform(F.transform(whole, split_row), read), told)
+    return F.transform(F.transform(F.transform(F.transform(whole, split_row), read), keyed), told)
 
 
 def resolve_references(payload: str) -> str:

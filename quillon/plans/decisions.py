@@ -74,7 +74,7 @@ _TAIL = """CASE l_partkey % 8 WHEN 0 THEN 'MCQ CS-1 B 1' WHEN 1 THEN 'MSQ GA A;C
 def key_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of key tables that are pages of text: typed rows, glued ends, alternatives, and what doesn't fit."""
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), "l_linenumber", F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.expr(_TAIL)).alias("line"))
-    pages = line.groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "  \n").alias("text"))
+    pages = line.groupBy("paper").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "  \n").alias("text"))
     rows = pages.select("paper", F.explode(parsing.key_table(F.col("text"), "typed")).alias("r")).select("paper", "r.*")
     choices = F.array_join(F.transform("choices", lambda c: F.array_join(c, "")), "|")
     ranges = F.array_join(F.transform("ranges", lambda b: F.concat_ws("..", b["least"], b["most"])), "|")

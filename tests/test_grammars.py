@@ -1,6 +1,7 @@
 """Formulas, key tables and outlines: hand-made cases."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,28 @@ def test_key_table(spark, profile, text, want):
     assert [x if x[8] != "tail" else (*x[:6], None, None, x[8]) for x in got] == want
 
 
+def test_key_text_is_cleaned_once(spark):
+    plan = spark.createDataFrame([("",)], "t string").select(parsing.key_table(F.col("t"), "typed").alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("x{2212}") == 1
+
+
+def test_clean_key_text(spark):
+    """As by one pattern after the other."""
+    rng = random.Random(12)
+    pieces = ["M", "C", "Q", "S", "N", "A", "T", "G", "m", "c", "s", "q", "n", "a", "t", "g", " ", "  ", "\n", "\t", "1", "-", "\u2212", "\u2013", "\uf0b7", "é", "MCQ", "N A T", "g a", "C S", "."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 30))) for _ in range(3000)]
+
+    def want(text):
+        steps = (r"[\u2010-\u2014\u2212]", "-"), (r"\uf0b7", " "), *((rf"(?i)(?<![A-Za-z]){blank.join(w)}(?![0-9A-Za-z_é])", w) for w in ("MCQ", "MSQ", "NAT", "GA", "CS")), (r"[ \t\n\x0b\f\r]+", " ")
+        for pattern, word in steps:
+            text = re.sub(pattern, word, text)
+        return text.strip(" ")
+
+    blank = r"[ \t\n\x0b\f\r]*"
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", parsing.clean_key_text(F.col("t")).alias("c")).collect():
+        assert r["c"] == want(r["t"]), r["t"]
+
+
 def test_outline(spark):
     head = "Sets: PAPER CSE 2014 | Question: {}\nWhat?\n"
     pages = [
