@@ -6,9 +6,13 @@ into the keys that it touches, and a failed one starts from the state before it.
 counts once, at its first delivery, whatever timestamp later ones bear, and none is dropped as
 late, however old it is.
 
-What bounds the state: a key keeps one row of evidence and the ids that it has seen, in
-containers of 65,536 ids: two bytes an id, 8,192 bytes a container at most.  Ids are never
-forgotten, so this is exact; a batch reads the containers that its ids fall in.  An event's
+Each access to the store crosses to the JVM, which takes most of the time, so a key of the store
+is a learner and a run of 16 questions, read and written once a batch.
+
+What bounds the state: a question keeps one row of evidence and the ids that it has seen: up to
+16 of them in the row, then in containers of 65,536 ids: two bytes an id, 8,192 bytes a container
+at most.  Ids are never forgotten, so this is exact; a batch reads the rows of the runs that its
+questions lie in, 16 at most each, and the containers that its ids fall in.  An event's
 learner and question must be the same at each delivery; of deliveries within one batch the
 earliest counts.  Events without an id count as one event.  The batch operators are the
 ground truth that the stream must reach.
@@ -74,8 +78,10 @@ def flat(state: DataFrame) -> DataFrame:
     )
 
 
-#: A learner's evidence on one question as it is kept in the state store; times are microseconds, `latest_at` and `latest_id` those of the latest answer.
-STATE = "attempt_count long, correct_count long, incorrect_count long, unanswered_count long, latest_at long, latest_id long, latest_status string, last_at long"
+#: A learner's evidence on a run of questions as it is kept in the state store; times are microseconds, `latest_at` and `latest_id` those of the latest answer.
+#: `ids` are those that were seen, null once they are in containers.
+STATE = "questions array<struct<question_id: long, attempt_count: long, correct_count: long, incorrect_count: long, unanswered_count: long, latest_at: long, latest_id: long, latest_status: string, last_at: long, ids: array<long>>>"
+RUN_BITS, INLINE = 4, 16
 _CONTAINER, _DENSE = 1 << 16, 4096
 
 
@@ -100,38 +106,73 @@ def add_ids(held: bytes | None, offsets: np.ndarray) -> tuple[np.ndarray, bytes]
     return new, np.packbits(bits).tobytes()
 
 
+class Evidence:
+    """What a learner has shown on one question."""
+
+    def __init__(self, row: Any = None) -> None:
+        self.counts = [0, 0, 0, 0] if row is None else list(row[1:5])
+        self.latest = (None, None, None) if row is None else tuple(row[5:8])
+        self.last = None if row is None else row[8]
+        self.ids: set[int] | None = set() if row is None else None if row[9] is None else set(row[9])
+
+    def add(self, event: int, moment: int, status: str) -> None:
+        self.counts[0] += 1
+        self.counts[1 + STATUSES.index(status)] += 1
+        self.last = moment if self.last is None else max(self.last, moment)
+        if status != "unanswered" and (self.latest[0] is None or (moment, event) > self.latest[:2]):
+            self.latest = (moment, event, status)
+
+    def row(self, question: int | None) -> tuple:
+        return question, *self.counts, *self.latest, self.last, None if self.ids is None else sorted(self.ids)
+
+
 class EvidenceState(StatefulProcessor):
-    """Folds a key's new events into its evidence; what was seen is kept by containers of 65,536 ids, of which a batch reads those that it has ids of."""
+    """Folds a key's new events into its evidence; ids that don't fit the row are kept by containers of 65,536 ids, of which a batch reads those that it has ids of."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("evidence", STATE)
-        self.seen = handle.getMapState("seen", "container long", "ids binary")
+        self.seen = handle.getMapState("seen", "question long, container long", "ids binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        found = self.totals.get() if self.totals.exists() else None
-        counts, latest, last = ([*found[:4]], (found[4], found[5], found[6]), found[7]) if found else ([0, 0, 0, 0], (None, None, None), None)
+        held = self.totals.get()
+        found = {row[0]: Evidence(row) for row in held[0]} if held else {}
         for part in batched(rows, 10_000):  # of any number of rows
-            first: dict[int, tuple[int, str]] = {}
+            first: dict[int | None, dict[int, tuple[int, str]]] = {}
             for r in part:
-                first[r["event_id"]] = min(first.get(r["event_id"], (r["at"], r["status"])), (r["at"], r["status"]))
-            by_container: dict[int, list[int]] = {}
-            for event in sorted(first):
-                by_container.setdefault(event // _CONTAINER, []).append(event)
-            for container, own in by_container.items():
-                held = self.seen.getValue((container,))[0] if self.seen.containsKey((container,)) else None
-                new, ids = add_ids(held, np.array([event % _CONTAINER for event in own]))
-                if not new.any():
-                    continue
-                self.seen.updateValue((container,), (ids,))
-                for event in (e for e, fresh in zip(own, new) if fresh):
-                    moment, status = first[event]
-                    counts[0] += 1
-                    counts[1 + STATUSES.index(status)] += 1
-                    last = moment if last is None else max(last, moment)
-                    if status != "unanswered" and (latest[0] is None or (moment, event) > latest[:2]):
-                        latest = (moment, event, status)
-        self.totals.update((*counts, *latest, last))
-        yield Row(user_id=key[0], question_id=key[1], attempt_count=counts[0])
+                own, seen = first.setdefault(r["question_id"], {}), (r["at"], r["status"])
+                own[r["event_id"]] = min(own.get(r["event_id"], seen), seen)
+            for question, events in first.items():
+                evidence = found.setdefault(question, Evidence())
+                for event in self.unseen(question, evidence, sorted(events)):
+                    evidence.add(event, *events[event])
+        self.totals.update(([evidence.row(question) for question, evidence in found.items()],))
+        yield Row(user_id=key[0], run=key[1], questions=len(found))
+
+    def unseen(self, question: int | None, evidence: Evidence, events: list[int]) -> list[int]:
+        """Those of the distinct, sorted events that haven't been seen; they have been then."""
+        if evidence.ids is not None:
+            new = [event for event in events if event not in evidence.ids]
+            evidence.ids.update(new)
+            if len(evidence.ids) > INLINE:
+                self.contained(question, sorted(evidence.ids))
+                evidence.ids = None
+            return new
+        return self.contained(question, events)
+
+    def contained(self, question: int | None, events: list[int]) -> list[int]:
+        """Those that no container of the question held; they do then."""
+        by_container: dict[int, list[int]] = {}
+        for event in events:
+            by_container.setdefault(event // _CONTAINER, []).append(event)
+        out = []
+        for container, own in by_container.items():
+            at = (-1 if question is None else question, container)
+            held = self.seen.getValue(at)[0] if self.seen.containsKey(at) else None
+            new, ids = add_ids(held, np.array([event % _CONTAINER for event in own]))
+            if new.any():
+                self.seen.updateValue(at, (ids,))
+                out += [event for event, fresh in zip(own, new) if fresh]
+        return out
 
     def close(self) -> None:
         pass
@@ -146,17 +187,18 @@ def start(events: DataFrame, checkpoint: str) -> StreamingQuery:
     rows = responses(events).select(
         "user_id", "question_id", F.coalesce("event_id", F.lit(-(1 << 63))).alias("event_id"), F.coalesce(F.unix_micros("submitted_at"), F.lit(0)).alias("at"), "status"
     )
-    folded = rows.groupBy("user_id", "question_id").transformWithState(EvidenceState(), "user_id long, question_id long, attempt_count long", outputMode="update", timeMode="none")
+    folded = rows.withColumn("run", F.shiftright("question_id", RUN_BITS)).groupBy("user_id", "run").transformWithState(EvidenceState(), "user_id long, run long, questions long", outputMode="update", timeMode="none")
     return folded.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The state of each key after the last batch."""
     rows = spark.read.format("statestore").option("stateVarName", "evidence").load(checkpoint)
-    time = lambda c: F.timestamp_micros(F.col(f"value.{c}"))
+    rows = rows.select("key.user_id", F.explode("value.questions").alias("q"))
+    time = lambda c: F.timestamp_micros(F.col(f"q.{c}"))
     return rows.select(
-        "key.user_id", "key.question_id", "value.attempt_count", "value.correct_count", "value.incorrect_count", "value.unanswered_count",
-        F.col("value.latest_status").alias("latest_status"), time("latest_at").alias("latest_answered_at"), time("last_at").alias("last_attempted_at"),
+        "user_id", "q.question_id", "q.attempt_count", "q.correct_count", "q.incorrect_count", "q.unanswered_count",
+        F.col("q.latest_status").alias("latest_status"), time("latest_at").alias("latest_answered_at"), time("last_at").alias("last_attempted_at"),
     )
 
 

@@ -242,3 +242,18 @@ def test_tables_over_jdbc(spark):
     assert "PushedFilters: [*IsNotNull(id), *EqualTo(id,7)]" in tables.point(found, "id", 7)._jdf.queryExecution().toString().replace("ID", "id")
     with pytest.raises(ValueError, match="missing columns"):
         tables.jdbc_table(spark, url, "QUESTIONS", [*columns, "gone"], "id", (1, 200), **driver)
+
+
+def test_a_run_of_questions_is_one_key_of_the_store(spark, tmp_path):
+    """Also where a question's ids no longer fit its row: repeats in the same and in later batches count once."""
+    folder = tmp_path / "in"
+    ids = [97 * k + q for k in range(60) for q in (3, 5, 40)] + [(1 << 40) - (1 << 40) % 97 + 3]
+    for own in (ids[:30], ids[10:], ids, ids[::7]):
+        df = spark.createDataFrame([(i, 8, "purchase") for i in own * 2] + [(None, 8, "error")], "event_id long, user_id long, event_type string")
+        df.selectExpr("event_id", "cast('2024-06-01' as timestamp_ntz) + make_interval(0, 0, 0, 0, 0, 0, coalesce(event_id % 1000, 0)) as ts", "user_id", "event_type", "0d as value", "'' as props").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(ev.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    ev.start(stream, str(tmp_path / "cp")).awaitTermination()
+    got = {r["question_id"]: (r["attempt_count"], r["correct_count"]) for r in ev.current(spark, str(tmp_path / "cp")).collect()}
+    assert got == {3: (61, 61), 5: (60, 60), 40: (60, 60), None: (1, 0)}
+    store = spark.read.format("statestore").option("stateVarName", "evidence").load(str(tmp_path / "cp"))
+    assert store.count() == 3
