@@ -187,6 +187,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxic.sum() > 100 and (flagged & toxic).sum() >= 0.9 * toxic.sum() and (flagged & ~toxic).sum() <= 0.02 * (~toxic).sum()
 
 
+def test_toxicity_thresholds_count_all_rows_aside(spark, monkeypatch):
+    docs = spark.range(6600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 11 == 0, "some vile words").otherwise("some plain words").alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 11 == 0).cast("int").alias("toxic"))
+    seen, cut = [], toxicity.best_cut
+    monkeypatch.setattr(toxicity, "best_cut", lambda *x: seen.append(sum(x[2]) if len(x) > 2 else len(x[0])) or cut(*x))
+    toxicity.fit(docs, labels, F.lit(True), toxicity.CnnSettings(bits=8, width=3, filters=2, epochs=1, least_steps=1))
+    assert abs(seen[0] - 6600 / 4) < 150
+
+
+def test_toxicity_blocks_are_learned_together(spark):
+    """Each toxic word is in a few rows only, so that no block has seen all of them well; the order of the input doesn't matter."""
+    rng = np.random.default_rng(2)
+    clean, vile = [f"plain{k}" for k in range(40)], [f"v{k}ile" for k in range(12)]
+    rows = []
+    for k in range(900):
+        words = list(rng.choice(clean, 12))
+        if k % 3 == 0:
+            words[int(rng.integers(0, 12))] = vile[k // 3 % 12]
+        rows.append((k, " ".join(words), int(k % 3 == 0), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    settings = toxicity.CnnSettings(bits=11, block_rows=130, rounds=30)
+    models = [toxicity.fit(x, x.select("doc_id", "toxic"), langid.learnable(), settings) for x in (docs.repartition(3), docs.coalesce(1))]
+    assert (models[0].embed == models[1].embed).all() and models[0].offsets == models[1].offsets
+    got = toxicity.score(docs, models[0]).join(docs.select("doc_id", "toxic"), "doc_id").where(langid.held_out()).toPandas()
+    assert ((got["score"] >= 0.7) == (got["toxic"] == 1)).mean() > 0.95
+
+
+def test_toxicity_cut_from_counts_is_that_of_rows():
+    rng = np.random.default_rng(4)
+    logits, labels = np.round(rng.standard_normal(300), 1), rng.integers(0, 2, 300)
+    values = np.unique(logits)
+    counts = [np.array([x[logits == v].sum() for v in values]) for x in (labels, np.ones(300))]
+    assert toxicity.best_cut(values, *counts) == toxicity.best_cut(logits, labels)
+
+
 def test_toxicity_scores_are_ordered_by_ties(spark):
     logits, labels = np.array([1.0, 1.0, 1.0, 0.0]), np.array([1, 1, 0, 0])
     cut = toxicity.best_cut(logits, labels)
