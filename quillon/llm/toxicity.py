@@ -12,7 +12,8 @@ in blocks of about `block_rows` rows and `block_bytes` bytes of text, one task e
 block goes on from the same model through all its rows, and what the blocks have moved is averaged by
 Spark: values that all move by the mean, an embedding by the mean of the blocks that moved it.  A single
 block goes through its rows as often by itself.  Thresholds are taken from counts of all rows that are
-kept aside, by language and logit (in steps of 1 / 256).  So the driver gets a model and these counts,
+kept aside, by language and logit (in steps of 1 / 256).  A model that tells these no better than a coin has
+learned few rows by heart: training begins anew with other values, `starts` times at most.  So the driver gets a model and these counts,
 and a task holds a block's words (2 bytes a feature), however many rows there are.  Scoring covers whole
 texts of any length too.  The language model learns from the same side of the split.
 
@@ -30,7 +31,7 @@ from __future__ import annotations
 import copy
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ class CnnSettings:
     batch: int = 64
     rate: float = 0.01
     rounds: int = 4
+    starts: int = 5
     block_rows: int = 8000
     block_bytes: int = 64_000_000
     window_words: int = 65_536
@@ -343,8 +345,8 @@ def unpacked(column: pa.Array, bits: int) -> list[np.ndarray]:
     return [raw.view(np.uint16 if bits <= 16 else np.int32).reshape(-1, PARTS) for raw in as_bytes(column)]
 
 
-def set_thresholds(rows: DataFrame, model: Cnn) -> None:
-    """By counts of all rows (y, lang, ids) at each language and logit."""
+def set_thresholds(rows: DataFrame, model: Cnn) -> float:
+    """By counts of all rows (y, lang, ids) at each language and logit; the rows' logistic loss, both classes weighing the same."""
     settings, shared = model.settings, rows.sparkSession.sparkContext.broadcast(model)
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,6 +364,8 @@ def set_thresholds(rows: DataFrame, model: Cnn) -> None:
         rarer = min(toxic[own].sum(), (n - toxic)[own].sum())
         if rarer:
             model.offsets[str(lang)] = float((rarer * best_cut(logit[own], toxic[own], n[own]) + settings.prior_rows * model.offset) / (rarer + settings.prior_rows))
+    clean = n - toxic
+    return float((np.logaddexp(0, -logit) @ toxic / toxic.sum() + np.logaddexp(0, logit) @ clean / clean.sum()) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: CnnSettings = CnnSettings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> Cnn:
@@ -406,8 +410,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: CnnSettings
         learned = judged = rows
         sizes = {(False, y): n for (_, y), n in sizes.items()}
     n = sizes[False, 0] + sizes[False, 1]
-    model = trained(learned, blocks, n, sizes[False, 1] / n, settings)
-    set_thresholds(judged, model)
+    tried: list[tuple[float, Cnn]] = []
+    for start in range(settings.starts):
+        model = trained(learned, blocks, n, sizes[False, 1] / n, replace(settings, seed=settings.seed + start))
+        tried.append((set_thresholds(judged, model), model))
+        if tried[-1][0] < math.log(2):
+            break
+    model = min(tried, key=lambda x: x[0])[1]
     rows.unpersist()
     model.lang_model = lang_model
     return model
