@@ -7,6 +7,8 @@ guess.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,6 +91,8 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
 
     Prefixes are equi-joins on hashes: a target is cut at the lengths that sources of its
     block (the same 40 characters or 6 tokens, doubled up to half of the shorter text) have, a source at those that targets have.
+    Which lengths a row meets is found from hashes of its starts; only the rows that meet any are cut, and texts travel for no others
+    (for all, once, where the rows that do are too many to broadcast).
     """
 
     def prepared(df: DataFrame, key: str) -> DataFrame:
@@ -97,43 +101,67 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
         anchors = F.filter(F.regexp_extract_all(plain, F.lit(r"[a-z]+(?:'[a-z]+)?|\d+(?:\.\d+)?"), 0), lambda x: (F.length(x) >= 3) | x.rlike(r"^\d+$"))
         part = F.lit("") if within is None else F.col(within).cast("string")
         own = F.lit(None).cast("string") if explicit is None else F.col(explicit).cast("string")
-        return df.select(F.col(key).alias("id"), own.alias("own"), part.alias("part"), F.when(normal != "", normal).alias("normal"), anchors.alias("anchors"))
+        folded = df.select(F.col(key).alias("id"), own.alias("own"), part.alias("part"), F.nullif(normal, F.lit("")).alias("normal"), anchors.alias("anchors"))
+        folded = folded.withColumns({"chars": F.length("normal"), "count": F.size("anchors"), "anchors": F.array_join("anchors", " ")})
+        return folded.withColumn("row", F.monotonically_increasing_id())
 
-    def keyed(df: DataFrame, tier: int, *parts: Column) -> DataFrame:
+    def keyed(df: DataFrame, tier: int, *parts: Column, more: tuple[str, ...] = ()) -> DataFrame:
         """Rows with a key of the tier; a null part is no key."""
-        return df.where(F.concat(*parts).isNotNull()).select("id", F.lit(tier).alias("tier_no"), F.sha2(F.concat_ws("\n", *parts), 256).alias("key"))
-
-    def words(n: Column | str) -> Column:
-        return F.concat_ws(" ", F.slice("anchors", 1, F.col(n) if isinstance(n, str) else n))
-
-    def cut_at(df: DataFrame, other: DataFrame, left: Callable[[Column], Column], size: Column, least: int) -> DataFrame:
-        """Each row with every size `n` that the other side has among rows that begin as it does.
+        there = functools.reduce(operator.and_, (p.isNotNull() for p in parts))
+        return df.where(there).select("id", F.lit(tier).alias("tier_no"), F.sha2(F.concat_ws("\n", *parts), 256).alias("key"), *more)
+
+    def blocked(df: DataFrame, way: tuple[str, str, int], every: bool = False) -> DataFrame:
+        """Rows with the hash of their first least * 2 ** level units as `block`, for their last `level` or for every one."""
+        cut, size, least = way
+        top = f"CAST(length(bin({size} DIV {least})) - 1 AS INT)"
+        start = f"xxhash64(part, {cut.format(n=f'shiftleft({least}, level)')})"
+        if not every:
+            return df.withColumn("level", F.expr(top)).withColumn("block", F.expr(start))
+        starts = F.expr(f"explode(transform(sequence(0, {top}), level -> struct(level, {start} AS block)))")
+        return df.withColumn("start", starts).withColumns({"level": F.col("start.level"), "block": F.col("start.block")})
+
+    def meeting(df: DataFrame, other: DataFrame, way: tuple[str, str, int], name: str, fits: Callable[[Column, Column], Column]) -> DataFrame:
+        """(name, level, block, row, sizes): of each row the sizes that fit and that the other side has among rows that begin as it does.
 
         A row of the other side is blocked by its first least * 2 ** level units, half of it at least; a row meets it by as
         many units of its own, so texts that only begin alike don't multiply.
         """
-        top = (F.length(F.bin(F.expr("_size DIV %d" % least))) - 1).cast("int")
-        start = F.sha2(left(F.expr(f"shiftleft({least}, level)")), 256)
-        sizes = other.withColumn("_size", size.cast("long")).withColumn("level", top).select("part", "level", start.alias("block"), F.col("_size").cast("int").alias("n"))
-        sizes = sizes.distinct().groupBy("part", "level", "block").agg(F.collect_set("n").alias("sizes"))
-        own = df.withColumn("_size", size.cast("long")).withColumn("level", F.explode(F.sequence(F.lit(0), top))).withColumn("block", start)
-        return own.join(sizes, ["part", "level", "block"]).withColumn("n", F.explode("sizes"))
-
-    # each side is read a dozen times below, and folding texts takes most of the time
-    a, b = written(prepared(sources, source_id), "linked-sources"), written(prepared(targets, target_id), "linked-targets")
-    chars, count = F.length("normal"), F.size("anchors")
-    long = a.where(chars >= 40)
-    solid = a.where((count >= 6) & (F.length(F.concat_ws("", "anchors")) >= 32))
-    worded = b.where(count >= 6)
-    starts = cut_at(b.where(chars >= 40), long, lambda n: F.left("normal", n), chars, 40).where(F.col("n") <= chars)
-    longer = cut_at(worded, solid, words, count, 6).where(F.col("n") <= count)
-    shorter = cut_at(solid, worded, words, count, 6).where((F.col("n") < count) & (F.col("n") >= 0.75 * count))
-    whole, forward, backward = F.lit("whole"), F.lit("forward"), F.lit("backward")
-    known = keyed(b, 0, F.col("own")).unionByName(keyed(b, 1, whole, F.col("part"), F.col("normal")))
-    known = known.unionByName(keyed(starts, 2, F.col("part"), F.expr("left(normal, n)"))).unionByName(keyed(longer, 3, forward, F.col("part"), words("n")))
-    known = known.unionByName(keyed(worded, 3, backward, F.col("part"), words(count))).groupBy("tier_no", "key").agg(F.count("*").alias("n"), F.min("id").alias("target"))
-    asked = keyed(a, 0, F.col("own")).unionByName(keyed(a, 1, whole, F.col("part"), F.col("normal"))).unionByName(keyed(long, 2, F.col("part"), F.col("normal")))
-    asked = asked.unionByName(keyed(solid, 3, forward, F.col("part"), words(count))).unionByName(keyed(shorter, 3, backward, F.col("part"), words("n")))
+        sizes = blocked(other.where("part IS NOT NULL"), way).select("level", "block", F.col(way[1]).alias("n")).distinct()
+        sizes = sizes.groupBy("level", "block").agg(F.collect_set("n").alias("sizes"))
+        own = blocked(df.where("part IS NOT NULL"), way, every=True).select("level", "block", "row", F.col(way[1]).alias("size"))
+        found = own.join(sizes, ["level", "block"]).withColumn("sizes", F.filter("sizes", lambda n: fits(n, F.col("size"))))
+        return found.where(F.size("sizes") > 0).select(F.lit(name).alias("name"), "level", "block", "row", "sizes")
+
+    def cut_at(df: DataFrame, name: str) -> DataFrame:
+        """The rows that meet sizes, each with every size `n`."""
+        return met.where(F.col("name") == name).select("row", F.explode("sizes").alias("n")).join(df, "row")
+
+    def in_blocks(df: DataFrame, way: tuple[str, str, int], name: str, tier: int, *parts: Column) -> DataFrame:
+        """Keys of the rows whose size a row of the other side meets."""
+        keys = keyed(blocked(df, way), tier, *parts, more=("level", "block"))
+        return keys.join(met.where(F.col("name") == name).select("level", "block"), ["level", "block"], "left_semi").select("id", "tier_no", "key")
+
+    # each side is read a dozen times below, and folding texts takes most of the time; the two tables are most of the disk
+    a, b = written(prepared(sources, source_id), "linked-sources", "zstd"), written(prepared(targets, target_id), "linked-targets", "zstd")
+    # how a text is cut after n units, how many it has, and how many a prefix has at least
+    by_chars, by_words = ("left(normal, {n})", "chars", 40), ("substring_index(anchors, ' ', {n})", "count", 6)
+    normal, words = F.col("normal"), F.col("anchors")
+    long, wide = a.where("chars >= 40"), b.where("chars >= 40")
+    solid = a.where((F.col("count") >= 6) & (F.length("anchors") - F.col("count") + 1 >= 32))
+    worded = b.where("count >= 6")
+    # the rows that meet sizes are mostly few: of a table Spark knows that before texts are joined with it
+    met = meeting(wide, long, by_chars, "starts", lambda n, size: n < size)
+    met = met.unionByName(meeting(worded, solid, by_words, "longer", lambda n, size: n < size))
+    met = written(met.unionByName(meeting(solid, worded, by_words, "shorter", lambda n, size: (n < size) & (n >= 0.75 * size))), "linked-sizes")
+    part, whole, forward, backward = F.col("part"), F.lit("whole"), F.lit("forward"), F.lit("backward")
+    first_chars, first_words = F.expr(by_chars[0].format(n="n")), F.expr(by_words[0].format(n="n"))
+    # a prefix that is the whole target is equal text, which the tier before has found
+    known = keyed(b, 0, F.col("own")).unionByName(keyed(b, 1, whole, part, normal))
+    known = known.unionByName(keyed(cut_at(wide, "starts"), 2, part, first_chars)).unionByName(keyed(worded, 3, forward, part, words))
+    known = known.unionByName(keyed(cut_at(worded, "longer"), 3, forward, part, first_words)).unionByName(in_blocks(worded, by_words, "shorter", 3, backward, part, words))
+    known = known.groupBy("tier_no", "key").agg(F.count("*").alias("n"), F.min("id").alias("target"))
+    asked = keyed(a, 0, F.col("own")).unionByName(keyed(a, 1, whole, part, normal)).unionByName(in_blocks(long, by_chars, "starts", 2, part, normal))
+    asked = asked.unionByName(keyed(solid, 3, forward, part, words)).unionByName(keyed(cut_at(solid, "shorter"), 3, backward, part, first_words))
     # the keys of one tier have no target in common, so their counts add up
     hits = asked.join(known, ["tier_no", "key"]).groupBy("id", "tier_no").agg(F.sum("n").alias("n"), F.min("target").alias("target"))
     name = F.element_at(F.array(*map(F.lit, ("explicit", "content", "prefix", "anchor"))), F.col("tier_no") + 1)

@@ -77,3 +77,27 @@ def test_texts_that_only_begin_alike_dont_multiply(spark, capsys):
     got = {r["id"]: (r["tier"], r["target"], r["outcome"]) for r in found.collect()}
     assert got[1] == ("prefix", 1000, "linked") and got[3][2] == "linked" and got[3][0] == "anchor"
     assert sum(v[2] == "unmatched" for v in got.values()) == 98
+
+
+def test_texts_arent_shuffled(spark):
+    """Long texts are looked up by hashes of their starts: what is shuffled is a small part of them."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    rng = random.Random(5)
+    rows = [(k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(2000))) for k in range(60)]
+    rows += [(100, rows[1][1] + " and more"), (102, rows[3][1].rsplit(" ", 50)[0])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    before = set(stages())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # less than the texts
+    try:
+        found = linkage.text_linked(df.where("id % 2 = 1"), df.where("id % 2 = 0").withColumnRenamed("id", "target_id"), "id", "target_id", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {r["id"]: (r["tier"], r["target"], r["outcome"]) for r in found if r["tier"]} == {1: ("prefix", 100, "linked"), 3: ("anchor", 102, "linked")}
+    assert sum(n for k, n in stages().items() if k not in before) < sum(len(text) for _, text in rows) / 10
