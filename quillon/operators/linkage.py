@@ -80,7 +80,7 @@ def _resolved(sources: DataFrame, first: DataFrame, source_id: str) -> DataFrame
     return sources.select(source_id).join(linked, source_id, "left").join(claims, "target", "left").select(source_id, "tier", F.when(outcome == "linked", F.col("target")).alias("target"), outcome.alias("outcome"))
 
 
-def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_id: str, text: str, explicit: str | None = None, within: str | None = None) -> DataFrame:
+def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_id: str, text: str, explicit: str | None = None, within: str | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(source_id, tier, target, outcome) as by `tiered`, with tiers that compare whole texts.
 
     explicit: equal `explicit` columns; content: equal texts, case- and blank-folded; prefix:
@@ -92,7 +92,7 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
     Prefixes are equi-joins on hashes: a target is cut at the lengths that sources of its
     block (the same 40 characters or 6 tokens, doubled up to half of the shorter text) have, a source at those that targets have.
     Which lengths a row meets is found from hashes of its starts; only the rows that meet any are cut, and texts travel for no others
-    (for all, once, where the rows that do are too many to broadcast).
+    (for all, once a tier, where those rows and their blocks' sizes are more than `broadcast_rows`).
     """
 
     def prepared(df: DataFrame, key: str) -> DataFrame:
@@ -108,7 +108,7 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
     def keyed(df: DataFrame, tier: int, *parts: Column, more: tuple[str, ...] = ()) -> DataFrame:
         """Rows with a key of the tier; a null part is no key."""
         there = functools.reduce(operator.and_, (p.isNotNull() for p in parts))
-        return df.where(there).select("id", F.lit(tier).alias("tier_no"), F.sha2(F.concat_ws("\n", *parts), 256).alias("key"), *more)
+        return df.where(there).select("id", F.lit(tier).alias("tier_no"), F.unhex(F.sha2(F.concat_ws("\n", *parts), 256)).alias("key"), *more)
 
     def blocked(df: DataFrame, way: tuple[str, str, int], every: bool = False) -> DataFrame:
         """Rows with the hash of their first least * 2 ** level units as `block`, for their last `level` or for every one."""
@@ -120,8 +120,8 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
         starts = F.expr(f"explode(transform(sequence(0, {top}), level -> struct(level, {start} AS block)))")
         return df.withColumn("start", starts).withColumns({"level": F.col("start.level"), "block": F.col("start.block")})
 
-    def meeting(df: DataFrame, other: DataFrame, way: tuple[str, str, int], name: str, fits: Callable[[Column, Column], Column]) -> DataFrame:
-        """(name, level, block, row, sizes): of each row the sizes that fit and that the other side has among rows that begin as it does.
+    def meeting(df: DataFrame, other: DataFrame, way: tuple[str, str, int], name: str) -> DataFrame:
+        """(name, level, block, row, sizes): the rows that begin as rows of the other side do, with the sizes of these, if any fits.
 
         A row of the other side is blocked by its first least * 2 ** level units, half of it at least; a row meets it by as
         many units of its own, so texts that only begin alike don't multiply.
@@ -129,12 +129,18 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
         sizes = blocked(other.where("part IS NOT NULL"), way).select("level", "block", F.col(way[1]).alias("n")).distinct()
         sizes = sizes.groupBy("level", "block").agg(F.collect_set("n").alias("sizes"))
         own = blocked(df.where("part IS NOT NULL"), way, every=True).select("level", "block", "row", F.col(way[1]).alias("size"))
-        found = own.join(sizes, ["level", "block"]).withColumn("sizes", F.filter("sizes", lambda n: fits(n, F.col("size"))))
-        return found.where(F.size("sizes") > 0).select(F.lit(name).alias("name"), "level", "block", "row", "sizes")
-
-    def cut_at(df: DataFrame, name: str) -> DataFrame:
-        """The rows that meet sizes, each with every size `n`."""
-        return met.where(F.col("name") == name).select("row", F.explode("sizes").alias("n")).join(df, "row")
+        found = own.join(sizes, ["level", "block"]).where(F.exists("sizes", lambda n: fits[name](n, F.col("size"))))
+        return found.select(F.lit(name).alias("name"), "level", "block", "row", "sizes")
+
+    def cut_at(df: DataFrame, way: tuple[str, str, int], name: str) -> DataFrame:
+        """The rows that meet sizes, each with every size `n` that fits."""
+        own = met.where(F.col("name") == name)
+        if weights.get(name, 0) <= broadcast_rows:  # three numbers a row, and a block's sizes once
+            blocks = own.groupBy("level", "block").agg(F.first("sizes").alias("sizes"))
+            rows = df.join(F.broadcast(own.select("row", "level", "block")), "row").join(F.broadcast(blocks), ["level", "block"])
+        else:
+            rows = df.join(own.select("row", "sizes"), "row")
+        return rows.withColumn("n", F.explode(F.filter("sizes", lambda n: fits[name](n, F.col(way[1])))))
 
     def in_blocks(df: DataFrame, way: tuple[str, str, int], name: str, tier: int, *parts: Column) -> DataFrame:
         """Keys of the rows whose size a row of the other side meets."""
@@ -149,19 +155,21 @@ def text_linked(sources: DataFrame, targets: DataFrame, source_id: str, target_i
     long, wide = a.where("chars >= 40"), b.where("chars >= 40")
     solid = a.where((F.col("count") >= 6) & (F.length("anchors") - F.col("count") + 1 >= 32))
     worded = b.where("count >= 6")
-    # the rows that meet sizes are mostly few: of a table Spark knows that before texts are joined with it
-    met = meeting(wide, long, by_chars, "starts", lambda n, size: n < size)
-    met = met.unionByName(meeting(worded, solid, by_words, "longer", lambda n, size: n < size))
-    met = written(met.unionByName(meeting(solid, worded, by_words, "shorter", lambda n, size: (n < size) & (n >= 0.75 * size))), "linked-sizes")
+    fits = {"starts": operator.lt, "longer": operator.lt, "shorter": lambda n, size: (n < size) & (n >= 0.75 * size)}
+    met = meeting(wide, long, by_chars, "starts").unionByName(meeting(worded, solid, by_words, "longer")).unionByName(meeting(solid, worded, by_words, "shorter"))
+    # the rows that meet sizes are mostly few, and weighed before texts are joined with them
+    met = written(met, "linked-sizes")
+    weighed = met.groupBy("name", "level", "block").agg((F.count("*") + F.size(F.first("sizes"))).alias("weight"))
+    weights = dict(weighed.groupBy("name").agg(F.sum("weight")).collect())
     part, whole, forward, backward = F.col("part"), F.lit("whole"), F.lit("forward"), F.lit("backward")
     first_chars, first_words = F.expr(by_chars[0].format(n="n")), F.expr(by_words[0].format(n="n"))
     # a prefix that is the whole target is equal text, which the tier before has found
     known = keyed(b, 0, F.col("own")).unionByName(keyed(b, 1, whole, part, normal))
-    known = known.unionByName(keyed(cut_at(wide, "starts"), 2, part, first_chars)).unionByName(keyed(worded, 3, forward, part, words))
-    known = known.unionByName(keyed(cut_at(worded, "longer"), 3, forward, part, first_words)).unionByName(in_blocks(worded, by_words, "shorter", 3, backward, part, words))
+    known = known.unionByName(keyed(cut_at(wide, by_chars, "starts"), 2, part, first_chars)).unionByName(keyed(worded, 3, forward, part, words))
+    known = known.unionByName(keyed(cut_at(worded, by_words, "longer"), 3, forward, part, first_words)).unionByName(in_blocks(worded, by_words, "shorter", 3, backward, part, words))
     known = known.groupBy("tier_no", "key").agg(F.count("*").alias("n"), F.min("id").alias("target"))
     asked = keyed(a, 0, F.col("own")).unionByName(keyed(a, 1, whole, part, normal)).unionByName(in_blocks(long, by_chars, "starts", 2, part, normal))
-    asked = asked.unionByName(keyed(solid, 3, forward, part, words)).unionByName(keyed(cut_at(solid, "shorter"), 3, backward, part, first_words))
+    asked = asked.unionByName(keyed(solid, 3, forward, part, words)).unionByName(keyed(cut_at(solid, by_words, "shorter"), 3, backward, part, first_words))
     # the keys of one tier have no target in common, so their counts add up
     hits = asked.join(known, ["tier_no", "key"]).groupBy("id", "tier_no").agg(F.sum("n").alias("n"), F.min("target").alias("target"))
     name = F.element_at(F.array(*map(F.lit, ("explicit", "content", "prefix", "anchor"))), F.col("tier_no") + 1)

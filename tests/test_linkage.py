@@ -79,6 +79,19 @@ def test_texts_that_only_begin_alike_dont_multiply(spark, capsys):
     assert sum(v[2] == "unmatched" for v in got.values()) == 98
 
 
+def test_many_that_meet_give_the_same_links(spark):
+    """Rows too many to broadcast are joined with texts by shuffles; cuts are the same."""
+    rng = random.Random(6)
+    base = [rng.choice(("graph", "tree", "matrix", "vector", "prime", "number")) for _ in range(60)]
+    rows = [(k, " ".join(base[: rng.randrange(8, 60)]) + rng.choice(["", "", " tail", f" end {k}"])) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    sources, targets = df.where("id % 2 = 1"), df.where("id % 2 = 0").withColumnRenamed("id", "target_id")
+    few, many = ({r["id"]: (r["tier"], r["target"], r["outcome"]) for r in linkage.text_linked(sources, targets, "id", "target_id", "text", broadcast_rows=n).collect()} for n in (1_000_000, 0))
+    plain = [(k, None, "", text) for k, text in rows]
+    assert few == many == brute([r for r in plain if r[0] % 2], [r for r in plain if not r[0] % 2])
+    assert {v[0] for v in few.values()} >= {"content", "prefix", "anchor"}
+
+
 def test_texts_arent_shuffled(spark):
     """Long texts are looked up by hashes of their starts: what is shuffled is a small part of them."""
     sc = spark.sparkContext
